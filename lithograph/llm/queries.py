@@ -6,26 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import line_crf, mixing, sharding, token_files, weak_rules
+from .shared import new_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, folder)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
+def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(documents(spark, sf_dir)).drop("pattern")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_token_files,
         op3_mix_sources,
+        op5_line_crf,
         op6_shard_bytes,
+        op9_weak_rules,
     )
 }
 SQL: dict[str, str] = {}
