@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, mixing, pattern_grammar, sharding, token_files, weak_rules
+from . import jaccard_join, line_crf, mixing, pattern_grammar, sharding, token_files, weak_rules
 from .shared import new_folder
 
 
@@ -38,6 +38,10 @@ def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir))
+
+
 def op8_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_grammar.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_mix_sources,
         op5_line_crf,
         op6_shard_bytes,
+        op7_jaccard_join,
         op8_pattern_grammar,
         op9_weak_rules,
     )
