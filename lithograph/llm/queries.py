@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_crf, mixing, pattern_grammar, sharding, token_files, weak_rules
+from . import jaccard_join, line_crf, mixing, pattern_grammar, sharding, suffix_index, token_files, weak_rules
 from .shared import new_folder
 
 
@@ -50,6 +50,10 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir)).drop("pattern")
 
 
+def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_jaccard_join,
         op8_pattern_grammar,
         op9_weak_rules,
+        op10_suffix_index,
     )
 }
 SQL: dict[str, str] = {}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,27 @@ def word_array(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE_PATTERN))).cast("long")
+
+
+#: Bits of the filter of ``passing``: a bound of what is sent to each task.
+FILTER_BITS = 1 << 24
+
+
+def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` (doc_id and more) without most of those whose doc_id isn't in ``wanted``; none that is gets lost.
+
+    A bitmap of FILTER_BITS over hashed doc_ids decides, so that large rows needn't be shuffled to be dropped in a join.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 32, "<u4")
+    bitmap[[r["word"] for r in words]] = [r["bits"] for r in words]
+    sent, columns = rows.sparkSession.sparkContext.broadcast(bitmap), len(rows.columns)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            at = np.array(batch.column(columns))
+            yield batch.filter(pa.array(((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool))).select(range(columns))
+
+    return rows.withColumn("_bit", bit).mapInArrow(filtered, rows.schema)
