@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_crf, mixing, pattern_grammar, sharding, suffix_index, token_files, weak_rules
+from . import jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, weak_rules
 from .shared import new_folder
 
 
@@ -26,6 +26,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+#: The key of the queries' pseudonyms; a user brings a secret one.
+DEMONSTRATION_KEY = "a key for demonstration only"
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), DEMONSTRATION_KEY)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files,
+        op2_pseudonyms,
         op3_mix_sources,
         op5_line_crf,
         op6_shard_bytes,
