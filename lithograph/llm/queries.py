@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, weak_rules
+from . import decontamination, jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, weak_rules
 from .shared import new_folder
 
 
@@ -38,6 +38,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_files,
         op2_pseudonyms,
         op3_mix_sources,
+        op4_decontamination,
         op5_line_crf,
         op6_shard_bytes,
         op7_jaccard_join,
