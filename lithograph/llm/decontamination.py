@@ -135,3 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     similarity = F.col("common") / (F.col("total") - F.col("common"))
     best = alike.groupBy("doc_id", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("start")).alias("before"), F.col("distance"))).alias("b"))
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.before")).alias("start_word"), "b.distance")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are similar to no benchmark item in any window, with all their columns."""
+    leaks = written(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)

@@ -341,3 +341,18 @@ def components(docs: DataFrame) -> DataFrame:
     least = placed.where("class <> 0").groupBy("_in").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_in", "_at")
     out = placed.join(least, F.col("_in") == F.col("_at"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns.
+
+    Rows that repeat a doc_id and its text count once; rows with a null doc_id stay.
+    """
+    told = written(components(docs), "components")
+    gone = told.where("component_id <> doc_id").select("doc_id").distinct()
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = told.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

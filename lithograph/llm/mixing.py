@@ -145,3 +145,16 @@ def taken(docs: DataFrame, seed: int = 17) -> DataFrame:
     out = sized.join(per_source, sized["source"].eqNullSafe(per_source["_source"]), "left")
     out = out.join(sums, out["doc_id"].eqNullSafe(sums["_doc_id"]), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """``docs`` in the proportions of the mix, with all their columns: each row as often as the mix takes its words.
+
+    A document of which the mix takes a fraction of its words stays, beyond its whole copies, with that fraction as
+    probability (by a hash of its doc_id). Documents without words are never taken.
+    """
+    share = taken(docs, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_doc_id")).agg((F.sum("taken") / F.sum("size")).alias("_share"))
+    unit = F.pmod(F.xxhash64("_doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = written(share.select("_doc_id", (F.floor("_share") + (unit < F.col("_share") - F.floor("_share")).cast("long")).alias("_copies")).where("_copies > 0"), "copies")
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc_id"]))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
