@@ -149,8 +149,17 @@ def score(model: dict[str, np.ndarray], features: np.ndarray, lengths: np.ndarra
     return float(1 / (1 + np.exp(-np.clip(aggregate(good, lengths) @ model["curve"], -30, 30))))
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Fit on ``labelled`` (doc_id, text, label 0 or 1): the sample_docs rows whose doc_id hashes lowest.
+def sampled(docs: DataFrame, known: DataFrame, sample_docs: int) -> DataFrame:
+    """text and label of the sample_docs rows of ``known`` (doc_id, label 0 or 1) whose doc_ids hash lowest.
+
+    The sample is taken from the labels, so what is broadcast to the documents is bounded by sample_docs ids.
+    """
+    chosen = known.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+
+
+def train(docs: DataFrame, known: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
+    """Fit on a sample of ``known`` (doc_id, label 0 or 1) joined to ``docs`` (doc_id, text).
 
     Only features of the sample reach the driver: at most sample_docs x MAX_LINES lines. Longer documents aren't
     sampled; they are scored whole like all others. Rows without a label aren't used.
@@ -165,8 +174,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.n
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("features", pa.binary()), ("lengths", pa.binary()), ("label", pa.int32())]))
 
     short = F.coalesce(F.length(F.regexp_replace("text", "[^\n]+", "")), F.lit(0)) < MAX_LINES
-    chosen = labelled.where(F.col("label").isin(0, 1) & short).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = chosen.select("text", F.col("label").cast("int").alias("label")).mapInArrow(featured, "features binary, lengths binary, label int").collect()
+    rows = sampled(docs, known, sample_docs).where(short).mapInArrow(featured, "features binary, lengths binary, label int").collect()
+    rows.sort(key=lambda r: (r["features"], r["lengths"], r["label"]))  # in an order that tasks don't decide
     sample = []
     for r in rows:
         own, lengths = np.frombuffer(r["features"], "<f4").reshape(-1, OWN), np.frombuffer(r["lengths"], "<f8")
@@ -194,5 +203,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = labels.select(F.col("doc_id"), F.col("quality").alias("label")).where(~held & F.col("label").isNotNull())
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = train(docs, known)
     return score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
