@@ -15,8 +15,8 @@ equality of signatures without losing a pair:
 
 Texts with equal sets form a class, and classes are compared once. In a signature's group the smallest class leads and
 is compared with each member: a star, not all pairs. Members that links then join need no more comparing for the
-components; only pairs of a group that lie in different components are compared in a second round. What is compared is
-verified on the whole sets. Signatures travel packed, as one binary per task and bucket.
+components; where a group's members still lie in different components, all that such groups connect is compared again,
+in blocks of bounded size that give only the links found. What is compared is compared on the whole sets. Signatures travel packed, as one binary per task and bucket.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .text_stats import WordHashes, mixed, shingles
 THRESHOLD = (75, 100)
 #: Parts of a window per shingle of its largest set, and at least.
 PARTS_PER_SHINGLE, LEAST_PARTS = 0.4, 64
+#: Shingles of a chunk in the second round, which bounds the memory of a task.
+CHUNK = 300_000
 #: Bits of the filter that lets only compared documents' sets be shuffled: a bound of what is sent to tasks.
 FILTER_BITS = 1 << 24
 
@@ -297,15 +299,61 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.where(den * F.col("shared") >= num * F.col("union")).select("a", "b", "shared", "union")
 
 
-def second_pairs(groups: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of a group that lie in different components: those outside the group's largest component with all others."""
+def split_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """group, class, component of the groups whose members lie in different components."""
     placed = groups.join(joined, groups["class"] == joined["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-    count = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = placed.join(main, "group")
-    outside = split.where("component <> main").select("group", F.col("class").alias("x"), F.col("component").alias("x_in"))
-    pairs = outside.join(split.select("group", F.col("class").alias("y"), F.col("component").alias("y_in")), "group").where("x_in <> y_in")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ends = placed.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
+    return placed.join(ends, "group")
+
+
+def dealt_blocks(split: DataFrame, firsts: DataFrame) -> DataFrame:
+    """class, component, cluster, low, high, chunk: every class with all that it may still link to.
+
+    Classes that groups connect form a cluster. A cluster is cut by hash into chunks of about CHUNK shingles, and each
+    pair of chunks (low <= high) is a block of its own, so a block's size doesn't grow with the cluster's.
+    """
+    lead = split.groupBy("group").agg(F.min("class").alias("a"))
+    cluster = connected_components(split.join(lead, "group").select("a", F.col("class").alias("b"))).withColumnRenamed("component", "cluster")
+    members = split.select("class", "component").distinct().join(cluster, F.col("class") == F.col("node")).join(firsts.select("class", "n_shingles"), "class")
+    sizes = members.groupBy(F.col("cluster").alias("at")).agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"))
+    placed = members.join(sizes, F.col("cluster") == F.col("at")).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    return placed.select("class", "component", "cluster", "chunk", other).select("class", "component", "cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
+
+
+def compared_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared, union of the linked pairs of each block that lie in different components."""
+    num, den = THRESHOLD
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        classes, parts, chunk = (np.array(table.column(c)) for c in ("class", "component", "chunk"))
+        lists = table.column("members").chunk(0)
+        n, values = np.diff(np.array(lists.offsets)), np.array(lists.flatten())
+        owner = np.repeat(np.arange(len(n)), n)
+        low, high = key[1].as_py(), key[2].as_py()
+        rows, columns = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        order = np.argsort(values, kind="stable")
+        starts, lengths = runs(values[order])
+        element = np.repeat(np.cumsum(lengths > 1) - 1, lengths)[np.repeat(lengths > 1, lengths)]
+        holder = owner[order][np.repeat(lengths > 1, lengths)]
+        shared = np.zeros((len(rows), len(columns)), np.float32)
+        for at in range(0, int(element[-1]) + 1 if len(element) else 0, 2048):  # elements that two sets hold, some at a time
+            some = slice(*np.searchsorted(element, [at, at + 2048]))
+            held = np.zeros((len(n), 2048), np.float32)
+            held[holder[some], element[some] - at] = 1
+            shared += held[rows] @ held[columns].T
+        shared = np.rint(shared).astype(np.int64)
+        union = n[rows][:, None] + n[columns][None, :] - shared
+        linked = (den * shared >= num * union) & (parts[rows][:, None] != parts[columns][None, :])
+        if low == high:
+            linked = np.triu(linked, 1)
+        i, j = np.nonzero(linked)
+        a, b = classes[rows][i], classes[columns][j]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared[i, j]), "union": pa.array(union[i, j])})
+
+    met = blocks.join(sets, "class")
+    return met.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long, shared long, union long")
 
 
 def similarity_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +361,7 @@ def similarity_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The links are enough for all components: within a component that others join, further links aren't listed.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
     member = written(classes(docs), "classes")
     firsts = written(member.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")), "firsts")
     kept = kept_signatures(shared_signatures(dealt_signatures(docs, buckets), buckets), buckets)
@@ -321,9 +369,10 @@ def similarity_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead = groups.groupBy("group").agg(F.min("class").alias("a"))
     stars = groups.join(lead, "group").where("class <> a").select("a", F.col("class").alias("b")).distinct()
     links = written(verified(docs, stars, firsts), "links")
-    rest = written(second_pairs(groups, connected_components(links.select("a", "b"))).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(docs, rest, firsts))
+    split = written(split_groups(groups, connected_components(links.select("a", "b"))), "split")
+    if not split.isEmpty():
+        wanted = written(split.select("class").distinct().join(firsts, "class").select("class", "doc_id"), "wanted")
+        links = links.unionByName(written(compared_blocks(dealt_blocks(split, firsts), class_sets(docs, wanted)), "links"))
     return member, links
 
 

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_crf import logistic
+from .line_crf import logistic, sampled
 from .shared import written
 
 #: At most so many labelled documents teach the lexicon and the curve; the lexicon has at most LEXICON entries.
@@ -172,10 +172,9 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r["entry"]: r["weight"] for r in best}
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Lexicon and curve from the sample_docs rows of ``labelled`` (doc_id, text, label 0 or 1) that hash lowest."""
-    chosen = labelled.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = written(chosen.select("text", F.col("label").cast("int").alias("label")).repartition(16), "labelled")
+def train(docs: DataFrame, known: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """Lexicon and curve from a sample of ``known`` (doc_id, label 0 or 1) joined to ``docs`` (doc_id, text)."""
+    sample = written(sampled(docs, known, sample_docs), "labelled")
     lexicon = learn_lexicon(sample)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +205,32 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all their columns, by ``classify``'s model."""
+    model, at = train(docs, known_labels(labels)), docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model["lexicon"])
+        for batch in batches:
+            rows = np.array([reader.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(rows @ model["curve"], -30, 30))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out() & F.col("label").isNotNull())
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Labels are learnt only from rows where crc32 of the doc_id's text isn't 1 modulo 3; those are held_out. Null
     doc_ids have held_out false and are scored; rows that repeat are scored each; an empty table gives no rows.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    known = labels.select(F.col("doc_id"), F.col("toxic").alias("label")).where(~held & F.col("label").isNotNull())
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"))
-    return score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs, known_labels(labels))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

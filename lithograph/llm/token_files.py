@@ -32,36 +32,85 @@ SKIPPABLE_MAGIC, SEEK_TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0
 ENTRY, FOOTER, PLACE = "<III", "<IBI", "<qqQQ"
 ENTRY_BYTES, FOOTER_BYTES, PLACE_BYTES = 12, 9, 32
 FRAME_BYTES = 1 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 
 
 class WordMemo(dict):
     """Bytes of the ids of white-space separated words.
 
-    For tokenizers whose tokens never cross ASCII white space, a text's ids are those of its words one after another,
-    so the library encodes each new word once. The memo is emptied when it is full.
+    For tokenizers that lower-case, split letters from marks and never cross ASCII white space, a text's ids are those
+    of its words one after another, and a word's ids are those of its core and of the marks after it. The library
+    encodes each new core once: many in one call, parted by a mark that is a token of its own. Words that hold that
+    mark or may hold special tokens are encoded alone. The memo is emptied when it is full.
     """
 
+    PARTING, AT_ONCE = "~", 2000
+    MARKS = b".,!?#*$%&|;:"
+
     def __init__(self, tokenizer_path: str, id_type: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.id_type = Tokenizer.from_file(tokenizer_path), id_type
+        self.tokenizer, self.id_type, self.cores = Tokenizer.from_file(tokenizer_path), id_type, {}
+        parting = self.ids([self.PARTING])[0]
+        self.parting = parting[0] if len(parting) == 1 else None
+        self.parts = self.ids(["Ab.", "ab", "."])
+        self.parts = self.parts[0] == self.parts[1] + self.parts[2]
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
+        new = words - self.keys()
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
-            new = list(words)
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(encoding.ids, self.id_type).tobytes()
+            self.cores.clear()
+            new = words
+        marks, known, parted, wanted = self.MARKS, self.cores, [], set()
+        for word in new:
+            # marks are split off only after an ASCII letter or digit, where no token can reach over
+            core = word.rstrip(marks) if self.parts else word
+            if len(core) == len(word) or not core or not core[-1:].isalnum() or b"<|" in word:
+                parted.append((word, word, b""))
+                wanted.add(word)
+            else:
+                tail = word[len(core) :]
+                parted.append((word, core, tail))
+                wanted.add(core)
+                wanted.add(tail)
+        wanted -= known.keys()
+        mark, width = self.PARTING.encode(), np.dtype(self.id_type).itemsize
+        plain = [c for c in wanted if mark not in c and b"<|" not in c] if self.parting is not None else []
+        parting = f" {self.PARTING} "
+        for at in range(0, len(plain), self.AT_ONCE):
+            some = plain[at : at + self.AT_ONCE]
+            ids = np.array(self.ids([parting.join([c.decode() for c in some])])[0], self.id_type)
+            ends, data = (np.append(np.flatnonzero(ids == self.parting), len(ids)) * width).tolist(), ids.tobytes()
+            if len(ends) == len(some):
+                known.update(zip(some, [data[x:y] for x, y in zip([0, *(e + width for e in ends)], ends, strict=False)], strict=True))
+        alone = list(wanted - known.keys())
+        for core, ids in zip(alone, self.ids([c.decode() for c in alone]), strict=True):
+            known[core] = np.array(ids, self.id_type).tobytes()
+        self.update([(word, known[core] + known[tail] if tail else known[core]) for word, core, tail in parted])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode().split() for text in texts]  # bytes split at ASCII white space only
-        self.learn({word for words in split for word in words})
+        # bytes: lower() and split() touch ASCII alone; special tokens are looked for before the library lower-cases
+        data = [text.encode() for text in texts]
+        split = [(d.lower() if self.parts and b"<|" not in d else d).split() for d in data]
+        self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+def kept_memo(tokenizer_path: str, id_type: str) -> WordMemo:
+    """The memo of this worker process, which lives on between its tasks."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_lithograph_memos", {})
+    if (tokenizer_path, id_type) not in kept:
+        kept[tokenizer_path, id_type] = WordMemo(tokenizer_path, id_type)
+    return kept[tokenizer_path, id_type]
+
+
 def frame(documents: list[tuple[int | None, bytes]], width: int) -> bytes:
     ids = np.array([d or 0 for d, _ in documents], "<i8")
     nulls = np.array([d is None for d, _ in documents], "u1")
@@ -180,7 +229,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task = TaskContext.get()
         number, attempt = task.partitionId(), task.taskAttemptId()
-        memo, end = WordMemo(tokenizer_path, f"<u{width}"), end_id.to_bytes(width, "little")
+        memo, end = kept_memo(tokenizer_path, f"<u{width}"), end_id.to_bytes(width, "little")
         store, root = fs.FileSystem.from_uri(folder)
         path, part = f"{root}/tokens-{number:06d}.zst", f"{root}/.tokens-{number:06d}-{attempt}"
         out, n_docs, n_tokens = None, 0, 0

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,18 +104,20 @@ def header(data: bytes) -> dict:
 def headers(found: DataFrame, prefix: int = 1 << 16) -> DataFrame:
     """HEADER of files (path, content) from their first ``prefix`` bytes; files that can't be read have an error."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in HEADER.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in HEADER.split(", "))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, data in zip(batch["path"], batch["head"], strict=True):
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows.append({"path": path} | header(bytes(data)))
+                    rows.append({"path": path} | header(data))
                 except (struct.error, KeyError, ValueError, IndexError) as broken:
                     rows.append({"path": path, "error": f"{type(broken).__name__}: {broken}"})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return found.select("path", F.substring("content", 1, prefix).alias("head")).mapInPandas(read, HEADER)
+    return found.select("path", F.substring("content", 1, prefix).alias("head")).mapInArrow(read, HEADER)
 
 
 def samples(data: bytes) -> np.ndarray:
