@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count, written
+from .shared import partitions, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -108,12 +108,14 @@ def draw_slots(targets: DataFrame, seed: int, block_words: int = BLOCK_WORDS, sh
     unit = F.pmod(F.xxhash64(F.lit(seed), "shard", "_draw"), F.lit(1 << 40)) / float(1 << 40)
     draws = draws.select(F.col("shard").alias("_shard"), (unit * F.col("_mass")).alias("_at"))
     hit = (by_shard["shard"] == draws["_shard"]) & (draws["_at"] >= by_shard["_low"]) & ((draws["_at"] < by_shard["_high"]) | (by_shard["_no"] == by_shard["_last"]))
-    drawn = by_shard.join(draws, hit).groupBy(F.col("shard").alias("_shard"), F.col("_no").alias("_source_no")).agg(F.count(F.lit(1)).alias("_extra"))
-    counts = by_shard.join(drawn, (F.col("shard") == F.col("_shard")) & (F.col("_no") == F.col("_source_no")), "left")
+    # shards grow with the data, but Spark can't tell from the small table they come from: joins are asked to merge
+    drawn = by_shard.join(draws.hint("merge"), hit).groupBy(F.col("shard").alias("_shard"), F.col("_no").alias("_source_no")).agg(F.count(F.lit(1)).alias("_extra"))
+    counts = by_shard.join(drawn.hint("merge"), (F.col("shard") == F.col("_shard")) & (F.col("_no") == F.col("_source_no")), "left")
     counts = counts.withColumn("_count", F.col("_sure") + F.coalesce("_extra", F.lit(0)))
     before = Window.partitionBy("_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_from", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_count", F.least("_count", cap * F.col("_blocks") - F.col("_from")))
-    slots = counts.where("_count > 0").select("source", "shard", "_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _count - 1)")).alias("k"))
+    some = counts.where("_count > 0").select("source", "shard", "_no", "_blocks", "_from", "_count").repartition(partitions(targets.sparkSession), "shard", "_no")
+    slots = some.select("source", "shard", "_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _count - 1)")).alias("k"))
     slots = slots.withColumn("pass", F.expr("k div _blocks"))
     return slots.select("source", "shard", "k", "pass", permuted(F.col("k") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_no"), F.col("pass")).alias("block"))
 
@@ -133,12 +135,15 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS) -> tupl
     targets = written(source_targets(sized), "targets")
     pieces, slots = pack(sized, block_words), draw_slots(targets, seed, block_words)
     theirs = slots.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
-    mixed = pieces.join(theirs, pieces["source"].eqNullSafe(theirs["_source"]) & (pieces["block"] == theirs["_block"]))
+    mixed = pieces.join(theirs.hint("merge"), pieces["source"].eqNullSafe(theirs["_source"]) & (pieces["block"] == theirs["_block"]))
     return sized, targets, mixed.select("shard", "k", "pass", "source", "block", "doc_id", "from_word", "n_words")
 
 
 def taken(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken (words the mix takes, repeats counted)."""
+    """Per document: doc_id, size, source_size, target (of its source), taken (words the mix takes, repeats counted).
+
+    Rows that share a doc_id, null included, each show what is taken of them together.
+    """
     sized, targets, mixed = mix(docs, seed)
     sums = mixed.groupBy("doc_id").agg(F.sum("n_words").alias("taken")).withColumnRenamed("doc_id", "_doc_id")
     per_source = targets.select(F.col("source").alias("_source"), "source_size", "target")
