@@ -81,4 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_index,
     )
 }
-SQL: dict[str, str] = {}
+#: All pairs by their common shingles, then reachability.
+JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) when len(words) > 0 then [array_to_string(words, ' ')] else []::varchar[] end as grams from w),
+e as (select doc_id, unnest(grams) as gram from s), n as (select doc_id, len(grams) as n from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+linked as (select x, y from l union all select y, x from l),
+reached(doc_id, other) as (select doc_id, doc_id from n union select reached.doc_id, y from reached join linked on other = x)
+select n.doc_id, n.n as n_shingles, min(other) as component_id from n join reached on n.doc_id = reached.doc_id group by all"""
+SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL}
