@@ -11,12 +11,21 @@ Candidates are verified exactly: the text around each shared anchor (the windows
 all its LENGTH-byte windows are hashed, the smallest doc_id of each hash is found, and the windows that start in a smaller
 doc_id too are sent back to their documents, whose bytes they remove. Of equal whole texts only the first is verified: all
 windows of the others start in it.
+
+No task gets all holders of a frequent passage. An anchor that many documents of one pack hold is told to them at once,
+and one entry of it enters the index. Before stretches are dealt out, equal ones of a pack are left to the smallest
+doc_id. Stretches around common anchors, which can all differ where the passage ends, are not dealt out by anchor: their
+windows are judged within the pack, and each window's smallest doc_id of the pack is dealt out by the window's hash, so
+that a window comes once from each pack. Which anchors are common is kept in a bitmap; one that shares its bit is treated
+alike in all packs, so it only takes the other way to the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import PACKED, cut, runs
-from .shared import partitions, passing, written
+from .shared import FILTER_BITS, partitions, passing, written
 from .text_stats import mixed
 
 LENGTH, ANCHOR = 50, 24
 BATCHES = 2
+#: An anchor is common if more entries of a batch have it, or more than an eighth as many documents of one pack.
+COMMON = 1000
 MULTIPLIER = 0xD6E8FEB86659FD93
 ANCHORED = np.dtype([("low", "<u4"), ("high", "<u2"), ("of", "<u2")])
 #: A level's entry: 48 bits of an anchor hash and the place of its first document in the bucket's table.
@@ -82,8 +93,12 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return written(texts.join(first, "sha256", "left"), "texts")
 
 
-def sampled_suffixes(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of the documents (doc_id, text), packed by bucket: a table of doc_ids, then ANCHORED entries."""
+def sampled_suffixes(docs: DataFrame, buckets: int, common: int = COMMON) -> DataFrame:
+    """Anchors of the documents (doc_id, text), packed by bucket; rows: level, bucket, entries.
+
+    Level -1: a table of doc_ids, then ANCHORED entries. Anchors that more than common / 8 documents of a pack hold have
+    one entry there, of the smallest doc_id. Level -2: HELD of all documents that hold those. Level -3: those anchors.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, ids, size = [], [], 0
@@ -91,6 +106,16 @@ def sampled_suffixes(docs: DataFrame, buckets: int) -> DataFrame:
         def dealt() -> pa.RecordBatch:
             values, of = np.concatenate(waiting), np.repeat(np.arange(len(ids)), [len(w) for w in waiting])
             known = np.array(ids, "<i8")
+            order = np.lexsort((known[of], values))
+            starts, lengths = runs(values[order])
+            many = lengths > common // 8
+            told = order[np.repeat(many, lengths)]
+            held = np.zeros(len(told), HELD)
+            held["value"], held["doc"] = values[told] & LOW_48, known[of[told]]
+            frequent = np.unique(values[order[starts[many]]])
+            alone = np.repeat(~many, lengths)
+            alone[starts] = True
+            values, of = values[order[alone]], of[order[alone]]
             order, bounds, found = cut((values >> np.uint64(40)) % np.uint64(buckets))
             blobs = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -99,7 +124,11 @@ def sampled_suffixes(docs: DataFrame, buckets: int) -> DataFrame:
                 rows["low"], rows["high"], rows["of"] = v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
                 blobs.append(len(here).to_bytes(4, "little") + known[here].tobytes() + rows.tobytes())
             waiting.clear(), ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+            parts = [(-1, found.astype(np.int64).tolist(), blobs), (-2, *_by_document(held, buckets)[1:])]
+            order, bounds, found = cut((frequent >> np.uint64(40)) % np.uint64(buckets))
+            frequent = frequent[order] & LOW_48
+            parts.append((-3, found.astype(np.int64).tolist(), [frequent[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
+            return _kinds(parts, "level").to_batches()
 
         seen = set()  # of copies in one task, one enters: its first document is found later
         for batch in batches:
@@ -114,12 +143,12 @@ def sampled_suffixes(docs: DataFrame, buckets: int) -> DataFrame:
                 ids.append(doc)
                 size += len(waiting[-1])
                 if len(ids) >= 16_384 or size > 1_500_000:
-                    yield dealt()
+                    yield from dealt()
                     size = 0
         if ids:
-            yield dealt()
+            yield from dealt()
 
-    return docs.select("doc_id", "text").mapInArrow(sample, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(sample, f"level int, {PACKED}")
 
 
 def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +162,18 @@ def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(docs)
 
 
-def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bool) -> DataFrame:
+def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bool, common: int = COMMON) -> DataFrame:
     """Scan a batch's arrays against the levels; rows: kind, bucket, entries.
 
     Kind 0: (anchor, doc) of all anchors that two documents hold, packed by document. Kind 1 (if ``keep``): the batch's
-    sorted array as a new level, which has each anchor once, with its first document.
+    sorted array as a new level, which has each anchor once, with its first document. Kind 2: common anchors.
     """
 
     def scan(table: pa.Table) -> pa.Table:
         level = np.array(table.column("level"))
         blobs = table.column("entries").to_pylist()
         bucket = table.column("bucket")[0].as_py()
-        new = opened([b for b, x in zip(blobs, level, strict=True) if x < 0], ANCHORED)
+        new = opened([b for b, x in zip(blobs, level, strict=True) if x == -1], ANCHORED)
         old = opened([b for b, x in zip(blobs, level, strict=True) if x >= 0], PLACED)
         values, docs = np.concatenate([new[0], old[0]]), np.concatenate([new[1], old[1]])
         fresh = np.arange(len(values)) < len(new[0])
@@ -156,13 +185,16 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bo
         held = np.zeros(len(shared), HELD)
         held["value"], held["doc"] = values[shared], docs[shared]
         out = [_by_document(held, buckets)]
+        out += [(0 if x == -2 else 2, [bucket], [b]) for b, x in zip(blobs, level.tolist(), strict=True) if x < -1]
+        if (frequent := values[order[starts[lengths > common]]]).size:
+            out.append((2, [bucket], [frequent.tobytes()]))
         if keep:
             order = np.lexsort((new[1], new[0]))
             first = runs(new[0][order])[0]
             out.append((1, [bucket], [_level(new[0][order[first]], new[1][order[first]])]))
         return _kinds(out)
 
-    rows = batch.select(F.lit(-1).alias("level"), "bucket", "entries")
+    rows = batch
     for number, level in enumerate(levels):
         rows = rows.unionByName(level.select(F.lit(number).alias("level"), "bucket", "entries"))
     return rows.groupBy("bucket").applyInArrow(scan, "kind int, bucket long, entries binary")
@@ -194,33 +226,46 @@ def _by_document(held: np.ndarray, buckets: int) -> tuple[int, list[int], list[b
     return 0, found.astype(np.int64).tolist(), [held[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _kinds(parts: list[tuple[int, list[int], list[bytes]]]) -> pa.Table:
+def _kinds(parts: list[tuple[int, list[int], list[bytes]]], name: str = "kind") -> pa.Table:
     kinds = [k for k, found, _ in parts for _ in found]
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array([x for _, found, _ in parts for x in found], pa.int64()), "entries": pa.array([x for *_, blobs in parts for x in blobs], pa.binary())})
+    return pa.table({name: pa.array(kinds, pa.int32()), "bucket": pa.array([x for _, found, _ in parts for x in found], pa.int64()), "entries": pa.array([x for *_, blobs in parts for x in blobs], pa.binary())})
 
 
-def shared_anchors(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Take the documents into the index family batch by batch; (bucket, entries) of HELD: anchors with two documents."""
+def shared_anchors(docs: DataFrame, batches: int = BATCHES, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """Take the documents into the index family batch by batch; (bucket, entries) of HELD: anchors with two documents,
+    and (entries): common anchors."""
     buckets = 2 * partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     levels: dict[int, DataFrame] = {}
-    found = []
+    found, frequent = [], []
     for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         part = docs if low is None else docs.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
         last = i == len(bounds) - 2
-        scanned = written(merge_scan(sampled_suffixes(part, buckets), list(levels.values()), buckets, keep=not last), "scanned")
+        scanned = written(merge_scan(sampled_suffixes(part, buckets, common), list(levels.values()), buckets, not last, common), "scanned")
         found.append(scanned.where("kind = 0").select("bucket", "entries"))
+        frequent.append(scanned.where("kind = 2").select("entries"))
         size, level = 0, scanned.where("kind = 1").select("bucket", "entries")
         while not last and size in levels:  # equal levels merge into one of twice the size
             level = written(merge_levels(levels.pop(size), level), "level")
             size += 1
         levels[size] = level
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, frequent)
+
+
+def common_bits(frequent: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS over anchors, with the bits of the ``frequent`` ones set."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8") % np.uint64(FILTER_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["bit"])
+
+    words = frequent.mapInArrow(bits, "bit long").groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 32, "<u4")
+    bitmap[[r["word"] for r in words]] = [r["bits"] for r in words]
+    return bitmap
 
 
 def per_document(held: DataFrame, kind: np.dtype, columns: dict[str, str]) -> DataFrame:
@@ -240,20 +285,78 @@ def per_document(held: DataFrame, kind: np.dtype, columns: dict[str, str]) -> Da
     return held.groupBy("bucket").applyInArrow(gather, "doc long, " + ", ".join(f"{c} array<long>" for c in columns))
 
 
-def dealt_stretches(texts: DataFrame, buckets: int) -> DataFrame:
-    """From doc, text, anchors: the different stretches of a document around these anchors, packed by anchor."""
+def judged(heads: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(REMOVED: windows, and stretches all of whose windows, start in a smaller doc_id of ``heads`` too; HELD: each
+    window's hash with its smallest doc_id). ``text`` has the stretches of ``heads`` one after another."""
+    import xxhash
+
+    windows = heads["size"].astype(np.int64) - LENGTH + 1
+    begins = np.concatenate([[0], np.cumsum(heads["size"].astype(np.int64))[:-1]])
+    owner = np.repeat(np.arange(len(heads)), windows)
+    first = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    at = begins[owner] + np.arange(len(owner)) - first[owner]
+    hashes = byte_hashes(np.frombuffer(text, np.uint8), LENGTH)[at]
+    docs = heads["doc"][owner]
+    order = np.lexsort((docs, hashes))
+    starts, lengths = runs(hashes[order])
+    flagged = np.zeros(len(order), bool)
+    flagged[order] = docs[order] > np.repeat(docs[order][starts], lengths)
+    whole = np.add.reduceat(flagged, first) == windows
+    some = np.flatnonzero(flagged & ~whole[owner])
+    rows = np.zeros(len(some), REMOVED)
+    rows["doc"], rows["hash"] = docs[some], hashes[some]
+    all_of = np.flatnonzero(whole)
+    more = np.zeros(len(all_of), REMOVED)
+    more["doc"], more["whole"] = heads["doc"][all_of], 1
+    more["hash"] = [xxhash.xxh3_64_intdigest(text[b : b + n]) for b, n in zip(begins[all_of].tolist(), heads["size"][all_of].tolist(), strict=True)]
+    least = np.zeros(len(starts), HELD)
+    least["doc"], least["value"] = docs[order][starts], hashes[order][starts]
+    return np.concatenate([rows, more]), least
+
+
+def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
+    """From doc, text, anchors: the different stretches of a pack of documents around these anchors; a row per bucket of
+    the pack. ``common``: the bitmap of common anchors.
+
+    stretches: packed by anchor. least: HELD of windows around common anchors, packed by window hash. removed: REMOVED,
+    as far as the pack tells.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, values, parts, size = [], [], [], 0
+        import xxhash
+
+        bits = sent.value
+        docs, values, parts, place, gone, size = [], [], [], {}, [], 0
 
         def dealt() -> pa.RecordBatch:
-            sizes = np.array([len(p) for p in parts])
-            order, bounds, found = cut(mixed(np.array(values, np.uint64)) % np.uint64(buckets))
-            heads = np.zeros(len(parts), STRETCH)
-            heads["doc"], heads["size"] = docs, sizes
+            heads, anchors = np.zeros(len(parts), STRETCH), np.array(values, np.uint64)
+            heads["doc"], heads["size"] = docs, [len(p) for p in parts]
+            at = (anchors % np.uint64(FILTER_BITS)).astype(np.int64)
+            often = ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+            removed = np.zeros(len(gone), REMOVED)
+            if gone:
+                removed["doc"], removed["hash"], removed["whole"] = [d for d, _ in gone], [h for _, h in gone], 1
+            out, rare = defaultdict(lambda: [None] * 3), np.flatnonzero(~often)
+
+            def put(k: int, found: list[int], blobs: list[bytes]) -> None:
+                for bucket, blob in zip(found, blobs, strict=True):
+                    out[bucket][k] = blob
+
+            order, bounds, found = cut(mixed(anchors[rare]) % np.uint64(buckets))
+            order = rare[order]
             blobs = [(int(b - a)).to_bytes(4, "little") + heads[order[a:b]].tobytes() + b"".join([parts[i] for i in order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            docs.clear(), values.clear(), parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+            put(0, found.tolist(), blobs)
+            if often.any():
+                rows, least = judged(heads[often], b"".join([parts[i] for i in np.flatnonzero(often)]))
+                removed = np.concatenate([removed, rows])
+                order, bounds, found = cut(mixed(least["value"]) % np.uint64(buckets))
+                least = least[order]
+                put(1, found.tolist(), [least[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            put(2, *_removed(removed, buckets))
+            docs.clear(), values.clear(), parts.clear(), place.clear(), gone.clear()
+            columns = zip(*out.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "stretches", "least", "removed"])
 
         for batch in batches:
             for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -264,61 +367,69 @@ def dealt_stretches(texts: DataFrame, buckets: int) -> DataFrame:
                 starts, lengths = runs(anchors)
                 of = anchors[starts]
                 chosen = np.isin(of, np.array(batch.column(2)[i].values).view(np.uint64))
-                seen = set()
                 for start, n, value in zip(starts[chosen].tolist(), lengths[chosen].tolist(), of[chosen].tolist(), strict=True):
                     part = data[start : start + n + LENGTH - 1]
-                    if part not in seen:
-                        seen.add(part)
+                    at = place.setdefault(part, len(parts))
+                    if at == len(parts):
                         docs.append(doc), values.append(value), parts.append(part)
                         size += len(part)
+                    elif doc != docs[at]:  # all its windows start in the smaller doc_id too
+                        gone.append((max(doc, docs[at]), xxhash.xxh3_64_intdigest(part)))
+                        docs[at] = min(doc, docs[at])
+                        size += REMOVED.itemsize
                 if size > 16_000_000:
                     yield dealt()
                     size = 0
         if parts:
             yield dealt()
 
-    return texts.mapInArrow(deal, PACKED)
+    return texts.mapInArrow(deal, "bucket long, stretches binary, least binary, removed binary")
+
+
+def _removed(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    rows = np.unique(rows)
+    order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(buckets))
+    rows = rows[order]
+    return found.astype(np.int64).tolist(), [rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def verified(dealt: DataFrame, buckets: int) -> DataFrame:
     """Windows, and stretches all of whose windows, start in a smaller doc_id too; packed by document as REMOVED."""
 
     def verify(table: pa.Table) -> pa.Table:
-        import xxhash
-
         heads, texts = [], []
-        for blob in table.column("entries").to_pylist():
+        for blob in table.column("stretches").drop_null().to_pylist():
             n = int.from_bytes(blob[:4], "little")
             heads.append(np.frombuffer(blob, STRETCH, n, 4))
             texts.append(blob[4 + n * STRETCH.itemsize :])
-        heads, text = np.concatenate(heads), b"".join(texts)
-        windows = heads["size"].astype(np.int64) - LENGTH + 1
-        begins = np.concatenate([[0], np.cumsum(heads["size"].astype(np.int64))[:-1]])
-        owner = np.repeat(np.arange(len(heads)), windows)
-        first = np.concatenate([[0], np.cumsum(windows)[:-1]])
-        at = begins[owner] + np.arange(len(owner)) - first[owner]
-        hashes = byte_hashes(np.frombuffer(text, np.uint8), LENGTH)[at]
-        docs = heads["doc"][owner]
-        order = np.lexsort((docs, hashes))
-        starts, lengths = runs(hashes[order])
-        flagged = np.zeros(len(order), bool)
-        flagged[order] = docs[order] > np.repeat(docs[order][starts], lengths)
-        whole = np.add.reduceat(flagged, first) == windows
-        some = np.flatnonzero(flagged & ~whole[owner])
-        rows = np.zeros(len(some), REMOVED)
-        rows["doc"], rows["hash"] = docs[some], hashes[some]
-        all_of = np.flatnonzero(whole)
-        more = np.zeros(len(all_of), REMOVED)
-        more["doc"], more["whole"] = heads["doc"][all_of], 1
-        more["hash"] = [xxhash.xxh3_64_intdigest(text[b : b + n]) for b, n in zip(begins[all_of].tolist(), heads["size"][all_of].tolist(), strict=True)]
-        rows = np.unique(np.concatenate([rows, more]))
-        order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(buckets))
-        rows = rows[order]
-        return pa.table({"bucket": pa.array(found.astype(np.int64)), "entries": pa.array([rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+        least = [np.frombuffer(b, HELD) for b in table.column("least").drop_null().to_pylist()]
+        removed = [np.frombuffer(b, REMOVED) for b in table.column("removed").drop_null().to_pylist()]
+        if heads:
+            removed.append(judged(np.concatenate(heads), b"".join(texts))[0])
+        if least:
+            held = np.concatenate(least)
+            held = held[np.lexsort((held["doc"], held["value"]))]
+            starts, lengths = runs(held["value"])
+            held = held[held["doc"] > np.repeat(held["doc"][starts], lengths)]
+            rows = np.zeros(len(held), REMOVED)
+            rows["doc"], rows["hash"] = held["doc"], held["value"]
+            removed.append(rows)
+        found, blobs = _removed(np.concatenate(removed), buckets)
+        return pa.table({"bucket": pa.array(found, pa.int64()), "entries": pa.array(blobs, pa.binary())})
 
     return dealt.groupBy("bucket").applyInArrow(verify, PACKED)
 
 
+def dealt_candidates(docs: DataFrame, texts: DataFrame, buckets: int, batches: int = BATCHES, common: int = COMMON) -> DataFrame:
+    """What is to be verified, dealt out: dealt_stretches of the documents that hold shared anchors. ``texts``: whole_texts."""
+    shared, frequent = shared_anchors(docs, batches, common)
+    held = per_document(shared, HELD, {"anchors": ""})
+    firsts = texts.where("first is not null").select(F.col("doc_id").alias("at"), "first").distinct()
+    held = held.join(firsts, F.col("doc") == F.col("at")).groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
+    chosen = written(held, "held").join(docs.select("doc_id", "text"), F.col("first") == F.col("doc_id")).select(F.col("first").alias("doc"), "text", "anchors")
+    return dealt_stretches(chosen, buckets, common_bits(frequent))
+
+
 def kept_bytes(data: bytes, windows: np.ndarray, wholes: set[int]) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, bytes kept) of a text without the windows and stretches that have these hashes."""
     import xxhash
@@ -336,7 +447,7 @@ def kept_bytes(data: bytes, windows: np.ndarray, wholes: set[int]) -> tuple[int,
     return int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), array[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, common: int = COMMON) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (its bytes; null where
     nothing or all is removed).
 
@@ -344,14 +455,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     on the input. Null texts count as empty; texts under LENGTH bytes and null doc_ids keep all; rows that repeat a
     doc_id are judged against smaller doc_ids only; an empty table gives no rows; other columns are ignored.
     """
-    buckets = 8 * partitions(docs.sparkSession)  # a bucket's windows are hashed at once
+    buckets = partitions(docs.sparkSession)
     texts = whole_texts(docs)
-    held = per_document(shared_anchors(docs, batches), HELD, {"anchors": ""})
-    firsts = texts.where("first is not null").select(F.col("doc_id").alias("at"), "first").distinct()
-    held = held.join(firsts, F.col("doc") == F.col("at")).groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     plain = docs.select("doc_id", "text")
-    chosen = written(held, "held").join(plain, F.col("first") == F.col("doc_id")).select(F.col("first").alias("doc"), "text", "anchors")
-    removed = written(per_document(verified(dealt_stretches(chosen, buckets), buckets), REMOVED, {"windows": "0", "wholes": "1"}), "removed")
+    dealt = dealt_candidates(docs, texts, 4 * buckets, batches, common)  # a bucket's windows are hashed at once
+    removed = written(per_document(verified(dealt, buckets), REMOVED, {"windows": "0", "wholes": "1"}), "removed")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -131,6 +131,32 @@ def test_repeats_of_odd_rows(odd):
     assert got[(0, 0)] == got[(1, 0)] == got[(4, 0)] == 1 and got[(5, 0)] == 2 and sum(got.values()) == odd.count()
 
 
+def hot_passage(n=400):
+    """A passage of 50 bytes in every document, each time between other letters."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choices(letters, k=50))
+    return ["".join(rng.choices(letters, k=30)) + passage + "".join(rng.choices(letters, k=30)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_repeats_of_a_hot_passage_equal_brute_force(make, batches):
+    texts = hot_passage(200)
+    texts += [texts[3], texts[4][:70] + "z" + texts[4], texts[5][10:], texts[6] + texts[7]]
+    docs = make(texts).repartition(3)
+    got = suffix_index.remove_repeats(docs, batches, common=8).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == slow_repeats(list(enumerate(texts)))
+
+
+def test_repeats_of_a_hot_passage_are_dealt_over_tasks(make):
+    docs = make(hot_passage()).repartition(3)
+    dealt = suffix_index.dealt_candidates(docs, suffix_index.whole_texts(docs), 16, common=40)
+    sizes = Counter()
+    for r in dealt.collect():
+        sizes[r["bucket"]] += sum(len(r[c] or b"") for c in ("stretches", "least", "removed"))
+    assert len(sizes) == 16 and max(sizes.values()) < 3 * sum(sizes.values()) / 16
+
+
 def slow_similar(text, item):
     """Greatest similarity of an item-sized window and the item: sum of minima / sum of maxima of shingle counts."""
     words, wanted = WORD.findall(lowered(text)), WORD.findall(lowered(item))
