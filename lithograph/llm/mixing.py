@@ -156,10 +156,16 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``docs`` in the proportions of the mix, with all their columns: each row as often as the mix takes its words.
 
     A document of which the mix takes a fraction of its words stays, beyond its whole copies, with that fraction as
-    probability (by a hash of its doc_id). Documents without words are never taken.
+    probability (by a hash of its doc_id, source and text). Rows that share a doc_id (null included) and a source share
+    what is taken of them in proportion to their words. Documents without words are never taken.
     """
-    share = taken(docs, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_doc_id")).agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    unit = F.pmod(F.xxhash64("_doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = written(share.select("_doc_id", (F.floor("_share") + (unit < F.col("_share") - F.floor("_share")).cast("long")).alias("_copies")).where("_copies > 0"), "copies")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc_id"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    sized, _, mixed = mix(docs, seed)
+    sums = mixed.groupBy("doc_id", "source").agg(F.sum("n_words").alias("_taken"))
+    words = sized.where("size > 0").groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source")).agg(F.sum("size").alias("_size"))
+    share = words.join(sums, words["_doc_id"].eqNullSafe(sums["doc_id"]) & words["_source"].eqNullSafe(sums["source"]))
+    share = written(share.select("_doc_id", "_source", (F.col("_taken") / F.col("_size")).alias("_share")), "shares")
+    met = docs.join(share, docs["doc_id"].eqNullSafe(share["_doc_id"]) & docs["source"].eqNullSafe(share["_source"])).where(word_count(docs["text"]) > 0)
+    unit = F.pmod(F.xxhash64(docs["doc_id"], docs["source"], docs["text"], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("_share") + (unit < F.col("_share") - F.floor("_share")).cast("long")
+    met = met.select(*[docs[c] for c in docs.columns], copies.alias("_copies")).where("_copies > 0")
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -264,6 +264,23 @@ def test_mix_of_odd_rows(odd):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mix_copies_of_repeated_and_null_ids(spark, make):
+    """Rows that share a doc_id, of one source or two, are no more than 3 copies each, and the words meet the targets."""
+    rows = [(None if i < 40 else i // 4, f"{i} " + "w " * 299, "en", "ab"[i % 2] if i < 80 else "abbbbb"[i % 6], None) for i in range(1200)]
+    rows += [(None, " ", "en", "a", None), (10, "", "en", "b", None)]
+    docs = spark.createDataFrame(rows, make([]).schema)
+    copies = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mixed_documents(docs).collect())
+    assert max(copies.values()) <= 3 and all(t.strip() for _, _, t in copies)
+    words = Counter()
+    for (_, source, _), n in copies.items():
+        words[source] += 300 * n
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    for source, target in slow_targets(sizes).items():
+        assert abs(words[source] - target) <= 0.1 * target
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
