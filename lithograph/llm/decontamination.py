@@ -38,6 +38,11 @@ def shingles(words: str, k: int) -> Column:
     return F.expr(f"case when size({words}) >= {k} then transform(sequence(0, size({words}) - {k}), i -> xxhash64({gram})) else cast(array() as array<bigint>) end")
 
 
+def row_of(docs: DataFrame) -> Column:
+    """A row's identity, never null: doc_id, null included, and a hash of its text. Joins take nulls within it as equal."""
+    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"))
+
+
 def hashed_words(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.transform(word_array(lowered(F.col("text"))), lambda w: F.xxhash64(w)).alias("words"))
 
@@ -52,7 +57,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def shared_shingles(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words, n_grams, length (of the document), places: ascending places of the item's shingles."""
+    """From row, text: row, item_id, n_words, n_grams, length (of the document), places: ascending places of the item's shingles."""
     entries = written(items.select("item_id", "n_words", "n_grams", "k", F.explode(F.array_distinct("grams")).alias("gram")), "entries")
     grams = entries.select("k", "gram").distinct()
     few = grams.count() <= BROADCAST_SHINGLES
@@ -60,21 +65,21 @@ def shared_shingles(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for k in sorted(sizes):
         mine = grams.where(F.col("k") == k).select(F.col("gram").alias("mine"))
-        placed = hashed_words(docs, "doc_id").select("doc_id", F.size("words").alias("length"), F.posexplode(shingles("words", k)).alias("place", "gram"))
+        placed = hashed_words(docs, "row").select("row", F.size("words").alias("length"), F.posexplode(shingles("words", k)).alias("place", "gram"))
         hits = placed.join(F.broadcast(mine) if few else mine, F.col("gram") == F.col("mine"), "left_semi").withColumn("of_k", F.lit(k))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.select("doc_id", F.lit(0).alias("length"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("of_k")).limit(0)
+        found = docs.select("row", F.lit(0).alias("length"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("of_k")).limit(0)
     met = written(found, "hits").join(entries.withColumnRenamed("gram", "entry"), (F.col("gram") == F.col("entry")) & (F.col("of_k") == F.col("k")))
-    return met.groupBy("doc_id", "length", "item_id", "n_words", "n_grams").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return met.groupBy("row", "length", "item_id", "n_words", "n_grams").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def window_starts(met: DataFrame) -> DataFrame:
-    """doc_id, n_words, start: the windows that can be similar to an item of n_words words."""
+    """row, n_words, start: the windows that can be similar to an item of n_words words."""
     met = met.withColumn("need", F.expr(f"(n_grams * {NUM} + {DEN - 1}) div {DEN}")).where("size(places) >= need")
     starts = F.expr("filter(sequence(0, size(places) - cast(need as int)), i -> places[cast(i + need - 1 as int)] - places[i] < n_grams)")
-    met = met.select("doc_id", "n_words", "length", "places", F.explode(starts).alias("i"))
-    return met.select("doc_id", "n_words", F.expr("greatest(0, least(places[i], length - n_words))").alias("start")).distinct()
+    met = met.select("row", "n_words", "length", "places", F.explode(starts).alias("i"))
+    return met.select("row", "n_words", F.expr("greatest(0, least(places[i], length - n_words))").alias("start")).distinct()
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,40 +109,47 @@ def numbered(grams: str) -> Column:
     return F.expr(f"case when size(array_distinct({grams})) = size({grams}) then transform({grams}, x -> xxhash64(x, 0)) else transform({grams}, (x, i) -> xxhash64(x, size(filter(slice({grams}, 1, i), y -> y = x)))) end")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, distance for each document and item that are similar in some window.
-
-    The window of highest similarity is told (the first of these). Words are lower-cased (A-Z); K-word shingles; items of
-    fewer words are one shingle. A document shorter than an item is one window. Null and blank texts match nothing;
-    repeated rows are alike; other columns are ignored; an empty table gives no rows.
-    """
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What ``contaminated`` tells, by row (``row_of``)."""
+    docs = docs.select(row_of(docs).alias("row"), "text")
     items = written(items_of(benchmark), "items")
     windows = written(window_starts(shared_shingles(docs, items)), "windows")
-    wanted = windows.withColumn("k", F.least(F.lit(K), F.col("n_words"))).groupBy(F.col("doc_id").alias("at")).agg(F.collect_set(F.struct("n_words", "start", "k")).alias("windows"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("at"))
-    worded = texts.select("doc_id", "windows", F.transform(word_array(lowered(F.col("text"))), lambda w: F.xxhash64(w)).alias("all"))
-    cut = worded.select("doc_id", "all", F.explode("windows").alias("w")).select("doc_id", "w.*", F.expr("slice(all, w.start + 1, w.n_words)").alias("words"))
+    wanted = windows.withColumn("k", F.least(F.lit(K), F.col("n_words"))).groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("n_words", "start", "k")).alias("windows"))
+    texts = docs.select("row", "text").join(wanted, F.col("row") == F.col("at")).dropDuplicates(["row"])  # repeats would overflow the counters of a fingerprint
+    worded = texts.select("row", "windows", F.transform(word_array(lowered(F.col("text"))), lambda w: F.xxhash64(w)).alias("all"))
+    cut = worded.select("row", "all", F.explode("windows").alias("w")).select("row", "w.*", F.expr("slice(all, w.start + 1, w.n_words)").alias("words"))
     grams = F.when(F.col("k") == K, shingles("words", K))
     for k in range(1, K):
         grams = grams.when(F.col("k") == k, shingles("words", k))
-    cut = written(cut.select("doc_id", "n_words", "start", grams.alias("grams")).where("size(grams) > 0"), "cut")
-    prints = simhash(cut, ["doc_id", "n_words", "start"])
+    cut = written(cut.select("row", "n_words", "start", grams.alias("grams")).where("size(grams) > 0"), "cut")
+    prints = simhash(cut, ["row", "n_words", "start"])
     marks = simhash(items, ["item_id", "n_words"])
     probes = prints.select("*", F.posexplode(blocks("fingerprint")).alias("block", "value"))
     index = marks.withColumnsRenamed({"fingerprint": "mark", "n_words": "item_words"}).select("*", F.posexplode(blocks("mark")).alias("item_block", "near_to"))
     index = index.select("item_id", "item_words", "mark", "item_block", F.explode(near_values(F.col("near_to"))).alias("near"))
     pairs = probes.join(index, (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("near")))
-    pairs = pairs.select("doc_id", "start", "n_words", "item_id", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))).alias("distance")).where(F.col("distance") <= RADIUS).distinct()
-    keyed = pairs.join(cut, ["doc_id", "n_words", "start"]).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
+    pairs = pairs.select("row", "start", "n_words", "item_id", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))).alias("distance")).where(F.col("distance") <= RADIUS).distinct()
+    keyed = pairs.join(cut, ["row", "n_words", "start"]).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
     common = F.size(F.array_intersect(numbered("grams"), numbered("item_grams"))).alias("common")
-    sized = keyed.select("doc_id", "item_id", "start", "distance", common, (F.size("grams") + F.size("item_grams")).alias("total"))
+    sized = keyed.select("row", "item_id", "start", "distance", common, (F.size("grams") + F.size("item_grams")).alias("total"))
     alike = sized.where(DEN * F.col("common") >= NUM * (F.col("total") - F.col("common")))
     similarity = F.col("common") / (F.col("total") - F.col("common"))
-    best = alike.groupBy("doc_id", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("start")).alias("before"), F.col("distance"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.before")).alias("start_word"), "b.distance")
+    best = alike.groupBy("row", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("start")).alias("before"), F.col("distance"))).alias("b"))
+    return best.select("row", "item_id", "b.similarity", (-F.col("b.before")).alias("start_word"), "b.distance")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, distance for each document and item that are similar in some window.
+
+    The window of highest similarity is told (the first of these). Words are lower-cased (A-Z); K-word shingles; items of
+    fewer words are one shingle. A document shorter than an item is one window. Null and blank texts match nothing; rows
+    that repeat a doc_id and its text count once; rows with a null doc_id, or one doc_id and different texts, are
+    documents of their own; other columns are ignored; an empty table gives no rows.
+    """
+    return contaminated_rows(docs, benchmark).select("row.doc_id", "item_id", "similarity", "start_word", "distance")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are similar to no benchmark item in any window, with all their columns."""
-    leaks = written(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = written(contaminated_rows(docs, benchmark).select(F.col("row").alias("_row")).distinct(), "leaks")
+    return docs.join(leaks, row_of(docs) == leaks["_row"], "left_anti").select(docs.columns)

@@ -200,6 +200,20 @@ def test_contaminated_of_odd_rows(spark, odd):
     assert decontamination.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def test_contaminated_rows_with_null_and_shared_ids(spark, make):
+    item = " ".join(f"i{i}" for i in range(20))
+    halves = item.split()[:10], item.split()[10:]
+    filler = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    texts = [(None, f"a {item} b"), (None, filler("n", 22)), (1, f"c {item} d"), (1, filler("o", 22)), (2, " ".join([*halves[0], filler("p", 10)])), (2, " ".join([filler("q", 10), *halves[1]])), (3, filler("r", 22)), (None, None)]
+    texts += [texts[0]] * 4200  # with 16 shingles a window, more than 65,535 in all
+    docs = spark.createDataFrame([(d, t, "en", "a", None) for d, t in texts], make([]).schema)
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((tuple(r) for r in decontamination.contaminated(docs, benchmark).select("doc_id", "item_id", "similarity", "start_word").collect()), key=str)
+    assert got == [(1, 7, 1.0, 1), (None, 7, 1.0, 1)]
+    kept = decontamination.without_contaminated(docs, benchmark)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(texts[i] for i in (1, 3, 4, 5, 6, 7))
+
+
 def test_shards_are_contiguous_and_balanced(spark, sf):
     docs = queries.documents(spark, sf)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
