@@ -185,7 +185,9 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bo
         held = np.zeros(len(shared), HELD)
         held["value"], held["doc"] = values[shared], docs[shared]
         out = [_by_document(held, buckets)]
-        out += [(0 if x == -2 else 2, [bucket], [b]) for b, x in zip(blobs, level.tolist(), strict=True) if x < -1]
+        for number, kind in ((-2, 0), (-3, 2)):
+            if passed := b"".join([b for b, x in zip(blobs, level.tolist(), strict=True) if x == number]):
+                out.append((kind, [bucket], [passed]))
         if (frequent := values[order[starts[lengths > common]]]).size:
             out.append((2, [bucket], [frequent.tobytes()]))
         if keep:
