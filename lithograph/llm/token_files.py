@@ -42,10 +42,16 @@ class WordMemo(dict):
     of its words one after another, and a word's ids are those of its core and of the marks after it. The library
     encodes each new core once: many in one call, parted by a mark that is a token of its own. Words that hold that
     mark or may hold special tokens are encoded alone. The memo is emptied when it is full.
+
+    Whether a tokenizer is of that kind is tried out on PROBES and on the first texts of each task; where it isn't, the
+    library encodes whole texts.
     """
 
     PARTING, AT_ONCE = "~", 2000
     MARKS = b".,!?#*$%&|;:"
+    #: Words, marks, digits, accents and white space next to each other; the texts of a task tried out besides, and their length.
+    PROBES = ("a b", " a  b\n\tc ", "don't stop. (No, 3.14!) 12 345", "\u00e9t\u00e9 caf\u00e9s \u4e2d\u6587 x\u00a0y", "A-b_c/d 'quoted' \"x\" e@f.gh ~ #1 100%", "a\r\nb", "1 2 3")
+    TRIED, TRIED_CHARACTERS = 8, 4000
 
     def __init__(self, tokenizer_path: str, id_type: str):
         from tokenizers import Tokenizer
@@ -56,12 +62,14 @@ class WordMemo(dict):
         self.parting = parting[0] if len(parting) == 1 else None
         self.parts = self.ids(["Ab.", "ab", "."])
         self.parts = self.parts[0] == self.parts[1] + self.parts[2]
+        self.by_words = True
+        self.try_out(list(self.PROBES))
 
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = words - self.keys()
+        new = words.difference(self)  # a dict's keys() would be gone through whole
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
             self.cores.clear()
@@ -78,7 +86,7 @@ class WordMemo(dict):
                 parted.append((word, core, tail))
                 wanted.add(core)
                 wanted.add(tail)
-        wanted -= known.keys()
+        wanted = wanted.difference(known)
         mark, width = self.PARTING.encode(), np.dtype(self.id_type).itemsize
         plain = [c for c in wanted if mark not in c and b"<|" not in c] if self.parting is not None else []
         parting = f" {self.PARTING} "
@@ -88,12 +96,20 @@ class WordMemo(dict):
             ends, data = (np.append(np.flatnonzero(ids == self.parting), len(ids)) * width).tolist(), ids.tobytes()
             if len(ends) == len(some):
                 known.update(zip(some, [data[x:y] for x, y in zip([0, *(e + width for e in ends)], ends, strict=False)], strict=True))
-        alone = list(wanted - known.keys())
+        alone = list(wanted.difference(known))
         for core, ids in zip(alone, self.ids([c.decode() for c in alone]), strict=True):
             known[core] = np.array(ids, self.id_type).tobytes()
         self.update([(word, known[core] + known[tail] if tail else known[core]) for word, core, tail in parted])
 
+    def try_out(self, texts: list[str]) -> None:
+        self.by_words = self.by_words and self.encode(texts) == self.whole(texts)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.id_type).tobytes() for ids in self.ids(texts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.whole(texts)
         # bytes: lower() and split() touch ASCII alone; special tokens are looked for before the library lower-cases
         data = [text.encode() for text in texts]
         split = [(d.lower() if self.parts and b"<|" not in d else d).split() for d in data]
@@ -236,7 +252,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                for doc, ids in zip(rows.column(0).to_pylist(), memo.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                if out is None:
+                    memo.try_out([t for t in texts[: memo.TRIED] if len(t) <= memo.TRIED_CHARACTERS])
+                for doc, ids in zip(rows.column(0).to_pylist(), memo.encode(texts), strict=True):
                     if out is None:
                         store.create_dir(root, recursive=True)
                         stream = store.open_output_stream(part)
