@@ -3,13 +3,17 @@
 Documents are compared with benchmark items in windows of the item's size in words. A window and an item are multisets
 of K-word shingles, and similar if sum of minima / sum of maxima of the multiplicities reaches a threshold.
 
-1. Windows: a similar window holds at least threshold * (item's shingles) of the item's shingles. Moving a window right
-   past a shingle that the item lacks never lowers the similarity, so windows that begin at a shared shingle (or end
-   with the document) suffice; those with too few shared shingles behind their beginning are left out.
-2. Fingerprints: 64-bit SimHash of the multisets. Windows and items of one size meet by multi-index Hamming blocks: of 8
-   blocks of 8 bits, fingerprints within RADIUS = 23 differ in at most 2 bits in one, and each item is entered under all
-   37 values that near, in every block.
+1. Windows: only shingles that some item of the window's size has can make it similar to such an item, and moving a
+   window right past another shingle never lowers a similarity. So windows begin at such a shingle (or end with the
+   document) and hold as many of them as the threshold asks. Which item of that size it may be is left to the fingerprints.
+2. Fingerprints: 64-bit SimHash of the multisets. Windows meet items of their size by multi-index Hamming blocks: of 4
+   blocks of 16 bits, fingerprints within RADIUS = 19 differ in at most 4 bits in one, and each item is entered under all
+   2,517 values that near, in every block. A chance pair agrees in a block once in seven times and lies within the radius
+   once in a thousand; a pair just at the threshold differs in 11 bits on average (3 standard deviation).
 3. Verification: the exact similarity of the multisets.
+
+Texts are read twice: once hashed to shingles that stay if an item has them, once joined to the few rows that have
+windows. That join and the filtering one always shuffle, whatever the size, so each costs one shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from .shared import word_array, written
 
 K = 5
 NUM, DEN = 75, 100
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Up to so many different benchmark shingles (16 bytes each) are broadcast; beyond, the join is left to Spark.
 BROADCAST_SHINGLES = 1_000_000
@@ -50,32 +54,31 @@ def hashed_words(rows: DataFrame, key: str) -> DataFrame:
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n_words, k (shingle length: K, or all words of shorter items), grams; items without words are left out."""
     worded = hashed_words(benchmark, "item_id").where("size(words) > 0").withColumn("n_words", F.size("words")).withColumn("k", F.least(F.lit(K), F.col("n_words")))
-    grams = F.when(F.col("k") == K, shingles("words", K))
+    return worded.select("item_id", "n_words", "k", grams_of_size("words").alias("grams")).withColumn("n_grams", F.size("grams"))
+
+
+def grams_of_size(words: str) -> Column:
+    """Shingles of the length ``k`` (a column) of an array of word hashes."""
+    grams = F.when(F.col("k") == K, shingles(words, K))
     for k in range(1, K):
-        grams = grams.when(F.col("k") == k, shingles("words", k))
-    return worded.select("item_id", "n_words", "k", grams.alias("grams")).withColumn("n_grams", F.size("grams"))
+        grams = grams.when(F.col("k") == k, shingles(words, k))
+    return grams
 
 
 def shared_shingles(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """From row, text: row, item_id, n_words, n_grams, length (of the document), places: ascending places of the item's shingles."""
-    entries = written(items.select("item_id", "n_words", "n_grams", "k", F.explode(F.array_distinct("grams")).alias("gram")), "entries")
-    grams = entries.select("k", "gram").distinct()
-    few = grams.count() <= BROADCAST_SHINGLES
-    sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most K values
-    found = None
-    for k in sorted(sizes):
-        mine = grams.where(F.col("k") == k).select(F.col("gram").alias("mine"))
-        placed = hashed_words(docs, "row").select("row", F.size("words").alias("length"), F.posexplode(shingles("words", k)).alias("place", "gram"))
-        hits = placed.join(F.broadcast(mine) if few else mine, F.col("gram") == F.col("mine"), "left_semi").withColumn("of_k", F.lit(k))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.select("row", F.lit(0).alias("length"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("of_k")).limit(0)
-    met = written(found, "hits").join(entries.withColumnRenamed("gram", "entry"), (F.col("gram") == F.col("entry")) & (F.col("of_k") == F.col("k")))
-    return met.groupBy("row", "length", "item_id", "n_words", "n_grams").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    """From row, text: row, n_words, n_grams, length (of the document), places: ascending places of the shingles that items of n_words words have."""
+    entries = written(items.select("n_words", "n_grams", F.col("k").alias("of_k"), F.explode("grams").alias("entry")).distinct(), "entries")
+    few = entries.count() <= BROADCAST_SHINGLES
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect()) or [K]  # at most K values
+    by_k = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shingles("words", k).alias("grams")) for k in sizes])).alias("s")
+    worded = hashed_words(docs, "row").select("row", F.size("words").alias("length"), by_k)
+    placed = worded.select("row", "length", "s.k", F.posexplode("s.grams").alias("place", "gram"))
+    met = placed.join(F.broadcast(entries) if few else entries.hint("merge"), (F.col("gram") == F.col("entry")) & (F.col("of_k") == F.col("k")))
+    return met.groupBy("row", "length", "n_words", "n_grams").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def window_starts(met: DataFrame) -> DataFrame:
-    """row, n_words, start: the windows that can be similar to an item of n_words words."""
+    """row, n_words, start: the windows that can be similar to an item of n_words words, which has n_grams shingles."""
     met = met.withColumn("need", F.expr(f"(n_grams * {NUM} + {DEN - 1}) div {DEN}")).where("size(places) >= need")
     starts = F.expr("filter(sequence(0, size(places) - cast(need as int)), i -> places[cast(i + need - 1 as int)] - places[i] < n_grams)")
     met = met.select("row", "n_words", "length", "places", F.explode(starts).alias("i"))
@@ -85,19 +88,19 @@ def window_starts(met: DataFrame) -> DataFrame:
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, fingerprint: bit b is set if it is in more than half of the shingles ``grams``, repeats counted.
 
-    Four counters of 16 bits are summed in each long, so a window may have up to 65,535 shingles.
+    Two counters of 32 bits are summed in each long, which the words of one text can't overflow.
     """
     exploded = rows.select(*keys, F.explode("grams").alias("gram"))
-    spread = lambda g: " + ".join(f"shiftleft(shiftrightunsigned(gram, {4 * g + j}) & 1L, {16 * j})" for j in range(4))
-    sums = exploded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(spread(g))).alias(f"c{g}") for g in range(16)])
-    bits = " | ".join(f"shiftleft(cast(2 * (shiftrightunsigned(c{b // 4}, {16 * (b % 4)}) & 65535L) > n as bigint), {b})" for b in range(64))
+    both = lambda g: f"(shiftrightunsigned(gram, {2 * g}) & 1L) + shiftleft(shiftrightunsigned(gram, {2 * g + 1}) & 1L, 32)"
+    sums = exploded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(both(g))).alias(f"c{g}") for g in range(32)])
+    bits = " | ".join(f"shiftleft(cast(2 * (shiftrightunsigned(c{b // 2}, {32 * (b % 2)}) & {(1 << 32) - 1}L) > n as bigint), {b})" for b in range(64))
     return sums.select(*keys, F.expr(bits).alias("fingerprint"))
 
 
-def near_values(value: Column) -> Column:
+def near_values(value: str) -> Column:
     """All block values within BLOCK_RADIUS bits of ``value``."""
     near = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
-    return F.transform(F.array(*map(F.lit, near)), lambda m: value.bitwiseXOR(m))
+    return F.expr(f"transform(array({', '.join(map(str, near))}), m -> {value} ^ m)")
 
 
 def blocks(fingerprint: str) -> Column:
@@ -114,22 +117,20 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(row_of(docs).alias("row"), "text")
     items = written(items_of(benchmark), "items")
     windows = written(window_starts(shared_shingles(docs, items)), "windows")
-    wanted = windows.withColumn("k", F.least(F.lit(K), F.col("n_words"))).groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("n_words", "start", "k")).alias("windows"))
-    texts = docs.select("row", "text").join(wanted, F.col("row") == F.col("at")).dropDuplicates(["row"])  # repeats would overflow the counters of a fingerprint
+    wanted = windows.groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("n_words", "start")).alias("windows"))
+    texts = docs.join(wanted.hint("merge"), F.col("row") == F.col("at")).select("row", "text", "windows").dropDuplicates(["row"])  # repeats would count twice in a fingerprint
     worded = texts.select("row", "windows", F.transform(word_array(lowered(F.col("text"))), lambda w: F.xxhash64(w)).alias("all"))
     cut = worded.select("row", "all", F.explode("windows").alias("w")).select("row", "w.*", F.expr("slice(all, w.start + 1, w.n_words)").alias("words"))
-    grams = F.when(F.col("k") == K, shingles("words", K))
-    for k in range(1, K):
-        grams = grams.when(F.col("k") == k, shingles("words", k))
-    cut = written(cut.select("row", "n_words", "start", grams.alias("grams")).where("size(grams) > 0"), "cut")
+    cut = cut.withColumn("k", F.least(F.lit(K), F.col("n_words"))).select("row", "n_words", "start", grams_of_size("words").alias("grams"))
+    cut = written(cut.where("size(grams) > 0"), "cut")
     prints = simhash(cut, ["row", "n_words", "start"])
     marks = simhash(items, ["item_id", "n_words"])
     probes = prints.select("*", F.posexplode(blocks("fingerprint")).alias("block", "value"))
     index = marks.withColumnsRenamed({"fingerprint": "mark", "n_words": "item_words"}).select("*", F.posexplode(blocks("mark")).alias("item_block", "near_to"))
-    index = index.select("item_id", "item_words", "mark", "item_block", F.explode(near_values(F.col("near_to"))).alias("near"))
-    pairs = probes.join(index, (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("near")))
+    index = index.select("item_id", "item_words", "mark", "item_block", F.explode(near_values("near_to")).alias("near"))
+    pairs = probes.join(index.hint("merge"), (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("near")))
     pairs = pairs.select("row", "start", "n_words", "item_id", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))).alias("distance")).where(F.col("distance") <= RADIUS).distinct()
-    keyed = pairs.join(cut, ["row", "n_words", "start"]).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
+    keyed = pairs.hint("merge").join(cut, ["row", "n_words", "start"]).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
     common = F.size(F.array_intersect(numbered("grams"), numbered("item_grams"))).alias("common")
     sized = keyed.select("row", "item_id", "start", "distance", common, (F.size("grams") + F.size("item_grams")).alias("total"))
     alike = sized.where(DEN * F.col("common") >= NUM * (F.col("total") - F.col("common")))
@@ -152,4 +153,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are similar to no benchmark item in any window, with all their columns."""
     leaks = written(contaminated_rows(docs, benchmark).select(F.col("row").alias("_row")).distinct(), "leaks")
-    return docs.join(leaks, row_of(docs) == leaks["_row"], "left_anti").select(docs.columns)
+    return docs.join(leaks.hint("merge"), row_of(docs) == leaks["_row"], "left_anti").select(docs.columns)
