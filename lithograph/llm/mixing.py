@@ -1,10 +1,11 @@
 """Mix sources to target weights (operator 3), in DataFrame functions only.
 
 The words of each source are packed end to end into blocks of a fixed length. The mix is a row of output slots, one
-block each, cut into output shards. Each shard draws its multinomial source counts: the whole part of every expected
-count is certain (residual sampling, which keeps totals near their targets) and the remaining slots are drawn by a
-seeded hash. Slots of a source are numbered over all shards and mapped through a pseudorandom permutation of the
-source's block indexes, another one for each pass over the source; blocks are then joined by (source, index).
+block each, cut into output shards. Each source has as many slots as its target asks; a keyed permutation of all slots
+deals them to the shards, so a shard's source counts are a multinomial draw under the condition that the draws of all
+shards add up to the targets (without it, totals would stray from their targets by the root of the number of slots).
+Slots of a source are mapped through a pseudorandom permutation of the source's block indexes, another one for each pass
+over the source; blocks are then joined by (source, index).
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-BUCKETS = 1024
+#: Documents of a source that one task lays in order, about.
+BUCKET_DOCS = 50_000
+#: Slots that are numbered at once: so many pieces of the second size make up one of the first.
+STEPS = (1 << 26, 1 << 13)
 ROUNDS = 16
 
 
@@ -59,96 +63,85 @@ def permuted(index: Column, size: Column, *key: Column, rounds: int = ROUNDS) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), swap)
 
 
-def pack(sized: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """Lay the words of each source end to end and cut them into blocks: source, block, doc_id, from_word, n_words.
+def pack(sized: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = 1024) -> DataFrame:
+    """Lay the words of each source end to end and cut them into blocks: source, block, row, doc_id, from_word, n_words.
 
     Documents are laid in the order of a hash bucket, then doc_id, so that running sums stay inside a bucket; only the
     totals of the buckets (``buckets`` rows per source) are summed over a whole source.
     """
-    dealt = sized.where("size > 0").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+    dealt = sized.where("size > 0").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "size"), F.lit(buckets)))
     totals = dealt.groupBy("source", "_bucket").agg(F.sum("size").alias("_total"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("_source"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "text_hash", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = local.join(offsets, local["source"].eqNullSafe(offsets["_source"]) & (F.col("_bucket") == F.col("_at"))).select(
-        "source", "doc_id", "size", (F.col("_local") + F.col("_offset")).alias("_start")
+    placed = local.hint("merge").join(offsets, local["source"].eqNullSafe(offsets["_source"]) & (F.col("_bucket") == F.col("_at"))).select(
+        "source", "row", "doc_id", "size", (F.col("_local") + F.col("_offset")).alias("_start")
     )
     blocks = placed.select("*", F.explode(F.expr(f"sequence(_start div {block_words}, (_start + size - 1) div {block_words})")).alias("block"))
     first, last = F.greatest(F.col("_start"), F.col("block") * block_words), F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return blocks.select("source", "block", "doc_id", (first - F.col("_start")).alias("from_word"), (last - first).alias("n_words"))
+    return blocks.select("source", "block", "row", "doc_id", (first - F.col("_start")).alias("from_word"), (last - first).alias("n_words"))
 
 
 def draw_slots(targets: DataFrame, seed: int, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, cap: int = MAX_REPEATS) -> DataFrame:
-    """The mix as slots: source, shard, k (number of the slot within its source), pass, block.
+    """The mix as slots: source, shard, slot (place in the shard), k (number within its source), pass, block.
 
     A source's slots stop at ``cap`` passes over it, so no block is taken more often than that.
     """
     live = targets.where("source_size > 0 and target > 0").withColumn("_blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-    live = live.withColumn("_want", F.col("_blocks") * F.col("target") / F.col("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    slots = F.least(F.round(F.col("_blocks") * F.col("target") / F.col("source_size")).cast("long"), cap * F.col("_blocks"))
+    live = live.withColumn("_slots", F.greatest(F.lit(1).cast("long"), slots))
+    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row per source
     live = live.select(
-        "*",
-        (F.row_number().over(order) - 1).alias("_no"),
-        F.sum("_want").over(Window.partitionBy()).alias("_all"),
-    ).withColumn("_slots", F.greatest(F.lit(1), F.round("_all")).cast("long"))
-    live = live.withColumn("_shards", F.expr(f"(_slots + {shard_slots - 1}) div {shard_slots}"))
-    by_shard = live.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"))
-    by_shard = by_shard.withColumn("_in_shard", F.least(F.lit(shard_slots), F.col("_slots") - F.col("shard") * shard_slots))
-    by_shard = by_shard.withColumn("_mean", F.col("_in_shard") * F.col("_want") / F.col("_all")).withColumn("_sure", F.floor("_mean"))
-    shard = Window.partitionBy("shard").orderBy("_no")
-    by_shard = by_shard.select(
-        "*",
-        F.sum(F.col("_mean") - F.col("_sure")).over(shard).alias("_high"),
-        (F.col("_in_shard") - F.sum("_sure").over(Window.partitionBy("shard"))).alias("_open"),
-        F.max("_no").over(Window.partitionBy("shard")).alias("_last"),
-    ).withColumn("_low", F.col("_high") - (F.col("_mean") - F.col("_sure")))
-    # residual draws: each of the open slots falls into one source's interval of the shard's residual mass
-    draws = by_shard.where("_no = _last and _open > 0").select("shard", F.col("_high").alias("_mass"), F.explode(F.expr("sequence(1L, _open)")).alias("_draw"))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "shard", "_draw"), F.lit(1 << 40)) / float(1 << 40)
-    draws = draws.select(F.col("shard").alias("_shard"), (unit * F.col("_mass")).alias("_at"))
-    hit = (by_shard["shard"] == draws["_shard"]) & (draws["_at"] >= by_shard["_low"]) & ((draws["_at"] < by_shard["_high"]) | (by_shard["_no"] == by_shard["_last"]))
-    # shards grow with the data, but Spark can't tell from the small table they come from: joins are asked to merge
-    drawn = by_shard.join(draws.hint("merge"), hit).groupBy(F.col("shard").alias("_shard"), F.col("_no").alias("_source_no")).agg(F.count(F.lit(1)).alias("_extra"))
-    counts = by_shard.join(drawn.hint("merge"), (F.col("shard") == F.col("_shard")) & (F.col("_no") == F.col("_source_no")), "left")
-    counts = counts.withColumn("_count", F.col("_sure") + F.coalesce("_extra", F.lit(0)))
-    before = Window.partitionBy("_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_from", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_count", F.least("_count", cap * F.col("_blocks") - F.col("_from")))
-    some = counts.where("_count > 0").select("source", "shard", "_no", "_blocks", "_from", "_count").repartition(partitions(targets.sparkSession), "shard", "_no")
-    slots = some.select("source", "shard", "_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _count - 1)")).alias("k"))
-    slots = slots.withColumn("pass", F.expr("k div _blocks"))
-    return slots.select("source", "shard", "k", "pass", permuted(F.col("k") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_no"), F.col("pass")).alias("block"))
+        "source", "_blocks", "_slots",
+        F.row_number().over(order).alias("_no"),
+        (F.sum("_slots").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_slots")).alias("_first"),
+        F.sum("_slots").over(Window.partitionBy()).alias("_all"),
+    )
+    # numbers of slots are made in two steps, each dealt over tasks, so that no array and no task has all of a source
+    n, end = partitions(targets.sparkSession), F.col("_slots") - 1
+    for step in STEPS:
+        start = F.lit(0).cast("long") if step == STEPS[0] else F.col("_k")
+        until = end if step == STEPS[0] else F.least(end, F.col("_k") + STEPS[0] - 1)
+        live = live.withColumn("_k", F.explode(F.sequence(start, until, F.lit(step).cast("long")))).repartition(n, "_no", "_k")
+    each = live.select("*", F.explode(F.sequence("_k", F.least(end, F.col("_k") + STEPS[1] - 1))).alias("k"))
+    each = each.withColumn("pass", F.expr("k div _blocks")).withColumn("_place", permuted(F.col("_first") + F.col("k"), F.col("_all"), F.lit(seed)))
+    block = permuted(F.col("k") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_no"), F.col("pass"))
+    return each.select("source", F.expr(f"_place div {shard_slots}").alias("shard"), (F.col("_place") % shard_slots).alias("slot"), "k", "pass", block.alias("block"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """row (a number of its own), doc_id, source, text_hash, size (words)."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
 
 
 def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized documents, source targets, mix). The mix has a row for each piece of a document in each output slot:
-    shard, k, pass, source, block, doc_id, from_word, n_words.
+    shard, slot, pass, source, block, row, doc_id, from_word, n_words.
 
-    Null and blank texts have size 0 and are never taken; a null source is a source of its own, the last in order;
-    repeated doc_ids are separate documents while packing; an empty table gives empty results; other columns are ignored.
+    Null and blank texts have size 0 and are never taken; a null source is a source of its own, the last in order; rows
+    that share a doc_id (null included) are separate documents; an empty table gives empty results; other columns are
+    ignored. Rows are numbered when their sizes are written, and read from there, so numbers stay as they are.
     """
     sized = written(sizes(docs), "sized")
     targets = written(source_targets(sized), "targets")
-    pieces, slots = pack(sized, block_words), draw_slots(targets, seed, block_words)
+    buckets = max(1024, sized.count() // BUCKET_DOCS)
+    pieces, slots = pack(sized, block_words, buckets), draw_slots(targets, seed, block_words)
     theirs = slots.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
     mixed = pieces.join(theirs.hint("merge"), pieces["source"].eqNullSafe(theirs["_source"]) & (pieces["block"] == theirs["_block"]))
-    return sized, targets, mixed.select("shard", "k", "pass", "source", "block", "doc_id", "from_word", "n_words")
+    return sized, targets, mixed.select("shard", "slot", "pass", "source", "block", "row", "doc_id", "from_word", "n_words")
 
 
 def taken(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (words the mix takes, repeats counted).
 
-    Rows that share a doc_id, null included, each show what is taken of them together.
+    Each row shows what is taken of it alone, also if it shares its doc_id with others.
     """
     sized, targets, mixed = mix(docs, seed)
-    sums = mixed.groupBy("doc_id").agg(F.sum("n_words").alias("taken")).withColumnRenamed("doc_id", "_doc_id")
+    sums = mixed.groupBy("row").agg(F.sum("n_words").alias("taken")).withColumnRenamed("row", "_row")
     per_source = targets.select(F.col("source").alias("_source"), "source_size", "target")
     out = sized.join(per_source, sized["source"].eqNullSafe(per_source["_source"]), "left")
-    out = out.join(sums, out["doc_id"].eqNullSafe(sums["_doc_id"]), "left")
+    out = out.join(sums.hint("merge"), out["row"] == sums["_row"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -156,16 +149,17 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``docs`` in the proportions of the mix, with all their columns: each row as often as the mix takes its words.
 
     A document of which the mix takes a fraction of its words stays, beyond its whole copies, with that fraction as
-    probability (by a hash of its doc_id, source and text). Rows that share a doc_id (null included) and a source share
-    what is taken of them in proportion to their words. Documents without words are never taken.
+    probability (by a hash of its doc_id, source and text). Rows with equal doc_id, source and text (nulls included)
+    share evenly what is taken of them, so none has more than MAX_REPEATS copies. Documents without words are never taken.
     """
     sized, _, mixed = mix(docs, seed)
-    sums = mixed.groupBy("doc_id", "source").agg(F.sum("n_words").alias("_taken"))
-    words = sized.where("size > 0").groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source")).agg(F.sum("size").alias("_size"))
-    share = words.join(sums, words["_doc_id"].eqNullSafe(sums["doc_id"]) & words["_source"].eqNullSafe(sums["source"]))
-    share = written(share.select("_doc_id", "_source", (F.col("_taken") / F.col("_size")).alias("_share")), "shares")
-    met = docs.join(share, docs["doc_id"].eqNullSafe(share["_doc_id"]) & docs["source"].eqNullSafe(share["_source"])).where(word_count(docs["text"]) > 0)
-    unit = F.pmod(F.xxhash64(docs["doc_id"], docs["source"], docs["text"], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("_share") + (unit < F.col("_share") - F.floor("_share")).cast("long")
-    met = met.select(*[docs[c] for c in docs.columns], copies.alias("_copies")).where("_copies > 0")
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    sums = mixed.groupBy("row").agg(F.sum("n_words").alias("_taken")).withColumnRenamed("row", "_row")
+    key = ["doc_id", "source", "text_hash"]
+    share = sized.where("size > 0").join(sums.hint("merge"), sized["row"] == sums["_row"]).groupBy(*key).agg((F.sum("_taken") / F.sum("size")).alias("share"))
+    share = written(share.select(F.struct(*key).alias("of"), "share"), "shares")
+    # columns travel in a struct, so none of their names can clash
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("whole"), F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("key"))
+    met = whole.join(share.hint("merge"), F.col("key") == F.col("of"))
+    unit = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = (F.floor("share") + (unit < F.col("share") - F.floor("share")).cast("long")).cast("int")
+    return met.select("whole", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("whole.*")

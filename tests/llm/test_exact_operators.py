@@ -295,6 +295,47 @@ def test_mix_copies_of_repeated_and_null_ids(spark, make):
         assert abs(words[source] - target) <= 0.1 * target
 
 
+def test_mix_shards_are_draws_and_blocks_whole(spark, make):
+    """Every slot of every shard is one block of its source, each pass takes each block once at most, and the counts of
+    the shards scatter as draws do: around their expectation, neither all alike nor far off."""
+    rng = random.Random(5)
+    sources = [rng.choice("aabbbbbbc") for _ in range(2500)]
+    docs = make([f"{i} " + "w " * rng.choice([30, 400, 2000]) for i in range(2500)], sources)
+    sized = mixing.sizes(docs)
+    targets = mixing.source_targets(sized)
+    slots = [tuple(r) for r in mixing.draw_slots(targets, 3, shard_slots=512).select("source", "shard", "slot", "pass", "block").collect()]
+    assert len({(h, t) for _, h, t, _, _ in slots}) == len(slots) == len({(s, p, b) for s, _, _, p, b in slots})
+    assert {(h, t) for _, h, t, _, _ in slots} == {(i // 512, i % 512) for i in range(len(slots))}
+    share = Counter(s for s, *_ in slots)
+    shards = [Counter(s for s, h, *_ in slots if h == i) for i in range(len(slots) // 512)]
+    for source, n in share.items():
+        p = n / len(slots)
+        spread = [(c[source] - 512 * p) / math.sqrt(512 * p * (1 - p)) for c in shards]
+        assert 0.3 < sum(x * x for x in spread) / len(spread) < 2.5 and max(map(abs, spread)) < 5
+    mixed = [tuple(r) for r in mixing.mix(docs, 3)[2].select("source", "block", "pass", "row", "from_word", "n_words").collect()]
+    filled = Counter()
+    for source, block, number, *_, n in mixed:
+        filled[source, block, number] += n
+    sizes = {r["source"]: r["source_size"] for r in targets.collect()}
+    assert all(n == min(mixing.BLOCK_WORDS, sizes[s] - b * mixing.BLOCK_WORDS) for (s, b, _), n in filled.items())
+
+
+def test_mix_of_repeated_ids_keeps_each_row_within_three_times(spark, make):
+    rows = [(1, "w " * 400, "en", "a", None)] * 3 + [(1, "x " * 100, "en", "a", None), (2, "w " * 400, "en", "b", None)] + [(i, "z " * 400, "en", "b", None) for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, make([]).schema)
+    taken = mixing.taken(docs).collect()
+    assert len(taken) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in taken)
+    assert max(Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect()).values()) <= 9
+
+
+def test_mix_of_clashing_names(spark, make):
+    names = ["_copies", "_copy", "whole", "key", "share", "row", "_row", "text_hash", "of"]
+    docs = make(["w " * 500, "v " * 500], ["a", "b"])
+    docs = docs.selectExpr("*", *[f"{i} as `{n}`" for i, n in enumerate(names)])
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() >= 1 and mixing.taken(docs).count() == 2
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
