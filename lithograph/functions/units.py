@@ -23,9 +23,39 @@ def parse_seconds(s: Column) -> Column:
 
 
 def kmg(n: Column) -> Column:
-    """Bytes with the largest unit that fits, one decimal, truncated."""
-    shown = lambda unit, size: F.concat(F.floor(n / size).cast("string"), F.lit("."), (F.floor(n * 10 / size) % 10).cast("string"), F.lit(unit))
-    return F.when(n >= 1 << 30, shown("g", 1 << 30)).when(n >= 1 << 20, shown("m", 1 << 20)).when(n >= 1 << 10, shown("k", 1 << 10)).otherwise(F.concat(n.cast("string"), F.lit("b")))
+    """Bytes with the largest unit that fits and one decimal (half up); below 1024 the number alone."""
+    shown = lambda unit, size: F.concat(F.format_string("%.1f", n / size), F.lit(unit))
+    return F.when(n < 1 << 10, n.cast("string")).when(n < 1 << 20, shown("k", 1 << 10)).when(n < 1 << 30, shown("M", 1 << 20)).otherwise(shown("G", 1 << 30))
+
+
+def hms(ms: Column) -> Column:
+    """Milliseconds as 12ms, 3.250s, 4m5s or 2h0m7s; 0 is 0s."""
+    s = F.floor(ms / 1000).cast("long")
+    part = lambda c: c.cast("string")
+    return (
+        F.when(ms == 0, "0s").when(ms < 1000, F.concat(part(ms.cast("long")), F.lit("ms"))).when(ms < 60_000, F.concat(F.format_string("%.3f", ms / 1000), F.lit("s")))
+        .when(ms < 3_600_000, F.concat(part(F.floor(s / 60)), F.lit("m"), part(s % 60), F.lit("s")))
+        .otherwise(F.concat(part(F.floor(s / 3600)), F.lit("h"), part(F.floor(s / 60) % 60), F.lit("m"), part(s % 60), F.lit("s")))
+    )
+
+
+def parsed(s: Column, kind: str, valid: Column | None = None, default: Column | None = None) -> Column:
+    """Text as int, bigint, float, double or boolean: '', 'auto' and what ``valid`` rejects give the default; text that is
+    no such value raises."""
+    t = F.lower(F.trim(s))
+    value = t.try_cast(kind)
+    unknown = F.raise_error(F.concat(F.lit(f"not a {kind}: "), s)).cast(kind)
+    given = F.when(s.isNull() | (t == "") | (t == "auto"), F.lit(None).cast(kind)).when(value.isNull(), unknown).otherwise(value)
+    if valid is not None:
+        given = F.when(valid, given)
+    return given if default is None else F.coalesce(given, default.cast(kind))
+
+
+def one_of(s: Column, names: tuple[str, ...], default: str | None = None) -> Column:
+    """Text as one of ``names``, case aside: '' and 'auto' give the default; other text raises."""
+    t = F.lower(F.trim(s))
+    unknown = F.raise_error(F.concat(F.lit(f"not one of {', '.join(names)}: "), s)).cast("string")
+    return F.when(s.isNull() | (t == "") | (t == "auto"), F.lit(default)).when(t.isin(*names), t).otherwise(unknown)
 
 
 def iso_minute(ts: Column) -> Column:

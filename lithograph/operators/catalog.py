@@ -19,6 +19,58 @@ def sol_of(product: Column, mosaic: Column) -> Column:
     return F.struct(F.when(doy | part.rlike("^[0-9]{4}$"), sol).alias("sol"), doy.alias("sol_doy"), F.when(doy, F.ascii(letter) - 65 + 2017).alias("year"))
 
 
+def sol_of_number(number: Column) -> Column:
+    """struct(sol, sol_doy, year) of a four-digit number, as in the other mission's names: from 3000 on, the first digit
+    tells the year, counted from 2023 for 3, and the rest is a day of year."""
+    n = number.try_cast("int")
+    doy = n >= 3000
+    return F.struct(F.when(doy, n % 1000).otherwise(n).alias("sol"), doy.alias("sol_doy"), F.when(doy, F.floor(n / 1000).cast("int") - 3 + 2023).alias("year"))
+
+
+MISSIONS = {"M2020": "M20"}
+
+
+def mission_name(name: Column) -> Column:
+    """A mission's name, upper-case, by its one known alias; null for missions that aren't supported."""
+    upper = F.upper(F.trim(name))
+    for alias, known in MISSIONS.items():
+        upper = F.when(upper == alias, known).otherwise(upper)
+    return F.when(upper.isin("M20", "CADRE", "MSL"), upper)
+
+
+#: What a catalog entry tells of a product, besides its sol.
+FINDER_FIELDS = (
+    "finder_type instrument_id instrument instrument_category product_type group_id overlay_id is_source_product overlayable eye_type size_type projection "
+    "geometry stage version sclk image_type description supplemental_description"
+).split()
+
+
+def finder_metadata(products: DataFrame, mission: str, what: str = "rdr") -> DataFrame:
+    """path and entry: the JSON of a product's catalog entry, from its path, filename and FINDER_FIELDS (as far as there).
+
+    Sols stand in the product's name by its mission's rule: at place 5 (8 for mosaics), or as the column
+    ``cycle_or_ydoy`` of the mission that numbers wake cycles; other missions have sol -1.
+    """
+    if mission == "M20":
+        sol = sol_of(F.col("filename"), F.col("finder_type") == "Mosaic")
+    elif mission == "CADRE":
+        sol = sol_of_number(F.col("cycle_or_ydoy"))
+    else:
+        sol = F.struct(F.lit(-1).alias("sol"), F.lit(False).alias("sol_doy"), F.lit(None).cast("int").alias("year"))
+    fields = [F.coalesce(F.col("sclk"), F.lit("NULL")).alias("sclk") if f == "sclk" else F.col(f) for f in FINDER_FIELDS if f in products.columns]
+    more = [F.col("cycle_or_ydoy").try_cast("int").alias("wake_cycle_or_ydoy")] if mission == "CADRE" else []
+    made = products.withColumn("_sol", sol)
+    metadata = F.struct(*fields, *more, F.col("_sol.sol").alias("sol"), F.col("_sol.sol_doy").alias("sol_doy"), F.col("_sol.year").alias("year"))
+    return made.select("path", F.to_json(F.struct(F.col("path").alias(what), metadata.alias("metadata"))).alias("entry"))
+
+
+def products_of_sol(products: DataFrame, sol: int) -> DataFrame:
+    """Products of one sol; sols below 0 aren't asked for."""
+    if sol < 0:
+        raise ValueError(f"sol {sol} is below 0")
+    return products.where(F.col("sol") == sol)
+
+
 def sol_range(paths: DataFrame, pattern: str = r"^[0-9]{5}$") -> DataFrame:
     """least and greatest number of the directories named by ``pattern``."""
     named = paths.where(F.col("dir").rlike(pattern))
@@ -57,14 +109,82 @@ def latest_events(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def cache_state(requests: DataFrame, tasks: DataFrame, now: Column, zombie_seconds: int = 3600) -> DataFrame:
-    """State of each request's cached work: missing, errored, zombie, running, stale or complete."""
+    """cache_hash, state and is_cached of each request's work.
+
+    ``tasks``: cache_hash, finished (its metadata are there), error, started, progressed (last sign of life, or null),
+    source_modified and, to tell changed sources, started_etag and source_etag. Finished work is complete whatever else is
+    there; then errors count, then work that wasn't started. Work under way is a zombie after ``zombie_seconds`` (0: never)
+    without a sign, stale if its source is gone or newer or has another etag, else running, which counts as cached.
+    """
     joined = requests.join(tasks, "cache_hash", "left")
-    age = F.unix_timestamp(now) - F.unix_timestamp("progressed")
+    silent = F.unix_timestamp(now) - F.unix_timestamp(F.coalesce("progressed", "started"))
+    zombie = (silent > zombie_seconds) if zombie_seconds > 0 else F.lit(False)
+    changed = F.col("source_modified").isNull() | (F.col("started") < F.col("source_modified"))
+    if {"started_etag", "source_etag"} <= set(tasks.columns):
+        changed = changed | ~F.col("started_etag").eqNullSafe(F.col("source_etag"))
     state = (
-        F.when(F.col("progressed").isNull(), "missing").when(F.col("error"), "errored").when((F.col("progress") < 100) & (age > zombie_seconds), "zombie")
-        .when(F.col("progress") < 100, "running").when(F.col("source_modified") > F.col("progressed"), "stale").otherwise("complete")
+        F.when(F.coalesce("finished", F.lit(False)), "complete").when(F.coalesce("error", F.lit(False)), "errored").when(F.col("started").isNull(), "missing")
+        .when(zombie, "zombie").when(changed, "stale").otherwise("running")
     )
-    return joined.select("cache_hash", state.alias("state"))
+    return joined.select("cache_hash", state.alias("state")).withColumn("is_cached", F.col("state").isin("complete", "running"))
+
+
+def liveness(tasks: DataFrame, now: Column, zombie_seconds: int = 3600) -> DataFrame:
+    """live and zombie: how many unfinished tasks (progressed) gave a sign within ``zombie_seconds``, and how many didn't."""
+    silent = F.unix_timestamp(now) - F.unix_timestamp("progressed") > zombie_seconds
+    return tasks.agg(F.count_if(~silent).alias("live"), F.count_if(silent).alias("zombie"))
+
+
+def tile_sources(requests: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Tile requests (hash) with the source_url that their product's metadata (cache_hash, rdr_url) tell; null if unknown.
+
+    Custom specs are looked up below their source's hash.
+    """
+    known = metadata.select(F.col("cache_hash").alias("_hash"), F.col("rdr_url").alias("source_url"))
+    return requests.join(known, requests["hash"] == known["_hash"], "left").drop("_hash")
+
+
+def outcomes(deliveries: DataFrame, batch: str = "batch") -> DataFrame:
+    """Per batch of deliveries (action, outcome): events, and how many were processed, cancelled, rejected and forwarded."""
+    count = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    return deliveries.groupBy(batch).agg(F.count(F.lit(1)).alias("events"), *map(count, ("processed", "cancelled", "rejected", "forwarded", "retry")))
+
+
+def http_status(error: Column) -> Column:
+    """Status of a request by the kind of what went wrong; null is none."""
+    return (
+        F.when(error.isNull(), 200).when(error.isin("bad_argument", "unsupported", "oversize", "unsafe_url"), 400).when(error.isin("not_found", "no_such_key"), 404)
+        .when(error == "forbidden", 403).when(error.isin("still_running", "cancelled"), 202).when(error == "overloaded", 503).otherwise(500)
+    )
+
+
+def most_tasks(setting: str, memory: int, disk: int, page_bytes: int, memory_pages: int, disk_pages: int, overhead: int = 100 << 20, default: int = 32) -> int:
+    """How many tasks may run at once: 'auto', a number (negative: no limit), or a percentage of what memory and disk hold."""
+    text = setting.strip().lower()
+    if text in ("", "auto"):
+        return default
+    if not text.endswith("%"):
+        return int(text)
+    share, most = float(text[:-1]) / 100, default
+    if page_bytes > 0:
+        if memory > 0 and memory_pages > 0:
+            most = max(1, int(share * memory / (page_bytes * memory_pages + overhead)))
+        if disk > 0 and disk_pages > 0:
+            most = max(1, min(most, int(share * disk / (page_bytes * disk_pages))))
+    return most
+
+
+def read_stats(reads: DataFrame) -> DataFrame:
+    """Per image of its reads (image_id, x, y, w, h): how many, how often each rectangle was read (least, most), and the
+    extent of all."""
+    each = reads.groupBy("image_id", "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"))
+    ends = [F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom")]
+    return each.groupBy("image_id").agg(F.sum("n").alias("reads"), F.count(F.lit(1)).alias("rectangles"), F.min("n").alias("least"), F.max("n").alias("most"), *ends)
+
+
+def power_below(v: Column) -> Column:
+    """The largest power of two below v; v itself up to 1."""
+    return F.when(v <= 1, v.cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2), F.length(F.bin(v.cast("long") - 1)) - 1).cast("long"))
 
 
 def admitted(requests: DataFrame, budget: int, queue: list[str], order: list[str]) -> DataFrame:
@@ -79,38 +199,38 @@ def retry_gate(deliveries: DataFrame, key: list[str], order: list[str], most: in
     return deliveries.withColumn("receive_count", number).withColumn("route", F.when(F.col("receive_count") >= most, "fail_queue").otherwise("process"))
 
 
-def delete_batches(keys: DataFrame, group: str, key: str, size: int = 1000) -> DataFrame:
-    """Keys with their batch within a group; no batch has more than ``size``."""
-    return keys.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) / size).cast("int"))
+def delete_batches(keys: DataFrame, group: str, key: str, size: int = 1000, digits: int = 2) -> DataFrame:
+    """Keys with their batch (part, number) within a group; no batch has more than ``size``.
 
-
-def progress(tasks: DataFrame) -> DataFrame:
-    """Percent done: histogram and extrema weigh 10 each, tiles the rest."""
-    tiles = F.when(F.col("tiles_total") > 0, F.col("tiles_done") / F.col("tiles_total")).otherwise(0.0)
-    return tasks.withColumn("percent", F.col("histogram_done") * 10 + F.col("extrema_done") * 10 + tiles * 80)
+    Keys are first parted by ``digits`` hex digits of their hash, so a group is numbered in 16^digits tasks.
+    """
+    parted = keys.withColumn("part", F.substring(F.sha1(F.col(key).cast("string")), 1, digits))
+    place = F.row_number().over(Window.partitionBy(group, "part").orderBy(key)) - 1
+    return parted.withColumn("number", F.floor(place / size).cast("int"))
 
 
-def lru(accesses: DataFrame, capacity: int) -> DataFrame:
-    """hits, misses, evictions of an LRU cache of ``capacity`` pages per owner (owner, seq, page).
+def progress(tasks: DataFrame) -> DataFrame:
+    """Percent done of tasks: histogram_steps, histogram_expected, extrema_steps, extrema_expected, tiles_done,
+    tiles_expected, done.
 
-    The replay of one owner's accesses is sequential by nature; owners are dealt over tasks.
+    The histogram and the extrema weigh 10 each where they are expected, tiles the rest; until the first tile is there,
+    the step under way decides alone.
     """
-    import pandas as pd
-
-    def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        from collections import OrderedDict
-
-        held, hits, misses, evictions = OrderedDict(), 0, 0, 0
-        for page in rows.sort_values("seq")["page"]:
-            if page in held:
-                held.move_to_end(page)
-                hits += 1
-                continue
-            misses += 1
-            held[page] = True
-            if len(held) > capacity:
-                held.popitem(last=False)
-                evictions += 1
-        return pd.DataFrame([(key[0], hits, misses, evictions)], columns=["owner", "hits", "misses", "evictions"])
-
-    return accesses.select("owner", "seq", "page").groupBy("owner").applyInPandas(replay, "owner long, hits long, misses long, evictions long")
+    none = F.col("tiles_done") == 0
+    base, early = F.lit(0.0), F.lit(None).cast("double")
+    for name in ("histogram", "extrema"):
+        steps, expected = F.col(f"{name}_steps"), F.col(f"{name}_expected")
+        under_way = early.isNull() & (expected > 0) & none & (steps < expected)
+        early = F.when(under_way, base + 10.0 * steps / expected).otherwise(early)
+        base = base + F.when(expected > 0, 10.0).otherwise(0.0)
+    tiles = base + (100 - base) * F.least(F.lit(1.0), F.col("tiles_done") / F.col("tiles_expected"))
+    percent = F.when(F.col("done"), 100.0).when(early.isNotNull(), early).when(none | (F.col("tiles_expected") < 1), base).otherwise(tiles)
+    return tasks.withColumn("percent", percent)
+
+
+def page_returns(accesses: DataFrame, owner: str = "owner", order: str = "seq") -> DataFrame:
+    """Accesses (owner, seq, page) with ``gap``: how many accesses of the same owner lie between this and the page's last
+    one (null for the first). A cache of as many pages as the gap is long surely still holds the page."""
+    numbered = accesses.withColumn("_n", F.row_number().over(Window.partitionBy(owner).orderBy(order)))
+    before = F.lag("_n").over(Window.partitionBy(owner, "page").orderBy("_n"))
+    return numbered.withColumn("gap", F.col("_n") - before - 1).drop("_n")

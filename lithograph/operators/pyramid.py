@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,11 +42,19 @@ def single_tile_level(level_table: DataFrame) -> DataFrame:
     return level_table.where("cols * rows = 1").groupBy("image_id").agg(F.max("level").alias("level"))
 
 
-def first_fitting_level(level_table: DataFrame, area: int) -> DataFrame:
-    """The lowest level one of whose tiles covers at most ``area`` pixels of the full image."""
-    top = level_table.groupBy("image_id").agg(F.max("level").alias("top"))
-    covered = level_table.join(top, "image_id").withColumn("covers", F.least(F.col("w"), F.lit(254)) * F.least(F.col("h"), F.lit(254)) * F.expr("shiftleft(1L, cast(2 * (top - level) as int))"))
-    return covered.where(F.col("covers") <= area).groupBy("image_id").agg(F.min("level").alias("level"))
+def first_fitting_level(level_table: DataFrame, share: float, tile: int = 254, overlap: int = 1) -> DataFrame:
+    """image_id, level: the lowest level whose first tile covers no side of the full image longer than
+    floor(sqrt(share * area)); one more than the top level if none does (share 0), level 0 if all may be held (share 1)."""
+    sized = level_table.withColumn("top", F.max("level").over(Window.partitionBy("image_id")))  # a row per level
+    full = sized.select("*", F.max("w").over(Window.partitionBy("image_id")).alias("full_w"), F.max("h").over(Window.partitionBy("image_id")).alias("full_h"))
+    most = F.floor(F.sqrt(F.col("full_w") * F.col("full_h") * F.lit(float(share))))
+
+    def covered(side: str, whole: str) -> Column:
+        return F.least(F.least(F.lit(tile + overlap), F.col(side)) * F.expr("shiftleft(1L, top - level)"), F.col(whole))
+
+    fits = (covered("w", "full_w") <= most) & (covered("h", "full_h") <= most)
+    found = F.coalesce(F.min(F.when(fits, F.col("level"))), F.max("top") + 1)
+    return full.groupBy("image_id").agg((F.lit(0) if share >= 1 else F.max("top") + 1 if share <= 0 else found).cast("int").alias("level"))
 
 
 def pixel_tiles(pixels: DataFrame, tile: int = 254, overlap: int = 1) -> DataFrame:
@@ -70,15 +78,26 @@ def downsampled(pixels: DataFrame, steps: int) -> DataFrame:
     return out
 
 
-def windows_of(rects: DataFrame, window: int) -> DataFrame:
+def windows_of(rects: DataFrame, window: int, margin: int = 0) -> DataFrame:
     """Requested rectangles (rect_id, x, y, w, h) by the windows of a grid that they meet, with the common part.
 
-    Windows are found from the rectangle's own corners, so no rectangle meets windows that it doesn't overlap.
+    Windows are found from the rectangle's own corners, so no rectangle meets windows that it doesn't overlap. A window
+    also holds ``margin`` pixels around it: a rectangle that the window of its middle holds whole is served by that alone.
     """
-    met = rects.select("*", F.explode(F.expr(f"sequence(x div {window}, (x + w - 1) div {window})")).alias("wx")).select("*", F.explode(F.expr(f"sequence(y div {window}, (y + h - 1) div {window})")).alias("wy"))
-    left, top = F.greatest(F.col("x"), F.col("wx") * window), F.greatest(F.col("y"), F.col("wy") * window)
-    right, bottom = F.least(F.col("x") + F.col("w"), (F.col("wx") + 1) * window), F.least(F.col("y") + F.col("h"), (F.col("wy") + 1) * window)
-    return met.select("rect_id", "wx", "wy", left.alias("px"), top.alias("py"), (right - left).alias("pw"), (bottom - top).alias("ph"))
+
+    def windows(at: str, size: str) -> Column:
+        middle = F.expr(f"({at} + {size} div 2) div {window}")
+        held = (F.col(at) >= middle * window - margin) & (F.col(at) + F.col(size) <= (middle + 1) * window + margin)
+        met = F.expr(f"sequence({at} div {window}, ({at} + {size} - 1) div {window})")
+        return F.when(held, F.array(middle)).otherwise(met) if margin else met
+
+    met = rects.select("*", F.explode(windows("x", "w")).alias("wx")).select("*", F.explode(windows("y", "h")).alias("wy"))
+    first = lambda at, i: F.greatest(F.col(at), F.col(i) * window - margin)
+    last = lambda at, size, i: F.least(F.col(at) + F.col(size), (F.col(i) + 1) * window + margin)
+    return met.select(
+        "rect_id", "wx", "wy", first("x", "wx").alias("px"), first("y", "wy").alias("py"),
+        (last("x", "w", "wx") - first("x", "wx")).alias("pw"), (last("y", "h", "wy") - first("y", "wy")).alias("ph"),
+    )
 
 
 def thumbnail(images: DataFrame, source_w: str, source_h: str, height: int = 160) -> DataFrame:

@@ -152,18 +152,125 @@ def srgb_to_linear(v: Column, gamma: float | None = None) -> Column:
 
 
 def gamma_flags(specs: DataFrame) -> DataFrame:
-    """Flags of a spec (gamma, gamma_mode): input class, and which of the three conversions apply.
+    """Conversions of a spec (gamma, gamma_mode, stretchable_pds, tile_format): srgb_to_linear, linear_to_srgb,
+    output_linear, and what gamma tiles tell in their header (PNG alone can tell linear) and have in their data.
 
-    The class is linear without gamma or with 1, srgb within 0.01 of 0.45, else general.
+    Only stretchable labelled products have a gamma_class: linear without gamma or with 1, srgb within 0.01 of 0.45, else
+    general; a class of general is converted with its own gamma.
     """
-    kind = F.when(F.col("gamma").isNull() | F.isnan("gamma") | (F.col("gamma") == 1), "linear").when(F.abs(F.col("gamma") - 0.45) < 0.01, "srgb").otherwise("general")
-    mode = F.lower("gamma_mode")
-    return specs.withColumn("gamma_class", kind).select(
+    known = F.col("gamma").isNotNull() & ~F.isnan("gamma")
+    kind = (
+        F.when(~F.col("stretchable_pds"), "none").when(~known | (F.col("gamma") == 1), "linear")
+        .when(F.abs(F.col("gamma") - 0.45) < 0.01, "srgb").otherwise("general")
+    )
+    mode, linear = F.lower("gamma_mode"), F.col("gamma_class") == "linear"
+    curved = F.col("gamma_class").isin("srgb", "general")
+    flagged = specs.withColumn("gamma_class", kind).select(
         "*",
-        ((mode == "lineartosrgb") | (mode == "convert") & (F.col("gamma_class") == "linear")).alias("linear_to_srgb"),
-        ((mode == "srgbtolinear") | (mode == "convert") & (F.col("gamma_class") == "general")).alias("to_linear"),
-        ((mode == "convert") & (F.col("gamma_class") == "general")).alias("back_to_srgb"),
+        ((mode == "srgbtolinear") | (mode == "convert") & curved).alias("srgb_to_linear"),
+        ((mode == "lineartosrgb") | (mode == "convert") & (curved | linear)).alias("linear_to_srgb"),
+        ((mode == "srgbtolinear") | (mode == "passthrough") & linear).alias("output_linear"),
     )
+    header = F.col("output_linear") & (F.lower("tile_format") == "png")
+    data = F.col("output_linear") | linear & ~F.col("linear_to_srgb")
+    name = lambda c: F.when(c, "linear").otherwise("srgb")
+    return flagged.select("*", name(header).alias("tile_header_gamma"), name(data).alias("tile_data_gamma"))
+
+
+def linear_bounds(bounds: DataFrame, band_min: float, band_max: float, gamma: float | None = None) -> DataFrame:
+    """Stretch bounds (image_id, lo, hi) of an sRGB image moved to linear space and kept within the band's range."""
+    span = band_max - band_min
+
+    def moved(c: str) -> Column:
+        s = (F.col(c) - band_min) / span
+        unit = F.pow(s, F.lit(1 / gamma)) if gamma else F.when(s <= 0.04045, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
+        return F.greatest(F.lit(band_min), F.least(F.lit(band_max), band_min + span * F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit))))
+
+    return bounds.select("image_id", *[(moved(c) if span > 0 else F.col(c)).alias(c) for c in ("lo", "hi")])
+
+
+def converted(v: Column, to_linear: Column, to_srgb: Column, gamma: float | None = None) -> Column:
+    """An 8-bit value through the conversions that flags ask for: to linear first, then to sRGB."""
+    linear = F.when(to_linear, srgb_to_linear(v, gamma)).otherwise(v.cast("int"))
+    return F.when(to_srgb, linear_to_srgb(linear)).otherwise(linear)
+
+
+def overlay_argb(bands: Column, alpha: Column, to_linear: Column, to_srgb: Column) -> Column:
+    """A pixel that isn't stretched (an overlay's 8-bit bands, one or three) as a packed ARGB int, with its conversions."""
+    at = lambda i: converted(F.get(bands, F.when(F.size(bands) >= 3, i).otherwise(0)), to_linear, to_srgb)
+    return packed_argb(alpha, at(0), at(1), at(2))
+
+
+def value_table(pixels: DataFrame, bounds: DataFrame, quantum: float = 1.0) -> DataFrame:
+    """image_id, dn, out: the stretch of every value that occurs, computed once each."""
+    return stretch(pixels.select("image_id", "dn").distinct(), bounds, quantum)
+
+
+def stretch_by_table(pixels: DataFrame, values: DataFrame) -> DataFrame:
+    """As ``stretch``, by look-up in a ``value_table``: pays where values are few and the mapping is dear."""
+    return pixels.join(values, ["image_id", "dn"])
+
+
+def color_bands(bands: Column, color_components: Column) -> Column:
+    """How many bands are color: up to three all are, beyond, as many as the color model has components."""
+    return F.when(bands > 3, F.coalesce(color_components, bands)).otherwise(bands)
+
+
+def has_known_colors(stretchable: Column, colors: Column) -> Column:
+    """Whether tiles can be made: what is stretched must have one or three colors."""
+    return ~stretchable | colors.isin(1, 3)
+
+
+def oversize_reason(header: dict[str, Column], limit_height: int, most_file_bytes: int, most_image_bytes: int) -> Column:
+    """Why an image is too large, or null. ``header``: is_pds, file_bytes, width, height, bands, bytes_per_sample.
+
+    Limits of 0 or less don't hold. With a positive ``limit_height`` only that many lines count; 0 lets none fit.
+    """
+    lines = F.least(header["height"], F.lit(limit_height)) if limit_height > 0 else header["height"]
+    pixels = header["width"].cast("long") * lines
+    size = pixels * bytes_per_pixel(header["bands"], header["bytes_per_sample"])
+    return (
+        F.when(F.lit(most_file_bytes > 0) & (header["file_bytes"] > most_file_bytes), "file_bytes").when(F.lit(limit_height == 0), "width")
+        .when(F.lit(most_image_bytes > 0) & (size > most_image_bytes), "image_bytes").when(~header["is_pds"] & (pixels > (1 << 31) - 1), "pixels")
+    )
+
+
+def bytes_per_pixel(bands: Column, bytes_per_sample: Column) -> Column:
+    """Three 8-bit bands are held in four bytes, others as they are."""
+    return F.when((bands == 3) & (bytes_per_sample == 1), 4).otherwise(bands) * bytes_per_sample
+
+
+def estimates_extrema(policy: Column, stretchable: Column, is_float: Column, slow_reads: Column, always: bool = True) -> Column:
+    """Whether extrema may come from the histogram: whole-number images that are stretched, unless the policy is never."""
+    return (F.lower(policy) != "never") & stretchable & ~is_float & (slow_reads | F.lit(always))
+
+
+def absolute(v: Column) -> Column:
+    return F.abs(v)
+
+
+def scaled_to_byte(v: Column) -> Column:
+    """Unit values (0 to 1) to 0-255."""
+    return v * 255
+
+
+def as_byte(v: Column) -> Column:
+    """Rounded half up, then kept within 0-255; NaN is 0."""
+    return F.when(F.isnan(v.cast("double")), 0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(v + 0.5).cast("double")))).cast("int")
+
+
+def constant(images: DataFrame, value: int = 128, bands: int = 1) -> DataFrame:
+    """Pixels of one value over whole images (image_id, width, height): what overlays are drawn upon."""
+    lines = images.select("image_id", "width", F.explode(F.expr("sequence(0L, height - 1)")).alias("y"))
+    cells = lines.select("image_id", "y", F.explode(F.expr("sequence(0L, width - 1)")).alias("x"))
+    return cells.select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), F.lit(value).alias("dn"))
+
+
+def resized(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (image_id, width, height, y, x, band, dn) made smaller to width x height by whole-number means of what falls
+    into each new cell. Means are summed map-side, so only new cells are shuffled."""
+    cell = lambda at, size, to: F.expr(f"cast({at} * {to} div {size} as long)").alias(at)
+    return pixels.groupBy("image_id", cell("y", "height", height), cell("x", "width", width), "band").agg(F.expr("sum(cast(dn as long)) div count(1)").alias("dn"))
 
 
 def wide(pixels: DataFrame, bands: int) -> DataFrame:

@@ -29,7 +29,7 @@ urls as (select page_id, case page_id % 8 when 0 then 's3://' || bare || '.IMG'
   when 4 then 'http://10.0.' || (page_id % 200) || '.7/a.img' when 5 then 'https://b.s3.us-west-2.amazonaws.com/' || bare || '.img' when 6 then bare || '/../x.jpg' else u end as url from shaped),
 parts as (select page_id, url, regexp_extract(url, '^([^?#]*)', 1) as path, lower(regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '[.]([^./]+)$', 1)) as ext from urls)"""
 REQUESTS = """req as (select o_orderkey, sha1('file://' || o_custkey) as cache_hash, o_orderdate as requested, cast(floor(o_totalprice) as bigint) as cost, o_custkey from orders)"""
-TASKS = """task as (select sha1('file://' || c_custkey) as cache_hash, case when c_custkey % 5 = 0 then 40 else 100 end as progress, 1700000000 + c_custkey * 31 % 7000 as progressed, c_custkey % 7 = 0 as error, 1700000000 + c_custkey * 17 % 7000 as modified from customer where c_custkey % 3 <> 0)"""
+TASKS = """task as (select sha1('file://' || c_custkey) as cache_hash, c_custkey % 5 = 0 as finished, c_custkey % 7 = 0 as error, case when c_custkey % 4 > 0 then 1700000000 + c_custkey * 17 % 7000 end as started, case when c_custkey % 3 > 0 then 1700000000 + c_custkey * 31 % 7000 end as progressed, case when c_custkey % 11 > 0 then 1700000000 + c_custkey * 13 % 7000 end as modified from customer)"""
 LABELS = """lab as (select cast(event_id as varchar) as path, event_id, user_id, event_type from events),
 item as (select path, unnest([
   {pos: 1, name: 'FORMAT', kind: 'string', s: 'HALF', i: null::bigint, d: null::double, n: null::integer, section: 'system', title: '', number: 0},
@@ -62,9 +62,12 @@ select image_id, band, case when mn > mx then mx - 100 else mn end as mn, mx fro
     "literal_stretch_bounds": f"with {VECTORS} select distinct image_id, 0e0 as lo, 3000e0 as hi from color",
     "srgb_lut": """select cast(dn as integer) as dn, cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 < 0.0031308e0 then dn / 255e0 * 12.92e0 else pow(dn / 255e0, 1 / 2.4e0) * 1.055e0 - 0.055e0 end)) * 255) as integer) as srgb,
 cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 <= 0.04045e0 then dn / 255e0 / 12.92e0 else pow((dn / 255e0 + 0.055e0) / 1.055e0, 2.4e0) end)) * 255) as integer) as linear from range(256) r(dn)""",
-    "gamma_modes": """with n as (select n_name, case n_nationkey % 4 when 1 then 1e0 when 2 then 0.4501e0 when 3 then 2.2e0 end as gamma from nation),
-c as (select n_name, case when gamma is null or gamma = 1 then 'linear' when abs(gamma - 0.45) < 0.01 then 'srgb' else 'general' end as gamma_class from n)
-select n_name, m as gamma_mode, gamma_class, cast(m = 'lineartosrgb' or (m = 'convert' and gamma_class = 'linear') as integer) as linear_to_srgb, cast(m = 'srgbtolinear' or (m = 'convert' and gamma_class = 'general') as integer) as to_linear, cast(m = 'convert' and gamma_class = 'general' as integer) as back_to_srgb from c, (values ('none'), ('passthrough'), ('convert'), ('lineartosrgb'), ('srgbtolinear')) v(m)""",
+    "gamma_modes": """with n as (select n_name, case n_nationkey % 4 when 1 then 1e0 when 2 then 0.4501e0 when 3 then 2.2e0 end as gamma, n_nationkey % 5 > 0 as pds, case when n_nationkey % 3 = 0 then 'jpg' else 'png' end as fmt from nation),
+c as (select *, pds and (gamma is null or gamma = 1) as linear, pds and gamma is not null and abs(gamma - 0.45) < 0.01 as srgb from n), k as (select *, pds and not linear and not srgb as general from c),
+f as (select n_name, m as gamma_mode, fmt, linear, case when linear then 'linear' when srgb then 'srgb' when general then 'general' else 'none' end as gamma_class,
+ case m when 'convert' then srgb or general when 'srgbtolinear' then true else false end as a, case m when 'convert' then srgb or general or linear when 'lineartosrgb' then true else false end as b, case m when 'passthrough' then linear when 'srgbtolinear' then true else false end as o
+ from k, (values ('none'), ('passthrough'), ('convert'), ('lineartosrgb'), ('srgbtolinear')) v(m))
+select n_name, gamma_mode, gamma_class, cast(a as integer) as srgb_to_linear, cast(b as integer) as linear_to_srgb, cast(o as integer) as output_linear, case when o and fmt = 'png' then 'linear' else 'srgb' end as tile_header_gamma, case when (linear and not b) or o then 'linear' else 'srgb' end as tile_data_gamma from f""",
     "mono_to_rgb": f"with {VECTORS} select image_id, cast(sum(3 * dn) as bigint) as s from color where band = 0 group by image_id",
     "pack_argb": f"with {VECTORS}, w as (select image_id, y, x, max(case when band = 0 then dn end) as r, max(case when band = 1 then dn end) as g, max(case when band = 2 then dn end) as b, max(case when band = 3 then dn end) as a from pix group by all), v as (select image_id, y, x, (cast(trunc(255 * a / 4095.0e0) as bigint) << 24) | ((r // 16)::bigint << 16) | ((g // 16)::bigint << 8) | (b // 16)::bigint as u from w) select image_id, y, x, cast(case when u >= 2147483648 then u - 4294967296 else u end as integer) as argb from v",
     "mask_pixels": f"with {VECTORS} select image_id, y, x from color group by all having bool_and(dn % 3 = 0 or dn % 3 = case when band = 1 then 2 else 1 end)",
@@ -79,7 +82,9 @@ select n_name, m as gamma_mode, gamma_class, cast(m = 'lineartosrgb' or (m = 'co
     "tile_rects_overlap": f"""with {LEVELS}, t as (select image_id, level, c as col, r as row, w, h, c * 254 - (c > 0)::integer as x, r * 254 - (r > 0)::integer as y from levels, range(12) a(c), range(12) b(r) where c < cols and r < rows)
 select image_id, level, col, row, x, y, least(254 + case when col = 0 then 1 else 2 end, w - x) as tw, least(254 + case when row = 0 then 1 else 2 end, h - y) as th from t""",
     "single_tile_level": f"with {LEVELS} select image_id, max(level) as level from levels where cols * rows = 1 group by image_id",
-    "first_fitting_level": f"with {LEVELS}, m as (select image_id, max(level) as top from levels group by 1) select l.image_id, min(level) as level from levels l join m on l.image_id = m.image_id where least(w, 254) * least(h, 254) * (1::bigint << (2 * (top - level))::integer) <= 1000000 group by 1",
+    "first_fitting_level": f"""with {LEVELS}, m as (select image_id, max(level) as top, max(w) as fw, max(h) as fh from levels group by 1),
+t as (select l.image_id, level, top, fw, fh, least(255, w) * (1::bigint << (top - level)::integer) as cw, least(255, h) * (1::bigint << (top - level)::integer) as ch, floor(sqrt(fw * fh * 0.1e0)) as side from levels l join m on l.image_id = m.image_id)
+select image_id, cast(coalesce(min(case when least(cw, fw) <= side and least(ch, fh) <= side then level end), max(top) + 1) as integer) as level from t group by 1""",
     "pyramid_downsample": f"with {DOWN} select 'lineitem' as image_id, step, y, x, band, dn from (select 0 as step, * from s0 union all select 1, * from s1 union all select 2, * from s2 union all select 3, * from s3)",
     "pixel_tiles": f"with {CELLS}, p as (select distinct x, y from cells) select c as col, r as row, count(*) as n from p, range(4) a(c), (select distinct unnest([greatest(0, cast(floor((y - 1) / 16) as bigint)), (y + 1) // 16]) as r from p) b where x between c * 16 - 1 and c * 16 + 16 and y between r * 16 - 1 and r * 16 + 16 group by all",
     "window_lookup": """with q as (select o_orderkey as rect_id, o_custkey * 7 % 4000 as x, o_orderkey * 11 % 4000 as y, o_custkey % 900 + 1 as w, o_orderkey % 700 + 1 as h from orders)
@@ -94,26 +99,28 @@ when ext not in ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'img', 'vic') then 'unsupp
 canon as (select page_id, case when u like 'https://b.s3.%' then 's3://b/' || regexp_replace(u, '^https://[^/]+/', '') else u end as u from one) select page_id, sha1(case when regexp_matches(u, '^(?i)(https?|s3|file)://') then u else 'file://' || u end) as cache_hash from canon""",
     "ssrf_ipv4": "with a as (select o_orderkey, o_orderkey % 256 as a, o_custkey % 256 as b, o_orderkey % 7 as c from orders) select o_orderkey, cast(not (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 0 and c = 0) or (a = 192 and b = 168) or (a = 198 and b in (18, 19))) as integer) as safe from a",
     "size_units": """with b as (select n_nationkey, n_nationkey::bigint * case n_nationkey % 4 when 0 then 1024 when 1 then 1048576 when 2 then 1073741824 else 1 end as bytes, n_nationkey * case n_nationkey % 3 when 0 then 1 when 1 then 60 else 3600 end as seconds from nation)
-select n_nationkey, cast(bytes as bigint) as bytes, cast(seconds as bigint) as seconds, case when bytes >= 1073741824 then (bytes // 1073741824) || '.' || (bytes * 10 // 1073741824 % 10) || 'g' when bytes >= 1048576 then (bytes // 1048576) || '.' || (bytes * 10 // 1048576 % 10) || 'm' when bytes >= 1024 then (bytes // 1024) || '.' || (bytes * 10 // 1024 % 10) || 'k' else bytes || 'b' end as shown from b""",
+select n_nationkey, cast(bytes as bigint) as bytes, cast(seconds as bigint) as seconds, case when bytes < 1024 then bytes::varchar when bytes < 1048576 then printf('%.1fk', bytes / 1024e0) when bytes < 1073741824 then printf('%.1fM', bytes / 1048576e0) else printf('%.1fG', bytes / 1073741824e0) end as shown from b""",
     "spec_defaults": """with c as (select c_custkey, case when c_custkey % 3 = 0 then c_custkey % 500 - 100 end as t, case when c_custkey % 2 = 0 then (c_custkey % 150)::double end as l from customer),
 r as (select c_custkey, cast(case when t > 0 then t else 254 end as integer) as tile_size, case when l between 0 and 100 then l else 0.5e0 end as stretch_low from c) select *, cast(tile_size = 254 and stretch_low = 0.5e0 as integer) as nominal from r""",
     "sol_range": "select cast(min(o_orderkey % 700 + 50) as integer) as min_sol, cast(max(o_orderkey % 700 + 50) as integer) as max_sol from orders",
     "sol_decode": "select p_partkey, cast(case when p_partkey % 3 = 0 then p_partkey % 366 else p_partkey % 1700 end as integer) as sol, cast(p_partkey % 3 = 0 as integer) as doy, cast(case when p_partkey % 3 = 0 then 2017 + p_partkey % 8 end as integer) as year from part",
     "catalog_by_sol": "select o_orderkey, o_custkey from orders where o_orderkey % 700 = 51",
-    "edr_rdr_join": "with s as (select o_orderkey as group_id from orders where o_orderkey % 5 = 0) select group_id, cast(count(l_partkey) as integer) as n, coalesce(string_agg(l_partkey::varchar, ',' order by l_partkey), '') as products from s left join lineitem on group_id = l_orderkey and l_linenumber <= 3 group by group_id",
-    "product_type_lookup": "select coalesce(n_name, c_nationkey::varchar) as image_type, cast(coalesce(n_regionkey = 1, false) as integer) as overlayable, count(*) as n from customer left join nation on c_nationkey = n_nationkey and n_nationkey < 20 group by all",
+    "edr_rdr_join": "select o_orderkey as group_id, cast(count(l_partkey) as integer) as n, coalesce(string_agg(l_partkey::varchar, ',' order by l_partkey), '') as products from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey",
+    "product_type_lookup": "select coalesce(n_name, (c_nationkey + 5)::varchar) as image_type, cast(coalesce(n_regionkey = 1, false) as integer) as overlayable, count(*) as n from customer left join nation on c_nationkey + 5 = n_nationkey group by all",
     "label_tokens": f"with {LABELS} select path, cast(pos as integer) as pos, name, kind, s, i, d, n from item",
     "label_groups": f"with {LABELS} select path, name, section, title, number from item",
-    "cache_anti_join": f"with {REQUESTS}, {TASKS} select distinct cache_hash from req where cache_hash not in (select cache_hash from task)",
+    "cache_anti_join": f"with {REQUESTS}, {TASKS} select distinct cache_hash from req where cache_hash not in (select cache_hash from task where finished)",
     "source_semi_join": "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_custkey % 4 > 0)",
     "latest_event_wins": "select user_id, ts, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
-    "cache_state": f"""with {REQUESTS}, {TASKS}, r as (select distinct cache_hash from req) select r.cache_hash, case when progressed is null then 'missing' when error then 'errored' when progress < 100 and 1700006000 - progressed > 3600 then 'zombie' when progress < 100 then 'running' when modified > progressed then 'stale' else 'complete' end as state from r left join task t on r.cache_hash = t.cache_hash""",
+    "cache_state": f"""with {REQUESTS}, {TASKS}, r as (select distinct cache_hash from req), s as (select r.cache_hash, case when finished then 'complete' when error then 'errored' when started is null then 'missing' when 1700006000 - coalesce(progressed, started) > 3600 then 'zombie'
+when modified is null or started < modified then 'stale' else 'running' end as state from r left join task t on r.cache_hash = t.cache_hash) select *, cast(state in ('complete', 'running') as integer) as is_cached from s""",
     "admission_window": f"with {REQUESTS}, u as (select o_orderkey, cast(sum(cost) over (partition by o_custkey order by requested, o_orderkey rows unbounded preceding) as bigint) as used from req) select o_orderkey, used, cast(used <= 300000 as integer) as admitted from u",
     "retry_gate": "with r as (select event_id, cast(row_number() over (partition by user_id, event_type order by ts, event_id) as integer) as receive_count from events) select event_id, receive_count, case when receive_count >= 3 then 'fail_queue' else 'process' end as route from r",
-    "progress_summary": "with t as (select c_nationkey as worker, c_custkey % 2 * 10 + c_custkey % 3 % 2 * 10 + c_custkey % 64 / 64 * 80 as percent from customer) select worker, min(percent) as least, max(percent) as most, sum(percent) as total, count(*) as tasks from t group by worker",
-    "batch_outcomes": "select event_id // 1000 as batch, count(*) as events, count(*) filter (where event_type = 'click') as n_click, count(*) filter (where event_type = 'view') as n_view, count(*) filter (where event_type = 'purchase') as n_purchase from events group by 1",
-    "delete_batches": "with b as (select o_orderstatus, o_orderkey, cast((row_number() over (partition by o_orderstatus order by o_orderkey) - 1) // 100 as integer) as batch from orders) select o_orderstatus, batch, count(*) as n, min(o_orderkey) as first from b group by all",
-    "page_stats": "with r as (select l_partkey % 100 as page, count(*) as transfers from lineitem group by 1) select max(transfers) as most, count(*) filter (where transfers = 1) as once, count(*) as pages from r",
+    "progress_summary": """with t as (select c_nationkey as worker, c_custkey % 5 as hs, c_custkey % 2 * 4 as he, c_custkey % 3 as es, c_custkey % 4 as ee, greatest(0, c_custkey % 80 - 10) as na, c_custkey % 50 = 0 as done from customer),
+b as (select *, case when he > 0 then 10e0 else 0e0 end as b1 from t), c as (select *, b1 + case when ee > 0 then 10e0 else 0e0 end as b2 from b),
+p as (select worker, case when done then 100e0 when he > 0 and na = 0 and hs < he then 10e0 * hs / he when ee > 0 and na = 0 and es < ee then b1 + 10e0 * es / ee when na = 0 then b2 else b2 + (100 - b2) * least(1e0, na / 64e0) end as percent from c)
+select worker, min(percent) as least, max(percent) as most, sum(percent) as total, count(*) as tasks from p group by 1""",
+    "delete_batches": "with b as (select o_orderstatus, o_orderkey, substr(sha1(o_orderkey::varchar), 1, 1) as part from orders), n as (select *, cast((row_number() over (partition by o_orderstatus, part order by o_orderkey) - 1) // 100 as integer) as number from b) select o_orderstatus, part, number, count(*) as n, min(o_orderkey) as first from n group by all",
     "metadata_json": f"with {LEVELS} select image_id, max(w) as width, max(h) as height, max(level) as levels from levels group by image_id",
     "dzi_descriptor": f"""with {IMAGES} select image_id, '<?xml version="1.0" encoding="UTF-8"?><Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="254" Overlap="1" Format="png"><Size Width="' || width || '" Height="' || height || '"/></Image>' as dzi from img""",
     "tile_requests": f"with {REQUESTS} select o_orderkey, cache_hash as hash, case when o_orderkey % 2 = 0 then 'data' end as proxy, (o_orderkey % 9)::varchar as level, (o_custkey % 7)::varchar as col, '3' as row, 'png' as ext from req",

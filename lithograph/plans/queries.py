@@ -105,15 +105,17 @@ def literal_stretch_bounds(spark, d):
 
 @query
 def srgb_lut(spark, d):
-    dn = table(spark, d, "region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(255))).alias("dn"))
-    return dn.select("dn", raster.linear_to_srgb(F.col("dn")).alias("srgb"), raster.srgb_to_linear(F.col("dn")).alias("linear"))
+    return spark.range(256).select(F.col("id").cast("int").alias("dn")).select("dn", raster.linear_to_srgb(F.col("dn")).alias("srgb"), raster.srgb_to_linear(F.col("dn")).alias("linear"))
 
 
 @query
 def gamma_modes(spark, d):
-    n = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 4 == 0, F.lit(None)).otherwise(F.element_at(F.array(F.lit(1.0), F.lit(0.4501), F.lit(2.2)), (F.col("n_nationkey") % 4).cast("int"))).alias("gamma"))
+    k = F.col("n_nationkey")
+    gamma = F.get(F.array(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.4501), F.lit(2.2)), (k % 4).cast("int"))
+    n = table(spark, d, "nation").select("n_name", gamma.alias("gamma"), (k % 5 > 0).alias("stretchable_pds"), F.when(k % 3 == 0, "jpg").otherwise("png").alias("tile_format"))
     modes = F.array(*map(F.lit, ("none", "passthrough", "convert", "lineartosrgb", "srgbtolinear")))
-    return raster.gamma_flags(n.withColumn("gamma_mode", F.explode(modes))).select("n_name", "gamma_mode", "gamma_class", *[F.col(c).cast("int").alias(c) for c in ("linear_to_srgb", "to_linear", "back_to_srgb")])
+    flags = raster.gamma_flags(n.withColumn("gamma_mode", F.explode(modes)))
+    return flags.select("n_name", "gamma_mode", "gamma_class", *[F.col(c).cast("int").alias(c) for c in ("srgb_to_linear", "linear_to_srgb", "output_linear")], "tile_header_gamma", "tile_data_gamma")
 
 
 @query
@@ -191,7 +193,7 @@ def single_tile_level(spark, d):
 
 @query
 def first_fitting_level(spark, d):
-    return pyramid.first_fitting_level(pyramid.levels(tables.images(spark, d)), 1_000_000)
+    return pyramid.first_fitting_level(pyramid.levels(tables.images(spark, d)), 0.1)
 
 
 @query
@@ -267,20 +269,20 @@ def sol_decode(spark, d):
 
 @query
 def catalog_by_sol(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 700 = 51").select("o_orderkey", "o_custkey")
+    return catalog.products_of_sol(table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 700).alias("sol")), 51).select("o_orderkey", "o_custkey")
 
 
 @query
 def edr_rdr_join(spark, d):
-    source = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("group_id"))
-    derived = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("product"))
+    source = table(spark, d, "orders").select(F.col("o_orderkey").alias("group_id"))
+    derived = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("product"))
     return catalog.derived_products(source, derived, "group_id").select("group_id", F.size("products").alias("n"), F.array_join("products", ",").alias("products"))
 
 
 @query
 def product_type_lookup(spark, d):
-    types = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("product_type"), F.col("n_name").alias("image_type"), (F.col("n_regionkey") == 1).alias("overlayable")).where("n_nationkey < 20")
-    products = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("product_type"))
+    types = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("product_type"), F.col("n_name").alias("image_type"), (F.col("n_regionkey") == 1).alias("overlayable"))
+    products = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + 5).cast("string").alias("product_type"))  # five types are unknown
     return catalog.typed_products(products, types).groupBy("image_type", F.col("overlayable").cast("int").alias("overlayable")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -298,7 +300,7 @@ def label_groups(spark, d):
 
 @query
 def cache_anti_join(spark, d):
-    return catalog.uncached(tables.requests(spark, d).select("cache_hash"), tables.tasks(spark, d))
+    return catalog.uncached(tables.requests(spark, d).select("cache_hash"), tables.tasks(spark, d).where("finished"))
 
 
 @query
@@ -315,7 +317,8 @@ def latest_event_wins(spark, d):
 @query
 def cache_state(spark, d):
     r = tables.requests(spark, d).select("cache_hash").distinct()
-    return catalog.cache_state(r, tables.tasks(spark, d), F.timestamp_seconds(F.lit(1_700_006_000)))
+    state = catalog.cache_state(r, tables.tasks(spark, d), F.timestamp_seconds(F.lit(1_700_006_000)))
+    return state.select("cache_hash", "state", F.col("is_cached").cast("int").alias("is_cached"))
 
 
 @query
@@ -331,26 +334,18 @@ def retry_gate(spark, d):
 
 @query
 def progress_summary(spark, d):
-    t = table(spark, d, "customer").select(F.col("c_nationkey").alias("worker"), (F.col("c_custkey") % 2).alias("histogram_done"), (F.col("c_custkey") % 3 % 2).alias("extrema_done"), (F.col("c_custkey") % 64).alias("tiles_done"), F.lit(64).alias("tiles_total"))
+    k = F.col("c_custkey")
+    t = table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("worker"), (k % 5).alias("histogram_steps"), (k % 2 * 4).alias("histogram_expected"), (k % 3).alias("extrema_steps"), (k % 4).alias("extrema_expected"),
+        (F.greatest(F.lit(0), k % 80 - 10)).alias("tiles_done"), F.lit(64).alias("tiles_expected"), (k % 50 == 0).alias("done"),
+    )
     return catalog.progress(t).groupBy("worker").agg(F.min("percent").alias("least"), F.max("percent").alias("most"), F.sum("percent").alias("total"), F.count(F.lit(1)).alias("tasks"))
 
 
-@query
-def batch_outcomes(spark, d):
-    e = table(spark, d, "events").withColumn("batch", F.expr("event_id div 1000"))
-    return e.groupBy("batch").agg(F.count(F.lit(1)).alias("events"), *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in ("click", "view", "purchase")])
-
-
 @query
 def delete_batches(spark, d):
-    b = catalog.delete_batches(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey", 100)
-    return b.groupBy("o_orderstatus", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
-
-
-@query
-def page_stats(spark, d):
-    reads = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 100).alias("page")).agg(F.count(F.lit(1)).alias("transfers"))
-    return reads.agg(F.max("transfers").alias("most"), F.count_if(F.col("transfers") == 1).alias("once"), F.count(F.lit(1)).alias("pages"))
+    b = catalog.delete_batches(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey", 100, 1)
+    return b.groupBy("o_orderstatus", "part", "number").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query
@@ -373,44 +368,39 @@ def tile_requests(spark, d):
     return paths.select("o_orderkey", *[parts[k].alias(k) for k in ("hash", "proxy", "level", "col", "row", "ext")])
 
 
-@query
-def lru_simulation(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), (F.floor("value") % 20).alias("page"))
-    return catalog.lru(e, 8)
-
-
 @query
 def label_decode(spark, d):
-    """Labelled rasters made from the table's images, as files in memory, decoded to pixels and summed by band."""
+    """Labelled rasters made from strips of the table's images, as files in memory, decoded to pixels and summed by band."""
     from ..sources import labelled
 
-    made = labelled.encode(tables.vectors(spark, d).where("band < 3"))
-    return image_files.pixels(image_files.blocks(made)).groupBy("path", "band").agg(F.sum("dn").cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
+    made = labelled.encode(color(spark, d), 32)
+    name = F.substring_index("path", "/", 1)
+    return image_files.pixels(image_files.blocks(made)).groupBy(name.alias("path"), "band").agg(F.sum("dn").cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
 @query
 def png_tiles(spark, d):
-    """8-bit tiles as PNG, decoded again and summed by image and band."""
-    p = raster.stretch(color(spark, d), bounds(spark, d)).select("image_id", F.lit(0).alias("level"), F.lit(0).alias("col"), F.lit(0).alias("row"), "y", "x", "band", "out")
+    """8-bit tiles of 32 pixels as PNG, decoded again and summed by image and band."""
+    p = raster.stretch(color(spark, d), bounds(spark, d)).select("image_id", F.lit(0).alias("level"), F.expr("cast(x div 32 as int)").alias("col"), F.expr("cast(y div 32 as int)").alias("row"), "y", "x", "band", "out")
     tiles = sinks.png_tiles(p, 3).select(F.col("image_id").alias("path"), F.col("data").alias("content"))
     return image_files.pixels(image_files.blocks(tiles)).groupBy(F.col("path").alias("image_id"), "band").agg(F.sum("dn").cast("long").alias("s"))
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share; sessions on one machine may do without a named one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="lithograph-")).rstrip("/")
+
+
 @query
 def stream_ingest(spark, d):
     """Events as a stream of notifications: micro-batches applied to a table, which ends as one batch would leave it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lithograph-")
-    root = f"{shared}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     e = table(spark, d, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
     name = F.when(F.col("event_type") == "purchase", "ObjectRemoved:Delete").when(F.col("event_type").isin("click", "view"), "ObjectCreated:Put").otherwise("Other")
     events = stream.select(F.lit("b").alias("bucket"), F.col("user_id").cast("string").alias("key"), name.alias("event_name"), "ts")
-    now: list[DataFrame] = []
-
-    def apply(batch: DataFrame, number: int) -> None:
-        out = ingest.applied(now[-1], batch) if now else batch
-        out.write.mode("overwrite").parquet(f"{root}/table-{number}")
-        now.append(spark.read.parquet(f"{root}/table-{number}"))
-
-    ingest.run_batches(events, apply, f"{root}/checkpoint").awaitTermination()
-    return now[-1].select("key", "action")
+    ingest.run_batches(events, ingest.appended_to(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
+    return ingest.current(spark, f"{root}/table").select("key", "action")

@@ -63,13 +63,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as cached work: cache_hash, progress, progressed, error, source_modified."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    """Customers as cached work in all states: cache_hash, finished, error, started, progressed, source_modified."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     ts = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
     return c.select(
-        F.sha1(F.concat(F.lit("file://"), F.col("c_custkey").cast("string"))).alias("cache_hash"),
-        F.when(F.col("c_custkey") % 5 == 0, F.lit(40)).otherwise(F.lit(100)).alias("progress"),
-        ts(F.col("c_custkey") * 31 % 7000).alias("progressed"), (F.col("c_custkey") % 7 == 0).alias("error"), ts(F.col("c_custkey") * 17 % 7000).alias("source_modified"),
+        F.sha1(F.concat(F.lit("file://"), k.cast("string"))).alias("cache_hash"),
+        (k % 5 == 0).alias("finished"), (k % 7 == 0).alias("error"), F.when(k % 4 > 0, ts(k * 17 % 7000)).alias("started"),
+        F.when(k % 3 > 0, ts(k * 31 % 7000)).alias("progressed"), F.when(k % 11 > 0, ts(k * 13 % 7000)).alias("source_modified"),
     )
 
 

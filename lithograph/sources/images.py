@@ -39,26 +39,154 @@ def with_digest(found: DataFrame) -> DataFrame:
     return found.select("path", "modificationTime", "length", F.md5("content").alias("etag"))
 
 
+def label_text(data: bytes, start: int = 0) -> str:
+    """The label that begins at ``start``, as long as its LBLSIZE tells; '' if none begins there."""
+    found = re.match(rb"LBLSIZE\s*=\s*(\d+)", data[start : start + 100])
+    return data[start : start + int(found[1])].split(b"\0")[0].decode("latin-1") if found else ""
+
+
+def items_in(text: str) -> Iterator[tuple[str, str]]:
+    return iter(re.findall(r"(\w+)\s*=\s*('(?:[^']|'')*'|\([^)]*\)|[^\s]+)", text))
+
+
 def label_items(data: bytes) -> dict[str, str]:
     """Leading items of a label, up to its first group; quotes are taken off strings."""
-    found = re.match(rb"LBLSIZE\s*=\s*(\d+)", data)
-    if not found:
-        return {}
-    text = data[: int(found[1])].split(b"\0")[0].decode("latin-1")
     out = {}
-    for name, value in re.findall(r"(\w+)\s*=\s*('(?:[^']|'')*'|\([^)]*\)|\S+)", text):
+    for name, value in items_in(label_text(data)):
         if name in ("PROPERTY", "TASK"):
             break
         out.setdefault(name, value[1:-1].replace("''", "'") if value[:1] == "'" else value)
     return out
 
 
+def end_label(data: bytes) -> str:
+    """The second label, which stands behind the samples if the first one's EOL is 1; '' without one."""
+    inner = unwrapped(data)
+    items = label_items(inner)
+    if items.get("EOL") != "1":
+        return ""
+    org = items.get("ORG", "BSQ")
+    nl, ns, nb = (int(items.get(k, 0)) for k in ("NL", "NS", "NB"))
+    n2 = int(items.get("N2", {"BSQ": nl, "BIL": nb, "BIP": ns}[org]))
+    n3 = int(items.get("N3", nb if org == "BSQ" else nl))
+    first = len(data) - len(inner) + int(re.match(rb"LBLSIZE\s*=\s*(\d+)", inner)[1])
+    if inner is not data and (place := wrapper_places(data)[1]):
+        first = place
+    return label_text(data, first + int(items.get("RECSIZE", 0)) * (int(items.get("NLB", 0)) + n2 * n3))
+
+
+def wrapper_lines(data: bytes) -> list[tuple[str, str, str]]:
+    """(object or group the item is in, name, value) of a wrapper's text label, up to its END line; values of one line."""
+    found, inside = [], []
+    for line in re.split(rb"[\r\n\v\f]+", data):
+        text = line.decode("latin-1").strip()
+        if text == "END":
+            break
+        name, _, value = (part.strip() for part in text.partition("="))
+        if name in ("OBJECT", "GROUP"):
+            inside.append(value)
+        elif name in ("END_OBJECT", "END_GROUP"):
+            inside[-1:] = []
+        elif value:
+            found.append((inside[-1] if inside else "", name, value.strip("\"'")))
+    return found
+
+
+def wrapper_places(data: bytes) -> tuple[int, int]:
+    """Where a wrapper tells that the inner label and the samples begin, in bytes; 0 for what it doesn't tell."""
+    told = {name: value for _, name, value in wrapper_lines(data)}
+    record = int(told.get("RECORD_BYTES", 0) or 0)
+
+    def place(name: str) -> int:
+        number = re.search(r"\d+\s*\)?$", told.get(name, ""))
+        return record * (int(number[0].rstrip(") ")) - 1) if number and record else 0
+
+    return place("^IMAGE_HEADER"), place("^IMAGE")
+
+
+def is_wrapper(data: bytes) -> bool:
+    return re.match(rb"\s*(?:ODL_VERS|PDS_VERS|RECORD_TYPE)", data[:64]) is not None
+
+
 def unwrapped(data: bytes) -> bytes:
     """The labelled raster inside a wrapper whose first lines tell its record size and place, or the data itself."""
     if data[:7] == b"LBLSIZE":
         return data
-    record, place = re.search(rb"RECORD_BYTES\s*=\s*(\d+)", data[:65536]), re.search(rb"\^IMAGE_HEADER\s*=\s*\(?[^)\d]*(\d+)", data[:65536])
-    return data[int(record[1]) * (int(place[1]) - 1) :] if record and place else b""
+    start = wrapper_places(data)[0] if is_wrapper(data) else 0
+    return data[start:] if start else b""
+
+
+def wrapper_header(data: bytes) -> dict:
+    """Header fields that a wrapper's own IMAGE object tells; used where it has no inner label."""
+    image = {name: value for place, name, value in wrapper_lines(data) if place == "IMAGE"}
+    bits = int(image["SAMPLE_BITS"])
+    if bits not in (8, 16, 32, 64):
+        return {"error": f"sample bits {bits}"}
+    size = {"width": int(image["LINE_SAMPLES"]), "height": int(image["LINES"]), "bands": int(image.get("BANDS", 1))}
+    return {"format": "label"} | size | {"bytes_per_sample": bits // 8, "is_float": image.get("SAMPLE_TYPE") in ("IEEE_REAL", "PC_REAL"), "has_alpha": False}
+
+
+def details(data: bytes, bands: int, bits: int, gamma: float | None, black: bool) -> dict:
+    """significant_bits, gamma and invalid (values of all bands each) that a label tells, with defaults for what it doesn't.
+
+    Invalid and missing constants may be a number for all bands or one for each; UNK and unreadable ones don't count.
+    """
+    texts = [label_text(unwrapped(data))] if unwrapped(data) else [f"{n}='{v}'" for _, n, v in wrapper_lines(data)]
+    told: dict[str, str] = {}
+    for text in texts:
+        for name, value in items_in(text):
+            told.setdefault(name, value.strip("'\"(){} "))
+    mask = re.fullmatch(r"2#0*(1+)#", told.get("SAMPLE_BIT_MASK", ""))
+    shown, known = told.get("GAMMA_CORRECTION", told.get("GAMMA", "")), gamma
+    if shown.lower() == "srgb":
+        known = 0.45
+    elif re.fullmatch(r"[0-9.]+([eE][+-]?\d+)?", shown) and float(shown):
+        known = 1 / float(shown)
+    invalid = []
+    for name in ("INVALID_CONSTANT", "MISSING_CONSTANT"):
+        try:
+            values = [float(v) for v in told.get(name, "").split(",") if v.strip()]
+        except ValueError:
+            continue
+        if values:
+            invalid.append(values if len(values) == bands else [values[0]] * bands)
+    if black:
+        invalid.append([0.0] * bands)
+    return {"significant_bits": len(mask[1]) if mask else bits, "gamma": known, "invalid": [v for i, v in enumerate(invalid) if v not in invalid[:i]]}
+
+
+DETAILS = "path string, significant_bits int, gamma double, invalid array<array<double>>"
+
+
+def label_details(found: DataFrame, bits: int = 12, gamma: float | None = None, black: bool = False) -> DataFrame:
+    """DETAILS of labelled files (path, content); floats have all their bits. Other files give no row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("significant_bits", pa.int32()), ("gamma", pa.float64()), ("invalid", pa.list_(pa.list_(pa.float64())))])
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head = header(data)
+                if head.get("format") == "label":
+                    rows.append({"path": path} | details(data, head["bands"], 8 * head["bytes_per_sample"] if head["is_float"] else bits, gamma, black))
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return found.select("path", "content").mapInArrow(read, DETAILS)
+
+
+def labels_of(found: DataFrame) -> DataFrame:
+    """path, part (0: the leading label, 1: the one behind the samples), text of labelled files (path, content)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts = (label_text(unwrapped(data)), end_label(data))
+                rows += [(path, part, text) for part, text in enumerate(texts) if text]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "part", "text"])
+
+    return found.select("path", "content").mapInArrow(read, "path string, part int, text string")
 
 
 def header(data: bytes) -> dict:
@@ -94,7 +222,7 @@ def header(data: bytes) -> dict:
         return {"format": "tiff", "width": tags[256][0], "height": tags[257][0], "bands": bands, "bytes_per_sample": bits[0] // 8, "is_float": tags.get(339, (1,))[0] == 3, "has_alpha": bool(tags.get(338))}
     items = label_items(unwrapped(data))
     if not items:
-        return {"error": "no known format"}
+        return wrapper_header(data) if is_wrapper(data) else {"error": "no known format"}
     if items.get("FORMAT") not in SAMPLES:
         return {"error": f"sample format {items.get('FORMAT')}"}
     size, kind = SAMPLES[items["FORMAT"]]
@@ -102,7 +230,15 @@ def header(data: bytes) -> dict:
 
 
 def headers(found: DataFrame, prefix: int = 1 << 16) -> DataFrame:
-    """HEADER of files (path, content) from their first ``prefix`` bytes; files that can't be read have an error."""
+    """HEADER of files (path, content); files that can't be read have an error.
+
+    PNG headers and the first label stand at a file's beginning, so ``prefix`` bytes are passed on; TIFF and JPEG files,
+    whose headers may stand anywhere, and longer labels are passed on whole.
+    """
+    label_size = F.regexp_extract(F.decode(F.substring("content", 1, 64), "ISO-8859-1"), r"^LBLSIZE\s*=\s*([0-9]+)", 1).try_cast("long")
+    first = F.hex(F.substring("content", 1, 4))
+    whole = first.isin("49492A00", "4D4D002A") | first.startswith("FFD8") | (F.coalesce(label_size, F.lit(0)) > prefix)
+    head = F.when(whole, F.col("content")).otherwise(F.substring("content", 1, prefix)).alias("head")
 
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in HEADER.split(", "))])
@@ -117,7 +253,7 @@ def headers(found: DataFrame, prefix: int = 1 << 16) -> DataFrame:
                     rows.append({"path": path, "error": f"{type(broken).__name__}: {broken}"})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return found.select("path", F.substring("content", 1, prefix).alias("head")).mapInArrow(read, HEADER)
+    return found.select("path", head).mapInArrow(read, HEADER)
 
 
 def samples(data: bytes) -> np.ndarray:
@@ -166,11 +302,14 @@ def png_samples(data: bytes) -> np.ndarray:
             out[y] = (line + (up if kind == 2 else 0)) & 255
             continue
         now = out[y]
+        if kind == 1:  # running sums of each byte place
+            out[y] = (np.cumsum(line.reshape(width, step), axis=0) & 255).reshape(-1)
+            continue
         for i in range(width * step):  # these filters hang on the sample to the left
             a, b, c = (int(now[i - step]) if i >= step else 0), int(up[i]), (int(up[i - step]) if i >= step else 0)
             p = a + b - c
             near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            now[i] = (int(line[i]) + (a if kind == 1 else (a + b) // 2 if kind == 3 else near)) & 255
+            now[i] = (int(line[i]) + ((a + b) // 2 if kind == 3 else near)) & 255
     return out.view(f">u{depth // 8}").reshape(height, width, bands).transpose(2, 0, 1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def labelled_file(cube: np.ndarray, org: str = "BSQ", extra: str = "") -> bytes:
@@ -19,12 +20,14 @@ def labelled_file(cube: np.ndarray, org: str = "BSQ", extra: str = "") -> bytes:
     return f"LBLSIZE={size:<8} {text}".encode("latin-1").ljust(size, b"\0") + body
 
 
-def encode(pixels: DataFrame) -> DataFrame:
-    """path, content: one 16-bit file per image; an image is one group."""
+def encode(pixels: DataFrame, lines: int = 256) -> DataFrame:
+    """path (image/strip), content: a 16-bit file for each strip of ``lines`` lines of an image."""
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((rows["band"].max() + 1, rows["y"].max() + 1, rows["x"].max() + 1), np.int16)
-        cube[rows["band"], rows["y"], rows["x"]] = rows["dn"]
-        return pd.DataFrame({"path": [key[0]], "content": [labelled_file(cube, ("BSQ", "BIL", "BIP")[len(key[0]) % 3])]})
+        y = rows["y"] - key[1] * lines
+        cube = np.zeros((rows["band"].max() + 1, y.max() + 1, rows["x"].max() + 1), np.int16)
+        cube[rows["band"], y, rows["x"]] = rows["dn"]
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}"], "content": [labelled_file(cube, ("BSQ", "BIL", "BIP")[key[1] % 3])]})
 
-    return pixels.groupBy("image_id").applyInPandas(write, "path string, content binary")
+    strips = pixels.select("image_id", F.expr(f"y div {lines}").alias("strip"), "y", "x", "band", "dn")
+    return strips.groupBy("image_id", "strip").applyInPandas(write, "path string, content binary")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,41 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("append").partitionBy("image_id", "level").parquet(path)
 
 
+def write_tile_files(tiles: DataFrame, root: str, hash_column: str = "image_id") -> DataFrame:
+    """Write each tile as a file ROOT/HASH/image_files/LEVEL/COL_ROW.FORMAT; gives (image_id, level, col, row, path, bytes).
+
+    ``root`` is a URI of a file system that all executors share. A retried task writes the same files again.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                folder = f"{base}/{r['hash']}/image_files/{r['level']}"
+                store.create_dir(folder, recursive=True)
+                r["path"], r["bytes"] = f"{folder}/{r['col']}_{r['row']}.{r['format']}", len(r["data"])
+                with store.open_output_stream(r["path"]) as stream:
+                    stream.write(r["data"])
+            fields = [("image_id", pa.string()), ("level", pa.int32()), ("col", pa.int32()), ("row", pa.int32()), ("path", pa.string()), ("bytes", pa.int64())]
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k, _ in fields} for r in rows], pa.schema(fields))
+
+    chosen = tiles.select("image_id", F.col(hash_column).alias("hash"), "level", "col", "row", "format", "data")
+    return chosen.mapInArrow(put, "image_id string, level int, col int, row int, path string, bytes long")
+
+
+def written_per_level(manifest: DataFrame) -> DataFrame:
+    """How many different tiles of each image and level were written."""
+    return manifest.select("image_id", "level", "col", "row").distinct().groupBy("image_id", "level").agg(F.count(F.lit(1)).alias("tiles"))
+
+
+def write_texts(rows: DataFrame, path: str, text: str, by: str) -> None:
+    """A text column as text files, in a folder for each value of ``by``."""
+    rows.select(F.col(text).alias("value"), by).write.mode("append").partitionBy(by).text(path)
+
+
 def without(table: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """A table without the subtrees of the removed keys, to be written in its place."""
     return table.join(removed.select(key).distinct(), key, "left_anti")
