@@ -29,17 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import partitions, written
+from .shared import bitmap_of, discard, partitions, without, written
 from .text_stats import WordHashes, mixed, shingles
 
 #: The threshold as a fraction.
 THRESHOLD = (75, 100)
 #: Parts of a window per shingle of its largest set, and at least.
 PARTS_PER_SHINGLE, LEAST_PARTS = 0.4, 64
-#: Shingles of a chunk in the second round, which bounds the memory of a task.
-CHUNK = 300_000
-#: Bits of the filter that lets only compared documents' sets be shuffled: a bound of what is sent to tasks.
-FILTER_BITS = 1 << 24
+#: Shingles and classes of a chunk in the second round, which bound the memory of a task, and rows compared at once.
+CHUNK, CHUNK_CLASSES, ROWS_AT_ONCE, ELEMENTS_AT_ONCE = 300_000, 8192, 512, 2048
 
 
 def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
@@ -260,19 +258,15 @@ def grouped(kept: DataFrame) -> DataFrame:
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, members (the sorted hashes as longs) for ``wanted`` (class, doc_id).
 
-    A bitmap of FILTER_BITS lets most other documents go before anything is shuffled; the join then is exact.
+    A bitmap lets most other documents go before anything is shuffled; the join then is exact.
     """
-    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(bit().alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(FILTER_BITS // 32, "<u4")
-    bitmap[[r["word"] for r in words]] = [r["bits"] for r in words]
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bitmap = bitmap_of(wanted, F.xxhash64("doc_id"))
+    sent, size = docs.sparkSession.sparkContext.broadcast(bitmap), bitmap.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), sent.value
+        hashes = WordHashes()
         for batch in batches:
-            at = np.array(batch.column(2))
-            rows = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            rows = np.flatnonzero(sent.value.hits(np.array(batch.column(2))))
             for some in np.array_split(rows, len(rows) // 256 + 1):
                 if len(some):
                     chosen = batch.take(pa.array(some))
@@ -281,19 +275,19 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([chosen.column(0), lists], ["doc_id", "members"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    passed = docs.select("doc_id", "text", bit().alias("bit")).mapInArrow(sets, f"doc_id {kind}, members array<long>")
-    return wanted.join(passed, wanted["doc_id"].eqNullSafe(passed["doc_id"])).select("class", "members")
+    passed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit")).mapInArrow(sets, f"doc_id {kind}, members array<long>")
+    return passed.join(wanted.hint("merge"), wanted["doc_id"].eqNullSafe(passed["doc_id"])).select("class", "members")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """a, b, shared, union of the ``pairs`` (a, b: classes) that reach the threshold. ``firsts``: class, doc_id, n_shingles."""
     num, den = THRESHOLD
     sizes = firsts.select("class", "n_shingles")
-    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    sized = pairs.hint("merge").join(sizes.toDF("a", "n_a"), "a").hint("merge").join(sizes.toDF("b", "n_b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
     sized = written(sized, "pairs")
-    wanted = sized.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(firsts, "class").select("class", "doc_id")
+    wanted = sized.select(F.explode(F.array("a", "b")).alias("class")).distinct().hint("merge").join(firsts, "class").select("class", "doc_id")
     sets = written(class_sets(docs, written(wanted, "wanted")), "sets")
-    met = sized.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    met = sized.hint("merge").join(sets.toDF("b", "set_b"), "b").hint("merge").join(sets.toDF("a", "set_a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     met = met.select("a", "b", "n_a", "n_b", shared.alias("shared")).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("shared"))
     return met.where(den * F.col("shared") >= num * F.col("union")).select("a", "b", "shared", "union")
@@ -309,13 +303,14 @@ def split_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
 def dealt_blocks(split: DataFrame, firsts: DataFrame) -> DataFrame:
     """class, component, cluster, low, high, chunk: every class with all that it may still link to.
 
-    Classes that groups connect form a cluster. A cluster is cut by hash into chunks of about CHUNK shingles, and each
-    pair of chunks (low <= high) is a block of its own, so a block's size doesn't grow with the cluster's.
+    Classes that groups connect form a cluster. A cluster is cut by hash into chunks of about CHUNK shingles and
+    CHUNK_CLASSES classes at most, and each pair of chunks (low <= high) is a block of its own, so a block's size doesn't
+    grow with the cluster's.
     """
     lead = split.groupBy("group").agg(F.min("class").alias("a"))
     cluster = connected_components(split.join(lead, "group").select("a", F.col("class").alias("b"))).withColumnRenamed("component", "cluster")
     members = split.select("class", "component").distinct().join(cluster, F.col("class") == F.col("node")).join(firsts.select("class", "n_shingles"), "class")
-    sizes = members.groupBy(F.col("cluster").alias("at")).agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"))
+    sizes = members.groupBy(F.col("cluster").alias("at")).agg(F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count(F.lit(1)) / CHUNK_CLASSES)).cast("int").alias("chunks"))
     placed = members.join(sizes, F.col("cluster") == F.col("at")).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     return placed.select("class", "component", "cluster", "chunk", other).select("class", "component", "cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
@@ -333,24 +328,39 @@ def compared_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         owner = np.repeat(np.arange(len(n)), n)
         low, high = key[1].as_py(), key[2].as_py()
         rows, columns = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        column_place = np.full(len(n), -1)
+        column_place[columns] = np.arange(len(columns))
         order = np.argsort(values, kind="stable")
         starts, lengths = runs(values[order])
         element = np.repeat(np.cumsum(lengths > 1) - 1, lengths)[np.repeat(lengths > 1, lengths)]
         holder = owner[order][np.repeat(lengths > 1, lengths)]
-        shared = np.zeros((len(rows), len(columns)), np.float32)
-        for at in range(0, int(element[-1]) + 1 if len(element) else 0, 2048):  # elements that two sets hold, some at a time
-            some = slice(*np.searchsorted(element, [at, at + 2048]))
-            held = np.zeros((len(n), 2048), np.float32)
-            held[holder[some], element[some] - at] = 1
-            shared += held[rows] @ held[columns].T
-        shared = np.rint(shared).astype(np.int64)
-        union = n[rows][:, None] + n[columns][None, :] - shared
-        linked = (den * shared >= num * union) & (parts[rows][:, None] != parts[columns][None, :])
-        if low == high:
-            linked = np.triu(linked, 1)
-        i, j = np.nonzero(linked)
-        a, b = classes[rows][i], classes[columns][j]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared[i, j]), "union": pa.array(union[i, j])})
+        tops = np.searchsorted(element, np.arange(0, (int(element[-1]) + 1 if len(element) else 0) + ELEMENTS_AT_ONCE, ELEMENTS_AT_ONCE))
+        found = [[] for _ in range(4)]
+        for first in range(0, len(rows), ROWS_AT_ONCE):
+            mine = rows[first : first + ROWS_AT_ONCE]
+            place = np.full(len(n), -1)
+            place[mine] = np.arange(len(mine))
+            shared = np.zeros((len(mine), len(columns)), np.float32)
+            for number, (x, y) in enumerate(zip(tops[:-1], tops[1:], strict=True)):  # elements that two sets hold, some at a time
+                holders, at = holder[x:y], element[x:y] - number * ELEMENTS_AT_ONCE
+                here = place[holders] >= 0
+                if not here.any():
+                    continue
+                left, right = np.zeros((len(mine), ELEMENTS_AT_ONCE), np.float32), np.zeros((len(columns), ELEMENTS_AT_ONCE), np.float32)
+                left[place[holders[here]], at[here]] = 1
+                other = column_place[holders] >= 0
+                right[column_place[holders[other]], at[other]] = 1
+                shared += left @ right.T
+            shared = np.rint(shared).astype(np.int64)
+            union = n[mine][:, None] + n[columns][None, :] - shared
+            linked = (den * shared >= num * union) & (parts[mine][:, None] != parts[columns][None, :])
+            if low == high:
+                linked &= np.arange(len(columns))[None, :] > first + np.arange(len(mine))[:, None]
+            i, j = np.nonzero(linked)
+            for column, more in zip(found, (classes[mine][i], classes[columns][j], shared[i, j], union[i, j]), strict=True):
+                column.append(more)
+        a, b, shared, union = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared), "union": pa.array(union)})
 
     met = blocks.join(sets, "class")
     return met.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long, shared long, union long")
@@ -398,10 +408,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id and its text count once; rows with a null doc_id stay.
     """
     told = written(components(docs), "components")
-    gone = told.where("component_id <> doc_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = told.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = written(told.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    repeated = written(told.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    key, same = (lambda df: F.xxhash64(df["doc_id"])), (lambda rows, ids: rows["doc_id"] == ids["_gone_doc_id"])
+    stay = without(docs, gone, key, same)
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = stay.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(stay, repeated, key, same).unionByName(once.select(docs.columns))
