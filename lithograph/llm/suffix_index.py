@@ -1,27 +1,33 @@
 """Exact removal of repeated 50-byte strings with a logarithmic index family (operator 10).
 
-The index is a family of levels, each a sorted array of sampled suffixes. A suffix is sampled where its first ANCHOR
-bytes hash lowest in some LENGTH-byte window (a minimizer), so every string of LENGTH bytes holds one sampled suffix,
-and two documents that share the string sampled the same one. Documents arrive in batches of ascending doc_id. A batch
-gets its own sorted array, which is merge-scanned against every level and in itself: anchors found twice are long-match
-candidates. The array then becomes a level; levels of equal size merge into one of twice the size, so n batches leave at
-most log2(n) + 1 levels and each entry is rewritten that often. Arrays are cut by hash into buckets that Spark deals out.
-
-Candidates are verified exactly: the text around each shared anchor (the windows that have it) is dealt out by anchor,
-all its LENGTH-byte windows are hashed, the smallest doc_id of each hash is found, and the windows that start in a smaller
-doc_id too are sent back to their documents, whose bytes they remove. Of equal whole texts only the first is verified: all
-windows of the others start in it.
+The index is a family of levels, each a suffix array: sampled suffixes in the order of their first bytes. A suffix is
+sampled where its first ANCHOR bytes hash lowest in some LENGTH-byte window (a minimizer), so every string of LENGTH bytes
+holds one sampled suffix, and two documents that share the string sampled the same one. An entry has the suffix's first
+KEY bytes, by which arrays are sorted, and 48 bits of a hash of its first ANCHOR bytes, which orders and parts what agrees
+that far. Arrays are dealt by that hash into buckets, as many as the bytes of the input ask for.
+
+Documents arrive in batches. A batch gets its own array, which is merge-scanned against every level and in itself:
+neighbours that agree in ANCHOR bytes are long-match candidates. The array then becomes a level; two levels of equal size
+merge into one of twice the size, so n batches leave at most log2(n) + 1 levels and each entry is rewritten that often. An
+index that is kept (``Index``) takes further batches.
+
+Candidates are verified exactly: the text around each shared anchor (the windows that have it) is dealt out by anchor, all
+its LENGTH-byte windows are grouped by hash and compared byte by byte with the one of the smallest doc_id, and the windows
+that start in a smaller doc_id too are sent back to their documents, whose bytes they remove. Of equal whole texts only the
+first is verified: all windows of the others start in it.
 
 No task gets all holders of a frequent passage. An anchor that many documents of one pack hold is told to them at once,
 and one entry of it enters the index. Before stretches are dealt out, equal ones of a pack are left to the smallest
 doc_id. Stretches around common anchors, which can all differ where the passage ends, are not dealt out by anchor: their
-windows are judged within the pack, and each window's smallest doc_id of the pack is dealt out by the window's hash, so
-that a window comes once from each pack. Which anchors are common is kept in a bitmap; one that shares its bit is treated
-alike in all packs, so it only takes the other way to the same result.
+windows are judged within the pack, and each window's smallest doc_id of the pack is dealt out by the window's hash (these
+alone are compared by 128 bits of hashes instead of bytes), so that a window comes once from each pack. Which anchors are
+common is kept in a bitmap; one that shares its bit is treated alike in all packs, so it only takes the other way to the
+same result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,25 +39,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import PACKED, cut, runs
-from .shared import FILTER_BITS, partitions, passing, written
+from .shared import discard, new_folder, passing, write, written
 from .text_stats import mixed
 
-LENGTH, ANCHOR = 50, 24
-BATCHES = 2
+LENGTH, ANCHOR, KEY = 50, 24, 8
+#: Batches that a table is taken into the index in.
+BATCHES = 8
+#: Bytes of text whose entries, or whose stretches, make up a bucket, about; and least buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 16
 #: An anchor is common if more entries of a batch have it, or more than an eighth as many documents of one pack.
 COMMON = 1000
-MULTIPLIER = 0xD6E8FEB86659FD93
-ANCHORED = np.dtype([("low", "<u4"), ("high", "<u2"), ("of", "<u2")])
-#: A level's entry: 48 bits of an anchor hash and the place of its first document in the bucket's table.
-PLACED = np.dtype([("low", "<u4"), ("high", "<u2"), ("of", "<u4")])
+MULTIPLIER, SECOND_MULTIPLIER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Bits of the bitmap of common anchors.
+FILTER_BITS = 1 << 24
+#: An entry of a batch: the suffix's first KEY bytes as a number, 48 bits of its anchor's hash, its document in the blob's table.
+ANCHORED = np.dtype([("key", "<u8"), ("low", "<u4"), ("high", "<u2"), ("of", "<u2")])
+#: A level's entry: the same, with the place of its first document in the bucket's table.
+PLACED = np.dtype([("key", "<u8"), ("low", "<u4"), ("high", "<u2"), ("of", "<u4")])
 HELD = np.dtype([("doc", "<i8"), ("value", "<u8")])
+#: A window around a common anchor: its document and two hashes.
+LEAST = np.dtype([("doc", "<i8"), ("value", "<u8"), ("second", "<u8")])
 #: A stretch of text around an anchor, before its bytes; a window or a whole stretch that is to be removed.
 STRETCH = np.dtype([("doc", "<i8"), ("size", "<u4")])
 REMOVED = np.dtype([("doc", "<i8"), ("hash", "<u8"), ("whole", "u1")])
 LOW_48 = np.uint64((1 << 48) - 1)
 
 
-def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
+def byte_hashes(data: np.ndarray, k: int, multiplier: int = MULTIPLIER) -> np.ndarray:
     """Hashes of all k-byte windows, by joining windows of powers of two."""
     table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     power, size, out, done = table[data], 1, None, 0
@@ -61,12 +75,12 @@ def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
                 out, done = power, size
             else:
                 n = len(data) - done - size + 1
-                out = out[:n] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + power[done : done + n]
+                out = out[:n] * np.uint64(pow(multiplier, size, 1 << 64)) + power[done : done + n]
                 done += size
         if done == k:
             return mixed(out)
         n = len(power) - size
-        power = power[:n] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + power[size : size + n]
+        power = power[:n] * np.uint64(pow(multiplier, size, 1 << 64)) + power[size : size + n]
         size *= 2
 
 
@@ -80,9 +94,43 @@ def window_anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[width - size : width - size + n])
 
 
-def distinct_anchors(data: np.ndarray) -> np.ndarray:
-    values = window_anchors(data)
-    return np.unique(values[np.concatenate([[True], values[1:] != values[:-1]])])
+def sampled_places(data: np.ndarray) -> np.ndarray:
+    """Where the sampled suffixes of a text begin; of suffixes that agree in their first ANCHOR bytes, one place."""
+    hashes = byte_hashes(data, ANCHOR)
+    least, width, size = hashes, LENGTH - ANCHOR + 1, 1
+    n = len(least) - width + 1
+    while size * 2 <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    values = np.unique(np.minimum(least[:n], least[width - size : width - size + n]))
+    found = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+    at = np.flatnonzero(values[found] == hashes)
+    place = np.zeros(len(values), np.int64)
+    place[found[at]] = at
+    return place
+
+
+def suffix_entries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys: the first KEY bytes as big-endian numbers, anchor hashes) of a text's sampled suffixes."""
+    place = sampled_places(data)
+    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, KEY)[place])
+    return first.view(">u8").astype(np.uint64).reshape(-1), byte_hashes(data, ANCHOR)[place]
+
+
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the runs of rows whose neighbours are equal in all columns."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, n))
+
+
+def buckets_for(n_bytes: int) -> int:
+    """Buckets for so many bytes of text: their number hangs on the data alone."""
+    return max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES)
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
@@ -93,21 +141,24 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return written(texts.join(first, "sha256", "left"), "texts")
 
 
-def sampled_suffixes(docs: DataFrame, buckets: int, common: int = COMMON) -> DataFrame:
-    """Anchors of the documents (doc_id, text), packed by bucket; rows: level, bucket, entries.
+def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: int = COMMON) -> DataFrame:
+    """Suffix entries of the documents (doc_id, text), packed by batch and bucket; rows: batch, level, bucket, entries.
 
-    Level -1: a table of doc_ids, then ANCHORED entries. Anchors that more than common / 8 documents of a pack hold have
-    one entry there, of the smallest doc_id. Level -2: HELD of all documents that hold those. Level -3: those anchors.
+    A document's batch is the number of ``bounds`` (ascending doc_ids) below its doc_id. Level -1: a table of doc_ids, then
+    ANCHORED entries in suffix order. Anchors that more than common / 8 documents of a pack hold have one entry there, of
+    the smallest doc_id. Level -2: HELD of all documents that hold those. Level -3: those anchors.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, ids, size = [], [], 0
+        waiting: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
+        size = 0
 
-        def dealt() -> pa.RecordBatch:
-            values, of = np.concatenate(waiting), np.repeat(np.arange(len(ids)), [len(w) for w in waiting])
+        def dealt(batch: int) -> pa.RecordBatch:
+            waiting_keys, waiting_values, ids = waiting.pop(batch)
+            keys, values, of = np.concatenate(waiting_keys), np.concatenate(waiting_values), np.repeat(np.arange(len(ids)), [len(w) for w in waiting_values])
             known = np.array(ids, "<i8")
-            order = np.lexsort((known[of], values))
-            starts, lengths = runs(values[order])
+            order = np.lexsort((known[of], values, keys))  # the pack's suffix array
+            starts, lengths = runs_of(values[order], keys[order])
             many = lengths > common // 8
             told = order[np.repeat(many, lengths)]
             held = np.zeros(len(told), HELD)
@@ -115,20 +166,20 @@ def sampled_suffixes(docs: DataFrame, buckets: int, common: int = COMMON) -> Dat
             frequent = np.unique(values[order[starts[many]]])
             alone = np.repeat(~many, lengths)
             alone[starts] = True
-            values, of = values[order[alone]], of[order[alone]]
-            order, bounds, found = cut((values >> np.uint64(40)) % np.uint64(buckets))
+            keys, values, of = keys[order[alone]], values[order[alone]], of[order[alone]]
+            order, cuts, found = cut((values >> np.uint64(16)) % np.uint64(buckets))  # stable: buckets stay in suffix order
             blobs = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 v, (here, local) = values[order[a:b]], np.unique(of[order[a:b]], return_inverse=True)
                 rows = np.zeros(b - a, ANCHORED)
-                rows["low"], rows["high"], rows["of"] = v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
+                rows["key"], rows["low"], rows["high"], rows["of"] = keys[order[a:b]], v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
                 blobs.append(len(here).to_bytes(4, "little") + known[here].tobytes() + rows.tobytes())
-            waiting.clear(), ids.clear()
             parts = [(-1, found.astype(np.int64).tolist(), blobs), (-2, *_by_document(held, buckets)[1:])]
-            order, bounds, found = cut((frequent >> np.uint64(40)) % np.uint64(buckets))
+            order, cuts, found = cut((frequent >> np.uint64(16)) % np.uint64(buckets))
             frequent = frequent[order] & LOW_48
-            parts.append((-3, found.astype(np.int64).tolist(), [frequent[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
-            return _kinds(parts, "level").to_batches()
+            parts.append((-3, found.astype(np.int64).tolist(), [frequent[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+            rows = _kinds(parts, "level")
+            return rows.add_column(0, "batch", pa.array([batch] * rows.num_rows, pa.int32())).to_batches()
 
         seen = set()  # of copies in one task, one enters: its first document is found later
         for batch in batches:
@@ -139,34 +190,38 @@ def sampled_suffixes(docs: DataFrame, buckets: int, common: int = COMMON) -> Dat
                 seen.add(digest)
                 if len(seen) > 500_000:
                     seen.clear()
-                waiting.append(distinct_anchors(np.frombuffer(data, np.uint8)))
-                ids.append(doc)
-                size += len(waiting[-1])
-                if len(ids) >= 16_384 or size > 1_500_000:
-                    yield from dealt()
+                keys, values = suffix_entries(np.frombuffer(data, np.uint8))
+                number = bisect.bisect_left(bounds, doc)
+                for column, new in zip(waiting[number], (keys, values, doc), strict=True):
+                    column.append(new)
+                size += len(values)
+                if len(waiting[number][2]) >= 16_384 or size > 1_500_000:
+                    for number in list(waiting):
+                        yield from dealt(number)
                     size = 0
-        if ids:
-            yield from dealt()
+        for number in list(waiting):
+            yield from dealt(number)
 
-    return docs.select("doc_id", "text").mapInArrow(sample, f"level int, {PACKED}")
+    return docs.select("doc_id", "text").mapInArrow(sample, f"batch int, level int, {PACKED}")
 
 
-def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(values of 48 bits, doc_ids) of packed blobs."""
-    values, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, values of 48 bits, doc_ids) of packed blobs."""
+    keys, values, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
         rows = np.frombuffer(blob, kind, -1, 4 + 8 * n)
+        keys.append(rows["key"].astype(np.uint64))
         values.append(rows["low"].astype(np.uint64) | (rows["high"].astype(np.uint64) << np.uint64(32)))
         docs.append(np.frombuffer(blob, "<i8", n, 4)[rows["of"]])
-    return np.concatenate(values), np.concatenate(docs)
+    return np.concatenate(keys), np.concatenate(values), np.concatenate(docs)
 
 
-def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bool, common: int = COMMON) -> DataFrame:
-    """Scan a batch's arrays against the levels; rows: kind, bucket, entries.
+def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, common: int = COMMON) -> DataFrame:
+    """Scan a batch's array (level, bucket, entries) against the levels; rows: kind, bucket, entries.
 
-    Kind 0: (anchor, doc) of all anchors that two documents hold, packed by document. Kind 1 (if ``keep``): the batch's
-    sorted array as a new level, which has each anchor once, with its first document. Kind 2: common anchors.
+    Kind 0: (anchor, doc) of all anchors that two documents hold, packed by document. Kind 1: the batch's array as a new
+    level, which has each anchor once, with its first document. Kind 2: common anchors.
     """
 
     def scan(table: pa.Table) -> pa.Table:
@@ -175,10 +230,10 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bo
         bucket = table.column("bucket")[0].as_py()
         new = opened([b for b, x in zip(blobs, level, strict=True) if x == -1], ANCHORED)
         old = opened([b for b, x in zip(blobs, level, strict=True) if x >= 0], PLACED)
-        values, docs = np.concatenate([new[0], old[0]]), np.concatenate([new[1], old[1]])
-        fresh = np.arange(len(values)) < len(new[0])
-        order = np.argsort(values, kind="stable")
-        starts, lengths = runs(values[order])
+        keys, values, docs = (np.concatenate(x) for x in zip(new, old, strict=True))
+        fresh = np.arange(len(values)) < len(new[1])
+        order = np.lexsort((values, keys))  # sorted runs are merged
+        starts, lengths = runs_of(values[order], keys[order])
         # of the levels alone, what is shared was told before
         told = (lengths > 1) & np.logical_or.reduceat(fresh[order], starts) if len(starts) else np.zeros(0, bool)
         shared = order[np.repeat(told, lengths)]
@@ -190,10 +245,10 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bo
                 out.append((kind, [bucket], [passed]))
         if (frequent := values[order[starts[lengths > common]]]).size:
             out.append((2, [bucket], [frequent.tobytes()]))
-        if keep:
-            order = np.lexsort((new[1], new[0]))
-            first = runs(new[0][order])[0]
-            out.append((1, [bucket], [_level(new[0][order[first]], new[1][order[first]])]))
+        order = np.lexsort((new[2], new[1], new[0]))
+        first = order[runs_of(new[1][order], new[0][order])[0]]
+        if len(first):
+            out.append((1, [bucket], [_level(new[0][first], new[1][first], new[2][first])]))
         return _kinds(out)
 
     rows = batch
@@ -203,21 +258,21 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, keep: bo
 
 
 def merge_levels(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One level of two: each anchor once, with its first document."""
+    """One level of two, in suffix order: each anchor once, with its first document."""
 
     def merge(table: pa.Table) -> pa.Table:
-        values, docs = opened(table.column("entries").to_pylist(), PLACED)
-        order = np.lexsort((docs, values))
-        first = order[runs(values[order])[0]]
-        return pa.table({"bucket": table.column("bucket")[:1], "entries": pa.array([_level(values[first], docs[first])], pa.binary())})
+        keys, values, docs = opened(table.column("entries").to_pylist(), PLACED)
+        order = np.lexsort((docs, values, keys))
+        first = order[runs_of(values[order], keys[order])[0]]
+        return pa.table({"bucket": table.column("bucket")[:1], "entries": pa.array([_level(keys[first], values[first], docs[first])], pa.binary())})
 
     return a.unionByName(b).groupBy("bucket").applyInArrow(merge, PACKED)
 
 
-def _level(values: np.ndarray, docs: np.ndarray) -> bytes:
+def _level(keys: np.ndarray, values: np.ndarray, docs: np.ndarray) -> bytes:
     table, of = np.unique(docs, return_inverse=True)
     rows = np.zeros(len(values), PLACED)
-    rows["low"], rows["high"], rows["of"] = values & np.uint64(0xFFFFFFFF), values >> np.uint64(32), of
+    rows["key"], rows["low"], rows["high"], rows["of"] = keys, values & np.uint64(0xFFFFFFFF), values >> np.uint64(32), of
     return len(table).to_bytes(4, "little") + table.astype("<i8").tobytes() + rows.tobytes()
 
 
@@ -233,27 +288,51 @@ def _kinds(parts: list[tuple[int, list[int], list[bytes]]], name: str = "kind")
     return pa.table({name: pa.array(kinds, pa.int32()), "bucket": pa.array([x for _, found, _ in parts for x in found], pa.int64()), "entries": pa.array([x for *_, blobs in parts for x in blobs], pa.binary())})
 
 
-def shared_anchors(docs: DataFrame, batches: int = BATCHES, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """Take the documents into the index family batch by batch; (bucket, entries) of HELD: anchors with two documents,
-    and (entries): common anchors."""
-    buckets = 2 * partitions(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    levels: dict[int, DataFrame] = {}
-    found, frequent = [], []
-    for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        part = docs if low is None else docs.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        last = i == len(bounds) - 2
-        scanned = written(merge_scan(sampled_suffixes(part, buckets, common), list(levels.values()), buckets, not last, common), "scanned")
-        found.append(scanned.where("kind = 0").select("bucket", "entries"))
-        frequent.append(scanned.where("kind = 2").select("entries"))
-        size, level = 0, scanned.where("kind = 1").select("bucket", "entries")
-        while not last and size in levels:  # equal levels merge into one of twice the size
-            level = written(merge_levels(levels.pop(size), level), "level")
-            size += 1
-        levels[size] = level
-    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, frequent)
+class Index:
+    """The family of levels, by the logarithm of their size in batches. ``add`` takes a batch in and keeps the rest.
+
+    All batches of an index have the same number of buckets.
+    """
+
+    def __init__(self, buckets: int, common: int = COMMON):
+        self.buckets, self.common, self.levels, self.merges = buckets, common, {}, 0
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Take in a batch (level, bucket, entries of ``sampled_suffixes``); ``merge_scan``'s rows of kinds 0 and 2."""
+        scanned = written(merge_scan(batch, list(self.levels.values()), self.buckets, self.common), "scanned")
+        size, level = 0, written(scanned.where("kind = 1").select("bucket", "entries"), "level")
+        while size in self.levels:  # equal levels merge into one of twice the size
+            other = self.levels.pop(size)
+            merged = written(merge_levels(other, level), "level")
+            discard(other, level)
+            level, size, self.merges = merged, size + 1, self.merges + 1
+        self.levels[size] = level
+        found = written(scanned.where("kind <> 1"), "found")
+        discard(scanned)
+        return found
+
+    def drop(self) -> None:
+        discard(*self.levels.values())
+        self.levels = {}
+
+
+def shared_anchors(docs: DataFrame, buckets: int, batches: int = BATCHES, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """Take the documents into an index batch by batch; (bucket, entries) of HELD: anchors with two documents, and
+    (entries): common anchors. Documents are read and sampled once; batches are of about as many documents each."""
+    spark = docs.sparkSession
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    bounds = sorted(set(cuts or []))
+    path = new_folder(spark, "sampled")
+    rows = sampled_suffixes(docs, buckets, bounds, common)
+    write(rows, path, "batch")
+    sampled = spark.read.schema(rows.schema).parquet(path)
+    sampled._written_to = path
+    index = Index(buckets, common)
+    found = [index.add(sampled.where(F.col("batch") == i).select("level", "bucket", "entries")) for i in range(len(bounds) + 1)]
+    index.drop()
+    discard(sampled)
+    every = reduce(DataFrame.unionByName, found)
+    return every.where("kind = 0").select("bucket", "entries"), every.where("kind = 2").select("entries")
 
 
 def common_bits(frequent: DataFrame) -> np.ndarray:
@@ -288,21 +367,36 @@ def per_document(held: DataFrame, kind: np.dtype, columns: dict[str, str]) -> Da
 
 
 def judged(heads: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(REMOVED: windows, and stretches all of whose windows, start in a smaller doc_id of ``heads`` too; HELD: each
-    window's hash with its smallest doc_id). ``text`` has the stretches of ``heads`` one after another."""
+    """(REMOVED: windows, and stretches all of whose windows, start in a smaller doc_id of ``heads`` too; LEAST: each
+    window with its smallest doc_id). ``text`` has the stretches of ``heads`` one after another."""
     import xxhash
 
+    data = np.frombuffer(text, np.uint8)
     windows = heads["size"].astype(np.int64) - LENGTH + 1
     begins = np.concatenate([[0], np.cumsum(heads["size"].astype(np.int64))[:-1]])
     owner = np.repeat(np.arange(len(heads)), windows)
     first = np.concatenate([[0], np.cumsum(windows)[:-1]])
     at = begins[owner] + np.arange(len(owner)) - first[owner]
-    hashes = byte_hashes(np.frombuffer(text, np.uint8), LENGTH)[at]
+    hashes = byte_hashes(data, LENGTH)[at]
     docs = heads["doc"][owner]
     order = np.lexsort((docs, hashes))
     starts, lengths = runs(hashes[order])
+    leader = np.repeat(order[starts], lengths)
+    later = docs[order] > docs[leader]
+    chosen, theirs, same = at[order[later]], at[leader[later]], np.zeros(int(later.sum()), bool)
+    views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    for a in range(0, len(chosen), 1 << 18):  # hashes only bring windows together; bytes decide
+        same[a : a + (1 << 18)] = (views[chosen[a : a + (1 << 18)]] == views[theirs[a : a + (1 << 18)]]).all(axis=1)
     flagged = np.zeros(len(order), bool)
-    flagged[order] = docs[order] > np.repeat(docs[order][starts], lengths)
+    flagged[order[later]] = same
+    if not same.all():  # windows whose hash is another's: each kind of bytes for itself
+        odd = np.isin(hashes, np.unique(hashes[order[later]][~same]))
+        smallest: dict[bytes, int] = {}
+        for i in np.flatnonzero(odd).tolist():
+            window = text[at[i] : at[i] + LENGTH]
+            smallest[window] = min(smallest.get(window, docs[i]), docs[i])
+        for i in np.flatnonzero(odd).tolist():
+            flagged[i] = docs[i] > smallest[text[at[i] : at[i] + LENGTH]]
     whole = np.add.reduceat(flagged, first) == windows
     some = np.flatnonzero(flagged & ~whole[owner])
     rows = np.zeros(len(some), REMOVED)
@@ -311,8 +405,8 @@ def judged(heads: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     more = np.zeros(len(all_of), REMOVED)
     more["doc"], more["whole"] = heads["doc"][all_of], 1
     more["hash"] = [xxhash.xxh3_64_intdigest(text[b : b + n]) for b, n in zip(begins[all_of].tolist(), heads["size"][all_of].tolist(), strict=True)]
-    least = np.zeros(len(starts), HELD)
-    least["doc"], least["value"] = docs[order][starts], hashes[order][starts]
+    least = np.zeros(len(starts), LEAST)
+    least["doc"], least["value"], least["second"] = docs[order][starts], hashes[order][starts], byte_hashes(data, LENGTH, SECOND_MULTIPLIER)[at[order[starts]]]
     return np.concatenate([rows, more]), least
 
 
@@ -320,7 +414,7 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
     """From doc, text, anchors: the different stretches of a pack of documents around these anchors; a row per bucket of
     the pack. ``common``: the bitmap of common anchors.
 
-    stretches: packed by anchor. least: HELD of windows around common anchors, packed by window hash. removed: REMOVED,
+    stretches: packed by anchor. least: LEAST of windows around common anchors, packed by window hash. removed: REMOVED,
     as far as the pack tells.
     """
     sent = texts.sparkSession.sparkContext.broadcast(common)
@@ -404,14 +498,14 @@ def verified(dealt: DataFrame, buckets: int) -> DataFrame:
             n = int.from_bytes(blob[:4], "little")
             heads.append(np.frombuffer(blob, STRETCH, n, 4))
             texts.append(blob[4 + n * STRETCH.itemsize :])
-        least = [np.frombuffer(b, HELD) for b in table.column("least").drop_null().to_pylist()]
+        least = [np.frombuffer(b, LEAST) for b in table.column("least").drop_null().to_pylist()]
         removed = [np.frombuffer(b, REMOVED) for b in table.column("removed").drop_null().to_pylist()]
         if heads:
             removed.append(judged(np.concatenate(heads), b"".join(texts))[0])
         if least:
             held = np.concatenate(least)
-            held = held[np.lexsort((held["doc"], held["value"]))]
-            starts, lengths = runs(held["value"])
+            held = held[np.lexsort((held["doc"], held["second"], held["value"]))]
+            starts, lengths = runs_of(held["value"], held["second"])
             held = held[held["doc"] > np.repeat(held["doc"][starts], lengths)]
             rows = np.zeros(len(held), REMOVED)
             rows["doc"], rows["hash"] = held["doc"], held["value"]
@@ -424,11 +518,13 @@ def verified(dealt: DataFrame, buckets: int) -> DataFrame:
 
 def dealt_candidates(docs: DataFrame, texts: DataFrame, buckets: int, batches: int = BATCHES, common: int = COMMON) -> DataFrame:
     """What is to be verified, dealt out: dealt_stretches of the documents that hold shared anchors. ``texts``: whole_texts."""
-    shared, frequent = shared_anchors(docs, batches, common)
+    shared, frequent = shared_anchors(docs, buckets, batches, common)
     held = per_document(shared, HELD, {"anchors": ""})
     firsts = texts.where("first is not null").select(F.col("doc_id").alias("at"), "first").distinct()
-    held = held.join(firsts, F.col("doc") == F.col("at")).groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
-    chosen = written(held, "held").join(docs.select("doc_id", "text"), F.col("first") == F.col("doc_id")).select(F.col("first").alias("doc"), "text", "anchors")
+    held = held.hint("merge").join(firsts, F.col("doc") == F.col("at")).groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
+    held = written(held, "held")
+    chosen = passing(docs.select("doc_id", "text"), held.select(F.col("first").alias("doc_id")))
+    chosen = chosen.join(held.hint("merge"), F.col("first") == F.col("doc_id")).select(F.col("first").alias("doc"), "text", "anchors")
     return dealt_stretches(chosen, buckets, common_bits(frequent))
 
 
@@ -457,10 +553,10 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, common: int = COMMON
     on the input. Null texts count as empty; texts under LENGTH bytes and null doc_ids keep all; rows that repeat a
     doc_id are judged against smaller doc_ids only; an empty table gives no rows; other columns are ignored.
     """
-    buckets = partitions(docs.sparkSession)
     texts = whole_texts(docs)
     plain = docs.select("doc_id", "text")
-    dealt = dealt_candidates(docs, texts, 4 * buckets, batches, common)  # a bucket's windows are hashed at once
+    buckets = buckets_for(texts.agg(F.sum("n_bytes")).first()[0] or 0)
+    dealt = dealt_candidates(docs, texts, buckets, batches, common)
     removed = written(per_document(verified(dealt, buckets), REMOVED, {"windows": "0", "wholes": "1"}), "removed")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,11 +570,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, common: int = COMMON
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names)
 
-    cut_texts = passing(plain, removed.select(F.col("doc").alias("doc_id"))).join(removed, F.col("doc_id") == F.col("doc"))
+    cut_texts = passing(plain, removed.select(F.col("doc").alias("doc_id"))).join(removed.hint("merge"), F.col("doc_id") == F.col("doc"))
     done = cut_texts.where(f"octet_length(text) >= {LENGTH}").select("doc_id", "text", "windows", "wholes").mapInArrow(finish, "cut_id long, cut_removed long, cut_spans long, cut_from string, cut_sha256 string, kept binary")
     done = done.dropDuplicates(["cut_id", "cut_from"])
     again = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first"))
-    out = texts.join(done, (F.col("doc_id") == F.col("cut_id")) & (F.col("sha256") == F.col("cut_from")), "left")
+    out = texts.join(done.hint("merge"), (F.col("doc_id") == F.col("cut_id")) & (F.col("sha256") == F.col("cut_from")), "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
         "doc_id", "n_bytes",

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from lithograph.llm import decontamination, jaccard_join, mixing, queries, sharding, suffix_index, weak_rules
@@ -108,7 +109,7 @@ def slow_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 5])
+@pytest.mark.parametrize("batches", [1, 5, 8])
 def test_repeats_equal_brute_force(make, batches):
     rng = random.Random(batches)
     letters = "abcde é"
@@ -131,6 +132,45 @@ def test_repeats_of_odd_rows(odd):
     assert got[(0, 0)] == got[(1, 0)] == got[(4, 0)] == 1 and got[(5, 0)] == 2 and sum(got.values()) == odd.count()
 
 
+def test_index_levels_are_suffix_arrays_that_merge(make):
+    """Batches leave levels of distinct sizes; each bucket is in the order of its suffixes' first bytes; a kept index
+    tells of a later batch what it shares with earlier ones."""
+    rng = random.Random(3)
+    letters = "abcdefgh "
+    passage = "".join(rng.choices(letters, k=60))
+    texts = ["".join(rng.choices(letters, k=120)) for _ in range(70)]
+    texts[3] += passage
+    texts[66] = passage + texts[66]
+    docs = make(texts)
+    index, told = suffix_index.Index(16), []
+    for i in range(0, 70, 10):
+        batch = suffix_index.sampled_suffixes(docs.where(f"doc_id between {i} and {i + 9}"), 16, []).drop("batch")
+        told.append(suffix_index.per_document(index.add(batch).where("kind = 0").select("bucket", "entries"), suffix_index.HELD, {"anchors": ""}).collect())
+    assert sorted(index.levels) == [0, 1, 2] and index.merges == 4
+    assert {r["doc"] for r in told[-1]} >= {3, 66} and not any(told[:-1])
+    entries = 0
+    for level in index.levels.values():
+        for r in level.collect():
+            keys, values, _ = suffix_index.opened([bytes(r["entries"])], suffix_index.PLACED)
+            pairs = list(zip(keys.tolist(), values.tolist(), strict=True))
+            assert pairs == sorted(set(pairs))
+            entries += len(pairs)
+    want = set()
+    for t in texts:
+        keys, values = suffix_index.suffix_entries(np.frombuffer(t.encode(), np.uint8))
+        want |= set(zip(keys.tolist(), (values & suffix_index.LOW_48).tolist(), strict=True))
+        assert all(int.from_bytes(t.encode()[p : p + 8], "big") == k for p, k in zip(suffix_index.sampled_places(np.frombuffer(t.encode(), np.uint8)).tolist(), keys.tolist(), strict=True))
+    assert entries >= len(want)
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_index, "byte_hashes", lambda data, k, multiplier=0: np.zeros(len(data) - k + 1, np.uint64))
+    texts = [(1, b"a" * 50), (2, b"b" * 50), (3, b"a" * 50), (4, b"b" * 49 + b"c")]
+    heads = np.zeros(4, suffix_index.STRETCH)
+    heads["doc"], heads["size"] = [d for d, _ in texts], 50
+    assert suffix_index.judged(heads, b"".join(t for _, t in texts))[0]["doc"].tolist() == [3]
+
+
 def hot_passage(n=400):
     """A passage of 50 bytes in every document, each time between other letters."""
     rng = random.Random(7)
@@ -150,7 +190,7 @@ def test_repeats_of_a_hot_passage_equal_brute_force(make, batches):
 
 def test_repeats_of_a_hot_passage_are_dealt_over_tasks(make):
     docs = make(hot_passage()).repartition(3)
-    dealt = suffix_index.dealt_candidates(docs, suffix_index.whole_texts(docs), 16, common=40)
+    dealt = suffix_index.dealt_candidates(docs, suffix_index.whole_texts(docs), 16, 2, common=40)
     sizes = Counter()
     for r in dealt.collect():
         sizes[r["bucket"]] += sum(len(r[c] or b"") for c in ("stretches", "least", "removed"))
