@@ -90,4 +90,26 @@ l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where
 linked as (select x, y from l union all select y, x from l),
 reached(doc_id, other) as (select doc_id, doc_id from n union select reached.doc_id, y from reached join linked on other = x)
 select n.doc_id, n.n as n_shingles, min(other) as component_id from n join reached on n.doc_id = reached.doc_id group by all"""
-SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL}
+#: Every 50-byte string of every text with the smallest doc_id it starts in; runs of those that start in a smaller one go.
+REPEATS_SQL = """with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, array_slice(b, i + 1, i + 50) as s from (select doc_id, b, unnest(range(n - 49)) as i from d where n >= 50)),
+f as (select s, min(doc_id) as first from w group by s),
+r as (select w.doc_id, i from w join f on w.s = f.s where first < w.doc_id),
+m as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as new from r),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from m),
+gone as (select doc_id, min(i) as a, max(i) + 50 as z from g group by doc_id, run),
+ends as (select doc_id, a, z from gone union all select doc_id, n, n from d),
+kept as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a, z), 0) as x, a as y from ends),
+t as (select k.doc_id, string_agg(hex(array_slice(b, x + 1, y)), '' order by x) as bytes from kept k join d on k.doc_id = d.doc_id where y > x group by 1),
+c as (select doc_id, sum(z - a) as removed, count(*) as spans from gone group by 1)
+select d.doc_id, d.n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(bytes, ''))) as kept_sha256
+from d left join t on d.doc_id = t.doc_id left join c on d.doc_id = c.doc_id"""
+#: CRC-32 byte by byte over its table of 256 remainders; shards by the middle of each document's bytes.
+SHARDS_SQL = """with tab as (select list_transform(range(256), lambda v: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, v::bigint)) as t),
+d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+h as (select doc_id, length(x) // 2 + 1 as size, list_transform(regexp_extract_all(x, '..'), lambda v: ('0x' || v)::bigint) as bytes from d),
+c as (select doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as text_crc32 from h, tab),
+p as (select *, sum(size) over (order by doc_id) - size as start, sum(size) over () as total from c),
+s as (select doc_id, size, text_crc32, least(15, (2 * start + size) * 16 // (2 * total))::integer as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot, null::integer as grown_shard from s"""
+SQL: dict[str, str] = {"op6_shard_bytes": SHARDS_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_suffix_index": REPEATS_SQL}

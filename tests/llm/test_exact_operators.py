@@ -197,6 +197,19 @@ def test_repeats_of_a_hot_passage_are_dealt_over_tasks(make):
     assert len(sizes) == 16 and max(sizes.values()) < 3 * sum(sizes.values()) / 16
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    told = con.execute(queries.SQL[name])
+    names = [c[0] for c in told.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(told.fetchall(), key=str) == sorted((tuple(r[n] for n in names) for r in got.collect()), key=str)
+
+
 def slow_similar(text, item):
     """Greatest similarity of an item-sized window and the item: sum of minima / sum of maxima of shingle counts."""
     words, wanted = WORD.findall(lowered(text)), WORD.findall(lowered(item))

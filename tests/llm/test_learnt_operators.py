@@ -1,5 +1,6 @@
 """Token files by round trip, pseudonyms by their inverse, classifiers by held-out labels."""
 
+import hashlib
 import itertools
 import re
 import zlib
@@ -103,6 +104,75 @@ def test_pseudonyms_keep_formats_and_can_be_undone(make):
     assert pseudonyms.pseudonymise(docs, "another key").where("doc_id = 1").first()["text"] != numbers
 
 
+def slow_string_feistel(value, key, kind, tweak):
+    """The same rounds in plain Python."""
+    shape = "".join("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c in "0123456789" else c for c in value)
+    half = len(value) // 2
+
+    def shifted(text, other, i, side):
+        out = ""
+        for at, c in enumerate(text):
+            digest = hashlib.sha256("|".join([key, kind, shape, tweak, side, str(i), other, str(at)]).encode()).hexdigest()
+            first, size = (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (48, 10) if c in "0123456789" else (ord(c), 1)
+            out += chr(first + (ord(c) - first + int(digest[:12], 16)) % size)
+        return out
+
+    left, right = value[:half], value[half:]
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        left = shifted(left, right, i, "l")
+        right = shifted(right, left, i, "r")
+    return left + right
+
+
+def slow_card(value, key):
+    left, right = int(value[:7]), int(value[7:15])
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        f = lambda side, x: int(hashlib.sha256("|".join([key, "card", side, str(i), str(x)]).encode()).hexdigest()[:14], 16)  # noqa: E731, B023
+        left = (left + f("l", right)) % 10**7
+        right = (right + f("r", left)) % 10**8
+    body = f"{left:07d}{right:08d}"
+    return body + next(d for d in "0123456789" if luhn(body + d) == 0)
+
+
+def test_pseudonyms_equal_plain_python(spark, make):
+    texts = ["jane.doe@x.org", "aaaa.aaa@x.org", "J_9+b@Sub.Example.com", "4111111111111111", "card 4242 4242 4242 4242."]
+    got = [r["text"] for r in pseudonyms.pseudonymise(make(texts), "k").orderBy("doc_id").collect()]
+    for text, made in zip(texts[:3], got, strict=False):
+        name, domain = text.split("@")
+        assert made == slow_string_feistel(name, "k", "email", domain.lower()) + "@" + domain
+    assert got[3] == slow_card("4111111111111111", "k") and got[4].replace(" ", "") == "card" + slow_card("4242424242424242", "k") + "."
+    # one known pair tells nothing of others with the same shape
+    shift = lambda a, b: [(ord(y) - ord(x)) % 26 for x, y in zip(a, b, strict=True) if x.isalpha()]
+    assert shift("jane.doe", got[0].split("@")[0]) != shift("aaaa.aaa", got[1].split("@")[0])
+
+
+KINDS_OF_VALUES = [
+    ("4111 1111 1111 1111", True), ("4111-1111-1111-1111", True), ("378282246310005", True), ("1234567890123456", False), ("4111 1111 1111 1112", False),
+    ("DE89370400440532013000", True), ("GB82 WEST 1234 5698 7654 32", True), ("DE89370400440532013001", False), ("+44 20 7946 0958", True), ("Tel. 5552345678", True),
+    ("number 5552345678", False), ("2001:db8::8a2e:370:7334", True), ("2001:DB8:0:0:8:800:200C:417A", True), ("12:34:56", False), ("std::vector", False), ("::1", False),
+    ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', True), ("sha b44e15e09fd311c3cf3163b66d5a9875b883d8ce", False),
+]
+
+
+def test_pseudonyms_of_each_kind_of_value(spark, make):
+    docs = make([f"see {v} here" for v, _ in KINDS_OF_VALUES])
+    rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs, "k").collect()}
+    assert [rows[i]["n_replaced"] for i in range(len(KINDS_OF_VALUES))] == [int(found) for _, found in KINDS_OF_VALUES]
+    shape = lambda t: re.sub("[0-9a-fA-F]", "0", t)
+    assert all(len(rows[i]["text"]) == len(f"see {v} here") for i, (v, _) in enumerate(KINDS_OF_VALUES)) and shape(rows[11]["text"]) == shape(f"see {KINDS_OF_VALUES[11][0]} here")
+    back = pseudonyms.pseudonymise(spark.createDataFrame([(d, r["text"]) for d, r in rows.items()], "doc_id long, text string"), "k", inverse=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: f"see {v} here" for i, (v, _) in enumerate(KINDS_OF_VALUES)}
+
+
+def test_pseudonyms_of_very_long_and_odd_texts(make):
+    parts = ["x@" + "a." * 100_000, "l" * 200_000 + " @ ", "9" * 200_000, "+1" * 50_000, "a-b.c_" * 30_000, ":f" * 50_000, "1." * 50_000, "AB12" + "X" * 100_000, "(123) " * 20_000, "a@" * 50_000, "0a" * 50_000]
+    texts = [*parts, "".join(parts) + " jane@x.org 4111111111111111", None, ""]
+    rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(make(texts), "k").collect()}
+    assert all(rows[i]["text"] == texts[i] for i in range(len(parts))) and rows[len(parts)]["n_replaced"] == 2
+    assert rows[len(parts) + 1]["text"] is None and rows[len(parts) + 2]["n_found"] == 0
+    assert pseudonyms.pseudonymise(make([]), "k").count() == 0
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from pyspark.sql import functions as F
 
