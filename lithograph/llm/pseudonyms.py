@@ -4,6 +4,11 @@ Each kind of value has a pattern, a check that finds are real (ranges, check dig
 value's free digits are read as a pair of numbers (l, r) with l < a and r < b, and eight rounds of a keyed Feistel
 network, l += F(r) mod a, then r += F(l) mod b, permute the a * b pairs. The format (length, separators, check digits,
 calendar) stays valid, equal values get equal pseudonyms in all documents, and with the key the rounds can be undone.
+Values of letters and digits (names in e-mail addresses, account numbers, hex strings) are halved, and the same rounds shift
+each character of one half within its own alphabet by a keyed digest of the other half and of the value's shape.
+
+Finds that fail their check stay as they are. All patterns are linear: their repetitions are bounded, and they begin only
+where no character of theirs stands before.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import ipv6_groups
+
 ROUNDS = 4
 
 
@@ -45,32 +52,114 @@ def permuted_digits(digits: Column, n: int, key: str, kind: str, inverse: bool =
     return F.element_at(F.transform(F.array(pair), lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0"))), 1)
 
 
-def luhn_sum(digits: Column, doubled_from: int) -> Column:
-    """Sum of a number's digits, every second one from position ``doubled_from`` (0 or 1) on doubled (less 9 if over 9)."""
-    each = F.transform(F.split(digits, "(?<=.)(?=.)"), lambda d, i: F.when(i % 2 == doubled_from, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
+#: Alphabets in which the characters of a value stay: letters and digits, or hex digits of either case.
+WORDLIKE, HEX = "wordlike", "hex"
+
+
+def string_feistel(value: Column, key: str, kind: str, tweak: Column, alphabets: str = WORDLIKE, inverse: bool = False) -> Column:
+    """A keyed permutation of all strings of the value's shape: letters a-z, A-Z and digits stay such (or hex digits stay
+    hex digits), other characters stay as they are. ``tweak``: what else the rounds hang on."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    salt = F.concat_ws("|", F.lit(key), F.lit(kind), shape if alphabets == WORDLIKE else F.length(value).cast("string"), tweak)
+    half = F.floor(F.length(value) / 2).cast("int")
+    sign = -1 if inverse else 1
+
+    def shifted(text: Column, other: Column, i: Column, side: str) -> Column:
+        def one(c: Column, at: Column) -> Column:
+            step = F.conv(F.substring(F.sha2(F.concat_ws("|", salt, F.lit(side), i, other, at), 256), 1, 12), 16, 10).cast("long")
+            within = lambda first, size: F.char(F.lit(first) + F.pmod(F.ascii(c) - first + sign * (step % size), F.lit(size).cast("long")))
+            if alphabets == HEX:
+                digit = F.lower(F.conv(F.pmod(F.conv(c, 16, 10).cast("long") + sign * (step % 16), F.lit(16).cast("long")).cast("string"), 10, 16))
+                return F.when(c.rlike("[0-9a-fA-F]"), digit).otherwise(c)
+            return F.when(c.rlike("[a-z]"), within(97, 26)).when(c.rlike("[A-Z]"), within(65, 26)).when(c.rlike("[0-9]"), within(48, 10)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(text, "(?<=.)(?=.)"), one), "")
+
+    pair = lambda x, y: F.struct(x.alias("l"), y.alias("r"))
+
+    def ahead(s: Column, i: Column) -> Column:
+        first = F.transform(F.array(s), lambda s: pair(shifted(s["l"], s["r"], i, "l"), s["r"]))
+        return F.element_at(F.transform(first, lambda s: pair(s["l"], shifted(s["r"], s["l"], i, "r"))), 1)
+
+    def back(s: Column, i: Column) -> Column:
+        first = F.transform(F.array(s), lambda s: pair(s["l"], shifted(s["r"], s["l"], i, "r")))
+        return F.element_at(F.transform(first, lambda s: pair(shifted(s["l"], s["r"], i, "l"), s["r"])), 1)
+
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
+    start = pair(F.substr(value, F.lit(1), half), F.substr(value, half + 1))
+    return F.aggregate(rounds, start, back if inverse else ahead, lambda s: F.concat(s["l"], s["r"]))
+
+
+def luhn_sum(digits: Column) -> Column:
+    """Sum of the digits ahead of a check digit: every second one from the last on doubled (less 9 if over 9)."""
+    n = F.length(digits)
+    each = F.transform(F.split(digits, "(?<=.)(?=.)"), lambda d, i: F.when((n - i) % 2 == 1, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
     return F.aggregate(each, F.lit(0), lambda s, d: s + d)
 
 
+def digits_of(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def is_card(value: Column) -> Column:
+    """Whether the last digit is the Luhn check digit of the others."""
+    digits = digits_of(value)
+    return (luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) + F.right(digits, F.lit(1)).cast("int")) % 10 == 0
+
+
 def card_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
-    """Sixteen digits: the first fifteen are permuted, and the last keeps its distance from the Luhn check digit.
+    """Sixteen digits: the first fifteen are permuted; fifteen: all between the first two and the last. The last is their
+    Luhn check digit, and separators stay."""
+    digits = digits_of(value)
+    long = F.length(digits) == 16
+    body = F.when(long, permuted_digits(F.substring(digits, 1, 15), 15, key, "card", inverse)).otherwise(F.concat(F.substring(digits, 1, 2), permuted_digits(F.substring(digits, 3, 12), 12, key, "card15", inverse)))
+    new = F.element_at(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(b), F.lit(10)).cast("string"))), 1)
+    return refilled(value, new)
 
-    Valid numbers (distance 0) stay valid, and others stay invalid in the same way.
-    """
-    body = F.substring(value, 1, 15)
-    check = lambda b: F.pmod(-luhn_sum(b, 0), F.lit(10))
-    distance = F.pmod(F.substring(value, 16, 1).cast("int") - check(body), F.lit(10))
-    new = permuted_digits(body, 15, key, "card", inverse)
-    return F.element_at(F.transform(F.array(new), lambda b: F.concat(b, ((check(b) + distance) % 10).cast("string"))), 1)
+
+def remainder_97(text: Column) -> Column:
+    """An account number's remainder by 97, letters read as 10 to 35."""
+    number = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, "(?<=.)(?=.)"), F.lit(0), lambda r, c: (r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + number(c)) % 97)
+
+
+def is_account(value: Column) -> Column:
+    """Whether the check digits (places 3 and 4) of an international account number fit, spaces aside."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(bare).between(15, 34) & (remainder_97(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))) == 1)
+
+
+def account_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    """What follows the country and the check digits is permuted within its shape; check digits are made anew."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    country = F.substring(bare, 1, 2)
+    new = string_feistel(F.substr(bare, F.lit(5)), key, "account", country, WORDLIKE, inverse)
+    whole = F.element_at(F.transform(F.array(new), lambda n: F.concat(country, F.lpad((98 - remainder_97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n)), 1)
+    return F.when(value.contains(" "), F.array_join(F.filter(F.split(whole, "(?<=\\G.{4})"), lambda x: x != ""), " ")).otherwise(whole)
 
 
 def phone_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """Ten-digit numbers, however written: the country code and all separators stay, the ten digits are permuted."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    digits = digits_of(value)
     country = F.substring(digits, 1, F.length(digits) - 10)
     new = F.concat(country, permuted_digits(F.right(digits, F.lit(10)), 10, key, "phone", inverse))
     return refilled(value, new)
 
 
+def is_dialled(value: Column) -> Column:
+    return F.length(digits_of(value)).between(8, 15)
+
+
+def dialled_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    """International numbers: the digits of the first group (three at most; two without separators) and all separators
+    stay, the others are permuted."""
+    digits = digits_of(value)
+    first = F.length(F.regexp_extract(value, "^[+]([0-9]{1,3})[^0-9]", 1))
+    kept = F.when(first > 0, first).otherwise(2)
+    rest = string_feistel(F.substr(digits, kept + 1), key, "dialled", F.substr(digits, F.lit(1), kept), WORDLIKE, inverse)
+    return refilled(value, F.concat(F.substr(digits, F.lit(1), kept), rest))
+
+
 def refilled(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced by ``digits`` in order; all else stays in place."""
     shape = F.regexp_replace(value, "[0-9]", "0")
@@ -93,18 +182,20 @@ def ip_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
 
 
 def email_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
-    """Names before the @: letters a-z and digits are each shifted within their own alphabet by a keyed stream that hangs
-    on the rest of the address (its shape and domain), so the shape stays; the domain stays, for it names no person."""
+    """The name before the @ is permuted within its shape; the domain stays, for it names no person."""
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    sign = -1 if inverse else 1
+    return F.concat(string_feistel(name, key, "email", F.lower(domain), WORDLIKE, inverse), F.lit("@"), domain)
+
 
-    def shifted(c: Column, i: Column) -> Column:
-        step = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), shape, F.lower(domain), i), 256), 1, 12), 16, 10).cast("long")
-        within = lambda first, size: F.char(F.lit(first) + F.pmod(F.ascii(c) - first + sign * (step % size), F.lit(size).cast("long")))
-        return F.when(c.rlike("[a-z]"), within(97, 26)).when(c.rlike("[A-Z]"), within(65, 26)).when(c.rlike("[0-9]"), within(48, 10)).otherwise(c)
+def ipv6_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    """All hex digits that are written are permuted; the form (groups, colons, case) stays. Undone, an address comes back
+    in lower case if its pseudonym has no letters."""
+    new = string_feistel(value, key, "ipv6", F.lit(""), HEX, inverse)
+    return F.when(value == F.lower(value), new).otherwise(F.upper(new))
 
-    return F.concat(F.array_join(F.transform(F.split(name, "(?<=.)(?=.)"), shifted), ""), F.lit("@"), domain)
+
+def secret_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    return string_feistel(value, key, "secret", F.lit(""), HEX, inverse)
 
 
 #: Days of the 400 years from 1800 on: the Gregorian calendar repeats after 146,097 days = 773 * 189.
@@ -145,36 +236,52 @@ def is_date(value: Column) -> Column:
     return F.try_to_date(F.regexp_replace(value, "[/.]", "-"), "yyyy-MM-dd").isNotNull() & value.rlike("^(18|19|20|21)")
 
 
+def is_ipv6(value: Column) -> Column:
+    """Whether it is an address with four hex digits or more: shorter ones name no host of a person, or are other text."""
+    return ipv6_groups(value).isNotNull() & (F.length(F.replace(value, F.lit(":"), F.lit(""))) >= 4)
+
+
 always = lambda value: F.lit(True)
 
 
 @dataclass(frozen=True)
 class Kind:
+    """``context``: a pattern that must stand before a find, if any."""
+
     name: str
     pattern: str
     check: Callable[[Column], Column]
     pseudonym: Callable[[Column, str, bool], Column]
+    context: str = ""
 
 
+DIGIT_EDGES = ("(?<![0-9])", "(?![0-9])")
+GROUP = "[0-9a-f]{1,4}"
+IPV6 = f"(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,7}}:(?:{GROUP}(?::{GROUP}){{0,6}})?"
 #: The order breaks ties of what a text's next find is; no find overlaps another.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}", always, email_pseudonym),
+    Kind("secret", r"[0-9a-f]{32,64}(?![0-9A-Za-z])", always, secret_pseudonym, r"(?:token|secret|key|password)[\"']? {0,2}[=:] {0,2}[\"']?"),
+    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", always, email_pseudonym),
     Kind("phone", r"(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)] ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", always, phone_pseudonym),
+    Kind("ten", r"[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])", always, phone_pseudonym, r"(?:[Tt]el|[Pp]hone|[Cc]all|[Mm]obile|[Ff]ax)[.:]{0,2} "),
+    Kind("dialled", r"(?<![0-9+])[+][1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])", is_dialled, dialled_pseudonym),
     Kind("ip", r"(?<![0-9.])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(?![0-9]|[.][0-9])", is_ip, ip_pseudonym),
+    Kind("ipv6", rf"(?<![0-9A-Za-z:.])(?:{IPV6}|{IPV6.replace('a-f', 'A-F')})(?![0-9A-Za-z:]|[.][0-9])", is_ipv6, ipv6_pseudonym),
+    Kind("account", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])", is_account, account_pseudonym),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_ssn, ssn_pseudonym),
     Kind("date", r"(?<![0-9./-])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|[.][0-9]{2}[.])[0-9]{2}(?![0-9]|[./-][0-9])", is_date, date_pseudonym),
-    Kind("card", r"(?<![0-9])[0-9]{16}(?![0-9])", always, card_pseudonym),
+    Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|3[47][0-9]{13})(?![0-9])", is_card, card_pseudonym),
 )
-ANY = "|".join(f"(?:{k.pattern})" for k in KINDS)
+ANY = "|".join((f"(?<={k.context})" if k.context else "") + f"(?:{k.pattern})" for k in KINDS)
 #: A cheap test that a text may hold a find at all.
-HINT = r"[0-9]{3}-[0-9]|[0-9][.][0-9]|[0-9]{16}|@|[0-9]{4}[/-]|[)] ?[0-9]|[0-9]{3} [0-9]{3}"
+HINT = r"[0-9]{3}-[0-9]|[0-9][.][0-9]|[0-9]{15}|@|[0-9]{4}[/ -]|[)] ?[0-9]|[0-9]{3} [0-9]{3}|[+][1-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[lex:.] [0-9]{10}"
 
 
 def replaced(find: Column, key: str, inverse: bool = False) -> Column:
     """A find's pseudonym by its kind; finds that fail their kind's check stay."""
     out = None
     for kind in KINDS:
-        case = (find.rlike(f"^(?:{kind.pattern})$"), F.when(kind.check(find), kind.pseudonym(find, key, inverse)).otherwise(find))
+        case = (find.rlike(f"^(?:{kind.pattern})\\z"), F.when(kind.check(find), kind.pseudonym(find, key, inverse)).otherwise(find))
         out = F.when(*case) if out is None else out.when(*case)
     return out.otherwise(find)
 
@@ -182,8 +289,9 @@ def replaced(find: Column, key: str, inverse: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """Per document: doc_id, text with all finds replaced, n_found (finds), n_replaced (those whose text changed).
 
-    Null texts stay null with no finds; blank and long texts are searched whole; repeated rows are alike; an empty table
-    gives no rows; other columns are ignored. ``inverse`` turns pseudonyms made with the same key back.
+    n_found counts what has a kind's pattern; what fails the kind's check stays. Null texts stay null with no finds; blank
+    and long texts are searched whole; repeated rows are alike; an empty table gives no rows; other columns are ignored.
+    ``inverse`` turns pseudonyms made with the same key back.
     """
     text = F.col("text")
     finds = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
