@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 8).
 
 A clause is read as a string of symbols: insult, threat, target, negation, report, quote, other. Three transducers are
-composed into one table: negation marks what follows it closely, reported speech marks what is quoted or told, and the
-matcher pairs insults and threats with targets. Only what the matcher accepts counts: an insult by itself weakly, an
-insult or threat with a target in the same clause more; negated and reported matches are summed apart. Which words are
-insults and how much they weigh is learnt from labelled documents (words and word beginnings whose share among toxic
-documents is significantly higher), besides short fixed lists; a logistic curve over the sums gives the score.
+composed, each reading what the one before writes: reported speech marks the symbols that are quoted or told, negation
+marks those that follow it closely, and the matcher pairs marked insults and threats with targets and writes into which of
+three sums a match counts. The composition is one table of the states that can be reached. Only what the matcher accepts
+counts: an insult by itself weakly, an insult or threat with a target in the same clause more; negated and reported matches
+are summed apart. Which words are insults and how much they weigh is learnt from labelled documents (words and word
+beginnings whose share among toxic documents is significantly higher), besides short fixed lists; a logistic curve over the
+sums gives the score.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,44 +39,64 @@ NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't won't kein ke
 REPORTS = "said says say told wrote claimed reported quoted sagte schrieb berichtete dit écrit dijo escribió"
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, CLAUSE_END = range(8)
 NEGATION_REACH = 3
+#: Least weight of the words of the fixed lists.
+LISTED_WEIGHT = 3.0
 FEATURES = 7
 
-#: Transducers: (state, symbol) -> (state, mark). Marks of what they read: plain, negated, reported; matches: none, alone, aimed.
+#: What a transducer reads and writes: a symbol with its marks.
+PLAIN, TOLD, NEGATED = 0, 1, 2
+#: The sums that matches count in: plain, negated (also if told), told.
+COLUMNS = {PLAIN: 0, NEGATED: 1, TOLD | NEGATED: 1, TOLD: 2}
 
 
-def negation(state: int, symbol: int) -> tuple[int, bool]:
-    return (NEGATION_REACH, False) if symbol == NEGATION else (0, False) if symbol == CLAUSE_END else (max(0, state - 1), state > 0)
+def reporting(state: int, read: tuple[int, int]) -> tuple[int, tuple[int, int]]:
+    """Marks what is told. States: 0 plain, 1 after a reporting verb (to the clause's end), 2 inside quotation marks."""
+    symbol, marks = read
+    if symbol == QUOTE:
+        return (0 if state == 2 else 2), read
+    if symbol == CLAUSE_END:
+        return (2 if state == 2 else 0), read
+    return (1 if symbol == REPORT and state == 0 else state), (symbol, marks | TOLD if state else marks)
 
 
-def reporting(state: int, symbol: int) -> tuple[int, bool]:
-    """States: 0 plain, 1 after a reporting verb (to the clause's end), 2 inside quotation marks."""
-    if symbol == QUOTE:
-        return (0 if state == 2 else 2), False
+def negation(state: int, read: tuple[int, int]) -> tuple[int, tuple[int, int]]:
+    """Marks the NEGATION_REACH symbols behind a negation, up to the clause's end. States: how many are left."""
+    symbol, marks = read
+    if symbol == NEGATION:
+        return NEGATION_REACH, read
     if symbol == CLAUSE_END:
-        return (2 if state == 2 else 0), False
-    return (1 if symbol == REPORT and state == 0 else state), state > 0
+        return 0, read
+    return max(0, state - 1), (symbol, marks | NEGATED if state else marks)
 
 
-def matching(state: int, symbol: int) -> tuple[int, str]:
-    """States: bit 0 a target was read, bit 1 an insult or threat waits for one."""
+def matching(state: int, read: tuple[int, int]) -> tuple[int, tuple[int, str]]:
+    """Writes the sum and the kind of each match, '' for none. States: bit 0 a target was read, bit 1 an insult or threat
+    waits for one."""
+    symbol, marks = read
+    column = COLUMNS[marks]
     if symbol == CLAUSE_END:
-        return 0, ""
+        return 0, (column, "")
     if symbol == TARGET:
-        return 1, "aim" if state & 2 else ""
+        return 1, (column, "aim" if state & 2 else "")
     if symbol in (INSULT, THREAT):
-        return (state, "aimed") if state & 1 else (2, "alone" if symbol == INSULT else "")
-    return state, ""
-
-
-def composed() -> dict[tuple[int, int, int, int], tuple[tuple[int, int, int], int, str]]:
-    """All three transducers as one: (states, symbol) -> (states, column of the sums, match)."""
-    table = {}
-    for n in range(NEGATION_REACH + 1):
-        for r in range(3):
-            for m in range(4):
-                for symbol in range(8):
-                    (n2, negated), (r2, told), (m2, match) = negation(n, symbol), reporting(r, symbol), matching(m, symbol)
-                    table[n, r, m, symbol] = (n2, r2, m2), 1 if negated else 2 if told else 0, match
+        return (state, (column, "aimed")) if state & 1 else (2, (column, "alone" if symbol == INSULT else ""))
+    return state, (column, "")
+
+
+def composed(*machines: Callable) -> dict[tuple, tuple[tuple[int, ...], tuple[int, str]]]:
+    """The composition of transducers that each read what the one before writes: (states, symbol) -> (states, what the
+    last one writes), for all states that can be reached from the start."""
+    table, start = {}, (0,) * len(machines)
+    found = [start]
+    for states in found:
+        for symbol in range(CLAUSE_END + 1):
+            passed, after = (symbol, PLAIN), []
+            for machine, state in zip(machines, states, strict=True):
+                state, passed = machine(state, passed)
+                after.append(state)
+            table[(*states, symbol)] = tuple(after), passed
+            if tuple(after) not in found:
+                found.append(tuple(after))
     return table
 
 
@@ -86,17 +108,17 @@ class Reader(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.table = lexicon, composed()
+        self.lexicon, self.table = lexicon, composed(reporting, negation, matching)
         self.lists = {w: s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words.split()}
 
     def __missing__(self, form: str) -> tuple[int, float]:
         core = self.CORE.sub("", form)
         weight = max([self.lexicon.get(e, 0.0) for e in entries(core)], default=0.0)
         symbol = self.lists.get(core, OTHER)
-        if symbol == INSULT or symbol == OTHER and weight:
-            symbol, weight = INSULT, max(weight, 3.0)
-        elif symbol == THREAT:
-            weight = max(weight, 3.0)
+        if symbol in (INSULT, THREAT):
+            weight = max(weight, LISTED_WEIGHT)
+        elif symbol == OTHER and weight:  # what is learnt keeps its own weight
+            symbol = INSULT
         self[form] = found = (symbol, weight)
         return found
 
@@ -119,7 +141,7 @@ class Reader(dict):
                 ends = form[-1] in ".!?;:" or form[-2:-1] in (".", "!", "?")
                 read = ([QUOTE] if form[0] in "\"“«„" else []) + [symbol] + ([QUOTE] if form.rstrip(".,!?;:")[-1:] in ("\"", "”", "»") else []) + ([CLAUSE_END] if ends else [])
                 for s in read:
-                    states, column, match = self.table[(*states, s)]
+                    states, (column, match) = self.table[(*states, s)]
                     if match:
                         n += match != "aim"
                         gain = weight * (1.5 if match == "aimed" else 1.0) if match != "aim" else 0.5 * waiting
