@@ -97,10 +97,8 @@ def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.expr(bits).alias("fingerprint"))
 
 
-def near_values(value: str) -> Column:
-    """All block values within BLOCK_RADIUS bits of ``value``."""
-    near = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
-    return F.expr(f"transform(array({', '.join(map(str, near))}), m -> {value} ^ m)")
+#: All block values with BLOCK_RADIUS bits at most, made once a query, so that plans stay small.
+MASKS = f"(select collect_list(cast(id as int)) from range({1 << BLOCK_BITS}) where bit_count(id) <= {BLOCK_RADIUS})"
 
 
 def blocks(fingerprint: str) -> Column:
@@ -127,7 +125,8 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = simhash(items, ["item_id", "n_words"])
     probes = prints.select("*", F.posexplode(blocks("fingerprint")).alias("block", "value"))
     index = marks.withColumnsRenamed({"fingerprint": "mark", "n_words": "item_words"}).select("*", F.posexplode(blocks("mark")).alias("item_block", "near_to"))
-    index = index.select("item_id", "item_words", "mark", "item_block", F.explode(near_values("near_to")).alias("near"))
+    index = index.select("item_id", "item_words", "mark", "item_block", "near_to", F.expr(MASKS).alias("masks"))
+    index = index.select("item_id", "item_words", "mark", "item_block", "near_to", F.explode("masks").alias("mask")).withColumn("near", F.col("near_to").bitwiseXOR(F.col("mask")))
     pairs = probes.join(index.hint("merge"), (F.col("n_words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("near")))
     pairs = pairs.select("row", "start", "n_words", "item_id", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))).alias("distance")).where(F.col("distance") <= RADIUS).distinct()
     keyed = pairs.hint("merge").join(cut, ["row", "n_words", "start"]).join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
