@@ -30,16 +30,10 @@ def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, str], n: int
     return summed.select(*rows.columns, *[(F.col(f"_local_{k}") + F.col(f"_offset_{k}")).alias(k) for k in sums])
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 16) -> DataFrame:
-    """Deal documents into ``n_shards`` contiguous shards of nearly equal bytes.
-
-    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law (``bytes``), shard, slot, grown_shard (null).
-    A document lies in the shard that holds the middle of its bytes, so shards differ from the target by less than the
-    largest document. Null texts count as empty (size 1, crc32 0); null doc_ids come first; repeated doc_ids keep
-    separate slots; an empty table gives no rows; other columns are ignored. Equal texts aren't kept together, since a
-    group may hold more than a shard's share.
-    """
-    sized = docs.select(
+def placed_by_bytes(rows: DataFrame, n_shards: int) -> DataFrame:
+    """Rows (row, doc_id, text) as ``shard_by_bytes`` tells, with their ``row``."""
+    sized = rows.select(
+        "row",
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -51,6 +45,32 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     sharded = placed.withColumn("shard", shard)
     firsts = sharded.groupBy("shard").agg(F.min("_row").alias("_first"))  # n_shards rows at most
     return sharded.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "row", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int = 16) -> DataFrame:
+    """Deal documents into ``n_shards`` contiguous shards of nearly equal bytes.
+
+    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law (``bytes``), shard, slot, grown_shard (null).
+    A document lies in the shard that holds the middle of its bytes, so shards differ from the target by less than the
+    largest document. Null texts count as empty (size 1, crc32 0); null doc_ids come first; repeated doc_ids keep
+    separate slots; an empty table gives no rows; other columns are ignored. Equal texts aren't kept together, since a
+    group may hold more than a shard's share.
+    """
+    return placed_by_bytes(docs.select(F.lit(None).cast("long").alias("row"), "doc_id", "text"), n_shards).drop("row")
+
+
+def sharded_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
+    """``docs`` with all their columns and those of ``shard_by_bytes`` (in place of columns of the same names).
+
+    Rows are written once with a number of their own; only narrow rows are put in order, and their shards are joined to the
+    written ones by that number, so repeated rows have slots of their own.
+    """
+    told = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("whole")), "numbered")
+    narrow = numbered.select("row", "whole.doc_id", "whole.text")
+    placed = placed_by_bytes(narrow, n_shards).select(F.col("row").alias("of"), F.struct(*told).alias("place"))
+    met = numbered.join(placed.hint("merge"), F.col("row") == F.col("of"))
+    return met.select(*[F.col("whole")[c].alias(c) for c in docs.columns if c not in told], "place.*")

@@ -26,6 +26,9 @@ def test_stages_decide_as_their_operators_do(spark, sf):
     assert set(ids(mixed)) <= set(ids(apart)) and mixed.columns == docs.columns and max(map(ids(mixed).count, set(ids(mixed)))) <= 3
     last = stages["sharding"](spark, mixed, sf)
     assert ids(last) == ids(mixed) and {r["shard"] for r in last.select("shard").collect()} <= set(range(16))
+    assert sorted(r["text"] or "" for r in last.collect()) == sorted(r["text"] or "" for r in mixed.collect())
+    slots = [(r["shard"], r["slot"]) for r in last.collect()]
+    assert len(set(slots)) == len(slots) and all((s, n - 1) in set(slots) for s, n in slots if n)
 
 
 def test_run_gives_the_stages_in_turn(spark, sf):
