@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lithograph.llm import decontamination, jaccard_join, mixing, pattern_grammar, sharding
-from lithograph.llm.shared import new_folder
+from lithograph.llm.shared import new_folder, write
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot."""
-    return sharding.shard_by_bytes(docs)
+    """Every document with its shard and slot."""
+    return sharding.sharded_documents(docs)
 
 
 STAGES = [
@@ -47,6 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs
