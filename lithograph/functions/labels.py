@@ -17,6 +17,12 @@ def items(labels: DataFrame) -> DataFrame:
     return found.select("path", "pos", "item.name", F.col("item.value").alias("raw")).where("upper(name) <> 'LBLSIZE'")
 
 
+def all_items(parts: DataFrame) -> DataFrame:
+    """Items of a file's leading label and of the one behind its samples (path, part, text), one after the other."""
+    first, second = (items(parts.where(F.col("part") == i).select("path", "text")).withColumn("part", F.lit(i)) for i in (0, 1))
+    return first.unionByName(second).select("path", "part", "pos", "name", "raw")
+
+
 def unquoted(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, "^'|'$", ""), "''", "'")
 

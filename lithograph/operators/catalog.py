@@ -182,6 +182,30 @@ def read_stats(reads: DataFrame) -> DataFrame:
     return each.groupBy("image_id").agg(F.sum("n").alias("reads"), F.count(F.lit(1)).alias("rectangles"), F.min("n").alias("least"), F.max("n").alias("most"), *ends)
 
 
+def transfers(reads: DataFrame, page: str = "page") -> DataFrame:
+    """How often each page was moved, most often first."""
+    return reads.groupBy(page).agg(F.count(F.lit(1)).alias("transfers")).orderBy(F.desc("transfers"), page)
+
+
+def transfer_stats(reads: DataFrame, owner: str, page: str = "page") -> DataFrame:
+    """Per owner: the most transfers of a page, pages moved once, pages."""
+    each = reads.groupBy(owner, page).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(owner).agg(F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("once"), F.count(F.lit(1)).alias("pages"))
+
+
+def any_below(listing: DataFrame, prefix: str) -> DataFrame:
+    """One row if some path of a listing begins with ``prefix``, else none."""
+    return listing.where(F.col("path").startswith(prefix)).select("path").limit(1)
+
+
+def removable(listing: DataFrame, folder: str, kept: tuple[str, ...] = (".pid",)) -> DataFrame:
+    """What of a listing lies below ``folder`` and doesn't end with one of ``kept``, in the order of paths."""
+    ends = F.lit(False)
+    for end in kept:
+        ends = ends | F.col("path").endswith(end)
+    return listing.where(F.col("path").startswith(folder) & ~ends).orderBy("path")
+
+
 def power_below(v: Column) -> Column:
     """The largest power of two below v; v itself up to 1."""
     return F.when(v <= 1, v.cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2), F.length(F.bin(v.cast("long") - 1)) - 1).cast("long"))

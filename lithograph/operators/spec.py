@@ -134,3 +134,39 @@ def resolved(products: DataFrame, config: Config) -> DataFrame:
         custom = custom | differs
     own = [c for c in out.columns if c.startswith("_")]
     return out.withColumn("nominal", ~custom).drop(*own)
+
+
+#: Types of what a request's body may hold besides texts.
+NUMBERS = ("tile_size", "tile_overlap", "thumb_height", "max_wait_sec", "overlay_alpha", "unmasked_alpha", "masked_alpha")
+FLAGS = ("mask_black", "force", "do_monolithic", "no_dzi", "force_custom")
+TEXTS = ("rdr_url", "rdr_type", "product_type", "tile_format", "gamma_mode", "stretch_type")
+EITHER = ("stretch_low", "stretch_high")
+
+
+def args_of_body(body: Column) -> Column:
+    """A request's JSON body as ``args``: known fields as texts, nulls left out. A body without rdr_url, or a field of
+    another type than its own, raises; overlay_preferences is a list of texts and comes as lines."""
+    value = lambda name: F.get_json_object(body, f"$.{name}")
+    quoted = lambda name: body.rlike(rf'"{name}"\s*:\s*"')
+
+    def checked(name: str, fits: Column) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"{name} has the wrong type: "), value(name))).cast("string")
+        return F.when(value(name).isNull(), None).when(fits, value(name)).otherwise(wrong)
+
+    fields = {n: checked(n, quoted(n)) for n in TEXTS} | {n: checked(n, ~quoted(n) & value(n).try_cast("double").isNotNull()) for n in NUMBERS}
+    fields |= {n: checked(n, ~quoted(n) & value(n).isin("true", "false")) for n in FLAGS}
+    fields |= {n: checked(n, quoted(n) | value(n).try_cast("double").isNotNull()) for n in EITHER}
+    wishes = F.from_json(value("overlay_preferences"), "array<string>")
+    fields["overlay_preferences"] = F.when(value("overlay_preferences").isNotNull(), F.array_join(wishes, "\n"))
+    missing = F.raise_error(F.lit("a body must have rdr_url")).cast("string")
+    fields["rdr_url"] = F.when(body.rlike(r'"rdr_url"\s*:'), fields["rdr_url"]).otherwise(missing)
+    pairs = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[c.cast("string") for c in fields.values()]))
+    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+
+def configured(settings: dict[str, str], prefix: str = "TILES_") -> Config:
+    """The configuration that settings tell (environment variables or a session's, upper-case, with ``prefix``): patterns
+    are parted by commas, other fields are values."""
+    told = {k[len(prefix) :].lower(): v for k, v in settings.items() if k.startswith(prefix)}
+    lists = {n: tuple(p.strip() for p in told.pop(n).split(",") if p.strip()) for n in Config.__dataclass_fields__ if n != "values" and n in told}
+    return Config(values=told, **lists)

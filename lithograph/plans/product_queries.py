@@ -324,3 +324,51 @@ def written_per_level(spark, d):
     from ..sources import sinks
 
     return sinks.written_per_level(stored_levels(spark, d))
+
+
+@query("""with r as (select user_id, cast(floor(value) as bigint) % 50 as page from events), e as (select user_id, page, count(*) as n from r group by all) select user_id, max(n) as most, count(*) filter (where n = 1) as once, count(*) as pages from e group by 1""")
+def transfer_stats(spark, d):
+    return catalog.transfer_stats(table(spark, d, "events").select("user_id", (F.floor("value") % 50).alias("page")), "user_id")
+
+
+@query("""select l_partkey as page, count(*) as transfers from lineitem group by 1""")
+def page_transfers(spark, d):
+    return catalog.transfers(table(spark, d, "lineitem").select(F.col("l_partkey").alias("page")))
+
+
+@query("""select o_custkey || '/' || o_orderkey || '.png' as path from orders where o_custkey::varchar like '7%' and o_orderkey % 3 <> 0""")
+def removable_files(spark, d):
+    end = F.when(F.col("o_orderkey") % 3 == 0, ".pid").otherwise(".png")
+    listing = table(spark, d, "orders").select(F.concat(F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"), end).alias("path"))
+    return catalog.removable(listing, "7")
+
+
+@query("""select 'p' as path from (select 1 from customer where c_custkey > 0 limit 1)""")
+def any_below(spark, d):
+    listing = table(spark, d, "customer").select(F.concat(F.lit("p/"), F.col("c_custkey")).alias("path"))
+    return catalog.any_below(listing, "p/").select(F.substring("path", 1, 1).alias("path"))
+
+
+@query("""select c_custkey, 'u' || c_custkey as url, case when c_custkey % 2 = 0 then (c_custkey % 500)::varchar end as tile_size, case when c_custkey % 3 = 0 then 'true' end as mask_black, case when c_custkey % 5 = 0 then 'a:b=1' || chr(10) || 'c:d=2' end as wishes from customer""")
+def body_args(spark, d):
+    k = F.col("c_custkey")
+    body = F.concat(
+        F.lit('{"rdr_url": "u'), k, F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(', "tile_size": '), k % 500)).otherwise(', "tile_size": null'),
+        F.when(k % 3 == 0, ', "mask_black": true').otherwise(""), F.when(k % 5 == 0, ', "overlay_preferences": ["a:b=1", "c:d=2"]').otherwise(""), F.lit("}"),
+    )
+    a = spec.args_of_body(body)
+    return table(spark, d, "customer").select("c_custkey", a["rdr_url"].alias("url"), a["tile_size"].alias("tile_size"), a["mask_black"].alias("mask_black"), a["overlay_preferences"].alias("wishes"))
+
+
+@query("""select o_orderkey::varchar as image_id, case o_orderkey % 3 when 0 then 'histogram_percent' when 1 then 'relative' else 'none' end as stretch, case when o_orderkey % 3 = 0 then 0.5 end as low_percent, case when o_orderkey % 3 = 1 then 0.5 end as low_relative,
+cast(o_custkey as bigint) as width, strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') as at from orders""")
+def product_metadata(spark, d):
+    from ..sources import sinks
+
+    p = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("image_id"), F.lit(254).alias("tile_size"), pick("o_orderkey", ["percent", "relative", "none"]).alias("stretch_type"), F.lit(0.5).alias("asked_low"), F.lit(0.5).alias("asked_high"),
+        F.col("o_custkey").alias("width"), F.col("o_orderdate").alias("processing_timestamp"), F.lit(None).cast("double").alias("original_gamma"),
+    )
+    m = F.from_json("metadata", "stretch_type string, stretch_low_percent double, stretch_low_relative double, width long, processing_timestamp string")
+    out = sinks.product_metadata(p, ["tile_size"]).select("image_id", m.alias("m"))
+    return out.select("image_id", F.col("m.stretch_type").alias("stretch"), F.col("m.stretch_low_percent").alias("low_percent"), F.col("m.stretch_low_relative").alias("low_relative"), "m.width", F.col("m.processing_timestamp").alias("at"))

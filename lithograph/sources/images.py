@@ -256,6 +256,16 @@ def headers(found: DataFrame, prefix: int = 1 << 16) -> DataFrame:
     return found.select("path", head).mapInArrow(read, HEADER)
 
 
+def with_known_headers(found: DataFrame, known: DataFrame, prefix: int = 1 << 16) -> DataFrame:
+    """HEADER and modificationTime of files (path, modificationTime, content): from ``known`` (an earlier result) where path
+    and time are the same, else read anew. What is known isn't opened again."""
+    at = ["path", "modificationTime"]
+    fresh = found.join(known.select(*at), at, "left_anti")
+    read = headers(fresh, prefix).join(fresh.select(*at), "path")
+    same = known.join(found.select(*at), at, "left_semi")
+    return same.unionByName(read.select(same.columns))
+
+
 def samples(data: bytes) -> np.ndarray:
     """bands x lines x samples of a labelled raster or a PNG of 8 or 16 bits without interlace."""
     if data[:8] == PNG_MAGIC:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,43 @@ def metadata(product: DataFrame) -> DataFrame:
     return product.select("image_id", F.to_json(F.struct(*[c for c in product.columns if c != "image_id"])).alias("metadata"))
 
 
+#: What a product's metadata tell besides its spec, in order; stretched products have the last ones too.
+RECORD = (
+    "processing_timestamp cache_hash custom tiler_version rdr_bytes rdr_timestamp rdr_etag is_overlay width height original_is_float original_bits original_bands "
+    "original_gamma stretch_type overlay_bands min_max_estimated unstretched_min unstretched_max stretch_low stretch_high linear_to_srgb srgb_to_linear "
+    "tile_header_gamma tile_data_gamma histogram_bins histogram_low_inclusive histogram_high_exclusive histogram"
+).split()
+STRETCH_NAMES = {"percent": "histogram_percent", "relative": "relative", "extrema": "extrema", "none": "none"}
+
+
+def product_metadata(products: DataFrame, spec_fields: list[str]) -> DataFrame:
+    """image_id and metadata of finished products: their spec's fields, then RECORD, as far as there, without nulls.
+
+    Times are told to the minute; a stretched product's percentages or shares are told under names of their own.
+    """
+    named = F.coalesce(*[F.when(F.col("stretch_type") == k, F.lit(v)) for k, v in STRETCH_NAMES.items()])
+    asked = {"percent": ("stretch_low_percent", "stretch_high_percent"), "relative": ("stretch_low_relative", "stretch_high_relative")}
+    more = [F.when(F.col("stretch_type") == kind, F.col(c)).alias(n) for kind, names in asked.items() for c, n in zip(("asked_low", "asked_high"), names, strict=True) if c in products.columns]
+    shown = []
+    for name in RECORD:
+        if name in products.columns and name not in spec_fields:
+            column = F.date_format(name, "yyyy-MM-dd'T'HH:mm'Z'") if name.endswith("_timestamp") else named if name == "stretch_type" else F.col(name)
+            shown.append(column.alias(name))
+    return products.select("image_id", F.to_json(F.struct(*spec_fields, *shown, *more)).alias("metadata"))
+
+
+def transformed(tiles: DataFrame, change: Callable[[bytes], bytes], fmt: str = "png") -> DataFrame:
+    """Tiles with the data of those of one format changed, such as by ``images.with_gamma``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, kinds = batch.column(batch.schema.names.index("data")).to_pylist(), batch.column(batch.schema.names.index("format")).to_pylist()
+            new = pa.array([change(d) if k == fmt and d is not None else d for d, k in zip(data, kinds, strict=True)], pa.binary())
+            yield batch.set_column(batch.schema.names.index("data"), "data", new)
+
+    return tiles.mapInArrow(run, tiles.schema)
+
+
 def png_tiles(pixels: DataFrame, bands: int) -> DataFrame:
     """TILE rows with PNG data from 8-bit pixels (image_id, level, col, row, y, x, band, out); a tile is one group."""
 

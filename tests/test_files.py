@@ -240,3 +240,74 @@ def test_tiles_and_metadata(spark, tmp_path):
     assert images.samples(bytes(back["data"]))[0].tolist() == [[0, 20, 40], [60, 80, 100]] and back["image_id"] == "i"
     doc = spark.createDataFrame([("i", 3, None, dt.datetime(2024, 5, 6, 7, 8, 9))], "image_id string, w int, gamma double, ts timestamp")
     assert sinks.metadata(doc.withColumn("ts", units.iso_minute("ts"))).first()["metadata"] == '{"w":3,"ts":"2024-05-06T07:08Z"}'
+
+
+def test_ranges_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from lithograph.sources import http as ranged
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/file")
+                self.end_headers()
+                return
+            first, last = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            data = bytes(range(256))[first : last + 1]
+            self.send_response(206 if self.path == "/file" else 200)
+            self.send_header("Content-Range", f"bytes {first}-{last}/256")
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        wanted = spark.createDataFrame([(f"{base}/file", 10, 5), (f"{base}/moved", 0, 3), (f"{base}/whole", 0, 3), ("ftp://x/y", 0, 1)], "url string, start long, length long")
+        rows = {r["url"].rsplit("/", 1)[1]: r for r in ranged.ranges(wanted, lambda host, port: ["127.0.0.1"]).collect()}
+        assert bytes(rows["file"]["data"]) == bytes(range(10, 15)) and rows["file"]["total"] == 256 and bytes(rows["moved"]["data"]) == bytes(range(3))
+        assert rows["whole"]["status"] == 200 and rows["whole"]["data"] == b"" and "not an HTTP URL" in rows["y"]["error"]
+        refused = ranged.ranges(wanted.limit(1)).first()
+        assert refused["data"] is None and "public" in refused["error"]
+    finally:
+        server.shutdown()
+    unsafe = ["127.0.0.1", "10.1.2.3", "100.64.0.1", "169.254.169.254", "192.0.0.8", "198.18.0.1", "224.0.0.1", "::1", "fe80::1", "fec0::1", "fd00:ec2::254", "::ffff:10.0.0.1", "64:ff9b::a9fe:a9fe", "2002:a9fe:a9fe::", "2001::1", "64:ff9b:1::1", "::7f00:1"]
+    assert not any(map(ranged.public, unsafe)) and all(map(ranged.public, ["8.8.8.8", "2606:4700::1111", "::ffff:8.8.8.8", "64:ff9b::808:808"]))
+
+
+def test_hosts_of_the_service_tests(spark):
+    """URLs that a source filter with an open whitelist must reject, as a running service was tried with."""
+    hosts = "localhost:8080 LOCALHOST.:8080 foo.localhost 127.0.0.1:8080 127.1 2130706433 0.0.0.0 10.1.2.3 172.16.0.1 192.168.1.1 100.100.100.200 169.254.169.254 metadata.google.internal example.com@127.0.0.1 no-such-host.invalid"
+    hosts += " [::1]:8080 [fe80::1] [fd00:ec2::254] [::ffff:169.254.169.254] [64:ff9b::a9fe:a9fe] [2002:a9fe:a9fe::] [nonsense] [::1 0x7f.1 1.2.3.4.5"
+    df = spark.createDataFrame([(f"http://{h}/x.IMG",) for h in hosts.split()] + [("http://[2606:4700::1111]/x.IMG",), ("http://example.com/x.IMG",)], "url string")
+    got = {r[0]: r[1] for r in df.select("url", urls.policy(F.col("url"), [".*"], [], [])).collect()}
+    assert {u for u, reason in got.items() if reason == "ok"} == {"http://[2606:4700::1111]/x.IMG", "http://example.com/x.IMG"}
+
+
+def test_known_headers_aren_t_read_again(spark, tmp_path):
+    (tmp_path / "a.img").write_bytes(labelled.labelled_file(cube(1, 2, 3, "i2")))
+    (tmp_path / "b.img").write_bytes(labelled.labelled_file(cube(1, 4, 5, "i2")))
+    found = images.files(spark, str(tmp_path))
+    known = images.headers(found).join(found.select("path", "modificationTime"), "path").where("width = 3").withColumn("bands", F.lit(99))
+    assert {(r["width"], r["bands"]) for r in images.with_known_headers(found, known).collect()} == {(3, 99), (5, 1)}
+
+
+def test_bodies_and_settings():
+    from lithograph.operators import spec
+
+    made = spec.configured({"TILES_TILE_SIZE": "512", "TILES_QUICKLOOK": ".*/q/.*, .*/r/.*", "PATH": "x"})
+    assert made.values == {"tile_size": "512"} and made.quicklook == (".*/q/.*", ".*/r/.*")
+
+
+def test_bodies_of_the_wrong_type_raise(spark):
+    from lithograph.operators import spec
+
+    for body in ('{"tile_size": 3}', '{"rdr_url": "u", "tile_size": "3"}', '{"rdr_url": "u", "force": 1}'):
+        with pytest.raises(Exception, match="rdr_url|wrong type"):
+            spark.createDataFrame([(body,)], "body string").select(spec.args_of_body(F.col("body"))).collect()
