@@ -156,6 +156,17 @@ def test_ingest_recovers_from_its_checkpoint(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).groupBy("batch").count().count() == 2
 
 
+def test_single_flight_stream(spark, tmp_path):
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    kinds = "cache_hash string, ts timestamp"
+    for i, rows in enumerate([[("a", at(0)), ("a", at(1)), ("b", at(2))], [("a", at(3)), ("c", at(300))]]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(kinds).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = ingest.single_flight(stream).writeStream.format("memory").queryName("flights").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(r["cache_hash"] for r in spark.sql("select * from flights").collect()) == ["a", "b", "c"]
+
+
 def test_outcomes_of_a_batch(spark, tmp_path):
     decisions = spark.createDataFrame([("b", k, a) for k, a in zip("opqrstu", ["build"] * 5 + ["delete", "ignore"], strict=True)], "bucket string, key string, action string")
     sources = spark.createDataFrame(
