@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_of, discard, partitions, without, written
+from .shared import bitmap_of, partitions, salted_join, without, written
 from .text_stats import WordHashes, mixed, shingles
 
 #: The threshold as a fraction.
@@ -297,7 +297,7 @@ def split_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
     """group, class, component of the groups whose members lie in different components."""
     placed = groups.join(joined, groups["class"] == joined["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
     ends = placed.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
-    return placed.join(ends, "group")
+    return salted_join(placed, ends, "group", "class")
 
 
 def dealt_blocks(split: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -308,10 +308,10 @@ def dealt_blocks(split: DataFrame, firsts: DataFrame) -> DataFrame:
     grow with the cluster's.
     """
     lead = split.groupBy("group").agg(F.min("class").alias("a"))
-    cluster = connected_components(split.join(lead, "group").select("a", F.col("class").alias("b"))).withColumnRenamed("component", "cluster")
+    cluster = connected_components(salted_join(split, lead, "group", "class").select("a", F.col("class").alias("b"))).withColumnRenamed("component", "cluster")
     members = split.select("class", "component").distinct().join(cluster, F.col("class") == F.col("node")).join(firsts.select("class", "n_shingles"), "class")
-    sizes = members.groupBy(F.col("cluster").alias("at")).agg(F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count(F.lit(1)) / CHUNK_CLASSES)).cast("int").alias("chunks"))
-    placed = members.join(sizes, F.col("cluster") == F.col("at")).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count(F.lit(1)) / CHUNK_CLASSES)).cast("int").alias("chunks"))
+    placed = salted_join(members, sizes, "cluster", "class").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     return placed.select("class", "component", "cluster", "chunk", other).select("class", "component", "cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
 
@@ -377,7 +377,7 @@ def similarity_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = kept_signatures(shared_signatures(dealt_signatures(docs, buckets), buckets), buckets)
     groups = written(grouped(kept), "groups")
     lead = groups.groupBy("group").agg(F.min("class").alias("a"))
-    stars = groups.join(lead, "group").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    stars = salted_join(groups, lead, "group", "class").where("class <> a").select("a", F.col("class").alias("b")).distinct()
     links = written(verified(docs, stars, firsts), "links")
     split = written(split_groups(groups, connected_components(links.select("a", "b"))), "split")
     if not split.isEmpty():
@@ -395,10 +395,11 @@ def components(docs: DataFrame) -> DataFrame:
     smallest of others; an empty table gives no rows; other columns are ignored.
     """
     member, links = similarity_join(docs)
-    joined = connected_components(links.select("a", "b"))
-    placed = member.join(joined, member["class"] == joined["node"], "left").withColumn("_in", F.coalesce("component", "class"))
-    least = placed.where("class <> 0").groupBy("_in").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_in", "_at")
-    out = placed.join(least, F.col("_in") == F.col("_at"), "left")
+    joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "class")
+    # a class or a component may have a third of all documents
+    placed = salted_join(member, joined, "class", "doc_id", "left").withColumn("_in", F.coalesce("component", "class"))
+    least = placed.where("class <> 0").groupBy("_in").agg(F.min("doc_id").alias("component_id"))
+    out = salted_join(placed, least, "_in", "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -55,6 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, in whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of tables made by ``written`` that nothing will read again."""
     for table in tables:
@@ -77,6 +83,18 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE_PATTERN))).cast("long")
 
 
+#: Parts that a key's rows are dealt into in ``salted_join``.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``per_key`` (a row or none for each value of ``key``, which is no null): a key's rows are dealt
+    by a hash of ``by`` into SALTS parts, so that one key may have a third of all rows."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    every = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(every, [key, "_salt"], how).drop("_salt")
+
+
 #: Bits of a ``Bitmap``: so many for each id, and at least and at most so many in all, which bounds what is sent to each
 #: task. Beyond some 10^8 ids nearly all bits are set: the exact join behind the filter then gets nearly all rows.
 BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26

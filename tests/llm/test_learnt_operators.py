@@ -36,6 +36,22 @@ def test_token_files_equal_the_library(spark, sf):
         start += n
 
 
+def test_token_files_of_an_empty_table(spark, make):
+    folder = new_folder(spark, "tokens")
+    assert token_files.write_tokens(make([]), folder, tokenizer_path(), 2).count() == 0
+    assert token_files.read_tokens(spark, folder).count() == 0
+
+
+def test_tokenizers_that_see_white_space_encode_whole_texts():
+    import public_tokenizers
+
+    memo = token_files.WordMemo(public_tokenizers.path("byte_bpe_50k.json"), "<u4")
+    texts = ["Hello  world, it's 12 o'clock.", " x\ny ", "<|endoftext|>", ""]
+    assert not memo.by_words and memo.encode(texts) == memo.whole(texts)
+    memo = token_files.WordMemo(tokenizer_path(), "<u2")
+    assert memo.by_words and memo.encode(texts) == memo.whole(texts)
+
+
 def test_token_files_of_odd_rows(spark, odd):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write_tokens(odd, folder, tokenizer_path(), end_id=2, n_files=3)
