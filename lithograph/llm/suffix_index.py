@@ -8,8 +8,8 @@ that far. Arrays are dealt by that hash into buckets, as many as the bytes of th
 
 Documents arrive in batches. A batch gets its own array, which is merge-scanned against every level and in itself:
 neighbours that agree in ANCHOR bytes are long-match candidates. The array then becomes a level; two levels of equal size
-merge into one of twice the size, so n batches leave at most log2(n) + 1 levels and each entry is rewritten that often. An
-index that is kept (``Index``) takes further batches.
+merge into one of twice the size when the next batch comes, so n batches leave at most log2(n) + 2 levels and each entry is
+rewritten log2(n) times at most. An index that is kept (``Index``) takes further batches.
 
 Candidates are verified exactly: the text around each shared anchor (the windows that have it) is dealt out by anchor, all
 its LENGTH-byte windows are grouped by hash and compared byte by byte with the one of the smallest doc_id, and the windows
@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import PACKED, cut, runs
-from .shared import discard, new_folder, passing, write, written
+from .shared import discard, has_files, new_folder, passing, salted_join, write, written
 from .text_stats import mixed
 
-LENGTH, ANCHOR, KEY = 50, 24, 8
+LENGTH, ANCHOR, KEY = 50, 16, 8
 #: Batches that a table is taken into the index in.
 BATCHES = 8
 #: Bytes of text whose entries, or whose stretches, make up a bucket, about; and least buckets.
@@ -94,27 +94,32 @@ def window_anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[width - size : width - size + n])
 
 
-def sampled_places(data: np.ndarray) -> np.ndarray:
-    """Where the sampled suffixes of a text begin; of suffixes that agree in their first ANCHOR bytes, one place."""
-    hashes = byte_hashes(data, ANCHOR)
-    least, width, size = hashes, LENGTH - ANCHOR + 1, 1
-    n = len(least) - width + 1
-    while size * 2 <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    values = np.unique(np.minimum(least[:n], least[width - size : width - size + n]))
-    found = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-    at = np.flatnonzero(values[found] == hashes)
-    place = np.zeros(len(values), np.int64)
-    place[found[at]] = at
-    return place
+def sampled_places(hashes: np.ndarray) -> np.ndarray:
+    """Where the sampled suffixes of a text begin, by the hashes of its ANCHOR-byte strings; of suffixes that agree in their
+    first ANCHOR bytes, one place."""
+
+    def over(values: np.ndarray, take: np.ufunc) -> np.ndarray:
+        """``take`` of each ``width`` neighbours."""
+        size, n = 1, len(values) - width + 1
+        while size * 2 <= width:
+            values = take(values[:-size], values[size:])
+            size *= 2
+        return take(values[:n], values[width - size : width - size + n])
+
+    width = LENGTH - ANCHOR + 1
+    least = over(hashes, np.minimum)
+    # a place is lowest in some window if its hash is the greatest of the minima of the windows that have it
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(over(np.concatenate([edge, least, edge]), np.maximum) == hashes)
+    return at[np.unique(hashes[at], return_index=True)[1]]
 
 
 def suffix_entries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys: the first KEY bytes as big-endian numbers, anchor hashes) of a text's sampled suffixes."""
-    place = sampled_places(data)
+    hashes = byte_hashes(data, ANCHOR)
+    place = sampled_places(hashes)
     first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, KEY)[place])
-    return first.view(">u8").astype(np.uint64).reshape(-1), byte_hashes(data, ANCHOR)[place]
+    return first.view(">u8").astype(np.uint64).reshape(-1), hashes[place]
 
 
 def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +143,7 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = written(docs.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256")), "texts")
     first = texts.where(f"n_bytes >= {LENGTH}").groupBy("sha256").agg(F.min("doc_id").alias("first"))
-    return written(texts.join(first, "sha256", "left"), "texts")
+    return written(salted_join(texts, first, "sha256", "doc_id", "left"), "texts")
 
 
 def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: int = COMMON) -> DataFrame:
@@ -173,7 +178,7 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
                 v, (here, local) = values[order[a:b]], np.unique(of[order[a:b]], return_inverse=True)
                 rows = np.zeros(b - a, ANCHORED)
                 rows["key"], rows["low"], rows["high"], rows["of"] = keys[order[a:b]], v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
-                blobs.append(len(here).to_bytes(4, "little") + known[here].tobytes() + rows.tobytes())
+                blobs.append(packed_columns(known[here], rows))
             parts = [(-1, found.astype(np.int64).tolist(), blobs), (-2, *_by_document(held, buckets)[1:])]
             order, cuts, found = cut((frequent >> np.uint64(16)) % np.uint64(buckets))
             frequent = frequent[order] & LOW_48
@@ -205,15 +210,29 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
     return docs.select("doc_id", "text").mapInArrow(sample, f"batch int, level int, {PACKED}")
 
 
+def packed_columns(table: np.ndarray, rows: np.ndarray) -> bytes:
+    """A blob of entries: its table of doc_ids and the columns of ``rows`` one by one, so that sorted keys compress well."""
+    import zstandard
+
+    whole = len(table).to_bytes(4, "little") + len(rows).to_bytes(4, "little") + table.astype("<i8").tobytes() + b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names)
+    return zstandard.ZstdCompressor(level=1).compress(whole)
+
+
 def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, values of 48 bits, doc_ids) of packed blobs."""
+    import zstandard
+
     keys, values, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for blob in blobs:
-        n = int.from_bytes(blob[:4], "little")
-        rows = np.frombuffer(blob, kind, -1, 4 + 8 * n)
+    for packed in blobs:
+        blob = zstandard.ZstdDecompressor().decompress(packed)
+        n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+        at, rows = 8 + 8 * n, {}
+        for name in kind.names:
+            rows[name] = np.frombuffer(blob, kind[name], m, at)
+            at += m * kind[name].itemsize
         keys.append(rows["key"].astype(np.uint64))
         values.append(rows["low"].astype(np.uint64) | (rows["high"].astype(np.uint64) << np.uint64(32)))
-        docs.append(np.frombuffer(blob, "<i8", n, 4)[rows["of"]])
+        docs.append(np.frombuffer(blob, "<i8", n, 8)[rows["of"]])
     return np.concatenate(keys), np.concatenate(values), np.concatenate(docs)
 
 
@@ -273,7 +292,7 @@ def _level(keys: np.ndarray, values: np.ndarray, docs: np.ndarray) -> bytes:
     table, of = np.unique(docs, return_inverse=True)
     rows = np.zeros(len(values), PLACED)
     rows["key"], rows["low"], rows["high"], rows["of"] = keys, values & np.uint64(0xFFFFFFFF), values >> np.uint64(32), of
-    return len(table).to_bytes(4, "little") + table.astype("<i8").tobytes() + rows.tobytes()
+    return packed_columns(table, rows)
 
 
 def _by_document(held: np.ndarray, buckets: int) -> tuple[int, list[int], list[bytes]]:
@@ -289,31 +308,31 @@ def _kinds(parts: list[tuple[int, list[int], list[bytes]]], name: str = "kind")
 
 
 class Index:
-    """The family of levels, by the logarithm of their size in batches. ``add`` takes a batch in and keeps the rest.
+    """The family of levels: [logarithm of the size in batches, table], largest first. ``add`` takes a batch in and keeps
+    the rest. Levels of equal size merge when the next batch comes, so nothing is merged that won't be scanned.
 
     All batches of an index have the same number of buckets.
     """
 
     def __init__(self, buckets: int, common: int = COMMON):
-        self.buckets, self.common, self.levels, self.merges = buckets, common, {}, 0
+        self.buckets, self.common, self.levels, self.merges = buckets, common, [], 0
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in a batch (level, bucket, entries of ``sampled_suffixes``); ``merge_scan``'s rows of kinds 0 and 2."""
-        scanned = written(merge_scan(batch, list(self.levels.values()), self.buckets, self.common), "scanned")
-        size, level = 0, written(scanned.where("kind = 1").select("bucket", "entries"), "level")
-        while size in self.levels:  # equal levels merge into one of twice the size
-            other = self.levels.pop(size)
-            merged = written(merge_levels(other, level), "level")
-            discard(other, level)
-            level, size, self.merges = merged, size + 1, self.merges + 1
-        self.levels[size] = level
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a), (_, b) = self.levels[-2:]
+            self.levels[-2:] = [(size + 1, written(merge_levels(a, b), "level"))]
+            discard(a, b)
+            self.merges += 1
+        scanned = written(merge_scan(batch, [level for _, level in self.levels], self.buckets, self.common), "scanned")
+        self.levels.append((0, written(scanned.where("kind = 1").select("bucket", "entries"), "level")))
         found = written(scanned.where("kind <> 1"), "found")
         discard(scanned)
         return found
 
     def drop(self) -> None:
-        discard(*self.levels.values())
-        self.levels = {}
+        discard(*[level for _, level in self.levels])
+        self.levels = []
 
 
 def shared_anchors(docs: DataFrame, buckets: int, batches: int = BATCHES, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
@@ -325,12 +344,18 @@ def shared_anchors(docs: DataFrame, buckets: int, batches: int = BATCHES, common
     path = new_folder(spark, "sampled")
     rows = sampled_suffixes(docs, buckets, bounds, common)
     write(rows, path, "batch")
-    sampled = spark.read.schema(rows.schema).parquet(path)
-    sampled._written_to = path
-    index = Index(buckets, common)
-    found = [index.add(sampled.where(F.col("batch") == i).select("level", "bucket", "entries")) for i in range(len(bounds) + 1)]
+    index, found = Index(buckets, common), []
+    kinds = rows.drop("batch").schema
+    for i in range(len(bounds) + 1):
+        if has_files(spark, part := f"{path}/batch={i}"):
+            batch = spark.read.schema(kinds).parquet(part)
+            batch._written_to = part
+            found.append(index.add(batch))
+            discard(batch)
     index.drop()
-    discard(sampled)
+    if not found:
+        none = spark.createDataFrame([], "kind int, bucket long, entries binary")
+        return none.select("bucket", "entries"), none.select("entries")
     every = reduce(DataFrame.unionByName, found)
     return every.where("kind = 0").select("bucket", "entries"), every.where("kind = 2").select("entries")
 
