@@ -138,6 +138,11 @@ def buckets_for(n_bytes: int) -> int:
     return max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES)
 
 
+def document_buckets(buckets: int) -> int:
+    """What is told by document goes to fewer buckets, so that each gets larger pieces of each."""
+    return max(LEAST_BUCKETS, buckets // 16)
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, sha256 of the text, first (smallest doc_id of its copies if it has LENGTH bytes or more)."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -297,7 +302,7 @@ def _level(keys: np.ndarray, values: np.ndarray, docs: np.ndarray) -> bytes:
 
 def _by_document(held: np.ndarray, buckets: int) -> tuple[int, list[int], list[bytes]]:
     held = np.unique(held)
-    order, bounds, found = cut(mixed(held["doc"].astype(np.uint64)) % np.uint64(buckets))
+    order, bounds, found = cut(mixed(held["doc"].astype(np.uint64)) % np.uint64(document_buckets(buckets)))
     held = held[order]
     return 0, found.astype(np.int64).tolist(), [held[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -509,7 +514,7 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
 
 def _removed(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
     rows = np.unique(rows)
-    order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(buckets))
+    order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(document_buckets(buckets)))
     rows = rows[order]
     return found.astype(np.int64).tolist(), [rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
