@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_of, partitions, salted_join, without, written
+from .shared import bitmap_of, hits, partitions, salted_join, without, written
 from .text_stats import WordHashes, mixed, shingles
 
 #: The threshold as a fraction.
@@ -261,12 +261,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A bitmap lets most other documents go before anything is shuffled; the join then is exact.
     """
     bitmap = bitmap_of(wanted, F.xxhash64("doc_id"))
-    sent, size = docs.sparkSession.sparkContext.broadcast(bitmap), bitmap.bits
+    sent, size = docs.sparkSession.sparkContext.broadcast(bitmap.words), bitmap.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = np.flatnonzero(sent.value.hits(np.array(batch.column(2))))
+            rows = np.flatnonzero(hits(sent.value, np.array(batch.column(2))))
             for some in np.array_split(rows, len(rows) // 256 + 1):
                 if len(some):
                     chosen = batch.take(pa.array(some))
@@ -415,5 +415,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = without(docs, gone, key, same)
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = stay.join(repeated, stay["doc_id"] == repeated["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return without(stay, repeated, key, same).unionByName(once.select(docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -100,14 +101,20 @@ def salted_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, how: str
 BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
+@dataclass(frozen=True)
 class Bitmap:
-    """Which remainders of hashed ids occur: tells for sure that an id isn't among those it was made of."""
+    """Which remainders of hashed ids occur: tells for sure that an id isn't among those it was made of.
+
+    Only ``words`` are ever broadcast: a plain array can be unpickled where this package isn't installed.
+    """
+
+    bits: int
+    words: np.ndarray
 
-    def __init__(self, bits: int, words: np.ndarray):
-        self.bits, self.words = bits, words
 
-    def hits(self, at: np.ndarray) -> np.ndarray:
-        return ((self.words[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+def hits(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits ``at`` are set in a bitmap's words."""
+    return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
 
 
 def bitmap_of(ids: DataFrame, hashed: Column) -> Bitmap:
@@ -120,17 +127,26 @@ def bitmap_of(ids: DataFrame, hashed: Column) -> Bitmap:
     return Bitmap(size, bitmap)
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as no column of ``rows`` has, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def maybe_among(rows: DataFrame, hashed: Column, bitmap: Bitmap, among: bool = True) -> DataFrame:
     """The ``rows`` whose ``hashed`` has its bit set, or (not ``among``) those that certainly aren't among the bitmap's."""
-    sent, columns, schema = rows.sparkSession.sparkContext.broadcast(bitmap), len(rows.columns), rows.schema
+    sent, columns, schema = rows.sparkSession.sparkContext.broadcast(bitmap.words), len(rows.columns), rows.schema
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = sent.value.hits(np.array(batch.column(columns)))
-            yield batch.filter(pa.array(hits if among else ~hits)).select(range(columns))
+            hit = hits(sent.value, np.array(batch.column(columns)))
+            yield batch.filter(pa.array(hit if among else ~hit)).select(range(columns))
 
     bit = F.pmod(F.coalesce(hashed, F.lit(0).cast("long")), F.lit(bitmap.bits))
-    return rows.select("*", bit.alias("_bit")).mapInArrow(filtered, schema)
+    kept = [rows[f"`{c}`"] for c in rows.columns]
+    return rows.select(*kept, bit.alias(free_name(rows, "bit"))).mapInArrow(filtered, schema)
 
 
 def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
