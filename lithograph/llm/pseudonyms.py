@@ -1,11 +1,13 @@
 """Format-preserving pseudonyms for personal data (operator 2), in DataFrame functions only.
 
 Each kind of value has a pattern, a check that finds are real (ranges, check digits, calendar) and a permutation: the
-value's free digits are read as a pair of numbers (l, r) with l < a and r < b, and eight rounds of a keyed Feistel
-network, l += F(r) mod a, then r += F(l) mod b, permute the a * b pairs. The format (length, separators, check digits,
+value's free digits are read as a pair of numbers (l, r) with l < a and r < b, and eight rounds (ROUNDS = 4 double ones) of
+a keyed Feistel network, l += F(r) mod a, then r += F(l) mod b, permute the a * b pairs. The format (length, separators, check digits,
 calendar) stays valid, equal values get equal pseudonyms in all documents, and with the key the rounds can be undone.
 Values of letters and digits (names in e-mail addresses, account numbers, hex strings) are halved, and the same rounds shift
-each character of one half within its own alphabet by a keyed digest of the other half and of the value's shape.
+each character of one half within its own alphabet by a keyed digest of the other half and of the value's shape. Where case
+doesn't tell values apart (addresses, hex strings), the lower-case value is permuted and its case put back at the end, so
+that the same value in two cases has the same pseudonym but for case.
 
 Finds that fail their check stay as they are. All patterns are linear: their repetitions are bounded, and they begin only
 where no character of theirs stands before.
@@ -107,12 +109,17 @@ def is_card(value: Column) -> Column:
     return (luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) + F.right(digits, F.lit(1)).cast("int")) % 10 == 0
 
 
+#: Digits between the first two and the last of the shorter cards, by their length.
+SHORT_CARDS = {15: 12, 14: 11, 13: 10}
+
+
 def card_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
-    """Sixteen digits: the first fifteen are permuted; fifteen: all between the first two and the last. The last is their
-    Luhn check digit, and separators stay."""
+    """Sixteen digits: the first fifteen are permuted; 13 to 15: all between the first two, which tell the issuer, and the
+    last. The last is their Luhn check digit, and separators stay."""
     digits = digits_of(value)
-    long = F.length(digits) == 16
-    body = F.when(long, permuted_digits(F.substring(digits, 1, 15), 15, key, "card", inverse)).otherwise(F.concat(F.substring(digits, 1, 2), permuted_digits(F.substring(digits, 3, 12), 12, key, "card15", inverse)))
+    body = F.when(F.length(digits) == 16, permuted_digits(F.substring(digits, 1, 15), 15, key, "card", inverse))
+    for n, free in SHORT_CARDS.items():
+        body = body.when(F.length(digits) == n, F.concat(F.substring(digits, 1, 2), permuted_digits(F.substring(digits, 3, free), free, key, f"card{n}", inverse)))
     new = F.element_at(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(b), F.lit(10)).cast("string"))), 1)
     return refilled(value, new)
 
@@ -184,24 +191,58 @@ def ip_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
 def email_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """The name before the @ is permuted within its shape; the domain stays, for it names no person."""
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    return F.concat(string_feistel(name, key, "email", F.lower(domain), WORDLIKE, inverse), F.lit("@"), domain)
+    new = string_feistel(lower_ascii(name), key, "email", F.lower(domain), WORDLIKE, inverse)
+    return F.concat(recased(new, name), F.lit("@"), domain)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_ascii(value: Column) -> Column:
+    return F.translate(value, UPPER, LOWER)
+
+
+def recased(new: Column, like: Column) -> Column:
+    """``new`` with A-Z where ``like``, of the same length, has them."""
+    each = lambda text: F.split(text, "(?<=.)(?=.)")
+    return F.when(like.rlike("[A-Z]"), F.array_join(F.zip_with(each(new), each(like), lambda n, c: F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")).otherwise(new)
+
+
+def in_its_case(value: Column, permute: Callable[[Column], Column]) -> Column:
+    """``permute`` of a hex value in lower case; in upper case if the value has letters and all are such."""
+    new = permute(F.lower(value))
+    return F.when(value == F.lower(value), new).otherwise(F.upper(new))
 
 
 def ipv6_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """All hex digits that are written are permuted; the form (groups, colons, case) stays. Undone, an address comes back
     in lower case if its pseudonym has no letters."""
-    new = string_feistel(value, key, "ipv6", F.lit(""), HEX, inverse)
-    return F.when(value == F.lower(value), new).otherwise(F.upper(new))
+    return in_its_case(value, lambda v: string_feistel(v, key, "ipv6", F.lit(""), HEX, inverse))
 
 
 def secret_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
-    return string_feistel(value, key, "secret", F.lit(""), HEX, inverse)
+    return in_its_case(value, lambda v: string_feistel(v, key, "secret", F.lit(""), HEX, inverse))
 
 
 #: Days of the 400 years from 1800 on: the Gregorian calendar repeats after 146,097 days = 773 * 189.
 FIRST_DAY, DAYS = "1800-01-01", (773, 189)
 
 
+def american(value: Column) -> Column:
+    """A date as month/day/year, in the order year-month-day."""
+    return F.concat(F.substring(value, 7, 4), F.lit("-"), F.substring(value, 1, 2), F.lit("-"), F.substring(value, 4, 2))
+
+
+def american_date_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    """Month/day/year: the same permutation as that of the same day in ISO form."""
+    new = date_pseudonym(american(value), key, inverse)
+    return F.concat_ws("/", F.substring(new, 6, 2), F.substring(new, 9, 2), F.substring(new, 1, 4))
+
+
+def is_american_date(value: Column) -> Column:
+    return is_date(american(value))
+
+
 def date_pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """ISO dates (with -, / or . between) from 1800 to 2199: the day's number is permuted among the 146,097 days."""
     day = F.datediff(F.try_to_date(F.regexp_replace(value, "[/.]", "-"), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
@@ -260,8 +301,8 @@ GROUP = "[0-9a-f]{1,4}"
 IPV6 = f"(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,7}}:(?:{GROUP}(?::{GROUP}){{0,6}})?"
 #: The order breaks ties of what a text's next find is; no find overlaps another.
 KINDS = (
-    Kind("secret", r"[0-9a-f]{32,64}(?![0-9A-Za-z])", always, secret_pseudonym, r"(?:token|secret|key|password)[\"']? {0,2}[=:] {0,2}[\"']?"),
-    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", always, email_pseudonym),
+    Kind("secret", r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", always, secret_pseudonym, r"(?:token|secret|key|password)[\"']? {0,2}[=:] {0,2}[\"']?"),
+    Kind("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9-]{1,63}+[.]){1,8}\p{L}{2,24}(?![\p{L}0-9-])", always, email_pseudonym),
     Kind("phone", r"(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)] ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", always, phone_pseudonym),
     Kind("ten", r"[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])", always, phone_pseudonym, r"(?:[Tt]el|[Pp]hone|[Cc]all|[Mm]obile|[Ff]ax)[.:]{0,2} "),
     Kind("dialled", r"(?<![0-9+])[+][1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])", is_dialled, dialled_pseudonym),
@@ -270,11 +311,12 @@ KINDS = (
     Kind("account", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])", is_account, account_pseudonym),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_ssn, ssn_pseudonym),
     Kind("date", r"(?<![0-9./-])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|[.][0-9]{2}[.])[0-9]{2}(?![0-9]|[./-][0-9])", is_date, date_pseudonym),
-    Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|3[47][0-9]{13})(?![0-9])", is_card, card_pseudonym),
+    Kind("american date", r"(?<![0-9./-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[./-][0-9])", is_american_date, american_date_pseudonym),
+    Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|3[47][0-9]{13}|3[0689][0-9]{12}|4[0-9]{12})(?![0-9])", is_card, card_pseudonym),
 )
 ANY = "|".join((f"(?<={k.context})" if k.context else "") + f"(?:{k.pattern})" for k in KINDS)
 #: A cheap test that a text may hold a find at all.
-HINT = r"[0-9]{3}-[0-9]|[0-9][.][0-9]|[0-9]{15}|@|[0-9]{4}[/ -]|[)] ?[0-9]|[0-9]{3} [0-9]{3}|[+][1-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[lex:.] [0-9]{10}"
+HINT = r"[0-9]{3}-[0-9]|[0-9][.][0-9]|[0-9]{13}|@|[0-9]{4}[/ -]|[0-9]/[0-9]{2}/|[)] ?[0-9]|[0-9]{3} [0-9]{3}|[+][1-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[0-9A-F]{32}|[lex:.] [0-9]{10}"
 
 
 def replaced(find: Column, key: str, inverse: bool = False) -> Column:
