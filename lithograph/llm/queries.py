@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, weak_rules
+from . import decontamination, jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, warc_archive, weak_rules
 from .shared import new_folder
 
 
@@ -66,6 +66,10 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pattern_grammar,
         op9_weak_rules,
         op10_suffix_index,
+        op11_warc_archive,
     )
 }
 #: All pairs by their common shingles, then reachability.
@@ -112,4 +117,8 @@ c as (select doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xo
 p as (select *, sum(size) over (order by doc_id) - size as start, sum(size) over () as total from c),
 s as (select doc_id, size, text_crc32, least(15, (2 * start + size) * 16 // (2 * total))::integer as shard from p)
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot, null::integer as grown_shard from s"""
-SQL: dict[str, str] = {"op6_shard_bytes": SHARDS_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_suffix_index": REPEATS_SQL}
+ARCHIVE_SQL = """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as digest from pages),
+m as (select digest, n, max(page_id) as last from p where n >= 1000 group by all)
+select page_id, p.n as payload_bytes, p.digest as payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
+from p left join m on p.digest = m.digest and p.n = m.n"""
+SQL: dict[str, str] = {"op6_shard_bytes": SHARDS_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_suffix_index": REPEATS_SQL, "op11_warc_archive": ARCHIVE_SQL}
