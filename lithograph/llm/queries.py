@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, suffix_index, token_files, warc_archive, weak_rules
+from . import decontamination, jaccard_join, line_crf, mixing, pattern_grammar, pseudonyms, sharding, spelling_variants, suffix_index, token_alignment, token_files, warc_archive, weak_rules
 from .shared import new_folder
 
 
@@ -70,6 +70,16 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(documents(spark, sf_dir))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_weak_rules,
         op10_suffix_index,
         op11_warc_archive,
+        op12_spelling_variants,
+        op13_token_alignment,
     )
 }
 #: All pairs by their common shingles, then reachability.
@@ -121,4 +133,19 @@ ARCHIVE_SQL = """with p as (select page_id, octet_length(encode(coalesce(html, '
 m as (select digest, n, max(page_id) as last from p where n >= 1000 group by all)
 select page_id, p.n as payload_bytes, p.digest as payload_digest, case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
 from p left join m on p.digest = m.digest and p.n = m.n"""
-SQL: dict[str, str] = {"op6_shard_bytes": SHARDS_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_suffix_index": REPEATS_SQL, "op11_warc_archive": ARCHIVE_SQL}
+#: Near words by their spellings with one code point left out or blanked (a blank is no letter).
+VARIANTS_SQL = r"""with recursive tab as (select list_transform(range(256), lambda v: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, v::bigint)) as t),
+r as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+d as (select run, count(*) as times, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from r where length(run) >= 7 group by doc_id, run),
+h as (select run, times, xor(list_reduce(list_transform(regexp_extract_all(x, '..'), lambda v: ('0x' || v)::bigint), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as h from d, tab),
+o as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from h),
+v as (select word, sum(times)::bigint as n from o where length(word) >= 7 group by word having sum(times) >= 2),
+b as (select distinct word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || ' ' || substr(word, i + 1))) as key from v),
+s as (select distinct word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) as key from v),
+e as (select x.word, y.word as other, y.n from b x join b y on x.key = y.key and x.word <> y.word union select s.word, v.word, v.n from s join v on s.key = v.word union select v.word, s.word, s.n from s join v on s.key = v.word),
+k as (select word, count(*) as n_near, max(n) as best from e group by word),
+m as (select e.word, min(other) as other from e join k on e.word = k.word and e.n = k.best group by e.word),
+f as (select v.word, case when k.best >= 10 * v.n then other end as form, v.n, coalesce(n_near, 0) as n_near, case when k.best >= 10 * v.n then k.best end as form_n from v left join m on v.word = m.word left join k on v.word = k.word),
+w as (select word, word as root from f union all select w.word, f.form from w join f on w.root = f.word where f.form is not null)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n from f join (w join (select word as last from f where form is null) on root = last) w on f.word = w.word"""
+SQL: dict[str, str] = {"op6_shard_bytes": SHARDS_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_suffix_index": REPEATS_SQL, "op11_warc_archive": ARCHIVE_SQL, "op12_spelling_variants": VARIANTS_SQL}
