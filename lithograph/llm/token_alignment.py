@@ -25,6 +25,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ SEGMENT = re.compile(r"(?<=[^\s▁])(?= +[^\s▁])")
 SPACE_PIECE, BYTE_PIECE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 #: Links, and bytes of text, of a pack of documents at most (but for a single document that has more).
 PACK_LINKS, PACK_BYTES = 2_000_000, 12_000_000
-#: Characters of the longest segment that is kept for later, and segments kept in a task.
-LONGEST_KEPT, MOST_KEPT = 64, 150_000
+#: Characters of the longest segment that is kept for later, and segments of a generation, of which a task keeps two.
+LONGEST_KEPT, GENERATION = 64, 300_000
 A, B = 0, 1
 PAIR = np.dtype([("pair", "<u4"), ("times", "<u4")])
 
@@ -187,9 +188,15 @@ class Transducer:
 
 def shown_groups(ids: tuple[list[int], list[int]], groups: list[tuple[int, int]]) -> str:
     """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group."""
-    out, (a, b) = [], (0, 0)
+    side_a, side_b = list(map(str, ids[A])), list(map(str, ids[B]))
+    if len(groups) == 1:
+        return ",".join(side_a) + "|" + ",".join(side_b)
+    out, a, b = [], 0, 0
     for next_a, next_b in groups:
-        out.append(",".join(map(str, ids[A][a:next_a])) + "|" + ",".join(map(str, ids[B][b:next_b])))
+        if next_a - a == next_b - b == 1:
+            out.append(f"{side_a[a]}|{side_b[b]}")
+        else:
+            out.append(",".join(side_a[a:next_a]) + "|" + ",".join(side_b[b:next_b]))
         a, b = next_a, next_b
     return ";".join(out)
 
@@ -199,7 +206,8 @@ class Segments:
     of tokens of both sides and of groups, the links' pairs (a << 32 | b) as bytes, and the groups as text."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
-        self.a, self.b, self.transducer, self.kept = a, b, Transducer(a.bytes, b.bytes), {}
+        self.a, self.b, self.transducer = a, b, Transducer(a.bytes, b.bytes)
+        self.young, self.old = {}, {}
         self.cut = a.cuts_at_spaces and b.cuts_at_spaces
 
     def of(self, text: str) -> list[str]:
@@ -207,26 +215,31 @@ class Segments:
         return SEGMENT.split(whole) if self.cut else [whole]
 
     def learn(self, segments: set[str]) -> dict[str, tuple | None]:
-        """Results of ``segments``, those met before looked up."""
-        kept = self.kept
-        fresh = [s for s in segments if s not in kept]
-        if len(kept) + len(fresh) > MOST_KEPT:
-            kept.clear()
-            fresh = list(segments)
-        found = {}
+        """Results of ``segments``. Those met before are looked up; a full generation takes the place of the one before it,
+        in which segments that still occur have been renewed."""
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        found, fresh, young, old = {}, [], self.young, self.old
+        for segment in segments:
+            if segment in young:
+                found[segment] = young[segment]
+            elif segment in old:
+                found[segment] = young[segment] = old[segment]
+            else:
+                fresh.append(segment)
         for some in (fresh[i : i + 4096] for i in range(0, len(fresh), 4096)):
-            for segment, ids in zip(some, zip(self.a.encode(some), self.b.encode(some), strict=True), strict=True):
-                told = self._aligned(segment, ids)
-                (kept if len(segment) <= LONGEST_KEPT else found)[segment] = told
+            for segment, ids_a, ids_b in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
+                found[segment] = told = self._aligned(segment, (ids_a, ids_b))
+                if len(segment) <= LONGEST_KEPT and len(young) < 2 * GENERATION:
+                    young[segment] = told
         return found
 
     def _aligned(self, segment: str, ids: tuple[list[int], list[int]]) -> tuple | None:
         data = segment.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a.bytes.__getitem__, ids[A])) != data or b"".join(map(self.b.bytes.__getitem__, ids[B])) != data:
+        if b"".join([self.a.bytes[i] for i in ids[A]]) != data or b"".join([self.b.bytes[i] for i in ids[B]]) != data:
             return None
         links, groups = self.transducer.align(ids)
-        pairs = np.array([x << 32 | y for x, y in links], "<i8").tobytes()
-        return len(ids[A]), len(ids[B]), len(groups), pairs, shown_groups(ids, groups)
+        return len(ids[A]), len(ids[B]), len(groups), array("q", [x << 32 | y for x, y in links]).tobytes(), shown_groups(ids, groups)
 
 
 # -- packs --------------------------------------------------------------------------------------------------------------
@@ -267,7 +280,7 @@ def aligned_packs(docs: DataFrame, path_a: str, path_b: str, pack_links: int = P
                 cut = [segments.of(t) if t else [] for t in texts[first:last]]
                 met = segments.learn({s for c in cut for s in c})
                 for doc, parts in zip(ids[first:last], cut, strict=True):
-                    told = [segments.kept[p] if p in segments.kept else met[p] for p in parts]
+                    told = [met[p] for p in parts]
                     if not told or None in told:
                         rows.append((doc, 0, 0, 0, 0, ""))
                         held.append(np.zeros(0, "<i8"))
