@@ -34,6 +34,8 @@ LETTERS, LEAST_LENGTH, LEAST_COUNT, FORM_FACTOR = "A-Za-z\\u00C0-\\u00FF", 7, 2,
 DELETED_IN = 31
 #: Words of a range key up to which it isn't cut; words of a block, and their bytes, about.
 KEY_WORDS, BLOCK_WORDS, BLOCK_BYTES = 20_000, 50_000, 1 << 23
+#: Rows (kind, length, range) up to which the numbers of blocks are broadcast.
+FEW_BLOCK_ROWS = 100_000
 REPLACED, DELETED = 0, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -244,8 +246,12 @@ def near_words(words: DataFrame, key_words: int = KEY_WORDS, block_words: int =
     keyed = dealt_keys(words, key_words)
     sized = F.greatest(F.count(F.lit(1)) / block_words, F.sum(F.octet_length("word")) / BLOCK_BYTES)
     blocks = keyed.groupBy("kind", "length", "a", "b").agg(F.ceil(sized).alias("blocks"))
-    # a row per kind, length and range: as many as lengths of words
-    placed = keyed.join(blocks, ["kind", "length", "a", "b"]).withColumn("block", F.pmod(F.xxhash64("start", "end"), "blocks"))
+    blocks = written(blocks, "blocks")  # a row per kind, length and range: as many as lengths of words
+    few = blocks.count() <= FEW_BLOCK_ROWS
+    # broadcast or dealt anew, or else Spark would leave all blocks of a length and range where the join gathered them
+    placed = keyed.join(F.broadcast(blocks) if few else blocks.hint("merge"), ["kind", "length", "a", "b"]).withColumn("block", F.pmod(F.xxhash64("start", "end"), "blocks"))
+    if not few:
+        placed = placed.repartition("kind", "length", "a", "b", "block")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         kind, length, a, b = (k.as_py() for k in key[:4])
