@@ -41,9 +41,9 @@ def hms(ms: Column) -> Column:
 
 def parsed(s: Column, kind: str, valid: Column | None = None, default: Column | None = None) -> Column:
     """Text as int, bigint, float, double or boolean: '', 'auto' and what ``valid`` rejects give the default; text that is
-    no such value raises."""
+    no such value raises. Of booleans, only 'true' is true, and all other text is false."""
     t = F.lower(F.trim(s))
-    value = t.try_cast(kind)
+    value = t == "true" if kind == "boolean" else t.try_cast(kind)
     unknown = F.raise_error(F.concat(F.lit(f"not a {kind}: "), s)).cast(kind)
     given = F.when(s.isNull() | (t == "") | (t == "auto"), F.lit(None).cast(kind)).when(value.isNull(), unknown).otherwise(value)
     if valid is not None:

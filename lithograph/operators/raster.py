@@ -235,6 +235,37 @@ def oversize_reason(header: dict[str, Column], limit_height: int, most_file_byte
     )
 
 
+#: Most pixels of a labelled raster, and most bytes of another image, that are worked on: what a signed 32-bit number counts.
+MOST_COUNTED = (1 << 31) - 1
+
+
+def line_limit(header: dict[str, Column], limit_pds: bool = True, limit_others: bool = True) -> Column:
+    """How many lines of an image are worked on, where that isn't all of them: as many as keep the pixels of labelled
+    rasters, and the bytes of other images, within MOST_COUNTED. Null: all. 0: not even one, the image is too wide.
+
+    ``header``: as for ``oversize_reason``, which ``with_line_limit`` then holds for the lines that are left.
+    """
+    width, line = header["width"].cast("long"), header["width"].cast("long") * bytes_per_pixel(header["bands"], header["bytes_per_sample"])
+    pds = F.lit(limit_pds) & header["is_pds"] & (width * header["height"] > MOST_COUNTED)
+    other = F.lit(limit_others) & ~header["is_pds"] & (line * header["height"] > MOST_COUNTED)
+    return F.when(pds, F.floor(MOST_COUNTED / width)).when(other, F.floor(MOST_COUNTED / line)).cast("long")
+
+
+def with_line_limit(images: DataFrame, most_file_bytes: int = -1, most_image_bytes: int = -1, limit_pds: bool = True, limit_others: bool = True) -> DataFrame:
+    """Images (is_pds, file_bytes, width, height, bands, bytes_per_sample) with line_limit, lines (that are worked on) and
+    reason: why an image is too large even so, or null."""
+    names = ("is_pds", "file_bytes", "width", "height", "bands", "bytes_per_sample")
+    out = images.withColumn("line_limit", line_limit({n: F.col(n) for n in names}, limit_pds, limit_others))
+    out = out.withColumn("lines", F.coalesce("line_limit", "height").cast("long"))
+    header = {n: F.col(n) for n in names} | {"height": F.col("lines")}
+    return out.withColumn("reason", F.when(F.col("line_limit") == 0, "width").otherwise(oversize_reason(header, -1, most_file_bytes, most_image_bytes)))
+
+
+def within_line_limits(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """Pixels of the lines that ``with_line_limit`` leaves to their images (image_id, lines)."""
+    return pixels.join(images.select("image_id", F.col("lines").alias("_lines")), "image_id").where(F.col("y") < F.col("_lines")).drop("_lines")
+
+
 def bytes_per_pixel(bands: Column, bytes_per_sample: Column) -> Column:
     """Three 8-bit bands are held in four bytes, others as they are."""
     return F.when((bands == 3) & (bytes_per_sample == 1), 4).otherwise(bands) * bytes_per_sample

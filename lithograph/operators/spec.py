@@ -32,6 +32,9 @@ class Config:
     fifteen_bit: tuple[str, ...] = ()
     preapplied_gamma: tuple[str, ...] = ()
     preapplied_gamma_instruments: tuple[str, ...] = ()
+    #: Image types of product types that aren't their own, and image types that overlays are made of (None: each product says).
+    rdr_types: dict[str, str] = field(default_factory=dict)
+    overlayable_types: tuple[str, ...] | None = None
 
 
 def product_classes(products: DataFrame, config: Config) -> DataFrame:
@@ -68,18 +71,58 @@ def valid_preference(text: Column) -> Column:
     return text.rlike(PREFERENCE)
 
 
+def asked_types(products: DataFrame, config: Config) -> DataFrame:
+    """Products (product_type and rdr_type as their files tell, overlayable, args) with the types that were asked for in
+    their place, and other_types: whether those aren't the ones that nobody asked for, case aside.
+
+    An asked product type brings its own image type. Whether an overlay can be made hangs on the image type in the end.
+    """
+    given = lambda name: F.nullif(F.nullif(F.trim(F.col("args")[name]), F.lit("")), F.lit("auto"))
+    kind = F.coalesce(F.when(F.lower(given("product_type")) != "auto", given("product_type")), F.col("product_type"))
+    known = F.lit(None).cast("string")
+    for name, image_type in config.rdr_types.items():
+        known = F.when(F.col("_kind") == name, image_type).otherwise(known)
+    told = products.withColumn("_kind", kind)
+    told = told.withColumn("_usual", F.when(F.lower("_kind") == F.lower("product_type"), F.coalesce("rdr_type", known, "_kind")).otherwise(F.coalesce(known, F.col("_kind"))))
+    told = told.withColumn("_rdr", F.coalesce(F.when(F.lower(given("rdr_type")) != "auto", given("rdr_type")), F.col("_usual")))
+    other = (F.lower("_kind") != F.lower("product_type")) | (F.lower("_rdr") != F.lower("_usual"))
+    laid = F.col("overlayable") if config.overlayable_types is None else F.coalesce(F.col("_rdr").isin(*config.overlayable_types), F.lit(False))
+    replaced = {"product_type": F.col("_kind"), "rdr_type": F.col("_rdr"), "overlayable": laid, "other_types": F.coalesce(other, F.lit(False))}
+    return told.withColumns(replaced).drop("_kind", "_usual", "_rdr")
+
+
+def with_plain_names(args: Column) -> Column:
+    """``args`` with the older ways to ask for a stretch in the words of today: histogram_percent is percent, and
+    extrema_stretch asks for extrema."""
+    kind = F.when(units.parsed(args["extrema_stretch"], "boolean"), "extrema").when(F.lower(args["stretch_type"]) == "histogram_percent", "percent").otherwise(args["stretch_type"])
+    rest = F.map_filter(args, lambda name, _: ~name.isin("stretch_type", "extrema_stretch"))
+    return F.when(kind.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit("stretch_type"), kind)))
+
+
+#: Class flags of ``product_classes``.
+CLASSES = ("is_pds", "is_compressed", "is_unlinearized", "is_quicklook", "is_upload", "is_descent_camera", "is_raw", "is_fifteen_bit", "is_preapplied_gamma")
+
+
 def resolved(products: DataFrame, config: Config) -> DataFrame:
-    """Products (with ``product_classes``; args: what was asked, a map of texts; rdr_type, overlayable) with all fields of
-    their spec and ``nominal``: whether all of them are what nobody asked for.
+    """Products (url, product_type, rdr_type, instrument, overlayable; args: what was asked, a map of texts) with the
+    types asked for, the ``product_classes`` of those, all fields of their spec, and ``nominal``: whether all of them are
+    what nobody asked for.
 
     A field is what was asked if that is valid, else what is configured if that is valid, else its default. Text that is
     no value of a field's type raises, as do preferences of the wrong form and unknown tile formats.
     """
+    products = products.withColumn("args", with_plain_names(F.coalesce("args", F.create_map().cast("map<string,string>"))))
+    products = product_classes(asked_types(products.drop(*CLASSES), config), config)
+    values = dict(config.values)
+    if values.get("stretch_type", "").lower() == "histogram_percent":
+        values["stretch_type"] = "percent"
+    if values.pop("extrema_stretch", "").strip().lower() == "true":
+        values["stretch_type"] = "extrema"
     plain = urls.has_ext(F.col("url"), urls.PLAIN_EXTS)
     overlay = ~plain & F.col("overlayable")
     out = products.withColumn("overlayable", overlay).withColumn("stretchable", ~overlay)
-    arg, set_to = (lambda name: F.get(F.array(F.col("args")[name]), F.lit(0))), (lambda name: F.lit(config.values.get(name)))
-    changed: list[Column] = []
+    arg, set_to = (lambda name: F.get(F.array(F.col("args")[name]), F.lit(0))), (lambda name: F.lit(values.get(name)))
+    changed: list[Column] = [F.col("other_types")]
 
     def add(name: str, default: Column, kind: str, valid=None, counts: Column | None = None) -> None:
         nonlocal out
@@ -164,9 +207,39 @@ def args_of_body(body: Column) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
 
+#: Names of a request's query arguments and of the fields that they are.
+QUERY_NAMES = {
+    "image": "rdr_url", "rdr": "rdr_type", "format": "tile_format", "stretchType": "stretch_type", "extremaStretch": "extrema_stretch", "stretchLow": "stretch_low", "stretchHigh": "stretch_high",
+    "tileSize": "tile_size", "tileOverlap": "tile_overlap", "thumbHeight": "thumb_height", "maskBlack": "mask_black", "overlayAlpha": "overlay_alpha", "unmaskedAlpha": "unmasked_alpha",
+    "maskedAlpha": "masked_alpha", "gammaMode": "gamma_mode", "force": "force", "maxWaitSec": "max_wait_sec", "doMonolithic": "do_monolithic", "noDZI": "no_dzi", "forceCustom": "force_custom",
+}
+
+
+def args_of_query(query: Column) -> Column:
+    """A request's query string (name=value&...) as ``args``: the service's own names, percent-encoded; of a name that
+    comes again the first value counts, overlayPreference may come many times and comes as lines; others are left out. A
+    request without an image raises."""
+    decoded = lambda text: F.url_decode(text)
+    pairs = F.transform(F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: p != ""), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"), F.when(p.contains("="), decoded(F.substr(p, F.instr(p, "=") + 1))).otherwise("").alias("value")))
+
+    def told(pairs: Column) -> Column:
+        first = lambda name: F.get(F.filter(pairs, lambda p: p["name"] == name), F.lit(0))["value"]
+        fields = {own: first(name) for name, own in QUERY_NAMES.items()}
+        fields["rdr_url"] = F.coalesce(fields["rdr_url"], F.raise_error(F.lit("missing image parameter")).cast("string"))
+        wishes = F.filter(pairs, lambda p: p["name"] == "overlayPreference")
+        fields["overlay_preferences"] = F.when(F.size(wishes) > 0, F.array_join(F.transform(wishes, lambda p: p["value"]), "\n"))
+        args = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[c.cast("string") for c in fields.values()]))
+        return F.map_filter(args, lambda _, v: v.isNotNull())
+
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  (names a value, so that it is made once)
+    return once(once(pairs, told), with_plain_names)
+
+
 def configured(settings: dict[str, str], prefix: str = "TILES_") -> Config:
     """The configuration that settings tell (environment variables or a session's, upper-case, with ``prefix``): patterns
     are parted by commas, other fields are values."""
     told = {k[len(prefix) :].lower(): v for k, v in settings.items() if k.startswith(prefix)}
-    lists = {n: tuple(p.strip() for p in told.pop(n).split(",") if p.strip()) for n in Config.__dataclass_fields__ if n != "values" and n in told}
+    lists = {n: tuple(p.strip() for p in told.pop(n).split(",") if p.strip()) for n in Config.__dataclass_fields__ if n not in ("values", "rdr_types") and n in told}
+    if "rdr_types" in told:  # TYPE=IMAGE_TYPE, parted by commas
+        lists["rdr_types"] = dict(x.strip().split("=", 1) for x in told.pop("rdr_types").split(",") if "=" in x)
     return Config(values=told, **lists)

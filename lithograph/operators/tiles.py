@@ -43,17 +43,23 @@ def cube_of(r) -> np.ndarray:
 def cores(pixels: DataFrame, images: DataFrame, bands: int, tile: int = 254) -> DataFrame:
     """Cores of the full-size level from 8-bit pixels (image_id, y, x, band, out) and image sizes (image_id, width, height).
 
-    Pixels that don't occur are 0. A core is one group of tile * tile pixels at most.
+    Pixels that don't occur are 0, also where a whole tile has none: the grid of tiles comes from the sizes. A core is one
+    group of tile * tile pixels at most.
     """
     if tile % 2 or not 0 < bands <= MOST_BANDS:
         raise ValueError("tiles are even in size and have 1 to 4 bands")
     sized = images.select("image_id", F.col("width").cast("long").alias("full_w"), F.col("height").cast("long").alias("full_h"), top_level(F.col("width"), F.col("height")).cast("int").alias("level"))
     placed = pixels.join(sized, "image_id").select("image_id", "full_w", "full_h", "level", F.expr(f"cast(x div {tile} as int)").alias("col"), F.expr(f"cast(y div {tile} as int)").alias("row"), "y", "x", "band", "out")
+    side = lambda size: F.explode(F.sequence(F.lit(0), F.expr(f"cast(({size} - 1) div {tile} as int)")))
+    grid = sized.where("full_w > 0 and full_h > 0").select("*", side("full_w").alias("col")).select("*", side("full_h").alias("row"))
+    none = lambda name: F.lit(-1).cast(placed.schema[name].dataType).alias(name)
+    placed = placed.unionByName(grid.select("image_id", "full_w", "full_h", "level", "col", "row", *map(none, ("y", "x", "band", "out"))))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         image, W, H, level, col, row = key
         h, w = min(tile, H - row * tile), min(tile, W - col * tile)
         cube = np.zeros((bands, h, w), np.uint8)
+        rows = rows[rows["y"] >= 0]
         cube[rows["band"], rows["y"] - row * tile, rows["x"] - col * tile] = rows["out"]
         return pd.DataFrame([(image, W, H, level, col, row, w, h, bands, cube.tobytes())], columns=NAMES)
 

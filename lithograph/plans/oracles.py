@@ -127,5 +127,5 @@ select worker, min(percent) as least, max(percent) as most, sum(percent) as tota
     "label_decode": f"with {VECTORS} select image_id as path, band, cast(sum(dn) as bigint) as s, count(*) as n from color group by all",
     "png_tiles": f"with {BOUNDS} select c.image_id, band, cast(sum(case when dn <= lo then 0 when dn >= hi then 255 else greatest(0, least(255, cast(trunc((dn - lo) * 255 / (hi - lo)) as integer))) end) as bigint) as s from color c join bounds b on c.image_id = b.image_id group by all",
     "stream_ingest": """with n as (select user_id::varchar as key, ts, case when event_type = 'purchase' then 'ObjectRemoved:Delete' when event_type in ('click', 'view') then 'ObjectCreated:Put' else 'Other' end as name from events),
-l as (select key, name from n qualify row_number() over (partition by key order by ts desc, name desc) = 1) select key, case when name like 'ObjectCreated%' then 'build' when name like 'ObjectRemoved%' then 'delete' else 'ignore' end as action from l""",
+l as (select key, name from n qualify row_number() over (partition by key order by name <> 'Other' desc, ts desc, name desc) = 1) select key, case when name like 'ObjectCreated%' then 'build' when name like 'ObjectRemoved%' then 'delete' else 'ignore' end as action from l""",
 }

@@ -111,10 +111,11 @@ def asked(spark, d):
     url = F.concat(pick("c_custkey", ["a/", "a/quick/", "a/crisp/"]), k, pick("c_custkey", [".IMG", ".png", ".vic", ".jpg"]))
     args = F.map_filter(
         F.map_from_arrays(
-            F.array(*map(F.lit, ("tile_size", "stretch_type", "stretch_low", "tile_format", "gamma_mode", "masked_alpha", "tile_overlap"))),
+            F.array(*map(F.lit, ("tile_size", "stretch_type", "stretch_low", "tile_format", "gamma_mode", "masked_alpha", "tile_overlap", "product_type", "rdr_type", "extrema_stretch"))),
             F.array(
-                F.when(k % 5 == 0, (k % 300 - 100).cast("string")), F.when(k % 7 == 0, pick("c_custkey", ["none", "Relative", "extrema"])), F.when(k % 4 == 0, (k % 150 / 100).cast("string")),
+                F.when(k % 5 == 0, (k % 300 - 100).cast("string")), F.when(k % 29 == 0, F.lit("Histogram_Percent")).when(k % 7 == 0, pick("c_custkey", ["none", "Relative", "extrema"])), F.when(k % 4 == 0, (k % 150 / 100).cast("string")),
                 F.when(k % 11 == 0, F.lit("JPG")), F.when(k % 13 == 0, F.lit("convert")), F.when(k % 6 == 0, pick("c_custkey", ["auto", "0.5", "7"])), F.when(k % 17 == 0, F.lit("0")),
+                F.when(k % 19 == 0, F.lit("ecm")), F.when(k % 23 == 0, pick("c_custkey", ["auto", "ZZZ"])), F.when(k % 31 == 0, pick("c_custkey", ["True", "1"])),
             ),
         ), lambda _, v: v.isNotNull(),
     )
@@ -132,18 +133,18 @@ def product_classes(spark, d):
     return spec.product_classes(asked(spark, d), SPEC_CONFIG).select("c_custkey", *[F.col(c).cast("int").alias(c) for c in flags])
 
 
-@query(f"""with {ASKED}, a as (select *, k % 4 in (0, 2) and k % 10 = 0 as laid, kind = 'ECM' or k % 3 = 1 or instrument like 'E%' as plain, case when k % 5 = 0 then k % 300 - 100 end as size, case when k % 7 = 0 then ['none', 'relative', 'extrema'][k % 3 + 1] end as kind_of,
+@query(f"""with {ASKED}, a as (select *, k % 4 in (0, 2) and k % 10 = 0 as laid, kind = 'ECM' or k % 19 = 0 or k % 3 = 1 or instrument like 'E%' as plain, (k % 19 = 0 and kind <> 'ECM') or (k % 23 = 0 and k % 2 = 1) as other, case when k % 5 = 0 then k % 300 - 100 end as size, case when k % 31 = 0 and k % 2 = 0 then 'extrema' when k % 29 = 0 then 'percent' when k % 7 = 0 then ['none', 'relative', 'extrema'][k % 3 + 1] end as kind_of,
   case when k % 4 = 0 then (k % 150) / 100e0 end as low, k % 11 = 0 as jpg, k % 3 = 2 as crisp, case when k % 6 = 0 and k % 3 = 1 then 0.5e0 end as mask from c),
 b as (select *, coalesce(kind_of, case when plain then 'none' else 'percent' end) as stretch_type, case when size > 0 then size else 512 end as tile_size, case when laid or crisp then 0e0 else 1e0 end as mask_default from a),
 s as (select *, case stretch_type when 'percent' then coalesce(low, 2e0) when 'relative' then coalesce(case when low <= 1 then low end, 1e0) when 'extrema' then low end as stretch_low,
   case stretch_type when 'percent' then 2e0 when 'relative' then 1e0 end as low_default, case when jpg then 1e0 else coalesce(mask, mask_default) end as masked_alpha from b)
 select k as c_custkey, case when jpg then 'jpg' else 'png' end as tile_format, cast(tile_size as integer) as tile_size, case when k % 17 = 0 then 0 else 1 end as tile_overlap, stretch_type, stretch_low, masked_alpha,
 cast(laid as integer) as overlayable, cast(not jpg and crisp as integer) as mask_black,
-cast(not (jpg or tile_size <> 512 or k % 17 = 0 or (not laid and (stretch_type <> case when plain then 'none' else 'percent' end or stretch_low is distinct from low_default)) or (not jpg and mask is not null and mask <> mask_default)) as integer) as nominal from s""")
+cast(not (other or jpg or tile_size <> 512 or k % 17 = 0 or (not laid and (stretch_type <> case when plain then 'none' else 'percent' end or stretch_low is distinct from low_default)) or (not jpg and mask is not null and mask <> mask_default)) as integer) as nominal from s""")
 def spec_resolved(spark, d):
     """All fields of the specs of asked products; those that this query's SQL repeats are shown."""
     # the configured stretch_low of 2 is no share, so a relative stretch has the default
-    out = spec.resolved(spec.product_classes(asked(spark, d), SPEC_CONFIG), SPEC_CONFIG)
+    out = spec.resolved(asked(spark, d), SPEC_CONFIG)
     shown = ["c_custkey", "tile_format", "tile_size", "tile_overlap", "stretch_type", "stretch_low", "masked_alpha"]
     return out.select(*shown, *[F.col(c).cast("int").alias(c) for c in ("overlayable", "mask_black", "nominal")])
 
@@ -298,12 +299,37 @@ def path_texts(spark, d):
 
 
 @query("""with t as (select o_orderkey, o_orderkey * 997 % 9000000 as ms, cast(o_custkey as varchar) as n from orders) select o_orderkey, case when ms = 0 then '0s' when ms < 1000 then ms || 'ms' when ms < 60000 then (ms // 1000) || '.' || lpad((ms % 1000)::varchar, 3, '0') || 's'
-when ms < 3600000 then (ms // 60000) || 'm' || (ms // 1000 % 60) || 's' else (ms // 3600000) || 'h' || (ms // 60000 % 60) || 'm' || (ms // 1000 % 60) || 's' end as time, case o_orderkey % 3 when 0 then 7 when 1 then cast(n as integer) else 7 end as number, ['percent', 'none', 'percent'][o_orderkey % 3 + 1] as kind from t""")
+when ms < 3600000 then (ms // 60000) || 'm' || (ms // 1000 % 60) || 's' else (ms // 3600000) || 'h' || (ms // 60000 % 60) || 'm' || (ms // 1000 % 60) || 's' end as time, case o_orderkey % 3 when 0 then 7 when 1 then cast(n as integer) else 7 end as number, ['percent', 'none', 'percent'][o_orderkey % 3 + 1] as kind, o_orderkey % 7 in (0, 1, 5) as flag from t""")
 def typed_texts(spark, d):
     text = F.when(F.col("o_orderkey") % 3 == 0, "auto").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), F.col("o_custkey"))).otherwise("-5")
     number = units.parsed(text, "int", F.trim(text).try_cast("int") >= 0, F.lit(7))
     kind = units.one_of(pick("o_orderkey", ["", " None", "PERCENT"]), spec.STRETCHES, "percent")
-    return table(spark, d, "orders").select("o_orderkey", units.hms(F.col("o_orderkey") * 997 % 9_000_000).alias("time"), number.alias("number"), kind.alias("kind"))
+    flag = units.parsed(pick("o_orderkey", ["true", " TRUE ", "1", "yes", "false", "auto", "t"]), "boolean", None, F.lit(True))
+    return table(spark, d, "orders").select("o_orderkey", units.hms(F.col("o_orderkey") * 997 % 9_000_000).alias("time"), number.alias("number"), kind.alias("kind"), flag.alias("flag"))
+
+
+@query("""select o_orderkey, 's3://b/' || o_custkey || ' x.IMG' as rdr_url, case when o_orderkey % 3 = 0 then 'jpg' end as tile_format, case when o_orderkey % 5 = 0 then 'extrema' when o_orderkey % 2 = 0 then 'percent' end as stretch_type,
+case when o_orderkey % 4 = 0 then 'contour:STEP=0.5' || chr(10) || 'xyz:a=b' end as overlay_preferences, 2 + (o_orderkey % 3 = 0)::integer + (o_orderkey % 5 = 0 or o_orderkey % 2 = 0)::integer + (o_orderkey % 4 = 0)::integer as fields from orders""")
+def query_args(spark, d):
+    """Requests' query strings with the service's own names."""
+    k = F.col("o_orderkey")
+    part = lambda n, text: F.when(k % n == 0, F.lit(text)).otherwise("")
+    text = F.concat(F.lit("image=s3%3A%2F%2Fb%2F"), F.col("o_custkey"), F.lit("+x.IMG&tileSize=128&tileSize=7&unknown=1"), part(3, "&format=jpg"), part(2, "&stretchType=histogram_percent"), part(5, "&extremaStretch=TRUE"), part(4, "&overlayPreference=contour%3ASTEP%3D0.5&overlayPreference=xyz:a=b"))
+    args = table(spark, d, "orders").select("o_orderkey", spec.args_of_query(text).alias("args"))
+    return args.select("o_orderkey", *[F.col("args")[n].alias(n) for n in ("rdr_url", "tile_format", "stretch_type", "overlay_preferences")], F.size("args").alias("fields"))
+
+
+@query(f"""with {IMAGES}, h as (select image_id, width * 4000::bigint as w, height * 4000::bigint as h, 1 + (width % 3 = 0)::integer * 2 as bands, case when height % 2 = 0 then 1 else 2 end as bps, width % 2 = 0 as pds from img),
+s as (select *, w * case when bands = 3 and bps = 1 then 4 else bands * bps end as line from h),
+m as (select *, case when pds and w * h > 2147483647 then 2147483647 // w when not pds and line * h > 2147483647 then 2147483647 // line end as line_limit from s)
+select image_id, line_limit, coalesce(line_limit, h) as lines, case when line_limit = 0 then 'width' when line * coalesce(line_limit, h) > 2000000000 then 'image_bytes' end as reason from m""")
+def line_limits(spark, d):
+    """Images so large that only some of their lines are worked on, if any."""
+    i = tables.images(spark, d).select(
+        "image_id", (F.col("width") * 4000).cast("long").alias("width"), (F.col("height") * 4000).cast("long").alias("height"), (1 + (F.col("width") % 3 == 0).cast("int") * 2).alias("bands"),
+        F.when(F.col("height") % 2 == 0, 1).otherwise(2).alias("bytes_per_sample"), F.lit(0).alias("file_bytes"), (F.col("width") % 2 == 0).alias("is_pds"),
+    )
+    return raster.with_line_limit(i, most_image_bytes=2_000_000_000).select("image_id", "line_limit", "lines", "reason")
 
 
 @query("""with q as (select o_orderkey as rect_id, o_custkey * 7 % 4000 as x, o_custkey % 900 + 1 as w from orders), m as (select *, (x + w // 2) // 512 as c from q),

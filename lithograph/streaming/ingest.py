@@ -23,20 +23,27 @@ def notifications(messages: DataFrame) -> DataFrame:
 
 
 def decided(events: DataFrame) -> DataFrame:
-    """The last event of each (bucket, key) by time, with its action: build, delete or ignore.
+    """The last event of each (bucket, key) that tells of something made or removed, with its action: build or delete.
 
-    Deliveries may repeat and come in any order; the last event of a key decides, so applying a batch twice changes
-    nothing.
+    Other events decide nothing: a key that has no more than such gets ignore. Deliveries may repeat and come in any
+    order; the last event of a key decides, so applying a batch twice changes nothing.
     """
-    last = events.groupBy("bucket", "key").agg(F.max(F.struct("ts", "event_name")).alias("e"))
-    name = F.col("e.event_name")
+    name = F.col("event_name")
     action = F.when(name.contains("ObjectCreated"), "build").when(name.contains("ObjectRemoved"), "delete").otherwise("ignore")
-    return last.select("bucket", "key", "e.ts", action.alias("action"))
+    acting = events.select("bucket", "key", "ts", "event_name", action.alias("action"))
+    last = acting.groupBy("bucket", "key").agg(F.max(F.struct((F.col("action") != "ignore").alias("acts"), "ts", "event_name", "action")).alias("e"))
+    return last.select("bucket", "key", "e.ts", "e.action")
+
+
+def last_actions(decisions: DataFrame) -> DataFrame:
+    """The last decision of each (bucket, key); ignored events never take the place of a build or a delete."""
+    last = decisions.groupBy("bucket", "key").agg(F.max(F.struct((F.col("action") != "ignore").alias("acts"), "ts", "action")).alias("e"))
+    return last.select("bucket", "key", "e.ts", "e.action")
 
 
 def applied(table: DataFrame, batch: DataFrame) -> DataFrame:
     """``table`` (bucket, key, ts, action) with the batch's later decisions in place of its own."""
-    return table.unionByName(batch).groupBy("bucket", "key").agg(F.max(F.struct("ts", "action")).alias("e")).select("bucket", "key", "e.ts", "e.action")
+    return last_actions(table.unionByName(batch))
 
 
 def run_batches(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
@@ -55,8 +62,7 @@ def appended_to(folder: str) -> Callable[[DataFrame, int], None]:
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The table that the batches below ``folder`` leave: the last decision of each key."""
-    rows = spark.read.parquet(folder)
-    return rows.groupBy("bucket", "key").agg(F.max(F.struct("ts", "action")).alias("e")).select("bucket", "key", "e.ts", "e.action")
+    return last_actions(spark.read.parquet(folder))
 
 
 def routed(decisions: DataFrame, sources: DataFrame) -> DataFrame:
