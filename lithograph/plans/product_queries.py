@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -340,6 +342,33 @@ def window_margin(spark, d):
     return pyramid.windows_of(r, 512, 64).select("rect_id", "wx", "px", "pw")
 
 
+@query(f"""with {VECTORS} select image_id, cast(y // 32 as integer) as strip, cast(y % 32 // 8 * 8 as integer) as y, cast(x // 5 * 5 as integer) as x, band, count(*) as n, cast(sum(dn) as double) as s from color group by all""")
+def windowed_read(spark, d):
+    """Rasters made of strips of the table's images, written as files; their windows read back by ranges of bytes."""
+    from ..sources import labelled, raster_source
+
+    folder = f"{base.shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
+    made = labelled.encode(base.color(spark, d), 32).select(F.concat("path", F.lit(".img")).alias("path"), "content")
+    raster_source.write_files(made, folder).write.parquet(f"{folder}-manifest")
+    rows = raster_source.window_sums(raster_source.read_rasters(spark, folder, lines=8, samples=5))
+    name = F.regexp_extract("path", "/([^/]+)/([0-9]+)[.]img$", 2).cast("int")
+    return rows.select(F.regexp_extract("path", "/([^/]+)/[0-9]+[.]img$", 1).alias("image_id"), name.alias("strip"), "y", "x", "band", "n", "s")
+
+
+@query(f"""with {BOUNDS}, p as (select c.image_id, band, x // 8 as col, y // 8 as row, {OUT} as v from color c join bounds b on c.image_id = b.image_id)
+select image_id, cast(col as integer) as col, cast(row as integer) as row, cast(count(*) // 3 as bigint) as pixels, cast(sum(v) as bigint) as s from p group by all""")
+def committed_tiles(spark, d):
+    """8-bit tiles of 8 pixels written as files by the sink; those that its manifest names are read back and decoded."""
+    from ..sources import raster_source, sinks, tile_sink
+
+    root = f"{base.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    p = raster.stretch(base.color(spark, d), base.bounds(spark, d)).select("image_id", F.lit(0).alias("level"), F.expr("cast(x div 8 as int)").alias("col"), F.expr("cast(y div 8 as int)").alias("row"), "y", "x", "band", "out")
+    tile_sink.write_tiles(sinks.png_tiles(p, 3), root)
+    manifest = tile_sink.committed(spark, root)
+    sums = image_files.pixels(image_files.blocks(raster_source.contents(manifest))).groupBy("path").agg(F.sum("dn").cast("long").alias("s"))
+    return manifest.join(sums, "path").select("image_id", "col", "row", (F.col("w") * F.col("h")).cast("long").alias("pixels"), "s")
+
+
 def stored_levels(spark, d):
     """Tiles of generated images as they would be written, from their geometry."""
     return pyramid.tile_rects(pyramid.levels(tables.images(spark, d)))
