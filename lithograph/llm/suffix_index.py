@@ -47,6 +47,8 @@ LENGTH, ANCHOR, KEY = 50, 16, 8
 BATCHES = 8
 #: Bytes of text whose entries, or whose stretches, make up a bucket, about; and least buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 16
+#: Rows that a task gathers before it deals them by document.
+ROWS_DEALT = 2_000_000
 #: An anchor is common if more entries of a batch have it, or more than an eighth as many documents of one pack.
 COMMON = 1000
 MULTIPLIER, SECOND_MULTIPLIER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -184,10 +186,10 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
                 rows = np.zeros(b - a, ANCHORED)
                 rows["key"], rows["low"], rows["high"], rows["of"] = keys[order[a:b]], v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
                 blobs.append(packed_columns(known[here], rows))
-            parts = [(-1, found.astype(np.int64).tolist(), blobs), (-2, *_by_document(held, buckets)[1:])]
-            order, cuts, found = cut((frequent >> np.uint64(16)) % np.uint64(buckets))
-            frequent = frequent[order] & LOW_48
-            parts.append((-3, found.astype(np.int64).tolist(), [frequent[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+            parts = [(-1, found.astype(np.int64).tolist(), blobs)]
+            if len(frequent):  # one blob each of a pack: they only pass through the scan, in any of its buckets
+                passing_by = [int(frequent[0] % np.uint64(buckets))]
+                parts += [(-2, passing_by, [np.unique(held).tobytes()]), (-3, passing_by, [(frequent & LOW_48).tobytes()])]
             rows = _kinds(parts, "level")
             return rows.add_column(0, "batch", pa.array([batch] * rows.num_rows, pa.int32())).to_batches()
 
@@ -244,7 +246,7 @@ def opened(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray,
 def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, common: int = COMMON) -> DataFrame:
     """Scan a batch's array (level, bucket, entries) against the levels; rows: kind, bucket, entries.
 
-    Kind 0: (anchor, doc) of all anchors that two documents hold, packed by document. Kind 1: the batch's array as a new
+    Kind 0: HELD (anchor, doc) of all anchors that two documents hold, a blob for each bucket. Kind 1: the batch's array as a new
     level, which has each anchor once, with its first document. Kind 2: common anchors.
     """
 
@@ -263,10 +265,10 @@ def merge_scan(batch: DataFrame, levels: list[DataFrame], buckets: int, common:
         shared = order[np.repeat(told, lengths)]
         held = np.zeros(len(shared), HELD)
         held["value"], held["doc"] = values[shared], docs[shared]
-        out = [_by_document(held, buckets)]
+        out = [(0, [bucket], [np.unique(held).tobytes()])] if len(held) else []
         for number, kind in ((-2, 0), (-3, 2)):
-            if passed := b"".join([b for b, x in zip(blobs, level.tolist(), strict=True) if x == number]):
-                out.append((kind, [bucket], [passed]))
+            passed = [b for b, x in zip(blobs, level.tolist(), strict=True) if x == number]
+            out.append((kind, [bucket] * len(passed), passed))
         if (frequent := values[order[starts[lengths > common]]]).size:
             out.append((2, [bucket], [frequent.tobytes()]))
         order = np.lexsort((new[2], new[1], new[0]))
@@ -300,13 +302,6 @@ def _level(keys: np.ndarray, values: np.ndarray, docs: np.ndarray) -> bytes:
     return packed_columns(table, rows)
 
 
-def _by_document(held: np.ndarray, buckets: int) -> tuple[int, list[int], list[bytes]]:
-    held = np.unique(held)
-    order, bounds, found = cut(mixed(held["doc"].astype(np.uint64)) % np.uint64(document_buckets(buckets)))
-    held = held[order]
-    return 0, found.astype(np.int64).tolist(), [held[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
 def _kinds(parts: list[tuple[int, list[int], list[bytes]]], name: str = "kind") -> pa.Table:
     kinds = [k for k, found, _ in parts for _ in found]
     return pa.table({name: pa.array(kinds, pa.int32()), "bucket": pa.array([x for _, found, _ in parts for x in found], pa.int64()), "entries": pa.array([x for *_, blobs in parts for x in blobs], pa.binary())})
@@ -379,8 +374,39 @@ def common_bits(frequent: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def dealt_by_document(held: DataFrame, kind: np.dtype, documents: int) -> DataFrame:
+    """Packed rows of ``kind`` (entries), however they were packed, dealt to ``documents`` buckets by their document.
+
+    A task gathers ROWS_DEALT rows of many blobs before it deals them, so that pieces don't get small as buckets of the index
+    and of documents both grow with the corpus.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(waiting))
+            order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(documents))
+            rows = rows[order]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array([rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["bucket", "entries"])
+
+        for batch in batches:
+            for blob in batch.column(0):
+                waiting.append(np.frombuffer(blob.as_py(), kind))
+                size += len(waiting[-1])
+                if size >= ROWS_DEALT:
+                    yield dealt()
+                    size = 0
+        if waiting:
+            yield dealt()
+
+    return held.select("entries").mapInArrow(deal, PACKED)
+
+
 def per_document(held: DataFrame, kind: np.dtype, columns: dict[str, str]) -> DataFrame:
-    """Packed rows of ``kind`` by document: doc, and an array of longs for each of ``columns`` (name: condition on whole)."""
+    """Packed rows of ``kind`` dealt by document: doc, and an array of longs for each of ``columns`` (name: condition on
+    whole)."""
 
     def gather(table: pa.Table) -> pa.Table:
         rows = np.unique(np.frombuffer(b"".join(table.column("entries").to_pylist()), kind))
@@ -445,7 +471,7 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
     the pack. ``common``: the bitmap of common anchors.
 
     stretches: packed by anchor. least: LEAST of windows around common anchors, packed by window hash. removed: REMOVED,
-    as far as the pack tells.
+    as far as the pack tells, in one of its rows.
     """
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -479,7 +505,8 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
                 order, bounds, found = cut(mixed(least["value"]) % np.uint64(buckets))
                 least = least[order]
                 put(1, found.tolist(), [least[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            put(2, *_removed(removed, buckets))
+            if len(removed):  # one blob of the pack, with any bucket
+                put(2, [next(iter(out), 0)], [np.unique(removed).tobytes()])
             docs.clear(), values.clear(), parts.clear(), place.clear(), gone.clear()
             columns = zip(*out.values(), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "stretches", "least", "removed"])
@@ -512,15 +539,8 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
     return texts.mapInArrow(deal, "bucket long, stretches binary, least binary, removed binary")
 
 
-def _removed(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    rows = np.unique(rows)
-    order, bounds, found = cut(mixed(rows["doc"].astype(np.uint64)) % np.uint64(document_buckets(buckets)))
-    rows = rows[order]
-    return found.astype(np.int64).tolist(), [rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def verified(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Windows, and stretches all of whose windows, start in a smaller doc_id too; packed by document as REMOVED."""
+def verified(dealt: DataFrame) -> DataFrame:
+    """Windows, and stretches all of whose windows, start in a smaller doc_id too; a blob of REMOVED for each bucket."""
 
     def verify(table: pa.Table) -> pa.Table:
         heads, texts = [], []
@@ -540,8 +560,8 @@ def verified(dealt: DataFrame, buckets: int) -> DataFrame:
             rows = np.zeros(len(held), REMOVED)
             rows["doc"], rows["hash"] = held["doc"], held["value"]
             removed.append(rows)
-        found, blobs = _removed(np.concatenate(removed), buckets)
-        return pa.table({"bucket": pa.array(found, pa.int64()), "entries": pa.array(blobs, pa.binary())})
+        found = np.unique(np.concatenate([np.zeros(0, REMOVED), *removed]))
+        return pa.table({"bucket": table.column("bucket")[:1], "entries": pa.array([found.tobytes()], pa.binary())})
 
     return dealt.groupBy("bucket").applyInArrow(verify, PACKED)
 
@@ -549,7 +569,7 @@ def verified(dealt: DataFrame, buckets: int) -> DataFrame:
 def dealt_candidates(docs: DataFrame, texts: DataFrame, buckets: int, batches: int = BATCHES, common: int = COMMON) -> DataFrame:
     """What is to be verified, dealt out: dealt_stretches of the documents that hold shared anchors. ``texts``: whole_texts."""
     shared, frequent = shared_anchors(docs, buckets, batches, common)
-    held = per_document(shared, HELD, {"anchors": ""})
+    held = per_document(dealt_by_document(shared, HELD, document_buckets(buckets)), HELD, {"anchors": ""})
     firsts = texts.where("first is not null").select(F.col("doc_id").alias("at"), "first").distinct()
     held = held.hint("merge").join(firsts, F.col("doc") == F.col("at")).groupBy("first").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     held = written(held, "held")
@@ -587,7 +607,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, common: int = COMMON
     plain = docs.select("doc_id", "text")
     buckets = buckets_for(texts.agg(F.sum("n_bytes")).first()[0] or 0)
     dealt = dealt_candidates(docs, texts, buckets, batches, common)
-    removed = written(per_document(verified(dealt, buckets), REMOVED, {"windows": "0", "wholes": "1"}), "removed")
+    told = dealt_by_document(verified(dealt), REMOVED, document_buckets(buckets))
+    removed = written(per_document(told, REMOVED, {"windows": "0", "wholes": "1"}), "removed")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
