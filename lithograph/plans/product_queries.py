@@ -369,6 +369,22 @@ def committed_tiles(spark, d):
     return manifest.join(sums, "path").select("image_id", "col", "row", (F.col("w") * F.col("h")).cast("long").alias("pixels"), "s")
 
 
+@query(f"with {BOUNDS} select c.image_id, band, cast(sum({OUT}) as bigint) as s, count(*) as n from color c join bounds b on c.image_id = b.image_id group by all")
+def whole_images(spark, d):
+    """One PNG for each of the table's images, made of strips of 8 lines that are packed and written apart, decoded again."""
+    from ..sources import raster_source, whole_image
+
+    folder = f"{base.shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    p = raster.stretch(base.color(spark, d), base.bounds(spark, d)).select("image_id", "y", "x", "band", "out")
+    sizes = p.groupBy("image_id").agg(F.lit(16).alias("width"), (F.max("y") + 1).alias("height"))
+    whole_image.strips(p, sizes, 3, 8).write.parquet(f"{folder}/strips")
+    made = whole_image.write_images(whole_image.pieces(spark.read.parquet(f"{folder}/strips"), 3), f"{folder}/out")
+    made.write.parquet(f"{folder}/manifest")
+    files = raster_source.contents(spark.read.parquet(f"{folder}/manifest"))
+    name = F.regexp_extract("path", "/([^/]+)[.]png$", 1)
+    return image_files.pixels(image_files.blocks(files)).groupBy(name.alias("image_id"), "band").agg(F.sum("dn").cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
 def stored_levels(spark, d):
     """Tiles of generated images as they would be written, from their geometry."""
     return pyramid.tile_rects(pyramid.levels(tables.images(spark, d)))

@@ -6,7 +6,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
-from lithograph.sources import images, labelled, raster_source, tile_sink
+from lithograph.sources import images, labelled, raster_source, tile_sink, whole_image
 from lithograph.sources.raster_source import RasterReader, layout_of
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan, StringContains
@@ -192,3 +192,24 @@ def test_tasks_that_die_are_written_exactly_once(tmp_path):
     assert sorted(f.read_bytes() for f in (tmp_path / "out").rglob("*.png")) == [bytes([i]) for i in range(40)]
     (commit,) = (tmp_path / "out/_manifest").glob("*.json")
     assert json.loads(commit.read_text())["tiles"] == 40
+
+
+@pytest.mark.parametrize(("bands", "lines"), [(1, 1), (3, 4), (4, 100)])
+def test_one_file_made_of_strips(spark, tmp_path, bands, lines):
+    cube = np.random.default_rng(bands).integers(0, 256, (bands, 23, 19), np.uint8)
+    cube[:, 8:16] = 0  # lines without any pixel row
+    rows = [("i", y, x, b, int(cube[b, y, x])) for b in range(bands) for y in range(23) for x in range(19) if not 8 <= y < 16]
+    pixels = spark.createDataFrame(rows, "image_id string, y int, x int, band int, out int")
+    sizes = spark.createDataFrame([("i", 19, 23), ("black", 3, 9), ("none", 0, 5)], "image_id string, width int, height int")
+    whole_image.strips(pixels, sizes, bands, lines).write.parquet(f"{tmp_path}/strips")
+    parts = whole_image.pieces(spark.read.parquet(f"{tmp_path}/strips"), bands)
+    made = {r.image_id: r for r in whole_image.write_images(parts, f"file://{tmp_path}/out").collect()}
+    assert made.keys() == {"i", "black"} and not list((tmp_path / "out").glob(".*"))
+    data = open(made["i"].path, "rb").read()
+    assert len(data) == made["i"].bytes and sum(name == b"IDAT" for name, _ in images.chunks(data)) == -(-23 // lines)
+    assert np.array_equal(images.samples(data), cube)  # which checks the stream's own checksum
+    assert np.array_equal(images.samples(open(made["black"].path, "rb").read()), np.zeros((bands, 9, 3)))
+    if lines > 1:
+        assert max(len(bytes(r.data)) for r in parts.collect()) < 200 + lines * 19 * bands * 2
+    with pytest.raises(ValueError, match="no writes in the midst"):
+        whole_image.write_images(parts, "s3://bucket/x")
