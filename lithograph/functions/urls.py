@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,32 +68,50 @@ def is_s3(url: Column) -> Column:
     return url.rlike(r"^(?i:s3)://") | F.coalesce(host(url).rlike(r"(^|[.])s3([.-][a-z0-9-]+)*[.]amazonaws[.]com([.]cn)?$"), F.lit(False))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is named for it, and so planned and made once however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def safe_ipv4(address: Column) -> Column:
     """Whether a dotted address is public; null if it isn't one."""
-    part = lambda i: F.element_at(F.split(address, "[.]"), i).cast("int")
-    a, b, c = part(1), part(2), part(3)
-    private = (
-        a.isin(0, 10, 127) | (a >= 224) | (a == 100) & b.between(64, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31)
-        | (a == 192) & (b == 0) & (c == 0) | (a == 192) & (b == 168) | (a == 198) & b.isin(18, 19)
-    )
-    return F.when(address.rlike(r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$") & F.forall(F.split(address, "[.]"), lambda x: x.cast("int") <= 255), ~private)
+
+    def judged(parts: Column) -> Column:
+        a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+        private = (
+            a.isin(0, 10, 127) | (a >= 224) | (a == 100) & b.between(64, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31)
+            | (a == 192) & (b == 0) & (c == 0) | (a == 192) & (b == 168) | (a == 198) & b.isin(18, 19)
+        )
+        return F.when(F.forall(parts, lambda x: x <= 255), ~private)
+
+    parts = F.transform(F.split(address, "[.]"), lambda x: x.cast("int"))
+    return F.when(address.rlike(r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$"), once(parts, judged))
 
 
 def ipv6_groups(address: Column) -> Column:
     """The eight numbers of an IPv6 address (a dotted end counts as two); null if it isn't one."""
-    text = F.lower(address)
-    dotted = F.regexp_extract(text, r":([0-9]{1,3}(?:[.][0-9]{1,3}){3})$", 1)
-    byte = lambda i: F.get(F.split(dotted, "[.]"), F.lit(i)).try_cast("int")
-    end = F.concat(F.lower(F.hex(byte(0) * 256 + byte(1))), F.lit(":"), F.lower(F.hex(byte(2) * 256 + byte(3))))
-    plain = F.when(dotted == "", text).otherwise(F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), end))
-    halves = F.split(plain, "::", -1)
-    given = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
-    left, right = given(F.get(halves, F.lit(0))), given(F.get(halves, F.lit(1)))
-    missing = 8 - F.size(left) - F.size(right)
-    whole = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
-    right_bytes = (dotted == "") | F.forall(F.split(dotted, "[.]"), lambda x: x.try_cast("int") <= 255)
-    valid = right_bytes & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(F.coalesce(valid, F.lit(False)), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    def without_dots(text: Column) -> Column:
+        dotted = F.regexp_extract(text, r":([0-9]{1,3}(?:[.][0-9]{1,3}){3})$", 1)
+        byte = lambda parts, i: F.get(parts, F.lit(i))
+        pair = lambda parts, i: F.lower(F.hex(byte(parts, i) * 256 + byte(parts, i + 1)))
+        end = once(F.transform(F.split(dotted, "[.]"), lambda x: x.try_cast("int")), lambda parts: F.when(F.forall(parts, lambda x: x <= 255), F.concat(pair(parts, 0), F.lit(":"), pair(parts, 2))))
+        return F.when(dotted == "", text).otherwise(F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), end))
+
+    def filled(halves: Column) -> Column:
+        given = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+        def joined(sides: Column) -> Column:
+            missing = 8 - F.size(sides["l"]) - F.size(sides["r"])
+            return F.when(F.size(halves) == 1, sides["l"]).when((F.size(halves) == 2) & (missing > 0), F.concat(sides["l"], F.array_repeat(F.lit("0"), missing), sides["r"]))
+
+        return once(F.struct(given(F.get(halves, F.lit(0))).alias("l"), given(F.get(halves, F.lit(1))).alias("r")), joined)
+
+    def numbers(whole: Column) -> Column:
+        valid = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(F.coalesce(valid, F.lit(False)), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return once(once(F.split(once(F.lower(address), without_dots), "::", -1), filled), numbers)
 
 
 def safe_ipv6(address: Column) -> Column:
@@ -114,8 +134,7 @@ def safe_ipv6(address: Column) -> Column:
             .when(at(0) == 0x2002, four(1)).otherwise(True)
         )
 
-    groups = ipv6_groups(address)
-    return F.when(groups.isNotNull(), F.element_at(F.transform(F.array(groups), judged), 1))
+    return once(ipv6_groups(address), lambda groups: F.when(groups.isNotNull(), judged(groups)))
 
 
 def safe_name(name: Column) -> Column:
@@ -130,8 +149,12 @@ def safe_name(name: Column) -> Column:
 
 def safe_host(name: Column) -> Column:
     """Whether a host (an address or a name, IPv6 in brackets) may be fetched from."""
-    inner = F.regexp_extract(name, r"^\[(.*)\]$", 1)
-    return F.coalesce(F.when(name.startswith("["), F.coalesce(safe_ipv6(inner), F.lit(False))).otherwise(F.coalesce(safe_ipv4(name), safe_name(name))), F.lit(False))
+
+    def judged(name: Column) -> Column:
+        inner = F.regexp_extract(name, r"^\[(.*)\]$", 1)
+        return F.coalesce(F.when(name.startswith("["), F.coalesce(safe_ipv6(inner), F.lit(False))).otherwise(F.coalesce(safe_ipv4(name), safe_name(name))), F.lit(False))
+
+    return once(name, judged)
 
 
 def policy(
