@@ -42,8 +42,8 @@ SEGMENT = re.compile(r"(?<=[^\s▁])(?= +[^\s▁])")
 SPACE_PIECE, BYTE_PIECE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 #: Links, and bytes of text, of a pack of documents at most (but for a single document that has more).
 PACK_LINKS, PACK_BYTES = 2_000_000, 12_000_000
-#: Characters of the longest segment that is kept for later, and segments of a generation, of which a task keeps two.
-LONGEST_KEPT, GENERATION = 64, 300_000
+#: Characters of the longest segment that is kept for later, and segments of a generation, of which a worker keeps two.
+LONGEST_KEPT, GENERATION = 48, 200_000
 A, B = 0, 1
 PAIR = np.dtype([("pair", "<u4"), ("times", "<u4")])
 
@@ -134,16 +134,6 @@ class Pieces:
         return self.model.encode([s[1:] for s in segments], num_threads=1)
 
 
-def kept_tokenizers(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
-    """The tokenizers, which a worker loads once for all its tasks."""
-    import builtins
-
-    kept = builtins.__dict__.setdefault("_token_alignment_tokenizers", {})
-    if (path_a, path_b) not in kept:
-        kept[path_a, path_b] = ByteLevel(path_a), Pieces(path_b)
-    return kept[path_a, path_b]
-
-
 # -- the transducer -----------------------------------------------------------------------------------------------------
 
 
@@ -238,10 +228,25 @@ class Segments:
         data = segment.encode("utf-8", "surrogatepass")
         if b"".join([self.a.bytes[i] for i in ids[A]]) != data or b"".join([self.b.bytes[i] for i in ids[B]]) != data:
             return None
+        if len(ids[A]) == len(ids[B]) == 1:
+            return 1, 1, 1, array("q", [ids[A][0] << 32 | ids[B][0]]).tobytes(), f"{ids[A][0]}|{ids[B][0]}"
         links, groups = self.transducer.align(ids)
         return len(ids[A]), len(ids[B]), len(groups), array("q", [x << 32 | y for x, y in links]).tobytes(), shown_groups(ids, groups)
 
 
+def kept_segments(path_a: str, path_b: str) -> Segments:
+    """The tokenizers and what was learnt with them, which a worker process keeps for all its tasks.
+
+    Functions that are sent to executors bring globals of their own with each task, so these hang on the process.
+    """
+    import builtins
+
+    kept = builtins.__dict__.setdefault("_token_alignment", {})
+    if (path_a, path_b) not in kept:
+        kept[path_a, path_b] = Segments(ByteLevel(path_a), Pieces(path_b))
+    return kept[path_a, path_b]
+
+
 # -- packs --------------------------------------------------------------------------------------------------------------
 
 
@@ -250,7 +255,7 @@ def aligned_packs(docs: DataFrame, path_a: str, path_b: str, pack_links: int = P
     times) of each document; and one row per pack (``pairs`` not null) with its table of pairs and their times."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, number = Segments(*kept_tokenizers(path_a, path_b)), TaskContext.get().partitionId() << 32
+        segments, number = kept_segments(path_a, path_b), TaskContext.get().partitionId() << 32
         rows, held, n_links = [], [], 0
 
         def flushed() -> pa.RecordBatch:

@@ -94,7 +94,7 @@ def test_alignment_of_odd_texts_equals_offsets(spark):
 
 def test_segments_give_what_whole_texts_give():
     random.seed(3)
-    segments = Segments(*token_alignment.kept_tokenizers(*PATHS))
+    segments = Segments(ByteLevel(PATHS[0]), Pieces(PATHS[1]))
     assert segments.cut
     characters = [*"abc def  xyz.,'-\n\t12", "\u00a0", "\u2028", "é", "▁", "'s", " the", "  ", "\x1c", "\x85", "日"]
     for _ in range(1500):
