@@ -135,6 +135,11 @@ def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, n))
 
 
+def spread(doc: int, buckets: int) -> int:
+    """A bucket for what may lie in any: packs begin with different documents, so they take different ones."""
+    return int(mixed(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+
+
 def buckets_for(n_bytes: int) -> int:
     """Buckets for so many bytes of text: their number hangs on the data alone."""
     return max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES)
@@ -188,7 +193,7 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
                 blobs.append(packed_columns(known[here], rows))
             parts = [(-1, found.astype(np.int64).tolist(), blobs)]
             if len(frequent):  # one blob each of a pack: they only pass through the scan, in any of its buckets
-                passing_by = [int(frequent[0] % np.uint64(buckets))]
+                passing_by = [spread(ids[0], buckets)]
                 parts += [(-2, passing_by, [np.unique(held).tobytes()]), (-3, passing_by, [(frequent & LOW_48).tobytes()])]
             rows = _kinds(parts, "level")
             return rows.add_column(0, "batch", pa.array([batch] * rows.num_rows, pa.int32())).to_batches()
@@ -505,8 +510,8 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
                 order, bounds, found = cut(mixed(least["value"]) % np.uint64(buckets))
                 least = least[order]
                 put(1, found.tolist(), [least[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            if len(removed):  # one blob of the pack, with any bucket
-                put(2, [next(iter(out), 0)], [np.unique(removed).tobytes()])
+            if len(removed):  # one blob of the pack, with any of its buckets
+                put(2, [list(out)[spread(docs[0], len(out))] if out else spread(docs[0], buckets)], [np.unique(removed).tobytes()])
             docs.clear(), values.clear(), parts.clear(), place.clear(), gone.clear()
             columns = zip(*out.values(), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "stretches", "least", "removed"])

@@ -145,7 +145,7 @@ def test_index_levels_are_suffix_arrays_that_merge(make):
     index, told = suffix_index.Index(16), []
     for i in range(0, 70, 10):
         batch = suffix_index.sampled_suffixes(docs.where(f"doc_id between {i} and {i + 9}"), 16, []).drop("batch")
-        told.append(suffix_index.per_document(index.add(batch).where("kind = 0").select("bucket", "entries"), suffix_index.HELD, {"anchors": ""}).collect())
+        told.append(suffix_index.per_document(suffix_index.dealt_by_document(index.add(batch).where("kind = 0"), suffix_index.HELD, 16), suffix_index.HELD, {"anchors": ""}).collect())
     assert [size for size, _ in index.levels] == [2, 1, 0] and index.merges == 4
     assert {r["doc"] for r in told[-1]} >= {3, 66} and not any(told[:-1])
     entries = 0
