@@ -154,31 +154,36 @@ class Transducer:
 
     def align(self, ids: tuple[list[int], list[int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """(links: pairs of ids; groups: places up to which each side's ids belong to it)."""
-        at, links, groups, steps = [0, 0], [], [], self.steps
-        while at[A] < len(ids[A]):
-            leader, last = A, ids[A][at[A]]
-            at[A] += 1
+        (ids_a, ids_b), links, groups, steps = ids, [], [], self.steps
+        a = b = 0
+        while a < len(ids_a):
+            leader, last = A, ids_a[a]
+            a += 1
             residual = self.bytes[A][last]
             while residual:
-                lagging = 1 - leader
-                token = ids[lagging][at[lagging]]
-                at[lagging] += 1
-                links.append((last, token) if leader == A else (token, last))
+                if leader == A:
+                    token = ids_b[b]
+                    b += 1
+                    links.append((last, token))
+                else:
+                    token = ids_a[a]
+                    a += 1
+                    links.append((token, last))
                 key = (leader, residual, token)
                 if (after := steps.get(key)) is None:
-                    if len(steps) > 1_000_000:
+                    if len(steps) > 300_000:
                         steps.clear()
                     after = steps[key] = self.step(*key)
                 if after[0] != leader:
                     last = token
                 leader, residual = after
-            groups.append((at[A], at[B]))
+            groups.append((a, b))
         return links, groups
 
 
-def shown_groups(ids: tuple[list[int], list[int]], groups: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group."""
-    side_a, side_b = list(map(str, ids[A])), list(map(str, ids[B]))
+def shown_groups(ids: tuple[list[int], list[int]], groups: list[tuple[int, int]], names: list[str]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides (``names``: all of them), group by group."""
+    side_a, side_b = list(map(names.__getitem__, ids[A])), list(map(names.__getitem__, ids[B]))
     if len(groups) == 1:
         return ",".join(side_a) + "|" + ",".join(side_b)
     out, a, b = [], 0, 0
@@ -197,6 +202,8 @@ class Segments:
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b, self.transducer = a, b, Transducer(a.bytes, b.bytes)
+        self.bytes_a, self.bytes_b = a.bytes.__getitem__, b.bytes.__getitem__
+        self.names = [str(i) for i in range(max([*a.bytes, *b.bytes]) + 1)]
         self.young, self.old = {}, {}
         self.cut = a.cuts_at_spaces and b.cuts_at_spaces
 
@@ -226,12 +233,12 @@ class Segments:
 
     def _aligned(self, segment: str, ids: tuple[list[int], list[int]]) -> tuple | None:
         data = segment.encode("utf-8", "surrogatepass")
-        if b"".join([self.a.bytes[i] for i in ids[A]]) != data or b"".join([self.b.bytes[i] for i in ids[B]]) != data:
+        if b"".join(map(self.bytes_a, ids[A])) != data or b"".join(map(self.bytes_b, ids[B])) != data:
             return None
         if len(ids[A]) == len(ids[B]) == 1:
             return 1, 1, 1, array("q", [ids[A][0] << 32 | ids[B][0]]).tobytes(), f"{ids[A][0]}|{ids[B][0]}"
         links, groups = self.transducer.align(ids)
-        return len(ids[A]), len(ids[B]), len(groups), array("q", [x << 32 | y for x, y in links]).tobytes(), shown_groups(ids, groups)
+        return len(ids[A]), len(ids[B]), len(groups), array("q", [x << 32 | y for x, y in links]).tobytes(), shown_groups(ids, groups, self.names)
 
 
 def kept_segments(path_a: str, path_b: str) -> Segments:
