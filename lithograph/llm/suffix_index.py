@@ -47,8 +47,10 @@ LENGTH, ANCHOR, KEY = 50, 16, 8
 BATCHES = 8
 #: Bytes of text whose entries, or whose stretches, make up a bucket, about; and least buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 16
-#: Rows that a task gathers before it deals them by document.
-ROWS_DEALT = 2_000_000
+#: Rows that a task gathers before it deals them by document, and rows of a blob that isn't dealt.
+ROWS_DEALT, ROWS_A_BLOB = 1_000_000, 50_000
+#: Entries of all batches that a task holds before it packs them.
+ENTRIES_AT_ONCE = 800_000
 #: An anchor is common if more entries of a batch have it, or more than an eighth as many documents of one pack.
 COMMON = 1000
 MULTIPLIER, SECOND_MULTIPLIER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -192,9 +194,10 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
                 rows["key"], rows["low"], rows["high"], rows["of"] = keys[order[a:b]], v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) & np.uint64(0xFFFF), local
                 blobs.append(packed_columns(known[here], rows))
             parts = [(-1, found.astype(np.int64).tolist(), blobs)]
-            if len(frequent):  # one blob each of a pack: they only pass through the scan, in any of its buckets
-                passing_by = [spread(ids[0], buckets)]
-                parts += [(-2, passing_by, [np.unique(held).tobytes()]), (-3, passing_by, [(frequent & LOW_48).tobytes()])]
+            if len(frequent):  # these only pass through the scan, in any of its buckets
+                for number, rows in ((-2, np.unique(held)), (-3, frequent & LOW_48)):
+                    blobs = [rows[a : a + ROWS_A_BLOB].tobytes() for a in range(0, len(rows), ROWS_A_BLOB)]
+                    parts.append((number, [spread(ids[0] + i, buckets) for i in range(len(blobs))], blobs))
             rows = _kinds(parts, "level")
             return rows.add_column(0, "batch", pa.array([batch] * rows.num_rows, pa.int32())).to_batches()
 
@@ -212,7 +215,7 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
                 for column, new in zip(waiting[number], (keys, values, doc), strict=True):
                     column.append(new)
                 size += len(values)
-                if len(waiting[number][2]) >= 16_384 or size > 1_500_000:
+                if len(waiting[number][2]) >= 16_384 or size > ENTRIES_AT_ONCE:
                     for number in list(waiting):
                         yield from dealt(number)
                     size = 0
