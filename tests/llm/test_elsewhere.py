@@ -15,7 +15,7 @@ for name in {names!r}:
     print(name, __spark_entry__.queries()[name](spark, {sf!r}).count(), flush=True)
 """
 #: Queries that send functions, arrays or dictionaries of this package to executors.
-NAMES = ["op1_token_files", "op10_suffix_index", "pipeline"]
+NAMES = ["op1_token_files", "op10_suffix_index", "op12_spelling_variants", "op13_token_alignment", "pipeline"]
 
 
 def test_executors_need_no_copy_of_the_package(sf, tmp_path):
