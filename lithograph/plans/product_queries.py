@@ -355,6 +355,38 @@ def windowed_read(spark, d):
     return rows.select(F.regexp_extract("path", "/([^/]+)/[0-9]+[.]img$", 1).alias("image_id"), name.alias("strip"), "y", "x", "band", "n", "s")
 
 
+@query(f"""with {VECTORS} select image_id, cast(y // 8 as integer) as strip, band, count(*) as n, cast(sum(dn) as double) as s from color group by all""")
+def tiff_pieces(spark, d):
+    """TIFF files made of strips of the table's images, in all packings; their strips and tiles decoded by ranges of bytes."""
+    from ..sources import raster_source, tiff
+
+    folder = f"{base.shared_folder(spark)}/tiffs-{uuid.uuid4().hex}"
+    made = tiff.encode(base.color(spark, d), 8).select(F.concat("path", F.lit(".tif")).alias("path"), "content")
+    raster_source.write_files(made, folder).write.parquet(f"{folder}-manifest")
+    pieces = tiff.pieces_of(tiff.layouts(spark.read.parquet(f"{folder}-manifest")))
+    sums = raster_source.window_sums(tiff.read_pieces(pieces))
+    place = "/([^/]+)/([0-9]+)[.]tif$"
+    keys = [F.regexp_extract("path", place, 1).alias("image_id"), F.regexp_extract("path", place, 2).cast("int").alias("strip"), "band"]
+    return sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+@query(f"""with {VECTORS}, tile as (select image_id, cast(y // 8 as integer) as row, max(x) + 1 as w, max(y) % 8 + 1 as h from color group by all)
+select image_id, row, n, name, case when n = 0 then cast(w as bigint) end as width, case when n = 0 then cast(h as bigint) end as height, case when n = 0 then 'RGB' end as color,
+  case when n = 1 then 0.45e0 end as gamma, case when n < 2 then 1 end as whole from tile, (values (0, 'IHDR'), (1, 'gAMA'), (2, 'IDAT')) c(n, name)""")
+def png_chunks(spark, d):
+    """Chunks of PNG files made of strips of the table's images, up to their image data, with what they tell."""
+    from ..sources import png_chunks as chunks
+    from ..sources import raster_source, sinks
+
+    folder = f"{base.shared_folder(spark)}/pngs-{uuid.uuid4().hex}"
+    p = base.color(spark, d).select("image_id", F.lit(0).alias("level"), F.lit(0).alias("col"), F.expr("cast(y div 8 as int)").alias("row"), "y", "x", "band", F.expr("dn div 16").alias("out"))
+    made = sinks.png_tiles(p, 3).select(F.concat_ws("/", "image_id", F.concat(F.col("row").cast("string"), F.lit(".png"))).alias("path"), F.col("data").alias("content"))
+    raster_source.write_files(chunks.told_gamma(made, 0.45), folder).write.parquet(f"{folder}-manifest")
+    rows = chunks.values(chunks.chunks_of(spark.read.parquet(f"{folder}-manifest")))
+    place = "/([^/]+)/([0-9]+)[.]png$"
+    return rows.select(F.regexp_extract("path", place, 1).alias("image_id"), F.regexp_extract("path", place, 2).cast("int").alias("row"), "n", "name", "width", "height", "color", "gamma", F.col("crc_ok").cast("int").alias("whole"))
+
+
 @query(f"""with {BOUNDS}, p as (select c.image_id, band, x // 8 as col, y // 8 as row, {OUT} as v from color c join bounds b on c.image_id = b.image_id)
 select image_id, cast(col as integer) as col, cast(row as integer) as row, cast(count(*) // 3 as bigint) as pixels, cast(sum(v) as bigint) as s from p group by all""")
 def committed_tiles(spark, d):

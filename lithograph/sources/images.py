@@ -1,7 +1,8 @@
 """Image files as tables: listings, headers and decoded blocks.
 
 Files are read by Spark's binaryFile source, so any Hadoop file system works; decoding runs in Arrow tasks, a file at a
-time. Labelled rasters (LBLSIZE=... text, then BSQ, BIL or BIP samples) and PNG are decoded; of JPEG and TIFF, headers.
+time. Labelled rasters (LBLSIZE=... text, then BSQ, BIL or BIP samples) and PNG are decoded; of JPEG, headers. ``tiff`` decodes
+TIFF files by their pieces.
 """
 
 from __future__ import annotations
@@ -267,7 +268,7 @@ def with_known_headers(found: DataFrame, known: DataFrame, prefix: int = 1 << 16
 
 
 def samples(data: bytes) -> np.ndarray:
-    """bands x lines x samples of a labelled raster or a PNG of 8 or 16 bits without interlace."""
+    """bands x lines x samples of a labelled raster or a PNG without interlace; palettes give their colors."""
     if data[:8] == PNG_MAGIC:
         return png_samples(data)
     data = unwrapped(data)
@@ -299,28 +300,38 @@ def chunk(name: bytes, body: bytes) -> bytes:
 def png_samples(data: bytes) -> np.ndarray:
     parts = list(chunks(data))
     width, height, depth, color, *_, interlace = struct.unpack(">IIBBBBB", parts[0][1])
-    if depth not in (8, 16) or color == 3 or interlace:
+    if depth not in (1, 2, 4, 8, 16) or interlace:
         raise ValueError(f"PNG of depth {depth}, color type {color}, interlace {interlace} isn't decoded")
-    bands = {0: 1, 2: 3, 4: 2, 6: 4}[color]
-    step, raw = bands * depth // 8, zlib.decompress(b"".join(body for name, body in parts if name == b"IDAT"))
-    rows = np.frombuffer(raw, np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    line_bytes, step = -(-width * bands * depth // 8), max(1, bands * depth // 8)
+    raw = zlib.decompress(b"".join(body for name, body in parts if name == b"IDAT"))
+    rows = np.frombuffer(raw, np.uint8).reshape(height, 1 + line_bytes)
+    out = np.zeros((height, line_bytes), np.uint8)
     for y in range(height):
         kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros(width * step, np.int64)
+        up = out[y - 1].astype(np.int64) if y else np.zeros(line_bytes, np.int64)
         if kind in (0, 2):
             out[y] = (line + (up if kind == 2 else 0)) & 255
             continue
         now = out[y]
         if kind == 1:  # running sums of each byte place
-            out[y] = (np.cumsum(line.reshape(width, step), axis=0) & 255).reshape(-1)
+            out[y] = (np.cumsum(line.reshape(-1, step), axis=0) & 255).reshape(-1)
             continue
-        for i in range(width * step):  # these filters hang on the sample to the left
+        for i in range(line_bytes):  # these filters hang on the sample to the left
             a, b, c = (int(now[i - step]) if i >= step else 0), int(up[i]), (int(up[i - step]) if i >= step else 0)
             p = a + b - c
             near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
             now[i] = (int(line[i]) + ((a + b) // 2 if kind == 3 else near)) & 255
-    return out.view(f">u{depth // 8}").reshape(height, width, bands).transpose(2, 0, 1)
+    if depth < 8:  # samples share bytes, the first one in the highest bits
+        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)[:, :width]
+        out = (bits * (1 << np.arange(depth - 1, -1, -1, dtype=np.uint8))).sum(axis=2, dtype=np.uint8)
+    cube = out.view(f">u{max(1, depth // 8)}").reshape(height, width, bands).transpose(2, 0, 1)
+    if color != 3:
+        return cube
+    palette = np.frombuffer(next(body for name, body in parts if name == b"PLTE"), np.uint8).reshape(-1, 3)
+    if cube.max(initial=0) >= len(palette):
+        raise ValueError("a sample lies beyond the palette")
+    return palette[cube[0]].transpose(2, 0, 1)
 
 
 def png(cube: np.ndarray) -> bytes:
