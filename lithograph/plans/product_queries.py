@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units, urls
-from ..operators import catalog, pyramid, raster, spec, tiles
+from ..operators import catalog, pyramid, raster, rectangles, resample, spec, tiles
 from ..sources import images as image_files
 from . import queries as base
 from . import tables
@@ -387,6 +387,43 @@ def png_chunks(spark, d):
     return rows.select(F.regexp_extract("path", place, 1).alias("image_id"), F.regexp_extract("path", place, 2).cast("int").alias("row"), "n", "name", "width", "height", "color", "gamma", F.col("crc_ok").cast("int").alias("whole"))
 
 
+AXIS = """select s.{size} as n_in, s.{out} as n_out, kind, i, j, case when kind = 'area' then least((i + 1) * s.{size}, (j + 1) * s.{out}) - greatest(i * s.{size}, j * s.{out})
+  else 2 * greatest(s.{size}, s.{out}) - abs(2 * s.{out} * j + s.{out} - (2 * i + 1) * s.{size}) end as weight
+  from (select distinct {size}, {out} from size) s, (values ('area'), ('linear')) k(kind), range(s.{out}) a(i), range(s.{size}) b(j)"""
+
+
+@query(f"""with {VECTORS}, size as (select image_id, 16::bigint as width, max(y) + 1 as height, 5 + 3 * image_id::bigint as out_w, 9 + 20 * image_id::bigint as out_h from color group by 1),
+kx as (select *, sum(weight) over (partition by n_in, n_out, kind, i)::bigint as norm from ({AXIS.format(size="width", out="out_w")}) where weight > 0),
+ky as (select *, sum(weight) over (partition by n_in, n_out, kind, i)::bigint as norm from ({AXIS.format(size="height", out="out_h")}) where weight > 0),
+line as (select c.image_id, kind, band, y, i as x, sum(dn * weight)::bigint * 65536 // any_value(norm) as v from color c join size s on c.image_id = s.image_id join kx on width = n_in and out_w = n_out and c.x = j group by all)
+select l.image_id, ky.kind, band, ky.i as y, l.x, (2 * sum(v * weight)::bigint + 65536 * any_value(norm)) // (2 * 65536 * any_value(norm)) as dn
+from line l join size s on l.image_id = s.image_id join ky on height = n_in and out_h = n_out and l.y = j and l.kind = ky.kind group by all""")
+def resampled(spark, d):
+    """The table's images at smaller and larger sizes, by areas and by triangles."""
+    p = base.color(spark, d)
+    number = F.col("image_id").cast("long")
+    sizes = p.groupBy("image_id").agg(F.lit(16).alias("width"), (F.max("y") + 1).alias("height")).select("*", (5 + 3 * number).alias("out_w"), (9 + 20 * number).alias("out_h"))
+    made = [resample.resized(p, sizes, kind).withColumn("kind", F.lit(kind)) for kind in ("area", "linear")]
+    return made[0].unionByName(made[1])
+
+
+@query(f"""with {VECTORS}, rect as (select o_orderkey as rect_id, cast(o_custkey % 10 as varchar) as image_id, o_custkey % 19 - 2 as x, o_orderkey % 61 - 5 as y, o_orderkey % 9 + 1 as w, o_custkey % 23 + 1 as h from orders)
+select cast(rect_id as varchar) as rect_id, band, count(*) as n, cast(sum(dn) as bigint) as s from rect r join color c on r.image_id = c.image_id and c.x >= r.x and c.x < r.x + r.w and c.y >= r.y and c.y < r.y + r.h group by all""")
+def rectangle_pixels(spark, d):
+    """Pixels of a rectangle for each order, from blocks of the table's images; summed by band."""
+    from ..sources import labelled, raster_source
+
+    p = base.color(spark, d)
+    image = F.substring_index("path", "/", 1).alias("path")
+    blocks = image_files.blocks(labelled.encode(p, 1 << 20), 32).select(image, "band", (F.col("ty") * 32).alias("y"), (F.col("tx") * 32).alias("x"), "h", "w", "dtype", "data")
+    sizes = p.groupBy(F.col("image_id").alias("path")).agg(F.lit(16).alias("width"), (F.max("y") + 1).alias("height"), F.lit(3).alias("bands"), F.lit(">i2").alias("dtype"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = table(spark, d, "orders").select(o.alias("rect_id"), (c % 10).cast("string").alias("path"), (c % 19 - 2).alias("x"), (o % 61 - 5).alias("y"), (o % 9 + 1).alias("w"), (c % 23 + 1).alias("h"))
+    strips = rectangles.pixels_of(blocks, asked, sizes, 32, 16).withColumnRenamed("rect_id", "path").withColumn("x", F.lit(0))
+    sums = raster_source.window_sums(strips.select("path", "band", "y", "x", "h", "w", "dtype", "data"))
+    return sums.groupBy(F.col("path").alias("rect_id"), "band").agg(F.sum("n").alias("n"), F.sum("s").cast("long").alias("s"))
+
+
 @query(f"""with {BOUNDS}, p as (select c.image_id, band, x // 8 as col, y // 8 as row, {OUT} as v from color c join bounds b on c.image_id = b.image_id)
 select image_id, cast(col as integer) as col, cast(row as integer) as row, cast(count(*) // 3 as bigint) as pixels, cast(sum(v) as bigint) as s from p group by all""")
 def committed_tiles(spark, d):
