@@ -60,8 +60,8 @@ select image_id, band, case when mn > mx then mx - 100 else mn end as mn, mx fro
     "percent_stretch_bounds": f"with {BOUNDS} select * from bounds",
     "relative_stretch_bounds": f"with {VECTORS} select image_id, min(dn) * 0.9e0 as lo, max(dn) * 0.75e0 + (1 - 0.75e0) * 4095.0e0 as hi from color group by image_id",
     "literal_stretch_bounds": f"with {VECTORS} select distinct image_id, 0e0 as lo, 3000e0 as hi from color",
-    "srgb_lut": """select cast(dn as integer) as dn, cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 < 0.0031308e0 then dn / 255e0 * 12.92e0 else pow(dn / 255e0, 1 / 2.4e0) * 1.055e0 - 0.055e0 end)) * 255) as integer) as srgb,
-cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 <= 0.04045e0 then dn / 255e0 / 12.92e0 else pow((dn / 255e0 + 0.055e0) / 1.055e0, 2.4e0) end)) * 255) as integer) as linear from range(256) r(dn)""",
+    "srgb_lut": f"""with {VECTORS}, held as (select dn // 16 as dn, count(*) as n from color group by 1) select cast(dn as integer) as dn, n, cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 < 0.0031308e0 then dn / 255e0 * 12.92e0 else pow(dn / 255e0, 1 / 2.4e0) * 1.055e0 - 0.055e0 end)) * 255) as integer) as srgb,
+cast(trunc(greatest(0e0, least(1e0, case when dn / 255e0 <= 0.04045e0 then dn / 255e0 / 12.92e0 else pow((dn / 255e0 + 0.055e0) / 1.055e0, 2.4e0) end)) * 255) as integer) as linear from held""",
     "gamma_modes": """with n as (select n_name, case n_nationkey % 4 when 1 then 1e0 when 2 then 0.4501e0 when 3 then 2.2e0 end as gamma, n_nationkey % 5 > 0 as pds, case when n_nationkey % 3 = 0 then 'jpg' else 'png' end as fmt from nation),
 c as (select *, pds and (gamma is null or gamma = 1) as linear, pds and gamma is not null and abs(gamma - 0.45) < 0.01 as srgb from n), k as (select *, pds and not linear and not srgb as general from c),
 f as (select n_name, m as gamma_mode, fmt, linear, case when linear then 'linear' when srgb then 'srgb' when general then 'general' else 'none' end as gamma_class,
@@ -128,4 +128,10 @@ select worker, min(percent) as least, max(percent) as most, sum(percent) as tota
     "png_tiles": f"with {BOUNDS} select c.image_id, band, cast(sum(case when dn <= lo then 0 when dn >= hi then 255 else greatest(0, least(255, cast(trunc((dn - lo) * 255 / (hi - lo)) as integer))) end) as bigint) as s from color c join bounds b on c.image_id = b.image_id group by all",
     "stream_ingest": """with n as (select user_id::varchar as key, ts, case when event_type = 'purchase' then 'ObjectRemoved:Delete' when event_type in ('click', 'view') then 'ObjectCreated:Put' else 'Other' end as name from events),
 l as (select key, name from n qualify row_number() over (partition by key order by name <> 'Other' desc, ts desc, name desc) = 1) select key, case when name like 'ObjectCreated%' then 'build' when name like 'ObjectRemoved%' then 'delete' else 'ignore' end as action from l""",
+    "stream_table": """select user_id::varchar as key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, case event_type when 'purchase' then 'delete' else 'build' end as action from events where event_type in ('purchase', 'click', 'view')
+qualify row_number() over (partition by user_id order by ts desc, event_type = 'purchase' desc) = 1""",
+    "delivery_state": """with c as (select user_id::varchar as message, event_type as receiver, count(*) as times from events group by all)
+select *, sum(times) over (partition by message)::bigint as total, case when sum(times) over (partition by message) >= 9 then 'fail_queue' else 'process' end as route from c""",
+    "silent_tasks": """with l as (select user_id::varchar as task, count(*) as deliveries, max(ts) as at from events group by 1)
+select task, deliveries, case when at + interval 12 hour < max(at) over () - interval 1 minute then 'zombie' else 'running' end as status from l""",
 }

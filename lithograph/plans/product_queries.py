@@ -483,6 +483,25 @@ def removable_files(spark, d):
     return catalog.removable(listing, "7")
 
 
+@query("""with f as (select page_id % 5 as place, page_id % 3 = 0 as kept, octet_length(encode(html)) as bytes from pages where html is not null)
+select case when kept then 'kept' else 'deleted' end as outcome, false as is_folder, count(*) as n, sum(bytes)::bigint as bytes, count(*) filter (where kept) as left_over from f group by kept
+union all select case when k then 'kept' else 'deleted' end, true, count(*), null, case when k then count(*) else 0 end from (select bool_or(kept) as k from f group by place union all select bool_or(kept) from f) group by k""")
+def deleted_trees(spark, d):
+    """Pages written as files of five folders, deleted but for those with one ending, with folders that are left empty."""
+    from ..sources import deletes, raster_source
+
+    shared = base.shared_folder(spark)
+    root = f"{shared}/trash-{uuid.uuid4().hex}"
+    k = F.col("page_id")
+    made = table(spark, d, "pages").where("html is not null").select(F.concat_ws("/", (k % 5).cast("string"), F.concat(k, F.when(k % 3 == 0, ".pid").otherwise(".png"))).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    raster_source.write_files(made, root).write.parquet(f"{root}-manifest")
+    roots = spark.createDataFrame([(root,)], "path string")
+    done = deletes.outcome_counts(deletes.delete_trees(roots, shared, F.col("path").endswith(".pid")))
+    left = deletes.tree(roots, shared).select("is_folder").unionByName(roots.select(F.lit(True).alias("is_folder"))).groupBy("is_folder").agg(F.count(F.lit(1)).alias("left_over"))
+    kept = F.when(F.col("outcome") == "kept", F.coalesce("left_over", F.lit(0))).otherwise(0).cast("long")
+    return done.join(left, "is_folder", "left").select("outcome", "is_folder", "n", "bytes", kept.alias("left_over"))
+
+
 @query("""select 'p' as path from (select 1 from customer where c_custkey > 0 limit 1)""")
 def any_below(spark, d):
     listing = table(spark, d, "customer").select(F.concat(F.lit("p/"), F.col("c_custkey")).alias("path"))

@@ -105,7 +105,9 @@ def literal_stretch_bounds(spark, d):
 
 @query
 def srgb_lut(spark, d):
-    return spark.range(256).select(F.col("id").cast("int").alias("dn")).select("dn", raster.linear_to_srgb(F.col("dn")).alias("srgb"), raster.srgb_to_linear(F.col("dn")).alias("linear"))
+    """Both conversions of each 8-bit value that the table's images hold, and how many samples have it."""
+    held = color(spark, d).groupBy(F.expr("cast(dn div 16 as int)").alias("dn")).agg(F.count(F.lit(1)).alias("n"))
+    return held.select("dn", "n", raster.linear_to_srgb(F.col("dn")).alias("srgb"), raster.srgb_to_linear(F.col("dn")).alias("linear"))
 
 
 @query
@@ -404,3 +406,54 @@ def stream_ingest(spark, d):
     events = stream.select(F.lit("b").alias("bucket"), F.col("user_id").cast("string").alias("key"), name.alias("event_name"), "ts")
     ingest.run_batches(events, ingest.appended_to(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
     return ingest.current(spark, f"{root}/table").select("key", "action")
+
+
+def in_files(rows, folder: str, files: int, by: str):
+    """A stream of a table's rows that reads ``files`` files one by one."""
+    rows.repartition(files, by).write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def stream_table(spark, d):
+    """Events as many batches that a table is kept from: versions, merged runs, the last decision of each key."""
+    from ..streaming import stream_table as kept
+
+    root = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    stream = in_files(table(spark, d, "events"), f"{root}/in", 12, "event_id")
+    name = F.when(F.col("event_type") == "purchase", "ObjectRemoved:Delete").when(F.col("event_type").isin("click", "view"), "ObjectCreated:Put").otherwise("Other")
+    events = stream.select(F.lit("b").alias("bucket"), F.col("user_id").cast("string").alias("key"), name.alias("event_name"), F.col("ts").cast("timestamp").alias("ts"))
+    ingest.run_batches(events, kept.kept_in(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
+    return kept.current(spark, f"{root}/table").select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "action")
+
+
+def appended(rows, folder: str):
+    """Run a stream's update rows to its end; gives them all, with the batch that told them."""
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    rows.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.parquet(f"{folder}/out")
+
+
+@query
+def delivery_state(spark, d):
+    """Events as deliveries of messages (users) to receivers (types): counts that keyed state keeps over many batches."""
+    from ..streaming import timers
+
+    folder = f"{shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    stream = in_files(table(spark, d, "events"), f"{folder}/in", 6, "event_id")
+    told = appended(timers.counted_deliveries(stream.select(F.col("user_id").cast("string").alias("message"), F.col("event_type").alias("receiver")), 9), folder)
+    of_message = told.groupBy("message").agg(F.max("total").alias("total"), F.max(F.struct("total", "route"))["route"].alias("route"))
+    return told.groupBy("message", "receiver").agg(F.max("times").alias("times")).join(of_message, "message")
+
+
+@query
+def silent_tasks(spark, d):
+    """Users as tasks: those that the stream's time leaves behind by 12 hours are zombies, by timers of keyed state."""
+    from ..streaming import timers
+
+    folder = f"{shared_folder(spark)}/silent-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    progress = stream.select(F.col("user_id").cast("string").alias("task"), F.lit(0.0).alias("progress"), F.col("ts").cast("timestamp").alias("ts"))
+    told = appended(timers.watched_tasks(progress, 12 * 3_600_000, 1 << 40), folder)
+    return told.groupBy("task").agg(F.max_by(F.struct("deliveries", "status"), "batch").alias("last")).select("task", "last.*")
