@@ -132,6 +132,6 @@ l as (select key, name from n qualify row_number() over (partition by key order
 qualify row_number() over (partition by user_id order by ts desc, event_type = 'purchase' desc) = 1""",
     "delivery_state": """with c as (select user_id::varchar as message, event_type as receiver, count(*) as times from events group by all)
 select *, sum(times) over (partition by message)::bigint as total, case when sum(times) over (partition by message) >= 9 then 'fail_queue' else 'process' end as route from c""",
-    "silent_tasks": """with l as (select user_id::varchar as task, count(*) as deliveries, max(ts) as at from events group by 1)
-select task, deliveries, case when at + interval 12 hour < max(at) over () - interval 1 minute then 'zombie' else 'running' end as status from l""",
+    "silent_tasks": """with l as (select user_id::varchar as task, count(*) as deliveries, max(ts) as newest from events group by 1)
+select task, deliveries, case when newest + interval 12 hour < max(newest) over () - interval 1 minute then 'zombie' else 'running' end as status from l""",
 }
