@@ -2,9 +2,9 @@
 
 Two ways lead to the same rows (WINDOW: path, band, y, x, h, w, dtype, data):
 
-* ``spark.read.format("labelled_raster")``, a Python data source that plans one input partition per window of a file and
-  leaves out files, bands and windows that filters on path, band, y and x rule out. The driver reads the headers, which
-  suits up to some hundred thousand files.
+* ``spark.read.format("labelled_raster")``, a Python data source that plans one input partition per window of a file (runs of
+  windows with about equal bytes, if there are more than MOST_TASKS) and leaves out files, bands and windows that filters on
+  path, band, y and x rule out. The driver reads the headers, which suits up to some hundred thousand files.
 * ``windows_of`` and ``read_windows``: headers and windows are rows, so that any number of files is planned by Spark too.
 
 Sample places follow from the order of samples: BSQ has a record for each line of a band, BIL for each band of a line, BIP for
@@ -30,6 +30,8 @@ FIELDS = [("path", pa.string()), ("band", pa.int32()), ("y", pa.int32()), ("x",
 LAYOUT = "path string, width int, height int, bands int, org string, start long, size int, prefix int, dtype string"
 #: Lines and samples of a window; bytes at a file's beginning that are read to plan, and the longest label.
 LINES, SAMPLES_WIDE, HEAD_BYTES, MOST_LABEL = 1024, 4096, 1 << 14, 1 << 24
+#: Partitions of a scan; bytes of samples that a batch of rows holds, and what a window costs besides its own bytes.
+MOST_TASKS, BATCH_BYTES, WINDOW_COST = 256, 1 << 22, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -125,10 +127,30 @@ def layout_of(path: str, source: pa.NativeFile) -> Layout:
     return Layout(path, int(items["NS"]), int(items["NL"]), int(items["NB"]), items.get("ORG", "BSQ"), start, size, int(items.get("NBB", 0)), f"{'>' if big else '<'}{kind}{size}")
 
 
-def window_rows(layout: Layout, source: pa.NativeFile, bands: list[int], y: int, x: int, h: int, w: int) -> pa.RecordBatch:
-    cube = layout.window(source, bands, y, x, h, w)
-    rows = [{"path": layout.path, "band": band, "y": y, "x": x, "h": h, "w": w, "dtype": layout.dtype, "data": cube[i].tobytes()} for i, band in enumerate(bands)]
-    return pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+def window_rows(windows: Iterable[Window]) -> Iterator[pa.RecordBatch]:
+    """Rows of windows, many small ones in a batch; a file is opened once for windows that follow each other."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=pa.schema(FIELDS))
+
+    rows, held, source, path = [], 0, None, None
+    try:
+        for p in windows:
+            if p.layout.path != path:
+                if source is not None:
+                    source.close()
+                source, path = opened(p.layout.path), p.layout.path
+            cube = p.layout.window(source, p.bands, p.y, p.x, p.h, p.w)
+            rows += [(path, band, p.y, p.x, p.h, p.w, p.layout.dtype, cube[i].tobytes()) for i, band in enumerate(p.bands)]
+            held += cube.nbytes
+            if held >= BATCH_BYTES and rows:
+                yield batch()
+                rows, held = [], 0
+    finally:
+        if source is not None:
+            source.close()
+    if rows:
+        yield batch()
 
 
 # -- by rows ------------------------------------------------------------------------------------------------------------
@@ -163,13 +185,15 @@ def read_windows(windows: DataFrame, bands: list[int] | None = None) -> DataFram
     """WINDOW rows of ``windows_of`` (of these ``bands``, or all); windows are dealt evenly, also those of one large file."""
     names = [c.split()[0] for c in LAYOUT.split(", ")]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[Window]:
         for batch in batches:
             for row in batch.to_pylist():
                 layout = Layout(**{n: row[n] for n in names})
                 wanted = [b for b in range(layout.bands) if bands is None or b in bands]
-                with opened(layout.path) as source:
-                    yield window_rows(layout, source, wanted, row["y"], row["x"], row["h"], row["w"])
+                yield Window(layout, wanted, row["y"], row["x"], row["h"], row["w"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from window_rows(asked(batches))
 
     return windows.select(*names, "y", "x", "h", "w").repartition("path", "y", "x").mapInArrow(read, WINDOW)
 
@@ -187,6 +211,22 @@ class Window(InputPartition):
     w: int
 
 
+@dataclass
+class Windows(InputPartition):
+    """A run of windows that one task reads."""
+
+    windows: list[Window]
+
+
+def runs(planned: list[Window], most: int) -> list[InputPartition]:
+    """All windows as ``most`` partitions at most, each a run with about the same bytes."""
+    if len(planned) <= most:
+        return planned
+    ends = np.cumsum([WINDOW_COST + len(p.bands) * p.h * p.w * p.layout.size for p in planned])
+    cuts = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, most) / most, "left") + 1).tolist()
+    return [Windows(planned[a:b]) for a, b in zip([0, *cuts], [*cuts, len(planned)], strict=True) if a < b]
+
+
 class RasterReader(DataSourceReader):
     #: Columns whose values are known when windows are planned: filters on them are met there and then.
     PLANNED = ("path", "band", "y", "x")
@@ -198,6 +238,7 @@ class RasterReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.lines, self.samples = int(options.get("lines", LINES)), int(options.get("samples", SAMPLES_WIDE))
+        self.tasks = max(1, int(options.get("tasks", MOST_TASKS)))
         self.suffixes = tuple(s for s in options.get("suffixes", ".img,.vic").lower().split(",") if s)
         self.filters: list[tuple[str, object]] = []
 
@@ -222,7 +263,7 @@ class RasterReader(DataSourceReader):
         prefix = "" if not scheme else self.path[: len(self.path) - len(place)] if self.path.endswith(place) else scheme[1]
         return [prefix + n for n in names]
 
-    def partitions(self) -> list[Window]:
+    def partitions(self) -> list[InputPartition]:
         planned = []
         for path in self._files():
             if not self._fits(path=path):
@@ -234,19 +275,17 @@ class RasterReader(DataSourceReader):
                 for x in range(0, layout.width, self.samples):
                     if bands and self._fits(y=y, x=x):
                         planned.append(Window(layout, bands, y, x, min(self.lines, layout.height - y), min(self.samples, layout.width - x)))
-        return planned
+        return runs(planned, self.tasks)
 
-    def read(self, partition: Window | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing was planned
-            return
-        with opened(partition.layout.path) as source:
-            yield window_rows(partition.layout, source, partition.bands, partition.y, partition.x, partition.h, partition.w)
+    def read(self, partition: Window | Windows | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # something was planned
+            yield from window_rows(partition.windows if isinstance(partition, Windows) else [partition])
 
 
 class RasterSource(DataSource):
     """``spark.read.format("labelled_raster").load(path)``: a file, or all rasters below a folder.
 
-    Options: ``lines`` and ``samples`` of a window, ``suffixes`` of the files to take.
+    Options: ``lines`` and ``samples`` of a window, ``suffixes`` of the files to take, ``tasks`` that a scan has at most.
     """
 
     @classmethod

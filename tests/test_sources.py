@@ -116,6 +116,16 @@ def test_filters_leave_windows_unread(spark, rasters):
     assert raster_source.read_rasters(spark, rasters).where("band = 7").count() == 0
 
 
+def test_many_windows_share_tasks(spark, rasters):
+    few = {"path": rasters, "lines": "2", "samples": "3", "tasks": "7"}
+    planned = RasterReader(few).partitions()
+    alone = RasterReader(few | {"tasks": "1000000"}).partitions()
+    assert len(planned) == 7 and len(alone) > 256 and [w for p in planned for w in p.windows] == alone and max(len(p.windows) for p in planned) < 2 * len(alone) / 7
+    frame = raster_source.read_rasters(spark, rasters, lines=2, samples=3)
+    found = whole(frame.collect())
+    assert frame.rdd.getNumPartitions() <= 256 and found.keys() == {f"{n}.IMG" for n in FILES} and all(np.array_equal(c, CUBE) for c in found.values())
+
+
 TILE = "image_id string, level int, col int, row int, w int, h int, format string, data binary"
 
 
