@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from .images import SAMPLES, is_wrapper, label_items, wrapper_places
+from .images import SAMPLES, dealt_over, is_wrapper, label_items, wrapper_places
 
 WINDOW = "path string, band int, y int, x int, h int, w int, dtype string, data binary"
 FIELDS = [("path", pa.string()), ("band", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("dtype", pa.string()), ("data", pa.binary())]
 LAYOUT = "path string, width int, height int, bands int, org string, start long, size int, prefix int, dtype string"
 #: Lines and samples of a window; bytes at a file's beginning that are read to plan, and the longest label.
 LINES, SAMPLES_WIDE, HEAD_BYTES, MOST_LABEL = 1024, 4096, 1 << 14, 1 << 24
-#: Partitions of a scan; bytes of samples that a batch of rows holds, and what a window costs besides its own bytes.
-MOST_TASKS, BATCH_BYTES, WINDOW_COST = 256, 1 << 22, 1 << 12
+#: Partitions of a scan; bytes of samples and number of files that a batch of rows holds, and what a window costs besides its
+#: own bytes.
+MOST_TASKS, BATCH_BYTES, MOST_FILES, WINDOW_COST = 256, 1 << 22, 256, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -340,9 +341,17 @@ def contents(paths: DataFrame) -> DataFrame:
     """path, content of the files that ``paths`` (path) names: for many small files that a manifest lists."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([p for p, _ in files], pa.string()), pa.array([c for _, c in files], pa.binary())], ["path", "content"])
+        files, held = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with opened(path) as source:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([source.read()], pa.binary())], ["path", "content"])
-
-    return paths.select("path").repartition("path").mapInArrow(read, "path string, content binary")
+                    files.append((path, source.read()))
+                held += len(files[-1][1])
+                if held >= BATCH_BYTES or len(files) >= MOST_FILES:
+                    yield made()
+                    files, held = [], 0
+        if files:
+            yield made()
+
+    return paths.select("path").repartition(dealt_over(paths.sparkSession), "path").mapInArrow(read, "path string, content binary")

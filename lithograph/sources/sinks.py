@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .images import png
+from .images import dealt_over, png
 
+#: Tiles that a task passes on as one batch.
+TILES_AT_ONCE = 256
 TILE = "image_id string, level int, col int, row int, w int, h int, format string, data binary"
 
 
@@ -69,15 +71,57 @@ def transformed(tiles: DataFrame, change: Callable[[bytes], bytes], fmt: str = "
 
 
 def png_tiles(pixels: DataFrame, bands: int) -> DataFrame:
-    """TILE rows with PNG data from 8-bit pixels (image_id, level, col, row, y, x, band, out); a tile is one group."""
+    """TILE rows with PNG data from 8-bit pixels (image_id, level, col, row, y, x, band, out).
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["y"] - rows["y"].min(), rows["x"] - rows["x"].min()
+    Pixels are dealt by tile and sorted, so that a task meets the pixels of a tile one after another: it holds one tile and
+    one batch of rows, and passes on tiles by TILES_AT_ONCE.
+    """
+    key = ["image_id", "level", "col", "row"]
+    kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.binary()]
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(TILE.split(", "), kinds, strict=True)])
+
+    def draw(rows: pa.Table) -> tuple:
+        y, x, band, out = (rows.column(n).to_numpy() for n in ("y", "x", "band", "out"))
+        y, x = y - y.min(), x - x.min()
         cube = np.zeros((bands, int(y.max()) + 1, int(x.max()) + 1), np.uint8)
-        cube[rows["band"], y, x] = rows["out"]
-        return pd.DataFrame([(*key, cube.shape[2], cube.shape[1], "png", png(cube))], columns=[c.split()[0] for c in TILE.split(", ")])
+        cube[band, y, x] = out
+        return (*[rows.column(n)[0].as_py() for n in key], cube.shape[2], cube.shape[1], "png", png(cube))
 
-    return pixels.groupBy("image_id", "level", "col", "row").applyInPandas(draw, TILE)
+    def told(tiles: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tiles, strict=True), kinds, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, tiles = [], []  # pieces of the tile whose end isn't met yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            starts = [0, *starts_of(rows.select(key)), rows.num_rows]
+            for i, (first, end) in enumerate(zip(starts, starts[1:], strict=False)):
+                piece = rows.slice(first, end - first)
+                if waiting and (i or any(waiting[0].column(n)[0] != piece.column(n)[0] for n in key)):
+                    tiles.append(draw(pa.concat_tables(waiting)))
+                    waiting = []
+                waiting.append(piece)
+                if len(tiles) >= TILES_AT_ONCE:
+                    yield told(tiles)
+                    tiles = []
+        if waiting:
+            tiles.append(draw(pa.concat_tables(waiting)))
+        if tiles:
+            yield told(tiles)
+
+    dealt = pixels.select(*key, "y", "x", "band", "out").repartition(dealt_over(pixels.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, TILE)
+
+
+def starts_of(keys: pa.Table) -> list[int]:
+    """Places of rows that differ from the row before, but for the first; nulls equal nulls."""
+    n, changed = keys.num_rows, np.zeros(max(0, keys.num_rows - 1), bool)
+    for column in keys.columns:
+        codes = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changed |= codes[1:n] != codes[: n - 1]
+    return (np.flatnonzero(changed) + 1).tolist()
 
 
 def tile_path(level: Column, col: Column, row: Column, fmt: str) -> Column:
@@ -127,5 +171,3 @@ def write_texts(rows: DataFrame, path: str, text: str, by: str) -> None:
 def without(table: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """A table without the subtrees of the removed keys, to be written in its place."""
     return table.join(removed.select(key).distinct(), key, "left_anti")
-
-

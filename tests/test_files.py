@@ -253,6 +253,30 @@ def test_tiles_and_metadata(spark, tmp_path):
     assert sinks.metadata(doc.withColumn("ts", units.iso_minute("ts"))).first()["metadata"] == '{"w":3,"ts":"2024-05-06T07:08Z"}'
 
 
+def test_small_tiles_are_drawn_by_batches_in_many_tasks(spark, tmp_path):
+    from lithograph.sources import raster_source
+
+    rng, rows, wanted = np.random.default_rng(5), [], {}
+    for image in ("a", "b", None):
+        for col in range(5):
+            wanted[image, col] = rng.integers(0, 256, (2, 3, 4), np.uint8)
+            rows += [(image, 1, col, 0, y + 7, x + 4 * col, b, int(v)) for (b, y, x), v in np.ndenumerate(wanted[image, col])]
+    pixels = spark.createDataFrame(rows, "image_id string, level int, col int, row int, y int, x int, band int, out int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # tiles reach over batches
+    try:
+        tiles = sinks.png_tiles(pixels, 2)
+        found = tiles.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 15 and all(np.array_equal(images.samples(bytes(r.data)), wanted[r.image_id, r.col]) and (r.w, r.h, r.row, r.format) == (4, 3, 0, "png") for r in found)
+    many = images.dealt_over(spark)
+    paths = raster_source.write_files(tiles.where("image_id is not null").select(F.concat_ws("-", "image_id", "col").alias("path"), F.col("data").alias("content")), f"file://{tmp_path}/few")
+    files = raster_source.contents(paths)
+    assert many >= 8 and tiles.rdd.getNumPartitions() == many and files.rdd.getNumPartitions() == many
+    got = {(r["path"].rsplit("/", 1)[1], r["band"], r["y"], r["x"]): r["dn"] for r in images.pixels(images.blocks(files, 2), 2).collect()}
+    assert got == {(f"{i}-{c}", b, y, x): v for (i, c), cube in wanted.items() if i for (b, y, x), v in np.ndenumerate(cube)}
+
+
 def test_ranges_over_http(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
