@@ -50,6 +50,23 @@ def test_resized_images(spark, kind):
     assert resample.resized(pixels.limit(0), sizes, kind).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["area", "linear"])
+def test_shares_are_the_kernels_rows(spark, kind):
+    pairs = [(a, b) for a in range(1, 14) for b in range(1, 14)] + [(40, 3), (3, 40), (0, 4), (4, 0)]
+    asked = spark.createDataFrame([(a, b, j) for a, b in pairs for j in range(-1, a + 1)], "n_in long, n_out long, j long")
+    columns = ["n_in", "n_out", "i", "j", "weight", "norm"]
+    got = sorted(map(tuple, resample.with_norm(resample.shares(asked, kind), kind).select(*columns).collect()))
+    assert got == sorted(map(tuple, resample.kernels(asked, kind).select(*columns).collect()))
+
+
+def test_nothing_is_dealt_by_places_of_a_line(spark):
+    pixels = spark.createDataFrame([("a", 0, 0, 0, 1)], "image_id string, band int, y int, x int, dn int")
+    sizes = spark.createDataFrame([("a", 1, 1, 2, 2)], "image_id string, width int, height int, out_w int, out_h int")
+    plan = resample.resized(pixels, sizes)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all("hashpartitioning(image_id" in line for line in dealt)
+
+
 def test_rectangles_are_slices(spark):
     cube = np.random.default_rng(4).integers(1, 1000, (2, 23, 31)).astype(">i2")
     rows = []
