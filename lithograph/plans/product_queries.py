@@ -454,9 +454,15 @@ def whole_images(spark, d):
     return image_files.pixels(image_files.blocks(files)).groupBy(name.alias("image_id"), "band").agg(F.sum("dn").cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
+#: Images whose tiles one task counts.
+IMAGES_A_TASK = 50_000
+
+
 def stored_levels(spark, d):
-    """Tiles of generated images as they would be written, from their geometry."""
-    return pyramid.tile_rects(pyramid.levels(tables.images(spark, d)))
+    """Tiles of generated images as they would be written, from their geometry; images are dealt, their many tiles needn't be."""
+    i = tables.images(spark, d)
+    n = max(image_files.dealt_over(spark), -(-i.count() // IMAGES_A_TASK))
+    return pyramid.tile_rects(pyramid.levels(i.repartition(n, "image_id")))
 
 
 @query(f"""with {LEVELS} select image_id, level, cols * rows as tiles from levels""")

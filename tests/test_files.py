@@ -277,6 +277,14 @@ def test_small_tiles_are_drawn_by_batches_in_many_tasks(spark, tmp_path):
     assert got == {(f"{i}-{c}", b, y, x): v for (i, c), cube in wanted.items() if i for (b, y, x), v in np.ndenumerate(cube)}
 
 
+def test_tiles_are_counted_as_bits_of_squares(spark):
+    made = [("i", 9, c, r) for c in range(19) for r in range(23) if (c + r) % 3] * 2 + [("i", 2, 0, 0), ("j", 2, 7, 8)]
+    counted = sinks.written_per_level(spark.createDataFrame(made, "image_id string, level int, col int, row int"))
+    assert {tuple(r) for r in counted.collect()} == {("i", 9, len(set(made[:-2]))), ("i", 2, 1), ("j", 2, 1)}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(" in line and "col#" in line for line in plan.splitlines())
+
+
 def test_ranges_over_http(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
