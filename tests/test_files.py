@@ -333,6 +333,13 @@ def test_hosts_of_the_service_tests(spark):
     assert {u for u, reason in got.items() if reason == "ok"} == {"http://[2606:4700::1111]/x.IMG", "http://example.com/x.IMG"}
 
 
+def test_first_group_zero_isn_t_unsafe_by_itself(spark):
+    """Answers of the reference's isSafeAddress: all ten first bytes must be zero for an IPv4 address to be held."""
+    told = {"0:1fab:100::1": True, "0:0:0:0:1::1": True, "::10.0.0.1": False, "0:0:0:0:0:0:808:808": True, "::1": False, "64:ff9b:100::1": True}
+    df = spark.createDataFrame([(a,) for a in told], "ip string")
+    assert {r[0]: r[1] for r in df.select("ip", urls.safe_ipv6(F.col("ip"))).collect()} == told
+
+
 def test_known_headers_aren_t_read_again(spark, tmp_path):
     (tmp_path / "a.img").write_bytes(labelled.labelled_file(cube(1, 2, 3, "i2")))
     (tmp_path / "b.img").write_bytes(labelled.labelled_file(cube(1, 4, 5, "i2")))
