@@ -49,8 +49,8 @@ BATCHES = 8
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 16
 #: Rows that a task gathers before it deals them by document, and rows of a blob that isn't dealt.
 ROWS_DEALT, ROWS_A_BLOB = 1_000_000, 50_000
-#: Entries of all batches that a task holds before it packs them.
-ENTRIES_AT_ONCE = 800_000
+#: Entries of all batches that a task holds before it packs them, and documents whose texts are taken from a batch of rows.
+ENTRIES_AT_ONCE, TEXTS_AT_ONCE = 800_000, 128
 #: An anchor is common if more entries of a batch have it, or more than an eighth as many documents of one pack.
 COMMON = 1000
 MULTIPLIER, SECOND_MULTIPLIER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -174,7 +174,9 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
 
         def dealt(batch: int) -> pa.RecordBatch:
             waiting_keys, waiting_values, ids = waiting.pop(batch)
-            keys, values, of = np.concatenate(waiting_keys), np.concatenate(waiting_values), np.repeat(np.arange(len(ids)), [len(w) for w in waiting_values])
+            of = np.repeat(np.arange(len(ids), dtype=np.int32), [len(w) for w in waiting_values])
+            keys, values = np.concatenate(waiting_keys), np.concatenate(waiting_values)
+            del waiting_keys, waiting_values
             known = np.array(ids, "<i8")
             order = np.lexsort((known[of], values, keys))  # the pack's suffix array
             starts, lengths = runs_of(values[order], keys[order])
@@ -202,8 +204,8 @@ def sampled_suffixes(docs: DataFrame, buckets: int, bounds: list[int], common: i
             return rows.add_column(0, "batch", pa.array([batch] * rows.num_rows, pa.int32())).to_batches()
 
         seen = set()  # of copies in one task, one enters: its first document is found later
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for rows in (batch.slice(at, TEXTS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, TEXTS_AT_ONCE)):
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 if doc is None or len(data) < LENGTH or (digest := hashlib.md5(data).digest()) in seen:
                     continue

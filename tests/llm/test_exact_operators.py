@@ -132,6 +132,32 @@ def test_repeats_of_odd_rows(odd):
     assert got[(0, 0)] == got[(1, 0)] == got[(4, 0)] == 1 and got[(5, 0)] == 2 and sum(got.values()) == odd.count()
 
 
+def test_texts_of_a_batch_are_taken_by_a_few():
+    """A task holds a batch's texts as Arrow hands them over, not all of them as strings besides."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lithograph.llm import suffix_index
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return f
+
+    sample = suffix_index.sampled_suffixes(Rows(), 16, [])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(["many words of a text " * 500] * 4000)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        made = sum(r.num_rows for r in sample(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made and batch.nbytes > 40e6 and peak < 20e6
+
+
 def test_index_levels_are_suffix_arrays_that_merge(make):
     """Batches leave levels of distinct sizes; each bucket is in the order of its suffixes' first bytes; a kept index
     tells of a later batch what it shares with earlier ones."""
