@@ -199,6 +199,58 @@ def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
     assert suffix_index.judged(heads, b"".join(t for _, t in texts))[0]["doc"].tolist() == [3]
 
 
+def test_stretches_are_compared_a_few_at_a_time(monkeypatch):
+    """Of equal stretches one is hashed, of those alone at their anchor none, and never all of a bucket at once."""
+    rng = random.Random(1)
+    hashed, plain = [], suffix_index.byte_hashes
+    monkeypatch.setattr(suffix_index, "byte_hashes", lambda data, *a: hashed.append(len(data)) or plain(data, *a))
+    other = ["".join(rng.choices("abcdefgh ", k=100)).encode() for _ in range(30_000)]
+    texts = [*other, *other[:10_000], *(b"!" + t[1:] for t in other[:15_000])]
+    heads = np.zeros(len(texts), suffix_index.STRETCH)
+    heads["doc"], heads["size"] = range(len(texts)), 100
+    heads["anchor"] = [*range(30_000), *range(10_000), *range(15_000)]
+    rows = suffix_index.judged(heads, b"".join(texts))[0]
+    assert max(hashed) <= suffix_index.COMPARED_AT_ONCE + 200 and sum(hashed) == 2 * 15_000 * 100
+    assert sorted(rows["doc"].tolist()) == list(range(30_000, 55_000)) and rows["range"].all()
+    ranges = dict(zip(rows["doc"].tolist(), rows["value"].tolist(), strict=True))
+    assert all(ranges[d] == 51 for d in range(30_000, 40_000)) and all(ranges[d] == 1 << 32 | 50 for d in range(40_000, 55_000))
+
+
+@pytest.mark.parametrize("common", [8, 1000])
+def test_repeats_within_texts_and_of_shared_ids_equal_brute_force(spark, common):
+    """A stretch that is several times in one text, or in one of the rows of a doc_id, is removed where it stands."""
+    rng = random.Random(common)
+    lines = ["".join(rng.choices("abcdefgh ", k=k)) for k in (55, 70, 120, 200)]
+    rows = []
+    for i in range(60):
+        parts = [x for line in rng.sample(lines, 2) for x in ["".join(rng.choices("abcdefgh ", k=40)), line] * rng.randrange(1, 4)]
+        rows.append((i // 2 if i % 5 == 0 else i, "".join(parts)))
+    rows += [(3, rows[3][1]), (4, rows[7][1] + "z"), (5, rows[8][1]), (-1, lines[1] + lines[2][:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_index.remove_repeats(docs, 3, common).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == slow_repeats(rows)
+
+
+def test_suffix_order_merges_sorted_runs():
+    rng = np.random.default_rng(5)
+    keys, values = rng.integers(0, 300, 4000).astype(np.uint64), rng.integers(0, 50, 4000).astype(np.uint64)
+    cuts = [0, 7, 900, 2500, 4000]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        order = np.lexsort((values[a:b], keys[a:b]))
+        keys[a:b], values[a:b] = keys[a:b][order], values[a:b][order]
+    assert suffix_index.suffix_order(keys, values).tolist() == np.lexsort((values, keys)).tolist()
+    assert not len(suffix_index.suffix_order(keys[:0], values[:0]))
+
+
+def test_entries_of_joined_texts_are_those_of_each():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc ", k=k)).encode() for k in (50, 51, 400, 50, 90, 3000)]
+    keys, values, of = suffix_index.entries_of(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    for i, text in enumerate(texts):
+        want = suffix_index.suffix_entries(np.frombuffer(text, np.uint8))
+        assert [x.tolist() for x in want] == [keys[of == i].tolist(), values[of == i].tolist()]
+
+
 def hot_passage(n=400):
     """A passage of 50 bytes in every document, each time between other letters."""
     rng = random.Random(7)
