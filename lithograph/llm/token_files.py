@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ class WordMemo(dict):
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self)  # a dict's keys() would be gone through whole
+        new = set(filterfalse(self.__contains__, words))  # words.difference(self) would go through the whole memo
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
             self.cores.clear()

@@ -52,6 +52,16 @@ def test_tokenizers_that_see_white_space_encode_whole_texts():
     assert memo.by_words and memo.encode(texts) == memo.whole(texts)
 
 
+def test_words_are_sought_in_the_memo_not_the_memo_gone_through():
+    class Watched(token_files.WordMemo):
+        def __iter__(self):
+            raise AssertionError("the whole memo is gone through")
+
+    memo = Watched(tokenizer_path(), "<u2")
+    for texts in (["some words, some marks"], ["other words! some marks", "and more"]):
+        assert memo.encode(texts) == memo.whole(texts)
+
+
 def test_token_files_of_odd_rows(spark, odd):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write_tokens(odd, folder, tokenizer_path(), end_id=2, n_files=3)
