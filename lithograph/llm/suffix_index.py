@@ -28,6 +28,7 @@ same result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -623,7 +624,9 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        docs, values, parts, begins, place, gone, size, some, bytes_taken = [], [], [], [], {}, [], 0, [], 0
+        # by stretch: document, anchor, place; of those left to a smaller doc_id: document, place, number of the stretch
+        docs, values, begins, lost_docs, lost_begins, lost_of = columns = [array("q") for _ in range(6)]
+        parts, place, size, some, bytes_taken = [], {}, 0, [], 0
 
         def take() -> int:
             """The stretches of the texts in ``some``; their bytes, about."""
@@ -648,10 +651,10 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
                     docs.append(doc), values.append(value), parts.append(part), begins.append(begin)
                     size += n
                 elif doc > docs[at]:  # all its windows start in the smaller doc_id too
-                    gone.append((doc, begin, at))
+                    lost_docs.append(doc), lost_begins.append(begin), lost_of.append(at)
                     size += REMOVED.itemsize
                 elif doc < docs[at]:
-                    gone.append((docs[at], begins[at], at))
+                    lost_docs.append(docs[at]), lost_begins.append(begins[at]), lost_of.append(at)
                     docs[at], begins[at] = doc, begin
                     size += REMOVED.itemsize
                 else:
@@ -661,14 +664,13 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
 
         def dealt() -> pa.RecordBatch:
             heads, anchors = np.zeros(len(parts), STRETCH), np.array(values, np.uint64)
-            heads["doc"], heads["size"], heads["start"] = docs, [len(p) for p in parts], begins
+            heads["doc"], heads["size"], heads["start"] = docs, np.fromiter(map(len, parts), np.uint32, len(parts)), begins
             heads["anchor"] = mixed(anchors) >> np.uint64(32)
             at = (anchors % np.uint64(FILTER_BITS)).astype(np.int64)
             often = ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
-            where = [i for *_, i in gone]
-            later = heads[where]
-            later["doc"], later["start"] = [d for d, *_ in gone], [b for _, b, _ in gone]
-            removed = whole_stretches(later, [parts[i] for i in where])
+            later = heads[np.array(lost_of)]
+            later["doc"], later["start"] = lost_docs, lost_begins
+            removed = whole_stretches(later, [parts[i] for i in lost_of])
             out, rare = defaultdict(lambda: [None] * 3), np.flatnonzero(~often)
 
             def put(k: int, found: list[int], blobs: list[bytes]) -> None:
@@ -687,9 +689,11 @@ def dealt_stretches(texts: DataFrame, buckets: int, common: np.ndarray) -> DataF
                 put(1, found.tolist(), [least[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             if len(removed):  # one blob of the pack, with any of its buckets
                 put(2, [list(out)[spread(docs[0], len(out))] if out else spread(docs[0], buckets)], [distinct(removed).tobytes()])
-            docs.clear(), values.clear(), parts.clear(), begins.clear(), place.clear(), gone.clear()
-            columns = zip(*out.values(), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "stretches", "least", "removed"])
+            for column in columns:
+                del column[:]
+            parts.clear(), place.clear()
+            blobs = zip(*out.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *[pa.array(c, pa.binary()) for c in blobs]], ["bucket", "stretches", "least", "removed"])
 
         for rows in (batch.slice(at, TEXTS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, TEXTS_AT_ONCE)):
             for doc, text, wanted, repeated in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), arrays(rows.column(2)), rows.column(3).to_pylist(), strict=True):
