@@ -62,6 +62,36 @@ def test_words_are_sought_in_the_memo_not_the_memo_gone_through():
         assert memo.encode(texts) == memo.whole(texts)
 
 
+def test_words_of_letters_take_the_short_way_and_give_the_same_ids():
+    class Counted(token_files.WordMemo):
+        asked = 0
+
+        def ids(self, words):
+            Counted.asked += len(words)
+            return super().ids(words)
+
+    memo = Counted(tokenizer_path(), "<u2")
+    assert memo.by_letters
+    texts = ["Encoding words of letters, straßen; \u00c9COLE \u00e9t\u00e9! \u00e6\u00f8\u00e5\u00ed\u00e0 \u212aelvin", "words of letters"]
+    known = memo.whole([*texts, ",", ";", "!"])[:2]
+    memo.encode([", ; !"])
+    Counted.asked = 0
+    assert memo.encode(texts) == known and Counted.asked == 0
+    every = [f"{c} a{c}b \u00e9{c}. {c}!" for c in map(chr, [*range(1, 0x250), *range(0x300, 0x370), *range(0x2000, 0x2150)])]
+    assert memo.encode(every) == memo.whole(every)
+
+
+def test_a_full_memo_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 40)
+    memo = token_files.WordMemo(tokenizer_path(), "<u2")
+    for i in range(200):
+        texts = [f"the one and only word{i}, is {'x' * i} here" + "y" * 300]
+        assert memo.encode(texts) == memo.whole(texts)
+        assert len(memo) <= 20 and len(memo.before) <= 20
+        assert i < 20 or b"the" in memo or b"the" in memo.before
+    assert all(len(word) <= memo.KEPT_BYTES for word in [*memo, *memo.before])
+
+
 def test_token_files_of_odd_rows(spark, odd):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write_tokens(odd, folder, tokenizer_path(), end_id=2, n_files=3)
